@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from effectforge.llm.common import read_tables
 from effectforge.llm.quality import quality_rules
+from effectforge.llm.warc import round_trip
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +16,30 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, labels)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (pages,) = read_tables(spark, sf_dir, "pages")
+    return round_trip(pages).drop("target_uri")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_warc": op3_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), m AS (
+            SELECT *, payload_bytes >= 1000 AND page_id IS DISTINCT FROM max(page_id) OVER (PARTITION BY payload_digest)
+                AND max(page_id) OVER (PARTITION BY payload_digest) IS NOT NULL AS again,
+                max(page_id) OVER (PARTITION BY payload_digest) AS first_id
+            FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN again THEN first_id END AS refers_to
+        FROM m
+    """,
+}
