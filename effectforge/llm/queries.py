@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from effectforge.llm.common import read_tables
+from effectforge.llm.decontaminate import contamination
 from effectforge.llm.quality import quality_rules
 from effectforge.llm.warc import round_trip
 
@@ -21,9 +22,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(pages).drop("target_uri")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = read_tables(spark, sf_dir, "documents", "benchmark")
+    return contamination(docs, benchmark).drop("item_ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_warc": op3_warc,
+    "op4_decontaminate": op4_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -42,4 +49,34 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN again THEN first_id END AS refers_to
         FROM m
     """,
+    "op4_decontaminate": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+            FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+            FROM benchmark
+        ), bk AS (
+            SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS k
+            FROM b WHERE len(ws) > 0
+        ), iw AS (
+            SELECT DISTINCT item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS w FROM bk
+        ), dk AS (
+            SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw)
+        ), hit AS (
+            SELECT doc_id, k, n, item_id FROM (SELECT doc_id, n, k, array_to_string(ws[k:k + n - 1], ' ') AS w FROM dk)
+            JOIN iw USING (n, w)
+        ), words AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY 1
+        ), items AS (
+            SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids
+            FROM hit GROUP BY 1
+        )
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
 }
