@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from effectforge.llm.common import read_tables
 from effectforge.llm.decontaminate import contamination
+from effectforge.llm.lines import line_dedup
+from effectforge.llm.mixing import mix_sources
 from effectforge.llm.quality import quality_rules
 from effectforge.llm.warc import round_trip
 
@@ -17,6 +19,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, labels)
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = read_tables(spark, sf_dir, "documents")
+    return mix_sources(docs)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     (pages,) = read_tables(spark, sf_dir, "pages")
     return round_trip(pages).drop("target_uri")
@@ -27,10 +34,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(docs, benchmark).drop("item_ids")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = read_tables(spark, sf_dir, "documents")
+    return line_dedup(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_source_mix": op2_source_mix,
     "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
+    "op7_line_dedup": op7_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -79,4 +93,25 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op7_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line,
+                generate_subscripts(string_split(text, chr(10)), 1) AS pos
+            FROM documents
+        ), spread AS (
+            SELECT line, min(doc_id) AS first_id FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+            GROUP BY line HAVING count(DISTINCT site) >= 10
+        ), marked AS (
+            SELECT doc_id, pos, l.line, spread.line IS NOT NULL AND (doc_id IS DISTINCT FROM first_id
+                OR row_number() OVER (PARTITION BY doc_id, l.line ORDER BY pos) > 1) AS gone
+            FROM l LEFT JOIN spread USING (line)
+        ), kept AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+                coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+            FROM marked GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+            CASE WHEN d.text IS NOT NULL THEN kept.text END AS text
+        FROM documents d LEFT JOIN kept USING (doc_id)
+    """,
 }
