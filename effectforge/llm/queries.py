@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from effectforge.llm.common import read_tables
 from effectforge.llm.decontaminate import contamination
+from effectforge.llm.html_text import extract_text
 from effectforge.llm.lines import line_dedup
 from effectforge.llm.mixing import mix_sources
 from effectforge.llm.quality import quality_rules
@@ -39,12 +40,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (pages,) = read_tables(spark, sf_dir, "pages")
+    return extract_text(pages)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mix": op2_source_mix,
     "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
     "op7_line_dedup": op7_line_dedup,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
