@@ -12,6 +12,7 @@ from effectforge.llm.html_text import extract_text
 from effectforge.llm.lines import line_dedup
 from effectforge.llm.mixing import mix_sources
 from effectforge.llm.quality import quality_rules
+from effectforge.llm.url_filter import filter_urls
 from effectforge.llm.warc import round_trip
 
 
@@ -35,6 +36,21 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(docs, benchmark).drop("item_ids")
 
 
+#: The rules of the URL query.
+URL_RULES = [
+    ("block", "com/en/"),
+    ("allow", "example.com/en/7"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
+    ("block", "org/es/"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (pages,) = read_tables(spark, sf_dir, "pages")
+    return filter_urls(pages, URL_RULES)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = read_tables(spark, sf_dir, "documents")
     return line_dedup(docs)
@@ -50,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
+    "op5_url_filter": op5_url_filter,
     "op7_line_dedup": op7_line_dedup,
     "op10_html_text": op10_html_text,
 }
