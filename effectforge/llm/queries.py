@@ -12,6 +12,7 @@ from effectforge.llm.html_text import extract_text
 from effectforge.llm.lines import line_dedup
 from effectforge.llm.mixing import mix_sources
 from effectforge.llm.quality import quality_rules
+from effectforge.llm.simhash import near_duplicates
 from effectforge.llm.url_filter import filter_urls
 from effectforge.llm.warc import round_trip
 
@@ -56,6 +57,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = read_tables(spark, sf_dir, "documents")
+    return near_duplicates(docs)
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     (pages,) = read_tables(spark, sf_dir, "pages")
     return extract_text(pages)
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op7_line_dedup": op7_line_dedup,
+    "op9_simhash": op9_simhash,
     "op10_html_text": op10_html_text,
 }
 
