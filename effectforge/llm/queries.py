@@ -13,6 +13,7 @@ from effectforge.llm.lines import line_dedup
 from effectforge.llm.mixing import mix_sources
 from effectforge.llm.quality import quality_rules
 from effectforge.llm.simhash import near_duplicates
+from effectforge.llm.suffix_dedup import suffix_dedup
 from effectforge.llm.url_filter import filter_urls
 from effectforge.llm.warc import round_trip
 
@@ -57,6 +58,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = read_tables(spark, sf_dir, "documents")
+    return suffix_dedup(docs).drop("spans")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = read_tables(spark, sf_dir, "documents")
     return near_duplicates(docs)
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op7_line_dedup": op7_line_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
     "op10_html_text": op10_html_text,
 }
