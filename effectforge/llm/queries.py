@@ -13,6 +13,7 @@ from effectforge.llm.lines import line_dedup
 from effectforge.llm.mixing import mix_sources
 from effectforge.llm.quality import quality_rules
 from effectforge.llm.simhash import near_duplicates
+from effectforge.llm.substring_dedup import substring_dedup
 from effectforge.llm.suffix_dedup import suffix_dedup
 from effectforge.llm.url_filter import filter_urls
 from effectforge.llm.warc import round_trip
@@ -53,6 +54,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = read_tables(spark, sf_dir, "documents")
+    return substring_dedup(docs).drop("spans")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = read_tables(spark, sf_dir, "documents")
     return line_dedup(docs)
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
@@ -131,6 +138,25 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op6_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), dk AS (
+            SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS k FROM d
+        ), again AS (
+            SELECT doc_id, k FROM dk
+            QUALIFY row_number() OVER (PARTITION BY array_to_string(ws[k:k + 19], ' ') ORDER BY doc_id, k) > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(k, k + 20)) AS p FROM again)
+        ), words AS (
+            SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d
+        ), kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS rest
+            FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+        )
+        SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
     "op7_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line,
