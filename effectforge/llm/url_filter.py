@@ -1,9 +1,8 @@
 """URL filters: explicit rules, and for the rest a path-template tree of each host.
 
-The tree grows a segment at a time.  A child branch stays literal where it has
-support and its labels set it apart from its siblings; other segments, the
-variable ones above all, become one wildcard branch, so that branches without a
-statistical difference merge.  A template is rejected where the share of blocked
+The tree grows a segment at a time.  Segments without support or labels, the
+variable ones above all, become one wildcard branch; of the others, siblings
+whose labels do not tell them apart statistically merge into one branch.  A template is rejected where the share of blocked
 labels among its pages, smoothed towards its host's and that towards all hosts',
 is high on enough labels.  Everything here is DataFrame operations.
 """
@@ -12,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from effectforge.llm.common import bare, materialize
 
@@ -75,6 +75,28 @@ def apply_rules(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return urls.join(best, ["host", "path"], "left").select(*urls.columns, "rule", "rule_verdict")
 
 
+def _merge_similar(children: DataFrame, z: float) -> DataFrame:
+    """host, template, segment, branch: siblings next to each other in rate merge unless they differ.
+
+    Neighbours in the order of their blocked share stay apart where a test of
+    two proportions tells them apart.  A parent has at most 1 / ``min_share``
+    supported children, so a window over them is bounded.
+    """
+    rate = F.col("bad") / F.col("labelled")
+    order = Window.partitionBy("host", "template").orderBy("rate", "segment")
+    c = children.withColumn("rate", rate)
+    n, m, b, d = F.col("labelled"), F.lag("labelled").over(order), F.col("bad"), F.lag("bad").over(order)
+    pooled = (b + d) / (n + m)
+    apart = (F.col("rate") - F.lag("rate").over(order) > 0) & (
+        F.col("rate") - F.lag("rate").over(order) >= z * F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
+    )
+    c = c.withColumn("apart", F.coalesce(apart.cast("int"), F.lit(0)))
+    c = c.withColumn("class", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    members = F.sort_array(F.collect_set("segment").over(Window.partitionBy("host", "template", "class")))
+    name = F.when(F.size(members) == 1, members[0]).otherwise(F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")))
+    return c.select("host", "template", "segment", name.alias("branch"))
+
+
 def path_templates(
     urls: DataFrame,
     *,
@@ -99,21 +121,10 @@ def path_templates(
     for depth in range(max_depth):
         here = rows.filter(F.size("segments") > depth).withColumn("segment", F.col("segments")[depth])
         children = here.groupBy("host", "template", "segment").agg(*counts)
-        parents = children.groupBy("host", "template").agg(
-            F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
-        )
-        rest_labelled, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
-        share = F.col("all_bad") / F.col("all_labelled")
-        spread = F.sqrt(share * (1 - share) * (1 / F.col("labelled") + 1 / rest_labelled))
-        apart = F.abs(F.col("bad") / F.col("labelled") - rest_bad / rest_labelled) >= z * spread
-        both = (F.col("labelled") >= min_labels) & (rest_labelled >= min_labels)
-        one = (F.col("labelled") >= min_labels) != (rest_labelled >= min_labels)
-        kept = (
-            children.filter(F.col("n") >= min_support)
-            .join(parents, ["host", "template"])
-            .filter((F.col("n") >= min_share * F.col("all_n")) & F.when(both, (share > 0) & (share < 1) & apart).otherwise(one))
-            .select("host", "template", "segment", F.lit(True).alias("literal"))
-        )
+        parents = children.groupBy("host", "template").agg(F.sum("n").alias("all_n"))
+        supported = children.filter(F.col("n") >= min_support).join(parents, ["host", "template"])
+        supported = supported.filter((F.col("n") >= min_share * F.col("all_n")) & (F.col("labelled") >= min_labels))
+        kept = _merge_similar(supported, z)
         kept = materialize(kept, "url-branches")
         rows = (
             rows.withColumn("segment", F.when(F.size("segments") > depth, F.col("segments")[depth]))
@@ -121,19 +132,23 @@ def path_templates(
             .withColumn(
                 "template",
                 F.when(F.col("segment").isNull(), F.col("template"))
-                .when(F.col("literal"), F.concat("template", F.lit("/"), "segment"))
+                .when(F.col("branch").isNotNull(), F.concat("template", F.lit("/"), "branch"))
                 .otherwise(F.concat("template", F.lit("/*"))),
             )
-            .drop("segment", "literal")
+            .drop("segment", "branch")
         )
     deeper = F.size("segments") > max_depth
     return rows.withColumn("template", F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segments")
 
 
 def judge_templates(
-    rows: DataFrame, *, min_labels: int = 5, smoothing: float = 5.0, reject_at: float = 0.7
+    rows: DataFrame, *, min_labels: int = 5, min_coverage: float = 0.25, smoothing: float = 5.0, reject_at: float = 0.7
 ) -> DataFrame:
-    """host, template, labels, smoothed purity and the verdict on each template."""
+    """host, template, labels, smoothed purity and the verdict on each template.
+
+    A template with fewer labels than ``min_labels``, or with labels on less
+    than ``min_coverage`` of its pages, is allowed.
+    """
     label = [F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"), F.count("*").alias("n")]
     templates = rows.groupBy("host", "template").agg(*label)
     hosts = templates.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
@@ -147,7 +162,7 @@ def judge_templates(
         "n",
         "labelled",
         purity.alias("purity"),
-        F.when((F.col("labelled") >= min_labels) & (purity >= reject_at), "block").otherwise("allow").alias("template_verdict"),
+        F.when((F.col("labelled") >= F.greatest(F.lit(min_labels), min_coverage * F.col("n"))) & (purity >= reject_at), "block").otherwise("allow").alias("template_verdict"),
     )
 
 
