@@ -25,10 +25,10 @@ def logit(p: Column) -> Column:
 def normal_cdf(x: Column) -> Column:
     """Standard normal CDF, clipped to [1e-12, 1 - 1e-12].
 
-    Within 7 of zero the series sum x^(2k+1)/(2k+1)!! times the density, which
+    Within 8 of zero the series sum x^(2k+1)/(2k+1)!! times the density, which
     has no cancellation; beyond it the clip rules.
     """
-    a = F.least(F.abs(x), F.lit(7.0))
+    a = F.least(F.abs(x), F.lit(8.0))
     state = F.struct(a.alias("term"), a.alias("total"))
     step = lambda s, k: F.struct(
         (s["term"] * a * a / (2 * k + 1)).alias("term"), (s["total"] + s["term"] * a * a / (2 * k + 1)).alias("total")
