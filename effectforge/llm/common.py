@@ -48,6 +48,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with Arrow batches of this session no longer than ``rows`` from here on.
+
+    A Python worker holds a batch of whole texts at once and keeps the memory
+    that it once took, so the default of 10 000 rows is too many for them.
+    """
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize`."""
     spark = df.sparkSession

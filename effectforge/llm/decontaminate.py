@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from effectforge.llm.common import bare, fresh
+from effectforge.llm.common import bare, fresh, small_batches
 
 #: A-Z lower-cased, letters, digits and all non-ASCII bytes kept, the rest a space.
 _FOLD = bytes(
@@ -173,7 +173,7 @@ def find_windows(
     item ids count as one item.
     """
     empty = F.lit(None).cast(RESULT)
-    texts = bare(docs, "text").select(F.col("text").cast("string").alias("text"))
+    texts = bare(small_batches(docs), "text").select(F.col("text").cast("string").alias("text"))
     carried, text = docs.withColumn(into, empty), F.col("text").cast("string")
     found = False
     for items in benchmark_blocks(benchmark, block_bytes):

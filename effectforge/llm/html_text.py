@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from effectforge.llm.common import bare, materialize
+from effectforge.llm.common import bare, materialize, small_batches
 
 #: Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -268,7 +268,7 @@ def extract_text(pages: DataFrame, min_pages: int = 8, min_share: float = 0.5) -
     A null page has an empty text; a null URL belongs to the host with an empty
     name; repeated rows each get their row; an empty table gives no rows.
     """
-    p = bare(pages, "page_id", "url", "html").select(
+    p = bare(small_batches(pages), "page_id", "url", "html").select(
         "page_id", "url", F.col("html").cast("string").alias("html"), page_host(F.col("url")).alias("host")
     )
     known = site_templates(p, min_pages, min_share)

@@ -162,18 +162,25 @@ def take_mix(docs: DataFrame, **params) -> DataFrame:
     A document that the mix takes no copy of is left out; one without words
     comes with the certain copies of its source, if any.
     """
-    plan = round_copies(docs, **params).filter("copies > 0").select(
-        F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), F.col("rep").alias("__mix_rep"), "copies"
+    plan = materialize(
+        round_copies(docs, **params).select(
+            F.col("doc_id").alias("__mix_id"),
+            F.col("source").alias("__mix_source"),
+            F.col("size").alias("__mix_size"),
+            F.col("rep").alias("__mix_rep"),
+            "copies",
+        ),
+        "mix-plan",
     )
+    twice = plan.filter("__mix_rep > 0").limit(1).count() > 0
+    plan = plan.filter("copies > 0")
     if "copies" in docs.columns:
         plan = plan.withColumnRenamed("copies", fresh(docs, "copies"))
     size, rep = fresh(docs, "size"), fresh(docs, "rep")
-    key = Window.partitionBy("doc_id", "source", size).orderBy(F.lit(1))
-    d = docs.withColumn(size, word_count(F.col("text").cast("string"))).withColumn(rep, F.row_number().over(key).cast("bigint") - 1)
-    same = (
-        d["doc_id"].eqNullSafe(plan["__mix_id"])
-        & d["source"].eqNullSafe(plan["__mix_source"])
-        & (d[size] == plan["__mix_size"])
-        & (d[rep] == plan["__mix_rep"])
-    )
+    d = docs.withColumn(size, word_count(F.col("text").cast("string")))
+    same = d["doc_id"].eqNullSafe(plan["__mix_id"]) & d["source"].eqNullSafe(plan["__mix_source"]) & (d[size] == plan["__mix_size"])
+    if twice:
+        key = Window.partitionBy("doc_id", "source", size).orderBy(F.lit(1))
+        d = d.withColumn(rep, F.row_number().over(key).cast("bigint") - 1)
+        same = same & (d[rep] == plan["__mix_rep"])
     return d.join(plan, same).drop(size, rep, "__mix_id", "__mix_source", "__mix_size", "__mix_rep")

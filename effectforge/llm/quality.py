@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from effectforge.llm.common import bare, fresh
+from effectforge.llm.common import bare, fresh, small_batches
 
 STATS_TYPE = (
     "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,"
@@ -214,7 +214,7 @@ def fit_forest(
     id, so it does not depend on partitioning.  Trees grow on rows that
     pass the base rules, with those labelled bad thinned to ``odd``; rows with a null label or id are not used.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     picked = (
         bare(labels, "doc_id", "quality")
         .filter("doc_id is not null and quality is not null")
@@ -267,7 +267,7 @@ def _verdict_udf(forest: IsolationForest):
 
 def judge(docs: DataFrame, forest: IsolationForest, into: str) -> DataFrame:
     """``docs`` with a struct column ``into``: the statistics, score and verdict."""
-    stats, verdict = fresh(docs, "stats"), fresh(docs, "verdict")
+    stats, verdict = fresh(small_batches(docs), "stats"), fresh(docs, "verdict")
     d = docs.withColumn(stats, _stats_udf(F.col("text").cast("string")))
     d = d.withColumn(verdict, _verdict_udf(forest)(F.col(stats)))
     s = F.col(stats)

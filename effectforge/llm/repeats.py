@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from effectforge.llm.common import bare, materialize
+from effectforge.llm.common import bare, materialize, small_batches
 
 _ODD = 0x9E3779B97F4A7C17
 _MASK = (1 << 64) - 1
@@ -174,7 +174,7 @@ def ordered(docs: DataFrame) -> tuple[DataFrame, int]:
     come one after the other, and equal rows share a number.  A null id comes
     before all others.
     """
-    d = bare(docs, "doc_id", "text").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    d = bare(small_batches(docs), "doc_id", "text").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     longest, low, high = d.agg(F.max(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).first()
     bits = max(8, int(longest or 0).bit_length() + 1)
     twice = d.groupBy("doc_id").count().filter("count > 1").limit(1).count()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from effectforge.llm.common import bare, fresh, materialize
+from effectforge.llm.common import bare, fresh, materialize, small_batches
 from effectforge.llm.components import components
 
 BLOCKS, BLOCK_BITS, PIVOTS = 4, 16, 12
@@ -99,7 +99,7 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
 
 def fingerprint_classes(docs: DataFrame, shingle: int = 3) -> tuple[DataFrame, DataFrame]:
     """Tables (doc_id, fp) of all documents and (fp, component_id) of all fingerprints."""
-    d = bare(docs, "doc_id", "text")
+    d = bare(small_batches(docs), "doc_id", "text")
     printed = materialize(d.select("doc_id", _fingerprint_udf(F.col("text").cast("string"), shingle).alias("fp")), "simhash")
     prints = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-prints")
     roots = components(link_fingerprints(prints.select("fp")))
@@ -121,14 +121,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     )
 
 
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each row of ``kept`` (id, and hash of the text if it has one)."""
+    names = {c: fresh(docs, c) for c in ("number", "null", "hash", "n")}
+    d = docs.withColumn(names["number"], F.coalesce("doc_id", F.lit(0))).withColumn(names["null"], F.col("doc_id").isNull())
+    keys = [names["number"], names["null"]]
+    k = kept.withColumn("__kept_number", F.coalesce("id", F.lit(0))).withColumn("__kept_null", F.col("id").isNull())
+    same = (d[keys[0]] == k["__kept_number"]) & (d[keys[1]] == k["__kept_null"])
+    if "hash" in kept.columns:
+        d = d.withColumn(names["hash"], F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+        keys.append(names["hash"])
+        same = same & (d[names["hash"]] == k["hash"])
+    d = d.join(k, same, "left_semi")
+    w = Window.partitionBy(*keys).orderBy(F.lit(1))
+    return d.withColumn(names["n"], F.row_number().over(w)).filter(F.col(names["n"]) == 1).drop(names["n"], *keys)
+
+
 def keep_first_of_class(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The document with the smallest id of each class, with the columns of ``docs``.
 
     Rows that repeat that id are one document and leave one row.
     """
-    printed, classes = fingerprint_classes(docs, shingle)
-    kept = classes.select(F.col("component_id").alias("__kept_id")).distinct()
-    d = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
-    n = fresh(docs, "n")
-    w = Window.partitionBy("doc_id").orderBy(F.lit(1))
-    return d.withColumn(n, F.row_number().over(w)).filter(F.col(n) == 1).drop(n)
+    _, classes = fingerprint_classes(docs, shingle)
+    return keep_rows(docs, classes.select(F.col("component_id").alias("id")).distinct())
