@@ -132,6 +132,37 @@ def low_rank_block(corr: np.ndarray, wy: np.ndarray, ww: np.ndarray, prop: float
     return (np.sqrt(lam)[:, None] * v.T) * d, (v.T @ (wy / d)) / np.sqrt(lam)
 
 
+def shrinkage(z: np.ndarray) -> float:
+    """Ledoit-Wolf weight of the identity for standardised columns ``z``."""
+    n, m = z.shape
+    s = z.T @ z / n
+    spread = float(np.square(s - np.trace(s) / m * np.eye(m)).sum())
+    noise = float((np.square(np.square(z).sum(1)).sum() / n - np.square(s).sum()) / n)
+    return min(1.0, max(0.0, noise / spread)) if spread > 0 else 1.0
+
+
+def filtered_block(corr: np.ndarray, mode: str, *, tau: float = 0.01, eta: float = 0.0, weight: float | None = None) -> np.ndarray:
+    """A dense LD block made well-conditioned.
+
+    hard_truncate keeps eigenvalues of at least max(tau, 0.01); ridge_fixed
+    mixes in eta / (1 + eta) of the identity; ridge_lw the given ``weight``.
+    """
+    if mode == "hard_truncate":
+        values, vectors = np.linalg.eigh(corr)
+        kept = values >= max(tau, 0.01)
+        return (vectors[:, kept] * values[kept]) @ vectors[:, kept].T
+    if mode not in ("ridge_fixed", "ridge_lw"):
+        raise ValueError("mode is hard_truncate, ridge_fixed or ridge_lw")
+    a = eta / (1 + eta) if mode == "ridge_fixed" else float(weight or 0.0)
+    return (1 - a) * corr + a * np.eye(len(corr))
+
+
+def skip_length(p: float, base: int, most: int) -> int:
+    """Sweeps that a null marker sits out, by its last inclusion probability."""
+    factor = 4.0 if p < 1e-6 else 2.0 if p < 1e-5 else 1.0 if p < 1e-4 else 0.5 if p < 1e-3 else 0.0
+    return min(most, int(base * factor))
+
+
 @dataclass
 class Model:
     """Priors and switches of a scalar fit."""
@@ -156,6 +187,10 @@ class Model:
     vb: float | None = None
     ve: float | None = None
     rebuild_every: int = 100
+    skip_nulls: int = 0
+    skip_most: int = 64
+    full_every: int = 10
+    log_cpo: bool = False
     extra: dict = field(default_factory=dict)
 
 
@@ -351,6 +386,8 @@ def sample(op: CsrOperator, yy: float, n: float, model: Model, controls: ChainCo
     sums, pips, comps, drawn = np.zeros(m), np.zeros(m), np.zeros((m, len(gamma))), 0
     traces: dict[str, list[float]] = {t: [] for t in TRACES}
     vg, drift = 0.0, 0.0
+    due = np.zeros(m, int)
+    inverse_cpo = np.full(len(op.e), -np.inf) if model.log_cpo and isinstance(op, GenotypeOperator) else None
     for it in range(1, controls.nburn + controls.nit + 1):
         vei = ve + model.adj_e * vg
         mafq = np.exp((s + 1) * log_h) if log_h is not None else np.ones(m)
@@ -358,7 +395,10 @@ def sample(op: CsrOperator, yy: float, n: float, model: Model, controls: ChainCo
         log_prior = np.log(prior.rows)
         uniforms, normals = rng.random(m), rng.standard_normal(m)
         ww = op.ww
+        full = not model.skip_nulls or it % model.full_every == 1 or model.full_every == 1
         for k in order:
+            if not full and comp[k] == 0 and due[k] > it:
+                continue
             score = op.score(k, b[k])
             v = vb * q[k] * gamma[1:]
             total = vei + ww[k] * v
@@ -369,12 +409,17 @@ def sample(op: CsrOperator, yy: float, n: float, model: Model, controls: ChainCo
             c = int(np.searchsorted(np.cumsum(p), uniforms[k] * p.sum(), side="right"))
             c = min(c, len(gamma) - 1)
             new = 0.0
+            if model.skip_nulls and c == 0:
+                skip = skip_length(float(1 - p[0] / p.sum()), model.skip_nulls, model.skip_most)
+                due[k] = it + 1 + skip + (int(rng.integers(0, skip + 1)) if skip else 0)
             if c:
                 info = ww[k] + vei / (vb * q[k] * gamma[c])
                 new = score / info + normals[k] * np.sqrt(vei / info)
             if new != b[k]:
                 op.move(k, new - b[k])
                 b[k] = new
+                if model.skip_nulls and (comp[k] == 0) != (c == 0):
+                    due[op.friends(k, 0.01, m)] = 0
             comp[k] = c
         if model.swap and rng.random() < model.swap_prob:
             _swap(op, model, rng, b, comp, log_prior, yy, vei, vb * q)
@@ -397,7 +442,8 @@ def sample(op: CsrOperator, yy: float, n: float, model: Model, controls: ChainCo
             if sse + model.nue * cal["sse_prior"] <= 0:
                 raise ValueError("the residual sum of squares is not positive: the LD and the statistics disagree")
             ve = (sse + model.nue * cal["sse_prior"]) / rng.chisquare(n + model.nue)
-        prior.update(rng, comp, b, vb)
+        if full:
+            prior.update(rng, comp, b, vb)
         vg = float(b @ (op.wy - r)) / n
         vle = float(op.ww @ (b * b)) / n
         pi = float(1 - prior.rows[:, 0].mean())
@@ -408,8 +454,12 @@ def sample(op: CsrOperator, yy: float, n: float, model: Model, controls: ChainCo
             pips += active
             comps[np.arange(m), comp] += 1
             drawn += 1
+            if inverse_cpo is not None:
+                density = -0.5 * (np.log(2 * np.pi * ve) + np.square(op.e) / ve)
+                inverse_cpo = np.logaddexp(inverse_cpo, -density)
     drawn = max(drawn, 1)
-    return {"effect": sums / drawn, "pip": pips / drawn, "component": comps / drawn, "traces": traces, "b": b, "state": comp, "s": s, "drift": drift, "prior": prior}
+    return {"effect": sums / drawn, "pip": pips / drawn, "component": comps / drawn, "traces": traces, "b": b, "state": comp, "s": s, "drift": drift, "prior": prior,
+        "log_cpo": None if inverse_cpo is None else float((np.log(drawn) - inverse_cpo).sum())}
 
 
 def fit_rows(key: tuple, out: dict) -> pd.DataFrame:

@@ -357,11 +357,22 @@ def q22(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("q23_stick_probabilities")
+@query(
+    "q23_stick_probabilities",
+    f"""WITH {_PANEL}, e AS (SELECT j, unnest([0, 1, 2]) AS k, unnest([-1.0e0 + 0.5e0 * af, -0.5e0 + 0.2e0 * af, -0.3e0 * af]) AS x
+        FROM (SELECT j, round(p, 8) AS af FROM m)), phi AS (
+        SELECT j, k, 0.5e0 + sign(x) * sum(exp((2 * t + 1) * ln(abs(x)) - (t + 1) * ln(2) - lgamma(t + 1.5) + 0.5 * ln(pi())))
+            * exp(-x * x / 2) / sqrt(2 * pi()) AS p
+        FROM e, range(0, 121) r(t) GROUP BY j, k, x
+    ), w AS (SELECT j, max(p) FILTER (k = 0) AS a, max(p) FILTER (k = 1) AS b, max(p) FILTER (k = 2) AS c FROM phi GROUP BY j)
+    SELECT j AS marker_idx, unnest([0, 1, 2, 3]) AS component,
+        unnest([round(1 - a, 8), round(a * (1 - b), 8), round(a * b * (1 - c), 8), round(a * b * c, 8)]) AS pi FROM w""",
+)
 def q23(spark: SparkSession, d: str) -> DataFrame:
     af = genotypes.allele_freq(_panel(spark, d)[0]).select("marker_idx", F.lit("af").alias("annotation"), F.col("af").alias("value"))
     one = _markers(spark).select("marker_idx", F.lit("one").alias("annotation"), F.lit(1.0).alias("value"))
-    return priors.marker_sticks(af.unionByName(one), {"one": [-1.0, -0.5, 0.0], "af": [0.5, 0.2, -0.3]})
+    sticks = priors.marker_sticks(af.unionByName(one), {"one": [-1.0, -0.5, 0.0], "af": [0.5, 0.2, -0.3]})
+    return sticks.withColumn("pi", F.round("pi", 8))
 
 
 @query("q24_retention_plan", "SELECT k AS iteration FROM range(1, 101) t(k) WHERE k % 3 = 0")
@@ -551,6 +562,11 @@ def q41(spark: SparkSession, d: str) -> DataFrame:
     return samplers.fit_genotypes(panel, traits, samplers.Model(pi=(1 - PI, PI), adj_e=0.0), controls).posterior()
 
 
+@query("q46_scheduled_fit")
+def q46(spark: SparkSession, d: str) -> DataFrame:
+    return _fit(spark, d, samplers.Model(pi=(1 - PI, PI), skip_nulls=4, swap=True, swap_r2=R2)).posterior()
+
+
 @query("q42_joint_fit")
 def q42(spark: SparkSession, d: str) -> DataFrame:
     controls = priors.ChainControls(nit=20, nburn=10, seed=7)

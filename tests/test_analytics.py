@@ -169,6 +169,38 @@ def test_kernels_match_enumeration():
         assert np.abs(samplers.sample(op, float(y @ y), 200, m, controls, 5)["pip"] - exact).max() < 0.03
 
 
+def test_scheduled_sweeps_and_cpo():
+    """Skipping nulls keeps the answer; a model with the effect predicts better than one without."""
+    rng = np.random.default_rng(8)
+    z = rng.standard_normal((300, 60))
+    z = (z - z.mean(0)) / z.std(0)
+    y = 0.5 * z[:, 11] + rng.standard_normal(300)
+    controls = priors.ChainControls(nit=300, nburn=100)
+    out = {}
+    for name, more in (("all", {}), ("some", {"skip_nulls": 4}), ("none", {"pi": (1.0, 1e-40), "update_pi": False, "vb": 0.01, "update_vb": False})):
+        model = samplers.Model(**({"pi": (0.99, 0.01), "adj_e": 0.0, "log_cpo": True} | more))
+        out[name] = samplers.sample(samplers.GenotypeOperator(z, y), float(y @ y), 300, model, controls, 3)
+    assert out["all"]["pip"][11] > 0.95 and out["some"]["pip"][11] > 0.95
+    assert abs(out["all"]["pip"].sum() - out["some"]["pip"].sum()) < 1.0
+    assert out["all"]["log_cpo"] > out["none"]["log_cpo"] + 10
+    assert [samplers.skip_length(p, 8, 20) for p in (1e-7, 5e-6, 5e-5, 5e-4, 0.1)] == [20, 16, 8, 4, 0]
+
+
+def test_block_filters():
+    rng = np.random.default_rng(2)
+    z = rng.standard_normal((40, 60))
+    z = (z - z.mean(0)) / z.std(0)
+    corr = z.T @ z / 40
+    weight = samplers.shrinkage(z)
+    assert 0 < weight < 1 and samplers.shrinkage(rng.standard_normal((5000, 3)) * [1, 2, 3]) < 0.05
+    assert np.linalg.eigvalsh(samplers.filtered_block(corr, "ridge_lw", weight=weight)).min() > 0
+    assert np.allclose(np.diag(samplers.filtered_block(corr, "ridge_fixed", eta=0.5)), 1)
+    kept = np.linalg.eigvalsh(samplers.filtered_block(corr, "hard_truncate", tau=0.5))
+    assert ((kept > 0.49) | (abs(kept) < 1e-9)).all() and (kept > 0.49).sum() == (np.linalg.eigvalsh(corr) >= 0.5).sum()
+    with pytest.raises(ValueError):
+        samplers.filtered_block(corr, "other")
+
+
 def test_joint_kernel_matches_scalar_products():
     """Two independent traits: pattern weights factorise."""
     rng = np.random.default_rng(1)
