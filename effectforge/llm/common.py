@@ -32,8 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/effectforge/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, in a folder of the application's own."""
+    return f"{shared_dir(spark)}/effectforge/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application.
+
+    A result that is not computed yet reads them: write it first.
+    """
+    _delete(spark, f"{shared_dir(spark)}/effectforge/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -63,11 +76,8 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize`."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
 
 
 def fresh(df: DataFrame, stem: str) -> str:
