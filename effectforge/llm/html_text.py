@@ -239,7 +239,7 @@ def page_host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, "://([^/?#]*)", 1), F.lit("")))
 
 
-def site_templates(pages: DataFrame, min_pages: int = 8, min_share: float = 0.5) -> DataFrame:
+def site_templates(pages: DataFrame, min_pages: int = 30, min_share: float = 0.7) -> DataFrame:
     """host and the digests of subtrees in ``min_share`` of its pages or more.
 
     Pages of a host that are equal count once.  With an average of s subtrees a
@@ -262,7 +262,7 @@ def site_templates(pages: DataFrame, min_pages: int = 8, min_share: float = 0.5)
     )
 
 
-def extract_text(pages: DataFrame, min_pages: int = 8, min_share: float = 0.5) -> DataFrame:
+def extract_text(pages: DataFrame, min_pages: int = 30, min_share: float = 0.7) -> DataFrame:
     """page_id, url, text, n_chars for each page.
 
     A null page has an empty text; a null URL belongs to the host with an empty

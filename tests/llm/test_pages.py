@@ -135,7 +135,7 @@ def test_site_templates(spark):
     rows += [(k, f"http://b.org/{k}", f"<article><p>own {k}</p>{shared}</article>", 1) for k in range(100, 103)]
     rows += [(200, None, None, 1), (201, "x", "", 1)]
     d = spark.createDataFrame(rows, SCHEMA)
-    got = {r["page_id"]: r for r in html_text.extract_text(d).collect()}
+    got = {r["page_id"]: r for r in html_text.extract_text(d, min_pages=8).collect()}
     assert all(got[k]["text"] == f"own {k}" and got[k]["n_chars"] == len(f"own {k}") for k in range(20))
     assert all(got[k]["text"] == f"own {k}\nFollow us everywhere" for k in range(100, 103))
     assert got[200]["text"] == "" and got[201]["n_chars"] == 0
