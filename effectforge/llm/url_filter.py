@@ -1,10 +1,13 @@
 """URL filters: explicit rules, and for the rest a path-template tree of each host.
 
-The tree grows a segment at a time.  Segments without support or labels, the
-variable ones above all, become one wildcard branch; of the others, siblings
-whose labels do not tell them apart statistically merge into one branch.  A template is rejected where the share of blocked
-labels among its pages, smoothed towards its host's and that towards all hosts',
-is high on enough labels.  Everything here is DataFrame operations.
+The tree grows a segment at a time.  Segments with few labels, the variable ones
+above all, become one wildcard branch, but for those that have significantly
+fewer labels than the rest of it: nothing is known of them, and each is a branch.
+Of the segments with enough labels, siblings whose labels do not tell them apart
+statistically merge into one branch.  Neither the number of pages nor the share
+of the host counts.  A template is rejected where the share of blocked labels
+among its labels, smoothed towards its host's and that towards all hosts', is high
+at its lower confidence bound.  Everything here is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from effectforge.llm.common import bare, materialize
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules held as one expression; a longer list is joined.
 MAX_INLINE_RULES = 200
+#: Segments that the name of a merged branch lists.
+MAX_NAMED = 20
 
 
 def url_host(url: Column) -> Column:
@@ -79,8 +84,8 @@ def _merge_similar(children: DataFrame, z: float) -> DataFrame:
     """host, template, segment, branch: siblings next to each other in rate merge unless they differ.
 
     Neighbours in the order of their blocked share stay apart where a test of
-    two proportions tells them apart.  A parent has at most 1 / ``min_share``
-    supported children, so a window over them is bounded.
+    two proportions tells them apart.  The window holds the children of a parent
+    with enough labels each; a branch of many names some and tells their number.
     """
     rate = F.col("bad") / F.col("labelled")
     order = Window.partitionBy("host", "template").orderBy("rate", "segment")
@@ -92,17 +97,32 @@ def _merge_similar(children: DataFrame, z: float) -> DataFrame:
     )
     c = c.withColumn("apart", F.coalesce(apart.cast("int"), F.lit(0)))
     c = c.withColumn("class", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    members = F.sort_array(F.collect_set("segment").over(Window.partitionBy("host", "template", "class")))
-    name = F.when(F.size(members) == 1, members[0]).otherwise(F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")))
-    return c.select("host", "template", "segment", name.alias("branch"))
+    members = c.groupBy("host", "template", "class").agg(F.sort_array(F.collect_set("segment")).alias("members"))
+    names = F.array_join(F.slice("members", 1, MAX_NAMED), ",")
+    more = F.when(F.size("members") > MAX_NAMED, F.concat(F.lit(",+"), F.size("members") - MAX_NAMED)).otherwise(F.lit(""))
+    name = F.when(F.size("members") == 1, F.col("members")[0]).otherwise(F.concat(F.lit("{"), names, more, F.lit("}")))
+    named = members.select("host", "template", "class", name.alias("branch"))
+    return c.join(named, ["host", "template", "class"]).select("host", "template", "segment", "branch")
+
+
+def _unlabelled(children: DataFrame, z: float) -> DataFrame:
+    """host, template, segment, branch: of segments with few labels, those with significantly fewer than the others.
+
+    A segment's labels are compared with those expected at the rate of the other
+    segments with few labels; a shortfall below z squared is never significant.
+    """
+    pools = children.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled")).filter("all_labelled > 0")
+    others = F.greatest(F.col("all_n") - F.col("n"), F.lit(1))
+    rate = (F.col("all_labelled") - F.col("labelled")) / others
+    short = F.col("n") * rate - F.col("labelled")
+    least = F.greatest(z * F.sqrt(F.col("n") * rate * (1 - rate)), F.lit(z * z))
+    return children.join(pools, ["host", "template"]).filter(short >= least).select("host", "template", "segment", F.col("segment").alias("branch"))
 
 
 def path_templates(
     urls: DataFrame,
     *,
     max_depth: int = 4,
-    min_support: int = 20,
-    min_share: float = 0.02,
     min_labels: int = 5,
     z: float = 1.96,
 ) -> DataFrame:
@@ -121,10 +141,9 @@ def path_templates(
     for depth in range(max_depth):
         here = rows.filter(F.size("segments") > depth).withColumn("segment", F.col("segments")[depth])
         children = here.groupBy("host", "template", "segment").agg(*counts)
-        parents = children.groupBy("host", "template").agg(F.sum("n").alias("all_n"))
-        supported = children.filter(F.col("n") >= min_support).join(parents, ["host", "template"])
-        supported = supported.filter((F.col("n") >= min_share * F.col("all_n")) & (F.col("labelled") >= min_labels))
-        kept = _merge_similar(supported, z)
+        children = materialize(children, "url-children")
+        enough = F.col("labelled") >= min_labels
+        kept = _merge_similar(children.filter(enough), z).unionByName(_unlabelled(children.filter(~enough), z))
         kept = materialize(kept, "url-branches")
         rows = (
             rows.withColumn("segment", F.when(F.size("segments") > depth, F.col("segments")[depth]))

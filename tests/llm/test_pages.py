@@ -115,6 +115,19 @@ def test_url_templates(spark):
     assert (got[bad]["verdict"] == "block").all() and (got[~bad]["verdict"] == "allow").all()
 
 
+@pytest.mark.parametrize("pages", [15, 1500])
+def test_url_sizes(spark, pages):
+    """A site of labelled bad pages and unlabelled others has the same verdicts at any size."""
+    rows = [(k, f"http://h{pages}.com/{('en', 'en', 'de', 'fr', 'en')[k % 5]}/{k}") for k in range(pages)]
+    rows += [(10_000 + k, f"http://x.net/de/{k}") for k in range(40)]
+    d = spark.createDataFrame(rows, "page_id bigint, url string")
+    got = url_filter.filter_urls(d, [("block", "com/en/"), ("allow", "net/de/")]).toPandas()
+    got = got[got["host"] == f"h{pages}.com"]
+    bad = got["path"].str.startswith("/en/")
+    assert (got[bad]["verdict"] == "block").all() and (got[~bad]["verdict"] == "allow").all()
+    assert set(got[bad]["template"]).isdisjoint(got[~bad]["template"])
+
+
 def test_main_text():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>Menu</ul></nav>
     <div class="cookie-notice">Cookies!</div><script>var a = "<p>no</p>"</script><!-- <p>no --><aside>Side</aside>
