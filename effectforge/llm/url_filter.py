@@ -161,12 +161,13 @@ def path_templates(
 
 
 def judge_templates(
-    rows: DataFrame, *, min_labels: int = 5, min_coverage: float = 0.25, smoothing: float = 5.0, reject_at: float = 0.7
+    rows: DataFrame, *, min_labels: int = 5, smoothing: float = 5.0, reject_at: float = 0.7, z: float = 1.2816
 ) -> DataFrame:
     """host, template, labels, smoothed purity and the verdict on each template.
 
-    A template with fewer labels than ``min_labels``, or with labels on less
-    than ``min_coverage`` of its pages, is allowed.
+    A template is rejected where the lower bound of its smoothed purity (Wilson's,
+    one-sided 90 % by default) is at least ``reject_at``, however many pages have no
+    label.  One with fewer labels than ``min_labels`` is allowed.
     """
     label = [F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"), F.count("*").alias("n")]
     templates = rows.groupBy("host", "template").agg(*label)
@@ -175,13 +176,16 @@ def judge_templates(
     prior = (top["b"] / top["a"]) if top["a"] else 0.0
     host_rate = (F.col("host_bad") + smoothing * prior) / (F.col("host_labelled") + smoothing)
     purity = (F.col("bad") + smoothing * host_rate) / (F.col("labelled") + smoothing)
+    size = F.col("labelled") + smoothing
+    spread = z * F.sqrt(purity * (1 - purity) / size + z * z / (4 * size * size))
+    least = (purity + z * z / (2 * size) - spread) / (1 + z * z / size)
     return templates.join(hosts, "host").select(
         "host",
         "template",
         "n",
         "labelled",
         purity.alias("purity"),
-        F.when((F.col("labelled") >= F.greatest(F.lit(min_labels), min_coverage * F.col("n"))) & (purity >= reject_at), "block").otherwise("allow").alias("template_verdict"),
+        F.when((F.col("labelled") >= min_labels) & (least >= reject_at), "block").otherwise("allow").alias("template_verdict"),
     )
 
 

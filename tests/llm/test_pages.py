@@ -128,6 +128,16 @@ def test_url_sizes(spark, pages):
     assert set(got[bad]["template"]).isdisjoint(got[~bad]["template"])
 
 
+def test_sparse_labels(spark):
+    """Labels on a fifth of the pages reject a bad branch, also one of a hundredth of its host."""
+    rows = [(k, f"http://h.org/{'spam' if k % 100 == 7 else f'news{k % 3}'}/{k}", int(k % 100 == 7)) for k in range(20_000)]
+    d = spark.createDataFrame(rows, "page_id bigint, url string, blocked int")
+    labels = d.filter("page_id % 1000 >= 800").select("page_id", "blocked")
+    got = url_filter.filter_urls(d, [], labels=labels).toPandas()
+    bad = got["path"].str.startswith("/spam/")
+    assert bad.sum() == 200 and (got[bad]["verdict"] == "block").all() and (got[~bad]["verdict"] == "allow").all()
+
+
 def test_main_text():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>Menu</ul></nav>
     <div class="cookie-notice">Cookies!</div><script>var a = "<p>no</p>"</script><!-- <p>no --><aside>Side</aside>
