@@ -1,9 +1,9 @@
 """Main text of web pages with site template removal.
 
 A first pass hashes the element subtrees of every page; Spark counts in how many
-different pages of a host each hash occurs; a second pass deletes the subtrees
-that recur across most pages of their host, drops the elements that are never
-article text, and joins the blocks that are left.
+different pages of a host, of a section and at which place each hash occurs; a
+second pass deletes the subtrees that significantly recur, drops the elements that
+are never article text, and joins the blocks that are left.
 """
 
 from __future__ import annotations
@@ -121,19 +121,24 @@ def _close(stack: list[Node], tags: set[str], shields: set[str]) -> None:
             return
 
 
-def hash_subtrees(root: Node) -> list[int]:
-    """Digest every block subtree with text or children; the distinct digests.
+def hash_subtrees(root: Node) -> list[tuple[int, int]]:
+    """Digest every block subtree with text or children; (place, digest) of each, place 0 for any.
 
-    A digest covers tags and text, with white space folded, not attributes.
+    A digest covers tags and text, with white space folded, not attributes.  A
+    place is the tags from the root, each numbered among its siblings of the tag.
     The page's own frame (html, head, body) is not listed.
     """
-    found: set[int] = set()
-    order, todo = [], [root]
+    found: set[tuple[int, int]] = set()
+    order, todo = [], [(root, 0)]
     while todo:
-        node = todo.pop()
-        order.append(node)
-        todo.extend(c for c in node.children if type(c) is Node)
-    for node in reversed(order):
+        node, place = todo.pop()
+        order.append((node, place))
+        seen: dict[str, int] = {}
+        for c in node.children:
+            if type(c) is Node:
+                seen[c.tag] = number = seen.get(c.tag, 0) + 1
+                todo.append((c, xxhash.xxh64_intdigest(f"{place}/{c.tag}/{number}") - (1 << 63)))
+    for node, place in reversed(order):
         parts = [node.tag]
         for c in node.children:
             if type(c) is Node:
@@ -142,7 +147,7 @@ def hash_subtrees(root: Node) -> list[int]:
                 parts.append(text)
         node.digest = xxhash.xxh64_intdigest("\x02".join(parts)) - (1 << 63)
         if len(parts) > 1 and node.tag in BLOCK and node.tag not in ("html", "body"):
-            found.add(node.digest)
+            found |= {(0, node.digest), (place, node.digest)}
     return sorted(found)
 
 
@@ -221,9 +226,11 @@ def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
 
 def _hash_udf(html: Column) -> Column:
     def hashes(pages: pa.Array) -> pa.Array:
-        return pa.array([hash_subtrees(parse(p or "")) for p in pages.to_pylist()], pa.list_(pa.int64()))
+        found = [hash_subtrees(parse(p or "")) for p in pages.to_pylist()]
+        rows = [[{"place": x, "digest": y} for x, y in f] for f in found]
+        return pa.array(rows, pa.list_(pa.struct([("place", pa.int64()), ("digest", pa.int64())])))
 
-    return F.arrow_udf(hashes, "array<bigint>")(html)
+    return F.arrow_udf(hashes, "array<struct<place:bigint,digest:bigint>>")(html)
 
 
 def _text_udf(html: Column, templates: Column) -> Column:
@@ -239,30 +246,52 @@ def page_host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, "://([^/?#]*)", 1), F.lit("")))
 
 
-def site_templates(pages: DataFrame, min_pages: int = 30, min_share: float = 0.7) -> DataFrame:
-    """host and the digests of subtrees in ``min_share`` of its pages or more.
+def page_section(url: Column) -> Column:
+    """First folder of a URL's path; empty where there is none."""
+    return F.coalesce(F.regexp_extract(url, "://[^/?#]*/([^/?#]+)/", 1), F.lit(""))
+
 
-    Pages of a host that are equal count once.  With an average of s subtrees a
-    page, a host has at most s / ``min_share`` such digests, however large it is.
+def _lower_bound(part: Column, whole: Column, z: float = 1.96) -> Column:
+    """Wilson's lower bound of a share."""
+    part = F.least(part, whole)
+    spread = z * F.sqrt(part * (whole - part) / whole + z * z / 4)
+    return (part + z * z / 2 - spread) / (whole + z * z)
+
+
+def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.5) -> DataFrame:
+    """host and the digests of its template subtrees, all on ``min_pages`` distinct pages or more.
+
+    A subtree is one if the lower bound of its share of the pages of the host, or of
+    a section (first folder) of it, is ``min_share`` or more; or if that holds for its
+    place on the pages of the host and all subtrees that recur there together, as
+    when adverts rotate.  Pages of a host that are equal count once.  A host has
+    at most as many such digests as an average page has subtrees, times
+    1 / ``min_share`` and its sections; those of a place are at most its pages / ``min_pages``.
     """
-    p = pages.select("host", "html", F.xxhash64("html").alias("page")).filter("html is not null")
-    counts = p.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
-    subtrees = (
-        p.select("host", "page", F.explode(_hash_udf(F.col("html"))).alias("digest"))
-        .groupBy("host", "digest")
-        .agg(F.count("*").alias("rows"), F.approx_count_distinct("page", 0.03).alias("holders"))
-        .filter(F.least("rows", "holders") >= min_pages)
-    )
-    return materialize(
-        subtrees.join(counts, "host")
-        .filter(F.least("rows", "holders") >= F.col("pages") * min_share)
-        .groupBy("host")
-        .agg(F.sort_array(F.collect_set("digest")).alias("templates")),
-        "page-templates",
+    p = pages.select("host", page_section(F.col("url")).alias("section"), "html", F.xxhash64("html").alias("page")).filter("html is not null")
+    known = p.select("host", "section", "page").distinct()
+    counts = known.groupBy("host").agg(F.count_distinct("page").alias("pages")).withColumn("unit", F.lit(""))
+    sections = known.filter("section <> ''").groupBy("host", F.col("section").alias("unit")).agg(F.count("*").alias("pages"))
+    counts = counts.unionByName(sections).filter(F.col("pages") >= min_pages)
+    found = p.select("host", "section", "page", F.explode(_hash_udf(F.col("html"))).alias("s")).select("host", "section", "page", "s.*")
+    units = F.when((F.col("place") == 0) & (F.col("section") != ""), F.array(F.lit(""), F.col("section"))).otherwise(F.array(F.lit("")))
+    held = (
+        found.withColumn("unit", F.explode(units))
+        .groupBy("host", "unit", "place", "digest")
+        .agg(F.count("*").alias("rows"), F.approx_count_distinct("page", 0.03).alias("distinct"))
+        .select("host", "unit", "place", "digest", F.least("rows", "distinct").alias("holders"))
+        .filter(F.col("holders") >= min_pages)
     )
+    held = materialize(held.join(counts, ["host", "unit"]), "page-subtrees")
+    anywhere = held.filter("place = 0").filter(_lower_bound(F.col("holders"), F.col("pages")) >= min_share)
+    placed = held.filter("place <> 0")
+    places = placed.groupBy("host", "place").agg(F.sum("holders").alias("recurring"), F.max("pages").alias("all_pages"))
+    places = places.filter(_lower_bound(F.col("recurring"), F.col("all_pages")) >= min_share)
+    digests = anywhere.select("host", "digest").unionByName(placed.join(places, ["host", "place"]).select("host", "digest"))
+    return materialize(digests.groupBy("host").agg(F.sort_array(F.collect_set("digest")).alias("templates")), "page-templates")
 
 
-def extract_text(pages: DataFrame, min_pages: int = 30, min_share: float = 0.7) -> DataFrame:
+def extract_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.5) -> DataFrame:
     """page_id, url, text, n_chars for each page.
 
     A null page has an empty text; a null URL belongs to the host with an empty

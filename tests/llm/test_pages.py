@@ -163,3 +163,19 @@ def test_site_templates(spark):
     assert all(got[k]["text"] == f"own {k}\nFollow us everywhere" for k in range(100, 103))
     assert got[200]["text"] == "" and got[201]["n_chars"] == 0
     assert html_text.extract_text(d.limit(0)).count() == 0
+
+
+def test_site_templates_at_defaults(spark):
+    """Recurring subtrees of small hosts, of 60 % of a host, of a section, and rotating ones go; copied articles stay."""
+    advert = lambda k: f"<div><p>Buy thing {k} today</p></div>"
+    rows = [(k, f"http://a.org/{k}", f"<article><p>own {k}</p><div><p>Follow us</p></div></article>", 1) for k in range(20)]
+    rows += [(100 + k, f"http://b.org/{k}", f"<article><p>own {100 + k}</p><div><p>Follow us</p></div></article>", 1) for k in range(3)]
+    rows += [(1000 + k, f"http://c.org/{k}", f"<article><p>own {1000 + k}</p>{advert(0) if k % 5 < 3 else ''}</article>", 1) for k in range(200)]
+    rows += [(2000 + k, f"http://d.org/{k}", f"<article><p>own {2000 + k}</p></article>{advert(k % 8)}", 1) for k in range(200)]
+    rows += [(3000 + k, f"http://e.org/s{k % 10}/{k}", f"<article><p>own {3000 + k}</p>{'<p>Section</p>' if k % 10 == 4 else ''}</article>", 1) for k in range(200)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(d).collect()}
+    assert all(got[k] == (f"own {k}" if k < 100 or k >= 1000 else f"own {k}\nFollow us") for k in got)
+    copies = [(k, f"http://f.org/{k}", f"<article><p>{'copied' if k % 10 == 0 else k}</p></article><p>id {k}</p>", 1) for k in range(200)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(copies, SCHEMA)).collect()}
+    assert all(got[k] == ("copied" if k % 10 == 0 else str(k)) for k in got)
