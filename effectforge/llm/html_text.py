@@ -65,6 +65,8 @@ class Node:
     attrs: str = ""
     children: list = field(default_factory=list)
     digest: int = 0
+    size: int = 0
+    frame: bool = False
 
 
 def parse(page: str) -> Node:
@@ -151,6 +153,29 @@ def hash_subtrees(root: Node) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def mark_frame(root: Node) -> None:
+    """Mark the elements that no class or id may drop.
+
+    They are body, main and article, what holds a main or the longest article, and
+    without either what holds most of the text.
+    """
+    order, todo = [], [(root, None)]
+    while todo:
+        node, parent = todo.pop()
+        order.append((node, parent))
+        todo.extend((c, node) for c in node.children if type(c) is Node)
+    for node, parent in reversed(order):
+        node.size += sum(len("".join(c.split())) for c in node.children if type(c) is str)
+        if parent and node.tag not in DROP:
+            parent.size += node.size
+    longest = max((n for n, _ in order if n.tag == "article"), key=lambda n: n.size, default=None)
+    named = longest is not None or any(n.tag == "main" for n, _ in order)
+    for node, parent in reversed(order):
+        node.frame |= node.tag in ("html", "body", "main", "article") or not named and 2 * node.size > root.size
+        if parent and (node is longest or node.tag == "main" or node.frame and node.tag not in ("article", "main")):
+            parent.frame = True
+
+
 def _dropped(node: Node) -> bool:
     if node.tag in DROP:
         return True
@@ -162,7 +187,7 @@ def _dropped(node: Node) -> bool:
             return True
         if name == "role" and value.strip() in ROLES:
             return True
-        if name in ("class", "id") and not NAMES.isdisjoint(_NAME.findall(value)):
+        if name in ("class", "id") and not node.frame and not NAMES.isdisjoint(_NAME.findall(value)):
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
@@ -214,6 +239,7 @@ def _blocks(root: Node, templates: frozenset[int]) -> list[str]:
 def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
     """The article's blocks, one line each; without an article or main, the body's."""
     root = parse(page)
+    mark_frame(root)
     if templates:
         hash_subtrees(root)
     for tag in ("article", "main"):

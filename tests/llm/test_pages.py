@@ -179,3 +179,15 @@ def test_site_templates_at_defaults(spark):
     copies = [(k, f"http://f.org/{k}", f"<article><p>{'copied' if k % 10 == 0 else k}</p></article><p>id {k}</p>", 1) for k in range(200)]
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(copies, SCHEMA)).collect()}
     assert all(got[k] == ("copied" if k % 10 == 0 else str(k)) for k in got)
+
+
+def test_wrapper_classes():
+    """Names of layout wrappers do not drop the article in them; those of its parts still do."""
+    art = "<article class='post share'><p>kept</p><div class='share'>Share</div></article>"
+    aside = "<div class='sidebar'><article>Teaser</article></div>"
+    talk = "<div id='comments'><article>One</article></div>"
+    for body in (f"<body class='single right-sidebar'>{art}", f"<div id='content-header-wrap'>{art}</div>", f"<main id='menu-main'><p>kept</p></main>"):
+        assert html_text.main_text(f"<html>{body}") == "kept"
+    assert html_text.main_text(f"<body class='nav'><div class='with-sidebar'>{art}</div>{talk}") == "kept"
+    assert html_text.main_text(f"<div class='no-sidebar'><p>{'much text ' * 9}</p>{aside}</div>") != ""
+    assert html_text.main_text(f"<div class='has-sidebar'><p>kept text</p><div class='ad'>Ad</div></div><div class='ad'>Ad</div>") == "kept text"
