@@ -1,10 +1,10 @@
-"""Exact byte-substring dedup with longest-previous-factor arrays.
+"""Exact byte-substring dedup by suffix ranks of one window.
 
 Windows of 100 bytes that may repeat are found by their anchors (see
 ``repeats``).  The contexts of open units meet by anchor; for each bounded batch
-of them a suffix array, in text order among equals, gives previous and next
-smaller positions and with them the longest previous factor.  A window whose
-longest previous factor reaches the window length is a later copy and goes.
+of them suffixes are ranked by their first window, in text order among equals.
+Equal ranks after the first are later copies and go: this grouping replaces the
+longest previous factors, whose lengths are not computed.
 Anchors with very many contexts are settled by aggregation instead: the least
 position of each window's hash.
 """
