@@ -8,24 +8,31 @@ candidate start (the positional bound); starts that would leave the document
 fall to the length bound; the survivors are verified word by word.
 
 The benchmark side is sent to the tasks in blocks of a bounded size: its bytes
-are summed first, and a larger benchmark takes more passes over the documents,
-each adding to the spans that the row already carries, without a shuffle.
+are summed first.  A block is one buffer of words and sorted arrays of 64-bit keys
+that point into it, a few times its text.  A larger benchmark takes more passes over
+the documents, each adding to the spans that the row already carries, without a
+shuffle; rows are written out before more blocks than a task should hold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from effectforge.llm.common import bare, fresh, small_batches
+from effectforge.llm.common import bare, fresh, materialize, small_batches
+from effectforge.llm.repeats import RangeHash
 
 #: A-Z lower-cased, letters, digits and all non-ASCII bytes kept, the rest a space.
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
+#: Words of documents that are looked up at once, and blocks that one task holds.
+CHUNK, HELD_BLOCKS = 1 << 19, 4
 RESULT = "struct<n_words:bigint,spans:array<bigint>,items:array<string>>"
 
 
@@ -34,75 +41,123 @@ def fold_words(raw: bytes) -> list[bytes]:
     return raw.translate(_FOLD).split()
 
 
-def item_windows(words: list[bytes], window: int) -> Iterable[tuple[bytes, ...]]:
-    """Windows of consecutive words; fewer words are one window, none are none."""
-    if not words:
-        return []
-    if len(words) <= window:
-        return [tuple(words)]
-    return zip(*(words[k : len(words) - window + 1 + k] for k in range(window)), strict=True)
+def word_tokens(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 class WindowIndex:
-    """Windows of one block of items, found by their prefix shingles."""
+    """Windows of one block of items, found by their prefix shingles.
+
+    An item of fewer words than a window is one window, one without words is none.
+    Windows are places in one list of words; they are compared by the words themselves.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int, shingle: int) -> None:
         self.shingle = shingle
-        owners: dict[tuple[bytes, ...], set[str]] = {}
+        owners: dict[bytes, set[str]] = {}
         for item_id, raw in items:
-            for w in item_windows(fold_words(raw), window):
-                owners.setdefault(w, set()).update(() if item_id is None else (item_id,))
-        self.owners = {w: sorted(ids) for w, ids in owners.items()}
-        self.shingles = sorted({s for w in self.owners for s in self._shingles(w)})
-        self.number = {s: k for k, s in enumerate(self.shingles)}
-        self._sizes(self.shingles)
-        self.prefix: dict[tuple[bytes, ...], list[tuple[int, tuple[bytes, ...]]]] = {}
-
-    def _shingles(self, window: tuple[bytes, ...]) -> list[tuple[bytes, ...]]:
-        k = min(self.shingle, len(window))
-        return [window[i : i + k] for i in range(len(window) - k + 1)]
-
-    def _sizes(self, shingles: Iterable[tuple[bytes, ...]]) -> None:
-        sizes: dict[bytes, set[int]] = {}
-        for s in shingles:
-            sizes.setdefault(s[0], set()).add(len(s))
-        self.sizes = {w: tuple(sorted(k)) for w, k in sizes.items()}
-
-    def held(self, words: list[bytes]) -> set[int]:
-        """Numbers of the block's shingles that a document holds."""
-        sizes, number, found = self.sizes, self.number, set()
-        for i, w in enumerate(words):
-            if w in sizes:
-                for k in sizes[w]:
-                    n = number.get(tuple(words[i : i + k]))
-                    if n is not None:
-                        found.add(n)
-        return found
-
-    def choose(self, frequency: dict[int, int]) -> None:
-        """Keep of each window the shingle that the fewest documents hold, ties by number."""
-        self.prefix = {}
-        for w in self.owners:
-            found = self._shingles(w)
-            at = min(range(len(found)), key=lambda k: (frequency.get(self.number[found[k]], 0), self.number[found[k]], k))
-            self.prefix.setdefault(found[at], []).append((at, w))
-        self._sizes(self.prefix)
-        self.shingles, self.number = [], {}
-
-    def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Word spans of all verified occurrences, in start order, and the items."""
-        sizes, prefix, n = self.sizes, self.prefix, len(words)
-        spans, items = [], set()
-        for i, w in enumerate(words):
-            if w in sizes:
-                for k in sizes[w]:
-                    for offset, window in prefix.get(tuple(words[i : i + k]), ()):
-                        start = i - offset
-                        end = start + len(window)
-                        if start >= 0 and end <= n and tuple(words[start:end]) == window:
-                            spans.append((start, end))
-                            items.update(self.owners[window])
-        return spans, items
+            if text := b" ".join(fold_words(raw)):
+                owners.setdefault(text, set()).update(() if item_id is None else (item_id,))
+        self.owners = [sorted(ids) for ids in owners.values()]
+        self.buffer = b" ".join(owners)
+        words = self.buffer.split()
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.ends = np.cumsum(lengths + 1) - 1
+        self.begins = self.ends - lengths
+        counts = np.array([text.count(b" ") + 1 for text in owners], np.int64)
+        self.tops = np.cumsum(counts)
+        size = np.minimum(counts, window)
+        per = counts - size + 1
+        #: Every window's first word and number of words.
+        self.start = np.repeat(self.tops - counts - (np.cumsum(per) - per), per) + np.arange(per.sum())
+        self.size = np.repeat(size, per).astype(np.int16)
+        ranged = RangeHash(word_tokens(words))
+        #: The hash of the shingle at each word, for every size of shingle that its windows have.
+        width = np.minimum(self.size, shingle).astype(np.int64)
+        self.sizes = np.unique(width).tolist()
+        self._keys_at = {}
+        for k in self.sizes:
+            runs = ranged.runs(k)
+            self._keys_at[k] = np.concatenate([runs, np.zeros(len(words) - len(runs), np.uint64)])
+        self.windows = {k: np.flatnonzero(width == k) for k in self.sizes}
+        held = []
+        for k, w in self.windows.items():
+            held += [self._keys_at[k][self.start[w[self.size[w] >= k + j]] + j] for j in range(window - k + 1)]
+        self.keys = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def _lookup(self, raws: list[bytes]):
+        """For chunks of documents: the first one's number, words and end of each, token hashes, and places of known shingles with their keys' numbers."""
+        first, held, size = 0, [], 0
+        for k, raw in enumerate(raws):
+            held.append(fold_words(raw))
+            size += len(held[-1])
+            if size >= CHUNK or k == len(raws) - 1:
+                words = [w for ws in held for w in ws]
+                tops = np.cumsum([len(ws) for ws in held])
+                ranged = RangeHash(word_tokens(words))
+                at, key = [], []
+                for n in self.sizes:
+                    runs = ranged.runs(n) if len(words) >= n else np.zeros(0, np.uint64)
+                    near = np.minimum(np.searchsorted(self.keys, runs), max(len(self.keys) - 1, 0))
+                    hit = np.flatnonzero(self.keys[near] == runs) if len(self.keys) else np.zeros(0, np.int64)
+                    hit = hit[hit + n <= tops[np.searchsorted(tops, hit, side="right")]]
+                    at.append(hit)
+                    key.append(near[hit])
+                yield first, held, words, tops, np.concatenate([*at, np.zeros(0, np.int64)]), np.concatenate([*key, np.zeros(0, np.int64)])
+                first, held, size = k + 1, [], 0
+
+    def held(self, raws: list[bytes]) -> list[np.ndarray]:
+        """Numbers of the block's shingles that each document holds."""
+        out: list[np.ndarray] = []
+        for _, held, _, tops, at, key in self._lookup(raws):
+            of = np.searchsorted(tops, at, side="right")
+            known = np.unique(np.stack([of, key], 1), axis=0)
+            cut = np.searchsorted(known[:, 0], np.arange(1, len(held)))
+            out += np.split(known[:, 1], cut)
+        return out
+
+    def choose(self, frequency: np.ndarray) -> None:
+        """Keep of each window the shingle that the fewest documents hold, ties by number and place."""
+        best_key, best_at = np.zeros(len(self), np.int64), np.zeros(len(self), np.int16)
+        for k, windows in self.windows.items():
+            least = np.full(len(windows), np.iinfo(np.int64).max)
+            for j in range(int(self.size[windows].max(initial=0)) - k + 1):
+                some = np.flatnonzero(self.size[windows] >= k + j)
+                key = np.searchsorted(self.keys, self._keys_at[k][self.start[windows[some]] + j])
+                cost = frequency[key] * (len(self.keys) + 1) + key
+                better = cost < least[some]
+                least[some[better]] = cost[better]
+                best_key[windows[some[better]]] = key[better]
+                best_at[windows[some[better]]] = j
+        order = np.argsort(best_key, kind="stable")
+        kept, begin = np.unique(best_key[order], return_index=True)
+        self.keys = self.keys[kept]
+        self.first = np.append(begin, len(order))
+        self.start, self.size, self.at = self.start[order].astype(np.int32), self.size[order], best_at[order]
+        self.windows, self._keys_at = {}, {}
+
+    def match(self, raws: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+        """Number of words, word spans of all verified occurrences, and the items, of each document."""
+        out: list[tuple[int, list[tuple[int, int]], set[str]]] = []
+        for first, held, words, tops, at, key in self._lookup(raws):
+            out += [(len(ws), [], set()) for ws in held]
+            many = self.first[key + 1] - self.first[key]
+            window = np.repeat(self.first[key] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            of = np.repeat(np.searchsorted(tops, at, side="right"), many)
+            begin = np.repeat(at, many) - self.at[window]
+            end = begin + self.size[window]
+            base = tops[of] - np.array([len(ws) for ws in held], np.int64)[of]
+            fits = np.flatnonzero((begin >= base) & (end <= tops[of]))
+            for k, w, s, e, b in zip(of[fits].tolist(), window[fits].tolist(), begin[fits].tolist(), end[fits].tolist(), base[fits].tolist(), strict=True):
+                there, n = int(self.start[w]), int(self.size[w])
+                if b" ".join(words[s:e]) == self.buffer[self.begins[there] : self.ends[there + n - 1]]:
+                    _, spans, items = out[first + k]
+                    spans.append((s - b, e - b))
+                    items.update(self.owners[int(np.searchsorted(self.tops, there, side="right"))])
+        return out
 
 
 def merge_spans(spans: Iterable[tuple[int, int]]) -> list[int]:
@@ -118,16 +173,12 @@ def merge_spans(spans: Iterable[tuple[int, int]]) -> list[int]:
 
 def _block_udf(index: WindowIndex):
     def find(texts: pa.Array, before: pa.Array) -> pa.Array:
-        raws = texts.cast(pa.large_binary()).to_pylist()
-        earlier = before.to_pylist()
+        raws = [r or b"" for r in texts.cast(pa.large_binary()).to_pylist()]
         counts, all_spans, all_items = [], [], []
-        for raw, old in zip(raws, earlier, strict=True):
-            words = fold_words(raw or b"")
-            spans, items = index.match(words)
+        for (n, spans, items), old in zip(index.match(raws), before.to_pylist(), strict=True):
             flat = old["spans"] if old else []
-            spans += zip(flat[::2], flat[1::2], strict=True)
-            counts.append(len(words))
-            all_spans.append(merge_spans(spans))
+            counts.append(n)
+            all_spans.append(merge_spans([*spans, *zip(flat[::2], flat[1::2], strict=True)]))
             all_items.append(sorted(items | set(old["items"] if old else ())))
         return pa.StructArray.from_arrays(
             [
@@ -143,8 +194,7 @@ def _block_udf(index: WindowIndex):
 
 def _held_udf(index: WindowIndex):
     def held(texts: pa.Array) -> pa.Array:
-        raws = texts.cast(pa.large_binary()).to_pylist()
-        return pa.array([sorted(index.held(fold_words(r or b""))) for r in raws], pa.list_(pa.int64()))
+        return pa.array(index.held([r or b"" for r in texts.cast(pa.large_binary()).to_pylist()]), pa.list_(pa.int64()))
 
     return F.arrow_udf(held, "array<bigint>")
 
@@ -172,21 +222,23 @@ def find_windows(
     nothing; items with a null id hit words but are not listed; rows with equal
     item ids count as one item.
     """
-    empty = F.lit(None).cast(RESULT)
     texts = bare(small_batches(docs), "text").select(F.col("text").cast("string").alias("text"))
-    carried, text = docs.withColumn(into, empty), F.col("text").cast("string")
-    found = False
+    carried, text, blocks = docs.withColumn(into, F.lit(None).cast(RESULT)), F.col("text").cast("string"), 0
     for items in benchmark_blocks(benchmark, block_bytes):
         index = WindowIndex(items, window, shingle)
-        if not index.owners:
+        if not len(index):
             continue
-        found = True
-        counted = texts.select(F.explode(_held_udf(index)("text")).alias("s")).groupBy("s").count().collect()
-        index.choose({r[0]: r[1] for r in counted})
+        if blocks and blocks % HELD_BLOCKS == 0:
+            carried = materialize(carried, "benchmark-spans")
+        blocks += 1
+        counted = texts.select(F.explode(_held_udf(index)("text")).alias("s")).groupBy("s").count().toArrow()
+        frequency = np.zeros(len(index.keys), np.int64)
+        frequency[np.asarray(counted["s"])] = np.asarray(counted["count"])
+        index.choose(frequency)
         carried = carried.withColumn(into, _block_udf(index)(text, F.col(into)))
-    if not found:
+    if not blocks:
         index = WindowIndex([], window, shingle)
-        index.choose({})
+        index.choose(np.zeros(0, np.int64))
         carried = carried.withColumn(into, _block_udf(index)(text, F.col(into)))
     return carried
 
