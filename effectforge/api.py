@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectforge.operators import finemap as _finemap
-from effectforge.operators import genotypes, ld, multitrait, priors, samplers, simulate, summaries
+from effectforge.operators import controls as _controls
+from effectforge.operators import genotypes, ld, multitrait, priors, samplers, settests, simulate, summaries
 from effectforge.operators.samplers import Fit, Model
 from effectforge.sources import bed, csr
 
@@ -22,7 +23,10 @@ gsim, mtsim, mtsim_annotation = simulate.gsim, simulate.mtsim, simulate.mtsim_an
 summarize_annotation_signal = simulate.annotation_signal
 make_summary_stats, make_sparse_ld = genotypes.summary_stats, ld.ld_edges
 summarise_components, summarise_architecture = summaries.component_summary, summaries.architecture
-check_consistency = summaries.consistency
+check_consistency, report_checks = summaries.consistency, _controls.report
+estimate_set_covariances, estimate_annotation_variances, derive_marker_variances = settests.set_covariances, settests.annotation_variances, settests.marker_variances
+estimate_memory, describe_operator, compare_operators = _controls.memory_estimate, _controls.operator_contract, _controls.reduction_policy
+resolve_markers, resolve_effect_maf, validate_spec = _controls.resolve_markers, _controls.effect_maf, _controls.validate_spec
 read_banded_ld, write_sparse_ld = csr.read_banded, csr.write_csr
 make_alpha_init, marker_pi, marker_gamma_mean = priors.alpha_init, priors.marker_sticks, priors.sticks_gamma_mean
 
@@ -68,7 +72,7 @@ def read_sparse_ld(spark: SparkSession, prefix: str, one_based: bool = False) ->
 
 def bed_xtx_xty(spark: SparkSession, path: str, n: int, traits: DataFrame, scale: bool = True) -> DataFrame:
     """trait, marker_idx, wy, ww, yy, n of a BED file."""
-    return genotypes.summary_stats(bed_panel(read_bed(spark, path, n)), traits, scale)
+    return genotypes.marker_major_stats(read_bed(spark, path, n), traits, scale)
 
 
 def fit_bed(panel: DataFrame, traits: DataFrame, method: str = "bayesc", *, pi_init: float = 0.001, annotations: np.ndarray | None = None, controls: priors.ChainControls | None = None, **more) -> Fit:
@@ -100,11 +104,14 @@ def fit_csr_annotated(stats: DataFrame, edges: DataFrame, annotation_model: str,
     return samplers.fit_summary(stats, edges, model, controls or priors.ChainControls())
 
 
-def fit_block_eigen(stats: DataFrame, edges: DataFrame, method: str = "bayesc", *, block_size: int = 256, eigen_prop: float = 0.995, pi_init: float = 0.001, annotations: np.ndarray | None = None, controls: priors.ChainControls | None = None, **more) -> Fit:
-    """Scalar-trait fit on low-rank LD blocks."""
+def fit_block_eigen(stats: DataFrame, edges: DataFrame, method: str = "bayesc", *, block_size: int = 256, eigen_prop: float = 0.995, block_filter: str | None = None, pi_init: float = 0.001, annotations: np.ndarray | None = None, controls: priors.ChainControls | None = None, **more) -> Fit:
+    """Scalar-trait fit on low-rank LD blocks, or on dense ones through a filter (hard_truncate, ridge_fixed, ridge_lw).
+
+    ``block_policy`` and ``block_mode`` say how low-rank blocks draw residual variances.
+    """
     model = _model(method, pi_init, annotations, more)
     model.extra["eigen_prop"] = eigen_prop
-    return samplers.fit_summary(stats, edges, model, controls or priors.ChainControls(), "low_rank", block_size)
+    return samplers.fit_summary(stats, edges, model, controls or priors.ChainControls(), block_filter or "low_rank", block_size)
 
 
 fit_joint_bed, fit_joint_csr = multitrait.fit_joint_genotypes, multitrait.fit_providers
@@ -192,6 +199,16 @@ def finemap(stats: DataFrame, edges: DataFrame, sets: DataFrame, *, vb: float, v
     return _finemap.aggregate_runs(rows)
 
 
+def finemap_fit(fit: Fit, stats: DataFrame, edges: DataFrame, sets: DataFrame, *, trait: str, overrides: dict[str, float] | None = None, **more) -> DataFrame:
+    """:func:`finemap` with the variances and pi of a global fit: given ones, else its traces' means after burn-in."""
+    traces = fit.traces().filter(F.col("trait") == trait)
+    values = {}
+    for quantity in ("vb", "ve", "pi"):
+        given = None if quantity not in (overrides or {}) else {trait: overrides[quantity]}
+        values[quantity] = float(_finemap.global_parameter(traces, quantity, fit.controls.nburn, given).first()["value"])
+    return finemap(stats.filter(F.col("trait") == trait), edges, sets, **values, **more)
+
+
 def extract_posterior(fit: Fit, quantity: str, *, markers: list[int] | None = None, traits: list[str] | None = None, chains: list[int] | None = None) -> DataFrame:
     """A stored quantity of a fit, selected on its axes; an unknown one is an error."""
     known = set(samplers.TRACES) | {"effect", "pip", "state", "final_effect"} | {f"component_{k}" for k in range(len(GAMMA))}
@@ -205,13 +222,25 @@ def extract_posterior(fit: Fit, quantity: str, *, markers: list[int] | None = No
 
 
 def extract_diagnostics(fit: Fit) -> dict[str, object]:
-    """Convergence table, execution controls and provenance."""
-    return {"convergence": summaries.convergence(fit.traces(), ["trait", "quantity"], fit.controls.nburn), "execution": fit.controls, "provenance": fit.provenance}
+    """Convergence table, its overview and warnings, execution controls and provenance."""
+    table = summaries.convergence(fit.traces(), ["trait", "quantity"], fit.controls.nburn)
+    over = summaries.overview(table.withColumn("name", F.concat_ws(":", "trait", "quantity")), "name")
+    return {"convergence": table, "overview": over, "execution": fit.controls, "provenance": fit.provenance}
+
 
+def summarise_posterior(fit: Fit, prob: float = 0.95, nburn: int | None = None, derived: bool = True) -> DataFrame:
+    """Mean, sd, median, interval, shortest interval and lag-1 correlation of each trace of each trait.
 
-def summarise_posterior(fit: Fit, prob: float = 0.95, nburn: int | None = None) -> DataFrame:
-    """Mean, sd, median and interval of each trace of each trait."""
-    return summaries.trace_summary(fit.traces(), ["trait", "quantity"], prob, fit.controls.nburn if nburn is None else nburn)
+    ``derived`` adds h2, the genetic share of the variance in every draw.
+    """
+    burn, t = fit.controls.nburn if nburn is None else nburn, fit.traces()
+    if derived:
+        two = t.filter("quantity in ('vg', 've')").groupBy("trait", "chain", "iteration").pivot("quantity", ["vg", "ve"]).agg(F.first("value"))
+        t = t.unionByName(two.select("trait", "chain", "iteration", F.lit("h2").alias("quantity"), (F.col("vg") / (F.col("vg") + F.col("ve"))).alias("value")))
+    keys, kept = ["trait", "quantity"], t.filter(F.col("iteration") > burn)
+    short = summaries.hpd(kept, keys, prob).withColumnsRenamed({"lower": "hpd_lower", "upper": "hpd_upper"})
+    lag = summaries.lag_correlation(kept, [*keys, "chain"]).groupBy(*keys).agg(F.round(F.avg("lag1"), 6).alias("lag1"))
+    return summaries.trace_summary(kept, keys, prob).join(short, keys, "left").join(lag, keys, "left")
 
 
 def plot_data(summary: DataFrame, parameters: list[str] | None = None, traits: list[str] | None = None) -> DataFrame:

@@ -214,3 +214,24 @@ def set_tests(values: DataFrame, sets: DataFrame, n: float) -> DataFrame:
         F.round(inside / outside, 8).alias("enrichment"),
         F.round((1 + F.col("pip")) / (2 + F.col("size")), 8).alias("annotation_pi"),
     )
+
+
+def clean_sets(sets: DataFrame, pips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(locus, marker_idx) without repeats and unknown markers; and the loci that none is left of."""
+    known = sets.distinct().join(pips.select("marker_idx"), "marker_idx", "left_semi")
+    return known, sets.select("locus").distinct().join(known.select("locus"), "locus", "left_anti")
+
+
+def global_parameter(traces: DataFrame, quantity: str, nburn: int = 0, overrides: dict[str, float] | None = None) -> DataFrame:
+    """trait, value: the given one, else the mean of the quantity's draws after burn-in over all chains.
+
+    ``traces`` has trait, chain, iteration, quantity, value; a trait with neither is an error.
+    """
+    means = traces.filter((F.col("quantity") == quantity) & (F.col("iteration") > nburn)).groupBy("trait").agg(F.avg("value").alias("mean"))
+    d = traces.select("trait").distinct().join(means, "trait", "left")
+    given = F.create_map(*[F.lit(x) for kv in (overrides or {"": 0.0}).items() for x in kv])
+    d = d.select("trait", F.round(F.coalesce(F.try_element_at(given, F.col("trait")), F.col("mean")), 8).alias("value"))
+    none = [r["trait"] for r in d.filter("value is null or isnan(value)").select("trait").take(5)]
+    if none:
+        raise ValueError(f"no {quantity} for {none}: give it")
+    return d

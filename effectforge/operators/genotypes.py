@@ -28,11 +28,21 @@ def embedding_panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 
 def sample_major(genotypes: DataFrame, markers: int) -> DataFrame:
-    """Long (marker_idx, sample_idx, dosage) as sample-major rows of ``markers`` entries."""
-    listed = genotypes.groupBy("sample_idx").agg(F.map_from_entries(F.collect_list(F.struct("marker_idx", "dosage"))).alias("m"))
-    return listed.select(
-        "sample_idx", F.transform(F.sequence(F.lit(0), F.lit(markers - 1)), lambda k: F.try_element_at("m", k).cast("int")).alias("dosages")
-    )
+    """Long (marker_idx, sample_idx, dosage) as sample-major rows of ``markers`` entries, null where there is none.
+
+    Of rows that repeat a marker and sample the last one counts.
+    """
+
+    def scatter(ids: pa.Array, dosages: pa.Array) -> pa.Array:
+        edges = np.asarray(ids.offsets) - ids.offsets[0].as_py()
+        table = np.full((len(ids), markers), -1, np.int32)
+        table[np.repeat(np.arange(len(ids)), np.diff(edges)), np.asarray(ids.flatten())] = np.asarray(dosages.flatten().fill_null(-1))
+        values = pa.array(table.ravel(), mask=table.ravel() < 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, table.size + 1, markers), pa.int32()), values)
+
+    one = F.array_sort(F.collect_list(F.struct(F.col("marker_idx").cast("int").alias("m"), F.col("dosage").cast("int").alias("d"))))
+    listed = genotypes.groupBy("sample_idx").agg(one.alias("e"))
+    return listed.select("sample_idx", F.arrow_udf(scatter, "array<int>")(F.col("e.m"), F.col("e.d")).alias("dosages"))
 
 
 def marker_sums(panel: DataFrame) -> DataFrame:
@@ -80,11 +90,13 @@ def _cross_sums(values: str):
 
 
 def dosage_matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Dosages with zeros for missing ones, and which are observed, as int64 matrices."""
+    """Dosages with zeros for missing ones, and which are observed, as int32 matrices."""
     rows = len(column)
+    if not rows:
+        return np.zeros((0, 0), np.int32), np.zeros((0, 0), np.int32)
     flat = column.flatten()
-    seen = (~np.asarray(flat.is_null())).astype(np.int64).reshape(rows, -1)
-    return np.asarray(flat.fill_null(0)).astype(np.int64).reshape(rows, -1), seen
+    seen = (~np.asarray(flat.is_null())).astype(np.int32).reshape(rows, -1)
+    return np.asarray(flat.fill_null(0)).astype(np.int32).reshape(rows, -1), seen
 
 
 def summary_stats(panel: DataFrame, traits: DataFrame, scale: bool = True) -> DataFrame:
@@ -135,11 +147,59 @@ def marginal_gwas(panel: DataFrame, traits: DataFrame) -> DataFrame:
 def genetic_score(panel: DataFrame, effects: DataFrame) -> DataFrame:
     """sample_idx and the sum of dosage times effect; missing dosages add nothing.
 
-    Effects (marker_idx, effect) are one number a marker: they are collected to
-    one array, as every score needs all of them.
+    Effects (marker_idx, effect) are one number a marker: they become one array, as every
+    score needs all of them; its size is that of a sample's dosages.
     """
-    b = effects.agg(F.map_from_entries(F.collect_list(F.struct("marker_idx", "effect"))).alias("b"))
-    term = lambda g, k: F.coalesce(g * F.try_element_at("b", k), F.lit(0.0))
-    return panel.crossJoin(F.broadcast(b)).select(
-        "sample_idx", F.aggregate(F.transform("dosages", term), F.lit(0.0), lambda a, x: a + x).alias("score")
-    )
+    last = effects.agg(F.max("marker_idx").alias("m"))
+    every = last.select(F.explode(F.sequence(F.lit(0), F.coalesce("m", F.lit(0)).cast("int"))).alias("marker_idx"))
+    b = every.join(effects, "marker_idx", "left").agg(F.array_sort(F.collect_list(F.struct("marker_idx", F.coalesce("effect", F.lit(0.0)).alias("e")))).alias("b"))
+    b = b.select(F.col("b.e").alias("b"))
+    terms = F.zip_with("dosages", "b", lambda g, e: F.coalesce(g * e, F.lit(0.0)))
+    return panel.crossJoin(F.broadcast(b)).select("sample_idx", F.aggregate(terms, F.lit(0.0), lambda a, x: a + x).alias("score"))
+
+
+#: Numbers that the trait values of a marker-major scan may have: they go to every task.
+MAX_TRAIT_VALUES = 50_000_000
+
+
+def marker_major_stats(markers: DataFrame, traits: DataFrame, scale: bool = True) -> DataFrame:
+    """trait, marker_idx, wy, ww, yy, n as :func:`summary_stats`, from (marker_idx, dosages by sample index) without a transpose.
+
+    Traits of all samples go to every task as one matrix, whose size is checked first.
+    """
+    y = traits.filter("y is not null").select("sample_idx", "trait", F.col("y").cast("double").alias("y"))
+    if (count := y.count()) > MAX_TRAIT_VALUES:
+        raise ValueError(f"{count} trait values are more than {MAX_TRAIT_VALUES}: use sample-major rows")
+    wide = y.toPandas().pivot(index="sample_idx", columns="trait", values="y")
+    names, rows, values = list(wide.columns), wide.index.to_numpy(np.int64), wide.to_numpy(float)
+    known = (~np.isnan(values)).astype(float)
+    values = np.nan_to_num(values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g, seen = dosage_matrix(b.column(1))
+            if not len(g):
+                continue
+            fits = rows < g.shape[1]
+            at, part, here = rows[fits], values[fits], known[fits]
+            n, sg, sgg = seen.sum(1), g.sum(1), (g * g).sum(1)
+            p = np.where(n > 0, sg / (2.0 * np.maximum(n, 1)), 0.0)
+            s = np.sqrt(2 * p * (1 - p))
+            gy, oy, sy = g[:, at] @ part, seen[:, at] @ part, part.sum(0)
+            size = here.sum(0)
+            if scale:
+                safe = np.where(s > 0, s, 1.0)
+                wy = np.where(s[:, None] > 0, (gy - 2 * p[:, None] * oy) / safe[:, None], 0.0)
+                ww = np.where(s > 0, (sgg - 4 * p * sg + 4 * n * p * p) / (safe * safe), 0.0)[:, None] * np.ones(len(names))
+            else:
+                wy = gy + 2 * p[:, None] * (sy - oy)
+                ww = sgg[:, None] + 4 * (p * p)[:, None] * (size - n[:, None])
+            for k, name in enumerate(names):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(g)), pa.array(np.asarray(b.column(0)).astype(np.int32)), pa.array(wy[:, k].copy()), pa.array(ww[:, k].copy())],
+                    names=["trait", "marker_idx", "wy", "ww"],
+                )
+
+    d = markers.select("marker_idx", "dosages").mapInArrow(run, "trait string, marker_idx int, wy double, ww double")
+    totals = traits.filter("y is not null").groupBy("trait").agg(F.sum(F.col("y") * F.col("y")).alias("yy"), F.count("*").alias("n"))
+    return d.join(F.broadcast(totals), "trait").select("trait", "marker_idx", F.round("wy", 8).alias("wy"), F.round("ww", 8).alias("ww"), "yy", "n")

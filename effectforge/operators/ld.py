@@ -15,34 +15,83 @@ from pyspark.sql.window import Window
 
 from effectforge.operators.genotypes import dosage_matrix, marker_sums
 
-SUMS = "i int, j int, gg bigint, gi bigint, gj bigint, n bigint"
+EDGES = "i int, j int, r double"
+#: Markers whose pairs one tile has; samples of a row that is shuffled, and dosages that are unpacked at once, both at most.
+TILE, ROWS, UNPACKED = 512, 1024, 1 << 24
 
 
-def _banded(window: int):
-    """Integer cross sums of every pair of columns up to ``window`` apart, per partition."""
+def _tiles(window: int, tile: int):
+    """Batches of dosage rows to (tile, samples, dosages): the tile's markers and those within reach after them, a byte each, 3 for missing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: np.ndarray | None = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            g, seen = dosage_matrix(b.column(0))
-            m = g.shape[1]
-            reach = min(window, m - 1) if window > 0 else m - 1
-            if totals is None:
-                totals = np.zeros((4, reach, m), np.int64)
-            for d in range(1, reach + 1):
-                a, c, sa, sc = g[:, :-d], g[:, d:], seen[:, :-d], seen[:, d:]
-                totals[:, d - 1, : m - d] += np.stack([(a * c).sum(0), (a * sc).sum(0), (sa * c).sum(0), (sa * sc).sum(0)])
-        if totals is None:
-            return
-        _, reach, m = totals.shape
-        for d in range(1, reach + 1):
-            i = np.arange(m - d, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(i), pa.array(i + np.int32(d)), *(pa.array(totals[k, d - 1, : m - d]) for k in range(4))],
-                names=["i", "j", "gg", "gi", "gj", "n"],
-            )
+            m = len(b.column(0)[0]) if b.num_rows else 0
+            reach = window if window > 0 else m
+            rows = max(1, min(ROWS, UNPACKED // max(m, 1)))
+            for lo in range(0, b.num_rows, rows):
+                g, seen = dosage_matrix(b.column(0).slice(lo, rows))
+                packed = np.where(seen > 0, g, 3).astype(np.uint8)
+                some = max(1, UNPACKED // (len(packed) * (tile + reach)))
+                for first in range(0, -(-m // tile), some):
+                    numbers = range(first, min(first + some, -(-m // tile)))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(numbers, pa.int32()),
+                            pa.array([len(packed)] * len(numbers), pa.int32()),
+                            pa.array([packed[:, k * tile : (k + 1) * tile + reach].tobytes() for k in numbers], pa.binary()),
+                        ],
+                        names=["tile", "samples", "dosages"],
+                    )
+
+    return run
+
+
+def _tile_edges(window: int, tile: int, least_r2: float):
+    """Rows sorted by tile to (i, j, r): sums of products over the samples of a tile, and their correlations.
+
+    A batch's products are exact in single precision; a tile holds four sums for each of
+    its pairs, however many samples there are.
+    """
+
+    def finish(number: int, sums: np.ndarray, one: np.ndarray) -> pa.RecordBatch:
+        n, sg, sgg = one
+        p = np.where(n > 0, sg / (2.0 * np.maximum(n, 1)), 0.0)
+        xx = sgg - 4 * p * sg + 4 * n * p * p
+        gg, gi, gj, both = sums
+        own = gg.shape[0]
+        cross = gg - 2 * p * gi - 2 * p[:own, None] * gj + 4 * both * p[:own, None] * p
+        size = np.sqrt(np.maximum(xx[:own, None] * xx, 0.0))
+        r = np.divide(cross, size, out=np.zeros_like(cross), where=size > 0)
+        gap = np.arange(len(n)) - np.arange(own)[:, None]
+        i, j = np.nonzero((gap > 0) & (gap <= (window or len(n))) & (r * r >= least_r2 - 1e-7))
+        base = number * tile
+        return pa.RecordBatch.from_arrays([pa.array((i + base).astype(np.int32)), pa.array((j + base).astype(np.int32)), pa.array(r[i, j])], names=["i", "j", "r"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, sums, one = -1, None, None
+        for b in batches:
+            for k, samples, raw in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                packed = np.frombuffer(raw, np.uint8).reshape(samples, -1)
+                if k != number:
+                    if sums is not None:
+                        yield finish(number, sums, one)
+                    number, width = k, packed.shape[1]
+                    sums, one = np.zeros((4, min(tile, width), width)), np.zeros((3, width))
+                seen = packed < 3
+                g, s = np.where(seen, packed, 0).astype(np.float32), seen.astype(np.float32)
+                own = sums.shape[1]
+                sums[0] += g[:, :own].T @ g
+                if seen.all():
+                    sums[1] += g[:, :own].sum(0)[:, None]
+                    sums[2] += g.sum(0)
+                    sums[3] += samples
+                else:
+                    sums[1] += g[:, :own].T @ s
+                    sums[2] += s[:, :own].T @ g
+                    sums[3] += s[:, :own].T @ s
+                one += [s.sum(0), g.sum(0), (g * g).sum(0)]
+        if sums is not None:
+            yield finish(number, sums, one)
 
     return run
 
@@ -56,24 +105,21 @@ def ld_edges(
     max_distance_bp: int = 0,
     same_chr: bool = False,
     allow_full: bool = False,
+    tile: int = TILE,
 ) -> DataFrame:
     """i, j, r for pairs in the window with r squared at the threshold or above.
 
-    Each partition of samples sums its own band before the shuffle, so what is
-    shuffled is the band and not the pairs of every sample.  Positions
-    (marker_idx, chr, pos) serve the base-pair limit and ``same_chr``; without
-    any window ``allow_full`` is needed.  Undefined correlations are 0.
+    Markers go in tiles with those within reach after them, a byte a dosage, so what is
+    shuffled is the genotypes once or a few times and not a band of sums from every
+    partition; a task sums one tile at a time and gives its edges alone.  Positions
+    (marker_idx, chr, pos) serve the base-pair limit and ``same_chr``; without any window
+    ``allow_full`` is needed.  Undefined correlations are 0.
     """
     if max_distance_variants <= 0 and max_distance_bp <= 0 and not allow_full:
         raise ValueError("both windows are off: pass allow_full=True for all pairs")
-    sums = panel.select("dosages").mapInArrow(_banded(max_distance_variants), SUMS)
-    sums = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("gg", "gi", "gj", "n")])
-    p = F.when(F.col("n") > 0, F.col("sum_g") / (2.0 * F.col("n"))).otherwise(0.0)
-    xx = F.col("sum_gg") - 4 * F.col("p") * F.col("sum_g") + 4 * F.col("n") * F.col("p") * F.col("p")
-    one = marker_sums(panel).withColumn("p", p).select("marker_idx", "p", xx.alias("xx"))
-    a = one.select(F.col("marker_idx").alias("i"), F.col("p").alias("p_i"), F.col("xx").alias("xx_i"))
-    c = one.select(F.col("marker_idx").alias("j"), F.col("p").alias("p_j"), F.col("xx").alias("xx_j"))
-    d = sums.join(a, "i").join(c, "j")
+    window = max(0, max_distance_variants)
+    tiles = panel.select("dosages").mapInArrow(_tiles(window, tile), "tile int, samples int, dosages binary")
+    d = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_edges(window, tile, r2_threshold), EDGES)
     if positions is not None and (max_distance_bp > 0 or same_chr):
         left = positions.select(F.col("marker_idx").alias("i"), F.col("chr").alias("c_i"), F.col("pos").alias("b_i"))
         right = positions.select(F.col("marker_idx").alias("j"), F.col("chr").alias("c_j"), F.col("pos").alias("b_j"))
@@ -82,10 +128,56 @@ def ld_edges(
             d = d.filter(F.col("b_j") - F.col("b_i") <= max_distance_bp)
         if same_chr:
             d = d.filter("c_i = c_j")
+    return d.select("i", "j", F.round("r", 8).alias("r")).filter(F.col("r") * F.col("r") >= r2_threshold)
+
+
+def pair_check(panel: DataFrame, pairs: DataFrame) -> DataFrame:
+    """i, j, r and xtx of listed pairs (i, j) from the dosages themselves, to audit an LD table.
+
+    Every sample gives its products of the listed pairs, summed before the shuffle; pairs
+    to be looked at are a list that a broadcast takes.
+    """
+    listed = F.broadcast(pairs.select("i", "j").distinct().groupBy().agg(F.collect_list(F.struct("i", "j")).alias("pairs")))
+    at = lambda k: F.element_at("dosages", k + 1)
+    long = panel.select("dosages").crossJoin(listed).select("dosages", F.explode("pairs").alias("p")).select("p.*", at(F.col("p.i")).alias("a"), at(F.col("p.j")).alias("b"))
+    seen = F.col("a").isNotNull() & F.col("b").isNotNull()
+    sums = long.groupBy("i", "j").agg(
+        F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("gg"),
+        F.coalesce(F.sum(F.when(seen, F.col("a"))), F.lit(0)).alias("gi"),
+        F.coalesce(F.sum(F.when(seen, F.col("b"))), F.lit(0)).alias("gj"),
+        F.count(F.when(seen, 1)).alias("n"),
+    )
+    p = F.when(F.col("n") > 0, F.col("sum_g") / (2.0 * F.col("n"))).otherwise(0.0)
+    xx = F.col("sum_gg") - 4 * F.col("p") * F.col("sum_g") + 4 * F.col("n") * F.col("p") * F.col("p")
+    one = marker_sums(panel).withColumn("p", p).select("marker_idx", "p", xx.alias("xx"))
+    a = one.select(F.col("marker_idx").alias("i"), F.col("p").alias("p_i"), F.col("xx").alias("xx_i"))
+    c = one.select(F.col("marker_idx").alias("j"), F.col("p").alias("p_j"), F.col("xx").alias("xx_j"))
+    d = sums.join(a, "i").join(c, "j")
     cross = F.col("gg") - 2 * F.col("p_j") * F.col("gi") - 2 * F.col("p_i") * F.col("gj") + 4 * F.col("n") * F.col("p_i") * F.col("p_j")
+    sd = lambda k: F.sqrt(2 * F.col(f"p_{k}") * (1 - F.col(f"p_{k}")))
     size = F.sqrt(F.col("xx_i") * F.col("xx_j"))
-    r = F.round(F.when(size > 0, cross / size).otherwise(0.0), 8)
-    return d.select("i", "j", r.alias("r")).filter(F.col("r") * F.col("r") >= r2_threshold)
+    return d.select("i", "j", F.round(F.when(size > 0, cross / size).otherwise(0.0), 8).alias("r"), F.round(cross / (sd("i") * sd("j")), 6).alias("xtx"))
+
+
+def blocks_in_reach(markers: DataFrame, block: int, *, max_distance_variants: int = 0, max_distance_bp: int = 0) -> DataFrame:
+    """a, b, a <= b: blocks of ``block`` markers that any pair of the window may join.
+
+    ``markers`` has marker_idx and pos, rising; the last marker of one block and the first
+    of the other decide.
+    """
+    of = F.floor(F.col("marker_idx") / block)
+    ends = markers.groupBy(of.alias("k")).agg(
+        F.min("marker_idx").alias("first"), F.max("marker_idx").alias("last"), F.min_by("pos", "marker_idx").alias("from_bp"), F.max_by("pos", "marker_idx").alias("to_bp")
+    )
+    a = ends.select(F.col("k").alias("a"), F.col("last").alias("last_a"), F.col("to_bp").alias("to_a"))
+    b = ends.select(F.col("k").alias("b"), F.col("first").alias("first_b"), F.col("from_bp").alias("from_b"))
+    near = F.col("a") <= F.col("b")
+    if max_distance_variants > 0:
+        near = near & (F.col("first_b") - F.col("last_a") <= max_distance_variants)
+    if max_distance_bp > 0:
+        near = near & (F.col("from_b") - F.col("to_a") <= max_distance_bp)
+    # Blocks are a catalogue; those that a window joins follow each other.
+    return a.join(F.broadcast(b), near).select("a", "b")
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

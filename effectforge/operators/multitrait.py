@@ -217,3 +217,37 @@ def alignment_errors(local: DataFrame, markers: DataFrame) -> DataFrame:
         .when(F.col("coding") != F.col("g_coding"), "coding")
     )
     return d.withColumn("problem", problem).filter("problem is not null").select("provider_id", "marker_id", "problem").unionByName(twice)
+
+
+def provider_residuals(local: DataFrame, edges: DataFrame, effects: DataFrame) -> DataFrame:
+    """provider_id, trait, global_idx, residual: a provider's score less its X'X times the effects.
+
+    ``local`` has provider_id, trait, global_idx, score, ww; ``edges`` (provider_id, i, j, r) are
+    each provider's LD; ``effects`` (trait, global_idx, effect).  Effects of markers that a
+    provider does not have do not reach it.
+    """
+    here = local.join(effects, ["trait", "global_idx"], "left").withColumn("b", F.coalesce("effect", F.lit(0.0)))
+    both = edges.select("provider_id", "i", "j", "r").unionByName(edges.select("provider_id", F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    left = here.select("provider_id", "trait", F.col("global_idx").alias("i"), F.col("ww").alias("wi"))
+    right = here.select("provider_id", "trait", F.col("global_idx").alias("j"), F.col("ww").alias("wj"), "b")
+    xb = both.join(left, ["provider_id", "i"]).join(right, ["provider_id", "trait", "j"])
+    xb = xb.groupBy("provider_id", "trait", F.col("i").alias("global_idx")).agg(F.sum(F.round(F.col("r") * F.sqrt(F.col("wi") * F.col("wj")), 6) * F.col("b")).alias("xb"))
+    d = here.join(xb, ["provider_id", "trait", "global_idx"], "left")
+    return d.select("provider_id", "trait", "global_idx", F.round(F.col("score") - F.col("ww") * F.col("b") - F.coalesce("xb", F.lit(0.0)), 6).alias("residual"))
+
+
+def pattern_table(scores: DataFrame, v: np.ndarray, pi: np.ndarray) -> DataFrame:
+    """marker_idx, pattern, prob of the activity patterns at each marker, given all other effects.
+
+    ``scores`` has trait, marker_idx, u and info, both over the residual variance; a marker
+    is one group of as many rows as there are traits.
+    """
+    active = patterns(len(v))
+
+    def task(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("trait")
+        logw = pattern_log_weights(part["u"].to_numpy(float), np.diag(part["info"].to_numpy(float)), v, np.log(pi), active)
+        w = np.exp(logw - logw.max())
+        return pd.DataFrame({"marker_idx": key[0], "pattern": np.arange(len(w)), "prob": w / w.sum()})
+
+    return scores.groupBy("marker_idx").applyInPandas(task, "marker_idx int, pattern int, prob double")

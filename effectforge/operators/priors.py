@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from effectforge.functions.expressions import logistic, stick_probabilities
 
@@ -154,3 +155,106 @@ def annotation_matrix(annotations: DataFrame, standardize: bool = True) -> DataF
         raise ValueError(f"annotations without variation or with nulls: {bad}")
     z = F.when((F.col("continuous") == 1) & F.lit(standardize), (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(F.col("value"))
     return annotations.join(F.broadcast(s), "annotation").select("marker_idx", "annotation", z.alias("value"))
+
+
+def centred_annotations(annotations: DataFrame) -> DataFrame:
+    """(marker_idx, annotation, value) for log-variance models: all centred, continuous ones scaled too.
+
+    A null, a constant (an intercept above all) or columns that determine each other are
+    refused; annotations are few, so their cross products are looked at on the driver.
+    """
+    s = annotations.groupBy("annotation").agg(
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("sd"),
+        F.max(F.when(F.col("value").isin(0.0, 1.0), 0).otherwise(1)).alias("continuous"),
+        F.count(F.when(F.col("value").isNull() | F.isnan("value"), 1)).alias("missing"),
+    )
+    bad = [r["annotation"] for r in s.filter("missing > 0 or coalesce(sd, 0) = 0").select("annotation").take(5)]
+    if bad:
+        raise ValueError(f"annotations that are constant or have nulls: {bad}")
+    scale = F.when(F.col("continuous") == 1, F.col("sd")).otherwise(1.0)
+    d = annotations.join(F.broadcast(s), "annotation").select("marker_idx", "annotation", ((F.col("value") - F.col("mean")) / scale).alias("value"))
+    two = d.join(d.select("marker_idx", F.col("annotation").alias("other"), F.col("value").alias("value2")), "marker_idx")
+    cross = two.groupBy("annotation", "other").agg(F.sum(F.col("value") * F.col("value2")).alias("x")).toPandas()
+    table = cross.pivot(index="annotation", columns="other", values="x").to_numpy(float)
+    unit = np.sqrt(np.diag(table))
+    if np.linalg.matrix_rank(np.nan_to_num(table) / np.outer(unit, unit), tol=1e-8, hermitian=True) < len(table):
+        raise ValueError("annotations determine each other")
+    return d
+
+
+def group_index(labels: DataFrame, declared: list[str] | None = None) -> DataFrame:
+    """marker_idx, group: labels (marker_idx, label) as numbers from 0, as declared or in the order in which they first come.
+
+    A null label, one that is not declared, or a declared group without markers is an error.
+    """
+    firsts = labels.groupBy("label").agg(F.min("marker_idx").alias("first"))
+    found = [r["label"] for r in firsts.orderBy("first").collect()]
+    names = declared or found
+    if None in found or set(found) != set(names) or len(set(names)) != len(names):
+        raise ValueError(f"labels {found} are not the groups {names}, each with a marker")
+    table = labels.sparkSession.createDataFrame([(n, k) for k, n in enumerate(names)], "label string, `group` int")
+    return labels.join(F.broadcast(table), "label").select("marker_idx", "group")
+
+
+def group_variance_means(groups: DataFrame, multipliers: DataFrame) -> DataFrame:
+    """group, multiplier: group multipliers (group, multiplier) scaled to a mean of 1 over markers (marker_idx, group)."""
+    size = groups.groupBy("group").agg(F.count("*").alias("size"))
+    d = size.join(F.broadcast(multipliers), "group")
+    mean = d.agg((F.sum(F.col("multiplier") * F.col("size")) / F.sum("size")).alias("mean"))
+    return d.crossJoin(F.broadcast(mean)).select("group", F.round(F.col("multiplier") / F.col("mean"), 10).alias("multiplier"))
+
+
+def sticks_of_components(components: DataFrame) -> DataFrame:
+    """key, stick, p: the probability to go on beyond each component but the last, from (key, component, prob).
+
+    What is left beyond a component over what is left from it on; 0.5 where nothing is.
+    """
+    back = Window.partitionBy("key").orderBy(F.col("component").desc())
+    left = F.sum("prob").over(back.rowsBetween(Window.unboundedPreceding, 0))
+    beyond = F.sum("prob").over(back.rowsBetween(Window.unboundedPreceding, -1))
+    p = F.when(F.col("left") > 0, F.col("beyond") / F.col("left")).otherwise(0.5)
+    eps = 2.220446049250313e-16
+    return (
+        components.withColumn("left", left)
+        .withColumn("beyond", beyond)
+        .filter("beyond is not null")
+        .select("key", F.col("component").alias("stick"), F.round(F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps)), 10).alias("p"))
+    )
+
+
+def calibrate_joint(traits: DataFrame, states: DataFrame, h2: float, markers: int, nub: float = 4.0, nue: float = 4.0) -> DataFrame:
+    """trait, weight, vb, ve, ssb_prior, sse_prior of a joint model, from (trait, vy) and (state, trait, active, prob, gamma).
+
+    A trait's weight is the markers' expected variance multiplier: probability times
+    scale over the states in which it is active.  One without any weight is an error.
+    """
+    w = states.filter("active").groupBy("trait").agg((F.sum(F.col("prob") * F.col("gamma")) * markers).alias("weight"))
+    d = traits.join(w, "trait", "left")
+    none = [r["trait"] for r in d.filter("coalesce(weight, 0) <= 0").select("trait").take(5)]
+    if none:
+        raise ValueError(f"traits without prior weight: {none}")
+    target, ve = F.col("vy") * h2, F.col("vy") * (1 - h2)
+    return d.select(
+        "trait",
+        F.round("weight", 8).alias("weight"),
+        F.round(target / F.col("weight"), 10).alias("vb"),
+        F.round(ve, 10).alias("ve"),
+        F.round((nub - 2) / nub * target / F.col("weight"), 10).alias("ssb_prior"),
+        F.round((nue - 2) / nue * ve, 10).alias("sse_prior"),
+    )
+
+
+def enriched_priors(annotations: DataFrame, traits: list[str], enriched: dict[str, tuple[float, float]], *, only: list[str] | None = None, base_pi: float = 0.001, **clips) -> DataFrame:
+    """trait, marker_idx, pi, vb_multiplier where ``enriched`` annotations multiply the odds and the variance.
+
+    ``enriched`` gives (multiplier of pi, multiplier of vb) by annotation, for the traits
+    in ``only`` or all; the others keep the base.
+    """
+    hit = fixed_marker_prior(annotations, {k: float(np.log(v[0])) for k, v in enriched.items()}, {k: float(np.log(v[1])) for k, v in enriched.items()}, pi_base=base_pi, **clips)
+    none = fixed_marker_prior(annotations, {}, {}, pi_base=base_pi, **clips)
+    parts = [(hit if only is None or t in only else none).withColumn("trait", F.lit(t)) for t in traits]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("trait", "marker_idx", "pi", "vb_multiplier")

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from effectforge.operators.priors import ChainControls, calibrate_prior, pi_prior, task_seed
 
@@ -36,8 +37,17 @@ class CsrOperator:
         self.corr = x[order]
         self.ptr = np.searchsorted(a, np.arange(len(wy) + 1))
 
+    def segments(self, order: np.ndarray) -> list[np.ndarray]:
+        """The sweep order in parts whose scores :meth:`scores` gives together."""
+        return [order]
+
+    def scores(self, ids: np.ndarray) -> np.ndarray:
+        """X'e of some markers of one segment."""
+        return self.r[ids]
+
     def score(self, k: int, b: float) -> float:
-        return self.r[k] + self.ww[k] * b
+        """X'e of one marker with its own effect added back."""
+        return float(self.scores(np.array([k]))[0]) + self.ww[k] * b
 
     def move(self, k: int, change: float) -> None:
         s = slice(self.ptr[k], self.ptr[k + 1])
@@ -53,6 +63,10 @@ class CsrOperator:
         near = np.flatnonzero(r2 >= min_r2)
         return self.col[s][near[np.argsort(-r2[near], kind="stable")[:most]]]
 
+    def set_effects(self, b: np.ndarray) -> None:
+        """Put the residual where these effects leave it."""
+        self.rebuild(b)
+
     def rebuild(self, b: np.ndarray) -> float:
         """Recompute the residual; the largest drift that was mended."""
         rows = np.repeat(np.arange(len(b)), np.diff(self.ptr))
@@ -62,63 +76,167 @@ class CsrOperator:
         return drift
 
 
+def _rows(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of a matrix, without a copy where they follow each other."""
+    return x[at[0] : at[-1] + 1] if at[-1] - at[0] + 1 == len(at) else x[at]
+
+
 class GenotypeOperator(CsrOperator):
     """Standardised genotypes: the residual lives on samples, X'e gives scores."""
 
     def __init__(self, z: np.ndarray, y: np.ndarray) -> None:
-        self.z, self.e = np.asfortranarray(z), y.astype(float).copy()
+        self.z, self.e = np.ascontiguousarray(z.T), y.astype(float).copy()
+        self.y, self.at = self.e.copy(), np.arange(z.shape[1])
         self.wy, self.ww = z.T @ y, np.square(z).sum(0)
         if not (self.ww > 0).all():
             raise ValueError("every marker needs variation")
 
-    def score(self, k: int, b: float) -> float:
-        return float(self.z[:, k] @ self.e) + self.ww[k] * b
+    def segments(self, order: np.ndarray) -> list[np.ndarray]:
+        """Rows of ``z`` are put in the sweep's order, so that a part of it is one piece of memory."""
+        self.z = self.z[self.at[order]]
+        self.at[order] = np.arange(len(order))
+        return [order]
+
+    def scores(self, ids: np.ndarray) -> np.ndarray:
+        return _rows(self.z, self.at[ids]) @ self.e
 
     def move(self, k: int, change: float) -> None:
-        self.e -= self.z[:, k] * change
+        self.e -= self.z[self.at[k]] * change
 
     def residual(self) -> np.ndarray:
-        return self.z.T @ self.e
+        return (self.z @ self.e)[self.at]
 
     def friends(self, k: int, min_r2: float, most: int) -> np.ndarray:
-        r2 = np.square(self.z.T @ self.z[:, k]) / (self.ww * self.ww[k])
+        r2 = np.square(self.z @ self.z[self.at[k]])[self.at] / (self.ww * self.ww[k])
         r2[k] = -1
         near = np.flatnonzero(r2 >= min_r2)
         return near[np.argsort(-r2[near], kind="stable")[:most]]
 
+    def set_effects(self, b: np.ndarray) -> None:
+        sweep = np.empty(len(b))
+        sweep[self.at] = b
+        self.e = self.y - sweep @ self.z
+
     def rebuild(self, b: np.ndarray) -> float:
         return 0.0
 
 
+class BlockOperator(CsrOperator):
+    """Dense blocks of X'X, as filters leave them; correlations across blocks are 0."""
+
+    def __init__(self, blocks: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """``blocks`` gives the first marker, the correlations, X'y and diag X'X of each."""
+        self.start = [s for s, *_ in blocks]
+        self.block = np.repeat(np.arange(len(blocks)), [len(c) for _, c, *_ in blocks])
+        self.a = [c * np.sqrt(np.outer(w, w)) for _, c, _, w in blocks]
+        self.wy = np.concatenate([wy for _, _, wy, _ in blocks])
+        self.ww = np.concatenate([np.diag(a) for a in self.a])
+        if not (self.ww > 0).all():
+            raise ValueError("a filter left a marker without variance")
+        self.r = self.wy.copy()
+
+    def _part(self, n: int) -> slice:
+        return slice(self.start[n], self.start[n] + len(self.a[n]))
+
+    def move(self, k: int, change: float) -> None:
+        n = self.block[k]
+        self.r[self._part(n)] -= self.a[n][:, k - self.start[n]] * change
+
+    def friends(self, k: int, min_r2: float, most: int) -> np.ndarray:
+        n = self.block[k]
+        at, d = k - self.start[n], np.diag(self.a[n])
+        r2 = np.square(self.a[n][:, at]) / (d * d[at])
+        r2[at] = -1
+        near = np.flatnonzero(r2 >= min_r2)
+        return near[np.argsort(-r2[near], kind="stable")[:most]] + self.start[n]
+
+    def rebuild(self, b: np.ndarray) -> float:
+        fresh = self.wy - np.concatenate([a @ b[self._part(n)] for n, a in enumerate(self.a)])
+        drift = float(np.abs(fresh - self.r).max(initial=0.0))
+        self.r = fresh
+        return drift
+
+
 class LowRankOperator(CsrOperator):
     """Blocks with A = Q'Q of reduced rank; the residual lives in rank space."""
 
     def __init__(self, blocks: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
-        self.q, self.res, self.block, self.start = [], [], [], []
+        self.q, self.res, self.start = [], [], []
+        sizes = [q.shape[1] for _, q, _ in blocks]
+        self.block = np.repeat(np.arange(len(sizes)), sizes)
         for start, q, w in blocks:
-            self.block += [len(self.q)] * q.shape[1]
             self.start.append(start)
-            self.q.append(np.asfortranarray(q))
+            self.q.append(np.ascontiguousarray(q.T))
             self.res.append(w.astype(float).copy())
+        self.w = [r.copy() for r in self.res]
+        #: The row of each marker in its block's matrix.
+        self.at = np.concatenate([np.arange(n) for n in sizes])
         self.w2 = sum(float(w @ w) for w in self.res)
-        self.wy = np.concatenate([q.T @ w for q, w in zip(self.q, self.res, strict=True)])
-        self.ww = np.concatenate([np.square(q).sum(0) for q in self.q])
-
-    def score(self, k: int, b: float) -> float:
-        n = self.block[k]
-        return float(self.q[n][:, k - self.start[n]] @ self.res[n]) + self.ww[k] * b
+        self.wy = np.concatenate([q @ w for q, w in zip(self.q, self.res, strict=True)])
+        self.ww = np.concatenate([np.square(q).sum(1) for q in self.q])
+
+    def segments(self, order: np.ndarray) -> list[np.ndarray]:
+        """Block by block: blocks share no residual, so their markers need not take turns."""
+        of = self.block[order]
+        parts = [order[of == n] for n in range(len(self.q))]
+        for n, part in enumerate(parts):
+            self.q[n] = self.q[n][self.at[part]]
+            self.at[part] = np.arange(len(part))
+        return parts
+
+    def scores(self, ids: np.ndarray) -> np.ndarray:
+        n = self.block[ids[0]]
+        return _rows(self.q[n], self.at[ids]) @ self.res[n]
 
     def move(self, k: int, change: float) -> None:
         n = self.block[k]
-        self.res[n] -= self.q[n][:, k - self.start[n]] * change
+        self.res[n] -= self.q[n][self.at[k]] * change
 
     def residual(self) -> np.ndarray:
-        return np.concatenate([q.T @ r for q, r in zip(self.q, self.res, strict=True)])
+        parts = [q @ r for q, r in zip(self.q, self.res, strict=True)]
+        return np.concatenate([x[self.at[s : s + len(x)]] for s, x in zip(self.start, parts, strict=True)])
+
+    def set_effects(self, b: np.ndarray) -> None:
+        for n, (q, w) in enumerate(zip(self.q, self.w, strict=True)):
+            sweep, here = np.empty(len(q)), slice(self.start[n], self.start[n] + len(q))
+            sweep[self.at[here]] = b[here]
+            self.res[n] = w - sweep @ q
+
+    def block_terms(self, b: np.ndarray, n: float) -> list[tuple[float, float, float, int]]:
+        """Genetic variance, sum of squared effects, squared residual and rank of every block."""
+        ends = np.append(self.start, len(b))[1:]
+        return [
+            (float(np.square(w - r).sum()) / n, float(np.square(b[s:e]).sum()), float(r @ r), len(w))
+            for w, r, s, e in zip(self.w, self.res, self.start, ends, strict=True)
+        ]
 
     def rebuild(self, b: np.ndarray) -> float:
         return 0.0
 
 
+def quadratic_terms(values: DataFrame) -> DataFrame:
+    """sse, vg, vle, vld of (effect, wy, ww, r, yy, n): residual sum of squares, genetic variance, its equilibrium part and the rest."""
+    b, n = F.col("effect"), F.max("n")
+    vg, vle = F.sum(b * (F.col("wy") - F.col("r"))) / n, F.sum(F.col("ww") * b * b) / n
+    sse = F.max("yy") - F.sum(b * (F.col("r") + F.col("wy")))
+    return values.agg(F.round(sse, 4).alias("sse"), F.round(vg, 6).alias("vg"), F.round(vle, 6).alias("vle"), F.round(vg - vle, 6).alias("vld"))
+
+
+def sweep_order(stats: DataFrame) -> DataFrame:
+    """marker_idx and its place in a sweep, by the largest squared marginal effect over traits, ties by index."""
+    s = F.col("wy") / F.col("ww")
+    strongest = stats.groupBy("marker_idx").agg(F.max(F.round(s * s, 10)).alias("s"))
+    # One number a marker, and one order of all of them.
+    return strongest.select("marker_idx", F.row_number().over(Window.orderBy(F.col("s").desc(), "marker_idx")).alias("place"))
+
+
+def group_counts(states: DataFrame, groups: DataFrame) -> DataFrame:
+    """group, size, active, mean_pip from (marker_idx, pip, active) and (marker_idx, group)."""
+    return states.join(groups, "marker_idx").groupBy("group").agg(
+        F.count("*").alias("size"), F.count(F.when(F.col("active"), 1)).alias("active"), F.round(F.avg("pip"), 8).alias("mean_pip")
+    )
+
+
 def low_rank_block(corr: np.ndarray, wy: np.ndarray, ww: np.ndarray, prop: float = 0.995) -> tuple[np.ndarray, np.ndarray]:
     """Factor and projected score of one LD block: leading eigenvectors past ``prop`` of the positive mass."""
     values, vectors = np.linalg.eigh(corr)
@@ -157,10 +275,45 @@ def filtered_block(corr: np.ndarray, mode: str, *, tau: float = 0.01, eta: float
     return (1 - a) * corr + a * np.eye(len(corr))
 
 
-def skip_length(p: float, base: int, most: int) -> int:
-    """Sweeps that a null marker sits out, by its last inclusion probability."""
-    factor = 4.0 if p < 1e-6 else 2.0 if p < 1e-5 else 1.0 if p < 1e-4 else 0.5 if p < 1e-3 else 0.0
-    return min(most, int(base * factor))
+#: Inclusion probabilities below which a null marker sits out more sweeps, and how many times the base.
+SKIP_BELOW, SKIP_TIMES = (1e-6, 1e-5, 1e-4, 1e-3), (4.0, 2.0, 1.0, 0.5, 0.0)
+
+
+def skip_length(p: np.ndarray, base: int, most: int) -> np.ndarray:
+    """Sweeps that null markers sit out, by their last inclusion probabilities."""
+    times = np.array(SKIP_TIMES)[np.searchsorted(SKIP_BELOW, p, side="right")]
+    return np.minimum(most, (base * times).astype(int))
+
+
+def block_selected(mode: str, iteration: int, vg: float, effect_ss: float, threshold: float, permanent: bool) -> tuple[bool, bool]:
+    """Whether a block's residual variance is drawn in an iteration (from 0), and whether it is from now on.
+
+    fixVe never, samVe always, allMixVe where squared effects exceed the genetic variance
+    by the threshold, mixVe where they did in iteration 50.
+    """
+    eligible = vg >= 1e-8 and effect_ss >= 1e-8 and effect_ss / vg > threshold
+    if mode == "mixVe":
+        permanent = eligible if iteration == 50 else permanent and iteration > 50
+        return permanent, permanent
+    if mode not in ("fixVe", "samVe", "allMixVe"):
+        raise ValueError("block_mode is fixVe, samVe, allMixVe or mixVe")
+    return mode == "samVe" or mode == "allMixVe" and eligible, permanent
+
+
+def slice_draw(rng: np.random.Generator, density, x: float, width: float = 1.0) -> float:
+    """One slice-sampling step of a log density, stepping out and shrinking."""
+    level = density(x) + np.log(rng.random())
+    low = x - width * rng.random()
+    high = low + width
+    while density(low) > level:
+        low -= width
+    while density(high) > level:
+        high += width
+    while True:
+        new = rng.uniform(low, high)
+        if density(new) > level:
+            return float(new)
+        low, high = (new, high) if new < x else (low, new)
 
 
 @dataclass
@@ -191,6 +344,11 @@ class Model:
     skip_most: int = 64
     full_every: int = 10
     log_cpo: bool = False
+    #: Residual variances of low-rank blocks: one for all, the phenotype's for each block, or drawn by block.
+    block_policy: str = "global"
+    block_mode: str = "allMixVe"
+    block_threshold: float = 1.1
+    block_least_ratio: float = 0.7
     extra: dict = field(default_factory=dict)
 
 
@@ -232,14 +390,35 @@ class Prior:
         elif kind == "group":
             self.group = np.asarray(self.extra["group"], int)
             self.groups = int(self.group.max()) + 1
+            if "group_pi" in self.extra:
+                p = np.asarray(self.extra["group_pi"], float)[self.group]
+                self.rows = np.column_stack([1 - p, p])
         elif kind in ("learned_logistic", "probit_stick", "log_variance"):
             self.a = np.asarray(self.extra["annotations"], float)
             self.coef = np.zeros((self.a.shape[1], self.k - 1 if kind == "probit_stick" else 1))
-            if kind == "probit_stick":
-                self.coef[0] = self.extra.get("alpha0", np.zeros(self.k - 1))
+            if "coefficients" in self.extra:
+                self.coef = np.asarray(self.extra["coefficients"], float).reshape(self.coef.shape).copy()
+            self.base, self.eta_vb = float(np.log((1 - model.pi[0]) / model.pi[0])), np.zeros(self.a.shape[1])
+            if kind == "learned_logistic":
+                self._logistic()
+            elif kind == "log_variance":
+                self._log_variance()
+            elif kind == "probit_stick":
+                if "coefficients" not in self.extra:
+                    self.coef[0] = self.extra.get("alpha0", np.zeros(self.k - 1))
                 self.sigma = np.ones(self.k - 1)
                 self._sticks()
 
+    def _logistic(self) -> None:
+        p = np.clip(1 / (1 + np.exp(-(self.base + self.a @ self.coef[:, 0]))), 1e-8, 0.5)
+        self.rows = np.column_stack([1 - p, p])
+
+    def _log_variance(self) -> None:
+        eta = self.a @ self.coef[:, 0]
+        if not np.isfinite(eta).all() or np.abs(eta).max(initial=0.0) > 700:
+            raise ValueError("a log variance left the range of the numbers")
+        self.scale = np.exp(np.clip(eta, -20, 20))
+
     def _sticks(self) -> None:
         going = _phi(self.a @ self.coef)
         left = np.ones(self.m)
@@ -269,18 +448,40 @@ class Prior:
                 mult /= (mult * size).sum() / size.sum()
                 self.scale = mult[self.group]
         elif kind == "learned_logistic":
-            base, sd = np.log((1 - model.pi[0]) / model.pi[0]), self.extra.get("rw_sd", 0.1)
+            sd, sigma2, active = self.extra.get("rw_sd", 0.1), self.extra.get("sigma2", 1.0), comp > 0
+            low, high = np.log(self.extra.get("vb_clip", (0.25, 4.0)))
 
-            def loglik(eta: np.ndarray) -> float:
+            def walk(now: np.ndarray, loglik) -> np.ndarray:
+                new = now + rng.normal(0, sd, len(now))
+                gain = loglik(new) - loglik(now) - 0.5 * (new @ new - now @ now) / sigma2
+                return new if np.log(rng.random()) < gain else now
+
+            def inclusion(eta: np.ndarray, base: float) -> float:
                 x = base + self.a @ eta
-                return float((x[comp > 0]).sum() - np.logaddexp(0, x).sum() - 0.5 * (eta @ eta) / self.extra.get("sigma2", 1.0))
-
-            now = self.coef[:, 0]
-            new = now + rng.normal(0, sd, len(now))
-            if np.log(rng.random()) < loglik(new) - loglik(now):
-                self.coef[:, 0] = new
-            p = np.clip(1 / (1 + np.exp(-(base + self.a @ self.coef[:, 0]))), 1e-8, 0.5)
-            self.rows = np.column_stack([1 - p, p])
+                return float(x[active].sum() - np.logaddexp(0, x).sum())
+
+            def log_scale(eta: np.ndarray) -> np.ndarray:
+                z = self.a @ eta
+                return np.clip(z - z.mean(), low, high)
+
+            def variance(eta: np.ndarray) -> float:
+                z = log_scale(eta)[active]
+                return float(-0.5 * (z + np.square(b[active]) / (vb * np.exp(z))).sum())
+
+            self.coef[:, 0] = walk(self.coef[:, 0], lambda eta: inclusion(eta, self.base))
+            if self.extra.get("learn_vb"):
+                self.eta_vb = walk(self.eta_vb, variance)
+                self.scale = np.exp(log_scale(self.eta_vb))
+            if model.update_pi:
+                first, second = pi_prior(1 - model.pi[0], model.pi_strength)
+                if not self.coef[:, 0].any():
+                    p = np.clip(rng.beta(first + active.sum(), second + (~active).sum()), 1e-12, 1 - 1e-12)
+                    self.base = float(np.log(p / (1 - p)))
+                else:
+                    # The prior of the logit is that of the probability times p (1 - p).
+                    prior = lambda x: first * x - (first + second) * np.logaddexp(0, x)
+                    self.base = slice_draw(rng, lambda x: inclusion(self.coef[:, 0], x) + prior(x), self.base)
+            self._logistic()
         elif kind == "log_variance":
             active = comp > 0
 
@@ -300,7 +501,7 @@ class Prior:
                     break
                 low, high = (angle, high) if angle < 0 else (low, angle)
                 angle = rng.uniform(low, high)
-            self.scale = np.exp(np.clip(self.a @ self.coef[:, 0], -20, 20))
+            self._log_variance()
             if model.update_pi:
                 counts = np.bincount(comp, minlength=self.k)
                 self.pi = np.maximum(rng.dirichlet(np.array(model.pi) * model.pi_strength + counts), 1e-300)
@@ -326,20 +527,19 @@ class Prior:
             self._sticks()
 
 
+def swap_options(op: CsrOperator, state: np.ndarray, min_r2: float, most: int) -> list[tuple[int, np.ndarray]]:
+    """Every active marker that has excluded friends, with them."""
+    near = [(int(k), op.friends(int(k), min_r2, most)) for k in np.flatnonzero(state > 0)]
+    return [(k, f[state[f] == 0]) for k, f in near if (state[f] == 0).any()]
+
+
 def _swap(op: CsrOperator, model: Model, rng: np.random.Generator, b: np.ndarray, comp: np.ndarray, log_prior: np.ndarray, yy: float, vei: float, scale: np.ndarray) -> None:
     """Move an effect to an excluded friend and back, with a Hastings correction."""
     active = np.flatnonzero(comp > 0)
     if not len(active):
         return
 
-    def options(state: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        out = []
-        for k in np.flatnonzero(state > 0):
-            f = op.friends(int(k), model.swap_r2, model.swap_friends)
-            f = f[state[f] == 0]
-            if len(f):
-                out.append((int(k), f))
-        return out
+    options = lambda state: swap_options(op, state, model.swap_r2, model.swap_friends)
 
     def sse() -> float:
         return yy - float(b @ (op.residual() + op.wy))
@@ -371,6 +571,54 @@ def _swap(op: CsrOperator, model: Model, rng: np.random.Generator, b: np.ndarray
         b[k], b[j] = value, 0.0
 
 
+#: Markers that are looked at together: so many after one that moved, and four times as many after each look without any, up to the second.
+WIDTH, MOST_WIDTH = 32, 4096
+
+
+def choose(base: np.ndarray, slope: np.ndarray, score: np.ndarray, uniforms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The component of each marker by its uniform, and the probability of the null.
+
+    Log weights are ``base``, and for the components but the null ``slope`` times the
+    squared score more.
+    """
+    gain = slope * (score * score)[:, None]
+    if base.shape[1] == 2:
+        null = 1 / (1 + np.exp(np.minimum(base[:, 1] - base[:, 0] + gain[:, 0], 700.0)))
+        return (null <= uniforms).astype(int), null
+    logw = base.copy()
+    logw[:, 1:] += gain
+    p = np.exp(logw - logw.max(1, keepdims=True))
+    cumulative = np.cumsum(p, 1)
+    total = cumulative[:, -1]
+    chosen = (cumulative[:, :-1] <= (uniforms * total)[:, None]).sum(1)
+    return chosen, p[:, 0] / total
+
+
+def weights_of(log_prior: np.ndarray, v: np.ndarray, ww: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`choose` needs: log weights at score 0, and slopes in half the squared score."""
+    total = noise[:, None] + ww[:, None] * v
+    base = log_prior.copy()
+    base[:, 1:] += 0.5 * np.log(noise[:, None] / total)
+    return base, 0.5 * v / (noise[:, None] * total)
+
+
+def conditionals(op: CsrOperator, b: np.ndarray, *, vb: float, noise: float, gamma: tuple[float, ...], rows: np.ndarray, scale: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Component probabilities of every marker, given all other effects, and the mean of its effect.
+
+    ``rows`` are prior probabilities by marker, or one row for all.
+    """
+    op.set_effects(b)
+    m = len(b)
+    v = vb * np.broadcast_to(scale, m)[:, None] * np.array(gamma)[1:]
+    noise_of = np.full(m, float(noise))
+    base, slope = weights_of(np.log(np.broadcast_to(rows, (m, len(gamma)))), v, op.ww, noise_of)
+    score = op.residual() + op.ww * b
+    base[:, 1:] += slope * np.square(score)[:, None]
+    p = np.exp(base - base.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    return p, (p[:, 1:] * score[:, None] / (op.ww[:, None] + noise_of[:, None] / v)).sum(1)
+
+
 def sample(op: CsrOperator, yy: float, n: float, model: Model, controls: ChainControls, seed: int, log_h: np.ndarray | None = None) -> dict:
     """One chain: posterior means, PIPs, component probabilities, traces, final state."""
     rng = np.random.default_rng(seed)
@@ -381,7 +629,11 @@ def sample(op: CsrOperator, yy: float, n: float, model: Model, controls: ChainCo
     vb, ve = model.vb or cal["vb"], model.ve or cal["ve"]
     s = 0.0 if model.maf_s is None else model.maf_s
     b, comp = np.zeros(m), np.zeros(m, int)
-    order = np.argsort(-np.square(op.wy / op.ww), kind="stable")
+    if model.block_policy not in ("global", "fixed_block", "gctb_block") or model.block_policy != "global" and not isinstance(op, LowRankOperator):
+        raise ValueError("block_policy is global, or with low-rank blocks fixed_block or gctb_block")
+    block_ve = None if model.block_policy == "global" else np.full(len(op.q), yy / n)
+    permanent = np.zeros(0 if block_ve is None else len(block_ve), bool)
+    segments = op.segments(np.argsort(-np.square(op.wy / op.ww), kind="stable"))
     keep = set(controls.retained())
     sums, pips, comps, drawn = np.zeros(m), np.zeros(m), np.zeros((m, len(gamma))), 0
     traces: dict[str, list[float]] = {t: [] for t in TRACES}
@@ -390,37 +642,50 @@ def sample(op: CsrOperator, yy: float, n: float, model: Model, controls: ChainCo
     inverse_cpo = np.full(len(op.e), -np.inf) if model.log_cpo and isinstance(op, GenotypeOperator) else None
     for it in range(1, controls.nburn + controls.nit + 1):
         vei = ve + model.adj_e * vg
+        noise = np.full(m, vei) if block_ve is None else block_ve[op.block]
         mafq = np.exp((s + 1) * log_h) if log_h is not None else np.ones(m)
         q = prior.scale * mafq
         log_prior = np.log(prior.rows)
         uniforms, normals = rng.random(m), rng.standard_normal(m)
         ww = op.ww
         full = not model.skip_nulls or it % model.full_every == 1 or model.full_every == 1
-        for k in order:
-            if not full and comp[k] == 0 and due[k] > it:
-                continue
-            score = op.score(k, b[k])
-            v = vb * q[k] * gamma[1:]
-            total = vei + ww[k] * v
-            logw = log_prior[k].copy()
-            logw[1:] += 0.5 * np.log(vei / total) + 0.5 * score * score * v / (vei * total)
-            logw -= logw.max()
-            p = np.exp(logw)
-            c = int(np.searchsorted(np.cumsum(p), uniforms[k] * p.sum(), side="right"))
-            c = min(c, len(gamma) - 1)
-            new = 0.0
-            if model.skip_nulls and c == 0:
-                skip = skip_length(float(1 - p[0] / p.sum()), model.skip_nulls, model.skip_most)
-                due[k] = it + 1 + skip + (int(rng.integers(0, skip + 1)) if skip else 0)
-            if c:
-                info = ww[k] + vei / (vb * q[k] * gamma[c])
-                new = score / info + normals[k] * np.sqrt(vei / info)
-            if new != b[k]:
+        v = vb * q[:, None] * gamma[1:]
+        base, slope = weights_of(log_prior, v, ww, noise)
+        for part in segments:
+            at, width = 0, WIDTH
+            while at < len(part):
+                ids = part[at : at + width]
+                if not full:
+                    ids = ids[(comp[ids] > 0) | (due[ids] <= it)]
+                    if not len(ids):
+                        at += width
+                        continue
+                # All of these at once, as the markers before the first that moves leave the residual as it is.
+                score = op.scores(ids) + ww[ids] * b[ids]
+                chosen, null = choose(base[ids], slope[ids], score, uniforms[ids])
+                moving = np.flatnonzero((chosen > 0) | (comp[ids] > 0))
+                quiet = ids[: moving[0]] if len(moving) else ids
+                if model.skip_nulls:
+                    skip = skip_length(1 - null[: len(quiet)], model.skip_nulls, model.skip_most)
+                    due[quiet] = it + 1 + skip + rng.integers(0, skip + 1)
+                if not len(moving):
+                    at, width = at + width, min(4 * width, MOST_WIDTH)
+                    continue
+                first = int(moving[0])
+                k, c, new = int(ids[first]), int(chosen[first]), 0.0
+                if c:
+                    info = ww[k] + noise[k] / v[k, c - 1]
+                    new = score[first] / info + normals[k] * np.sqrt(noise[k] / info)
+                elif model.skip_nulls:
+                    skip = int(skip_length(1 - null[first : first + 1], model.skip_nulls, model.skip_most)[0])
+                    due[k] = it + 1 + skip + int(rng.integers(0, skip + 1))
                 op.move(k, new - b[k])
                 b[k] = new
                 if model.skip_nulls and (comp[k] == 0) != (c == 0):
                     due[op.friends(k, 0.01, m)] = 0
-            comp[k] = c
+                comp[k] = c
+                gone = int(np.flatnonzero(part[at : at + width] == k)[0]) + 1 if not full else first + 1
+                at, width = at + gone, max(WIDTH, min(2 * gone, MOST_WIDTH))
         if model.swap and rng.random() < model.swap_prob:
             _swap(op, model, rng, b, comp, log_prior, yy, vei, vb * q)
         if model.rebuild_every and it % model.rebuild_every == 0:
@@ -442,6 +707,12 @@ def sample(op: CsrOperator, yy: float, n: float, model: Model, controls: ChainCo
             if sse + model.nue * cal["sse_prior"] <= 0:
                 raise ValueError("the residual sum of squares is not positive: the LD and the statistics disagree")
             ve = (sse + model.nue * cal["sse_prior"]) / rng.chisquare(n + model.nue)
+        if model.block_policy == "gctb_block":
+            scale0 = (model.nue - 2) / model.nue * yy / n
+            for k, (part_vg, effect_ss, residual_ss, rank) in enumerate(op.block_terms(b, n)):
+                chosen, permanent[k] = block_selected(model.block_mode, it - 1, part_vg, effect_ss, model.block_threshold, bool(permanent[k]))
+                draw = (residual_ss + model.nue * scale0) / rng.chisquare(model.nue + rank) if chosen else yy / n
+                block_ve[k] = draw if draw / (yy / n) > model.block_least_ratio else yy / n
         if full:
             prior.update(rng, comp, b, vb)
         vg = float(b @ (op.wy - r)) / n
@@ -514,11 +785,29 @@ def chain_tasks(traits: DataFrame, controls: ChainControls, mode: str) -> DataFr
     return traits.sparkSession.createDataFrame(rows, "trait string, chain int, seed bigint")
 
 
+def build_operator(kind: str, wy: np.ndarray, ww: np.ndarray, i: np.ndarray, j: np.ndarray, r: np.ndarray, block_size: int = 256, extra: dict | None = None) -> CsrOperator:
+    """The likelihood of summary statistics by LD edges: csr, low_rank, or dense blocks through a filter."""
+    if kind == "csr":
+        return CsrOperator(wy, ww, i, j, r)
+    extra, low, dense = extra or {}, [], []
+    for start in range(0, len(wy), block_size):
+        end = min(start + block_size, len(wy))
+        corr, inside = np.eye(end - start), (np.minimum(i, j) >= start) & (np.maximum(i, j) < end)
+        corr[i[inside] - start, j[inside] - start] = corr[j[inside] - start, i[inside] - start] = r[inside]
+        part = slice(start, end)
+        if kind == "low_rank":
+            low.append((start, *low_rank_block(corr, wy[part], ww[part], extra.get("eigen_prop", 0.995))))
+        else:
+            options = {k: extra[k] for k in ("tau", "eta", "weight") if k in extra}
+            dense.append((start, filtered_block(corr, kind, **options), wy[part], ww[part]))
+    return LowRankOperator(low) if kind == "low_rank" else BlockOperator(dense)
+
+
 def fit_summary(stats: DataFrame, edges: DataFrame, model: Model, controls: ChainControls, operator: str = "csr", block_size: int = 256, log_h: np.ndarray | None = None) -> Fit:
     """Fit from trait, marker_idx (dense from 0), wy, ww, yy, n and LD edges.
 
-    ``operator`` is csr, or low_rank: LD blocks of ``block_size`` markers by
-    their leading eigenvectors.
+    ``operator`` is csr; low_rank, LD blocks of ``block_size`` markers by their leading
+    eigenvectors; or a filter of :func:`filtered_block` on dense blocks.
     """
     tasks = chain_tasks(stats, controls, "summary")
     left = stats.join(F.broadcast(tasks), "trait")
@@ -526,25 +815,44 @@ def fit_summary(stats: DataFrame, edges: DataFrame, model: Model, controls: Chai
 
     def task(key: tuple, s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         s = s.sort_values("marker_idx")
-        wy, ww = s["wy"].to_numpy(float), s["ww"].to_numpy(float)
         i, j, r = e["i"].to_numpy(int), e["j"].to_numpy(int), e["r"].to_numpy(float)
-        if operator == "low_rank":
-            blocks = []
-            for start in range(0, len(wy), block_size):
-                end = min(start + block_size, len(wy))
-                corr, inside = np.eye(end - start), (i >= start) & (j < end) & (i < end) & (j >= start)
-                corr[i[inside] - start, j[inside] - start] = r[inside]
-                corr[j[inside] - start, i[inside] - start] = r[inside]
-                blocks.append((start, *low_rank_block(corr, wy[start:end], ww[start:end], model.extra.get("eigen_prop", 0.995))))
-            op: CsrOperator = LowRankOperator(blocks)
-        else:
-            op = CsrOperator(wy, ww, i, j, r)
+        op = build_operator(operator, s["wy"].to_numpy(float), s["ww"].to_numpy(float), i, j, r, block_size, model.extra)
         return fit_rows(key, sample(op, float(s["yy"].iloc[0]), float(s["n"].iloc[0]), model, controls, int(s["seed"].iloc[0]), log_h))
 
     rows = left.groupBy("trait", "chain").cogroup(right.groupBy("of_trait", "of_chain")).applyInPandas(task, OUTPUT)
     return Fit(rows, controls, {"operator": operator, "policy": model.policy, "gamma": model.gamma})
 
 
+def at_effects(stats: DataFrame, edges: DataFrame, effects: DataFrame, table, schema: str, operator: str = "csr", block_size: int = 256, extra: dict | None = None) -> DataFrame:
+    """A table about each trait's likelihood operator at fixed effects (marker_idx, effect): ``table(op, b, yy, n)`` in one task a trait."""
+    left = stats.join(effects, "marker_idx")
+    right = edges.select("i", "j", "r").crossJoin(F.broadcast(stats.select(F.col("trait").alias("of_trait")).distinct()))
+
+    def task(key: tuple, s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        s = s.sort_values("marker_idx")
+        op = build_operator(operator, s["wy"].to_numpy(float), s["ww"].to_numpy(float), e["i"].to_numpy(int), e["j"].to_numpy(int), e["r"].to_numpy(float), block_size, extra)
+        out = table(op, s["effect"].to_numpy(float), float(s["yy"].iloc[0]), float(s["n"].iloc[0]))
+        out.insert(0, "trait", str(key[0]))
+        return out
+
+    return left.groupBy("trait").cogroup(right.groupBy("of_trait")).applyInPandas(task, "trait string, " + schema)
+
+
+def conditional_table(model: Model, vb: float, ve_share: float):
+    """For :func:`at_effects`: marker_idx, component, prob, mean at a residual variance of ``ve_share`` of the phenotype's."""
+
+    def table(op: CsrOperator, b: np.ndarray, yy: float, n: float) -> pd.DataFrame:
+        prior = Prior(model, len(b))
+        p, mean = conditionals(op, b, vb=vb, noise=ve_share * yy / n, gamma=model.gamma, rows=prior.rows, scale=prior.scale)
+        m, k = p.shape
+        return pd.DataFrame({"marker_idx": np.repeat(np.arange(m), k), "component": np.tile(np.arange(k), m), "prob": p.ravel(), "mean": np.repeat(mean, k)})
+
+    return table
+
+
+CONDITIONALS = "marker_idx int, component int, prob double, mean double"
+
+
 def standardise(g: np.ndarray) -> np.ndarray:
     """(g - 2p) / sqrt(2p(1-p)), 0 for missing (nan) and monomorphic markers."""
     p = np.nan_to_num(np.nanmean(g, axis=0) / 2)
@@ -567,6 +875,22 @@ def fit_genotypes(panel: DataFrame, traits: DataFrame, model: Model, controls: C
     return Fit(d.groupBy("trait", "chain").applyInPandas(task, OUTPUT), controls, {"operator": "genotypes", "policy": model.policy, "gamma": model.gamma})
 
 
+def genotype_conditionals(panel: DataFrame, traits: DataFrame, effects: np.ndarray, model: Model, vb: float, ve_share: float) -> DataFrame:
+    """trait, marker_idx, component, prob, mean at fixed effects, from the samples themselves."""
+    table = conditional_table(model, vb, ve_share)
+
+    def task(key: tuple, s: pd.DataFrame) -> pd.DataFrame:
+        s = s.sort_values("sample_idx")
+        y = s["y"].to_numpy(float)
+        g = np.array([[np.nan if x is None else x for x in row] for row in s["dosages"]], float)
+        out = table(GenotypeOperator(standardise(g), y), effects, float(y @ y), float(len(y)))
+        out.insert(0, "trait", str(key[0]))
+        return out
+
+    d = panel.join(traits.filter("y is not null"), "sample_idx")
+    return d.groupBy("trait").applyInPandas(task, "trait string, " + CONDITIONALS)
+
+
 def brute_force_pips(wy: np.ndarray, ww: np.ndarray, xtx: np.ndarray, vb: float, ve: float, pi: float) -> np.ndarray:
     """Exact PIPs of a small spike-and-slab model by enumeration, for tests."""
     m = len(wy)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from effectforge.functions.expressions import logistic
+
 #: Mixtures of the named architectures (probabilities, variances).
 ARCHITECTURES = {
     "bayesc": ((0.99, 0.01), (0.0, 1.0)),
@@ -166,3 +168,59 @@ def annotation_signal(truth: DataFrame, sets: DataFrame) -> DataFrame:
         F.avg("pip").alias("mean_pip"),
         F.avg(F.abs("effect")).alias("mean_abs_effect"),
     )
+
+
+def probability_surface(markers: DataFrame, pi: list[float], variances: list[float], alpha: dict[str, list[float]] | None = None) -> DataFrame:
+    """marker_idx, component, prob: logistic sticks, the largest variance first and the null last.
+
+    ``markers`` (marker_idx, annotation, value) are centred; ``alpha`` shifts the sticks
+    of an annotation, one number for each of them in that order.  Component 0 is the null.
+    """
+    order = [*sorted(range(1, len(pi)), key=lambda k: -variances[k]), 0]
+    base = [pi[k] / sum(pi[j] for j in order[n:]) for n, k in enumerate(order[:-1])]
+    table = F.create_map(*[x for a, v in (alpha or {"": [0.0] * len(base)}).items() for x in (F.lit(a), F.array(*[F.lit(float(c)) for c in v]))])
+    shift = F.coalesce(F.try_element_at(table, F.col("annotation")), F.array(*[F.lit(0.0)] * len(base)))
+    d = markers.withColumn("c", shift).groupBy("marker_idx").agg(*[F.sum(F.col("value") * F.col("c")[k]).alias(f"e{k}") for k in range(len(base))])
+    left, probs = F.lit(1.0), {}
+    for n, k in enumerate(order[:-1]):
+        going = logistic(float(np.log(base[n] / (1 - base[n]))) + F.col(f"e{n}"))
+        probs[k], left = left * going, left * (1 - going)
+    probs[0] = left
+    total = sum((probs[k] for k in range(1, len(pi))), probs[0])
+    return d.select("marker_idx", F.posexplode(F.array(*[F.round(probs[k] / total, 10) for k in range(len(pi))])).alias("component", "prob"))
+
+
+def exactness(values: DataFrame, h2_target: float) -> DataFrame:
+    """trait, the largest |y - (g + e)|, the share of variance in g and the target, from trait, sample_idx, g, e, y."""
+    return values.groupBy("trait").agg(
+        F.round(F.max(F.abs(F.col("y") - (F.col("g") + F.col("e")))), 8).alias("max_gap"),
+        F.round(F.var_samp("g") / F.var_samp("y"), 8).alias("h2_observed"),
+        F.lit(float(h2_target)).alias("h2_target"),
+    )
+
+
+def force_correlation(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Columns of ``x`` scaled, whitened and coloured to have exactly the ``target`` correlation."""
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    roots = []
+    for corr, power in ((np.corrcoef(z, rowvar=False), -0.5), (np.asarray(target, float), 0.5)):
+        values, vectors = np.linalg.eigh(corr)
+        if values.min() <= 1e-8:
+            raise ValueError("a correlation matrix is not positive definite")
+        roots.append((vectors * values**power) @ vectors.T)
+    return z @ roots[0] @ roots[1]
+
+
+def recolour(table: DataFrame, columns: list[str], target: np.ndarray) -> DataFrame:
+    """``table`` with the columns given the ``target`` correlation: their means and cross products decide a small matrix, rows change alone."""
+    k = len(columns)
+    stats = table.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns)], *[F.corr(a, b).alias(f"r{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns)]).first()
+    roots = []
+    for corr, power in ((np.array([[stats[f"r{i}_{j}"] if i != j else 1.0 for j in range(k)] for i in range(k)]), -0.5), (np.asarray(target, float), 0.5)):
+        values, vectors = np.linalg.eigh(corr)
+        if values.min() <= 1e-8:
+            raise ValueError("a correlation matrix is not positive definite")
+        roots.append((vectors * values**power) @ vectors.T)
+    mix = roots[0] @ roots[1]
+    z = [(F.col(c) - stats[f"m{i}"]) / stats[f"s{i}"] for i, c in enumerate(columns)]
+    return table.withColumns({c: sum((z[i] * float(mix[i, j]) for i in range(1, k)), z[0] * float(mix[0, j])) for j, c in enumerate(columns)})

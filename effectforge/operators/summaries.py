@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from effectforge.functions.expressions import quantile_type8
+from effectforge.functions.expressions import normal_quantile, quantile_type8
 
 _NORMAL = NormalDist()
 
@@ -148,13 +149,100 @@ def convergence(traces: DataFrame, keys: list[str], nburn: int = 0) -> DataFrame
     return d.groupBy(*keys).applyInPandas(task, schema)
 
 
-def hpd(values: np.ndarray, prob: float = 0.95) -> tuple[float, float]:
-    """The shortest interval with ``prob`` of the draws."""
-    v = np.sort(values)
-    n = len(v)
-    gap = max(1, min(n - 1, round(n * prob)))
-    k = int(np.argmin(v[gap:] - v[: n - gap]))
-    return float(v[k]), float(v[k + gap])
+def rank_rhat(traces: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys and R-hat of the draws' normal scores, raw (``rank``), folded at the median, and the larger.
+
+    The halves of all chains are ranked together, ties by their mean rank; the
+    middle draw of a chain of odd length is in neither half.
+    """
+    length = traces.groupBy(*keys, "chain").agg(F.count("*").alias("len"), F.min("iteration").alias("first"))
+    median = traces.groupBy(*keys).agg(F.percentile("value", F.lit(0.5)).alias("median"))
+    d = traces.join(length, [*keys, "chain"]).join(median, keys).withColumn("k", F.col("iteration") - F.col("first"))
+    h = F.floor(F.col("len") / 2)
+    d = d.withColumn("half", F.when(F.col("k") < h, 0).when(F.col("k") >= F.col("len") - h, 1)).filter("half is not null")
+    kinds = F.explode(F.array(F.struct(F.lit("rank").alias("kind"), F.col("value").alias("x")), F.struct(F.lit("folded").alias("kind"), F.abs(F.col("value") - F.col("median")).alias("x"))))
+    d = d.select(*keys, "chain", "half", kinds.alias("s")).select(*keys, "chain", "half", "s.*")
+    whole, tied = Window.partitionBy(*keys, "kind"), Window.partitionBy(*keys, "kind", "x")
+    mean_rank = F.rank().over(whole.orderBy("x")) + (F.count("*").over(tied) - 1) / 2
+    d = d.withColumn("z", normal_quantile((mean_rank - 0.375) / (F.count("*").over(whole) + 0.25)))
+    parts = d.groupBy(*keys, "kind", "chain", "half").agg(F.avg("z").alias("m"), F.var_samp("z").alias("w"), F.count("*").alias("n"))
+    a = parts.groupBy(*keys, "kind").agg(F.var_samp("m").alias("bm"), F.avg("w").alias("w"), F.min("n").alias("n"))
+    value = F.sqrt((F.col("bm") * F.col("n") / F.col("w") + F.col("n") - 1) / F.col("n"))
+    two = a.groupBy(*keys).pivot("kind", ["rank", "folded"]).agg(F.first(value))
+    return two.select(*keys, F.round("rank", 6).alias("rhat_rank"), F.round("folded", 6).alias("rhat_folded"), F.round(F.greatest("rank", "folded"), 6).alias("rhat"))
+
+
+def hpd(traces: DataFrame, keys: list[str], prob: float = 0.95) -> DataFrame:
+    """Keys, lower and upper: the shortest interval between two draws with ``prob`` of them between; the first of equals."""
+    d = traces.groupBy(*keys).agg(F.sort_array(F.collect_list("value")).alias("v")).withColumn("n", F.size("v"))
+    gap = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.round(F.col("n") * prob).cast("int")))
+    spans = F.transform(
+        F.sequence(F.lit(1), F.col("n") - F.col("gap")),
+        lambda k: F.struct(F.round(F.element_at("v", k + F.col("gap")) - F.element_at("v", k), 10).alias("w"), k.alias("k")),
+    )
+    best = d.withColumn("gap", gap).filter("n > 1").withColumn("k", F.array_min(spans)["k"])
+    return best.select(*keys, F.round(F.element_at("v", F.col("k")), 6).alias("lower"), F.round(F.element_at("v", F.col("k") + F.col("gap")), 6).alias("upper"))
+
+
+def lag_correlation(traces: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys and the lag-1 autocorrelation: products of neighbours' deviations over the sum of squares."""
+    mean = F.avg("value").over(Window.partitionBy(*keys))
+    d = traces.withColumn("dev", F.col("value") - mean)
+    d = d.withColumn("before", F.lag("dev").over(Window.partitionBy(*keys).orderBy("iteration")))
+    return d.groupBy(*keys).agg(F.round(F.sum(F.col("dev") * F.col("before")) / F.sum(F.col("dev") * F.col("dev")), 6).alias("lag1"))
+
+
+#: Statuses of a quantity that was looked at, and of one that need not be.
+COMPUTED = ("computed", "computed_fewer_than_four_chains", "computed_partial", "constant_chain_mismatch")
+EXCLUDED = ("not_updated", "not_applicable", "structural_zero")
+
+
+def overview(diagnostics: DataFrame, quantity: str = "quantity") -> DataFrame:
+    """One row on a table of :func:`convergence`: its status, counts by status, and the worst quantities.
+
+    It is unavailable where nothing was computed, a warning where something is
+    flagged, partial where something was computed in part or not at all, else ok.
+    """
+    status, q = F.col("status"), F.col(quantity).cast("string")
+    computed, excluded = status.isin(*COMPUTED), status.isin(*EXCLUDED)
+    flagged = F.col("rhat_flag") | F.col("ess_flag") | F.col("mcse_flag")
+    known = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c), F.col(c))
+    count = lambda c: F.count(F.when(c, 1))
+    a = diagnostics.agg(
+        F.count("*").alias("n_quantities"),
+        count(computed).alias("n_computed"),
+        count(status == "computed_partial").alias("n_partial"),
+        count(~computed & ~excluded).alias("n_unavailable"),
+        count(flagged).alias("n_flagged"),
+        count(status == "constant_chain_mismatch").alias("n_constant_chain_mismatch"),
+        F.max(known("rhat")).alias("max_rhat"),
+        F.max_by(q, F.struct(known("rhat"), q)).alias("max_rhat_quantity"),
+        F.min(known("ess_bulk")).alias("min_ess_bulk"),
+        F.min(known("ess_tail")).alias("min_ess_tail"),
+    )
+    overall = F.when(F.col("n_computed") == 0, "unavailable").when(F.col("n_flagged") > 0, "warning")
+    return a.withColumn("overall_status", overall.when(F.col("n_partial") + F.col("n_unavailable") > 0, "partial").otherwise("ok"))
+
+
+def warnings(over: DataFrame, label: str = "fit") -> list[str]:
+    """What a user should look at, as text; nothing where all is well."""
+    r = over.first()
+    if r["overall_status"] == "ok":
+        return []
+    if r["overall_status"] == "unavailable":
+        return [f"{label}: convergence diagnostics are unavailable for all {r['n_quantities']} quantities"]
+    worst = "" if r["max_rhat"] is None else f"; largest R-hat {r['max_rhat']:.3f} ({r['max_rhat_quantity']})"
+    return [f"{label}: {r['overall_status']}, {r['n_flagged']} of {r['n_quantities']} quantities flagged{worst}"]
+
+
+def strongest(markers: DataFrame, *, min_pip: float | None = None, top_n: int | None = None) -> DataFrame:
+    """Rows of (trait, marker_idx, pip, ...) with a PIP of ``min_pip`` or more, and of them the ``top_n`` largest of each trait."""
+    d = markers.filter(F.col("pip").isNotNull() & ~F.isnan("pip"))
+    d = d if min_pip is None else d.filter(F.col("pip") >= min_pip)
+    if top_n is None:
+        return d
+    w = Window.partitionBy("trait").orderBy(F.col("pip").desc(), "marker_idx")
+    return d.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top_n).drop("place")
 
 
 def component_summary(probabilities: DataFrame, thresholds: tuple[float, ...] = (0.001, 0.01, 0.05, 0.5, 0.95)) -> DataFrame:

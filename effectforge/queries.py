@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectforge.functions.expressions import log_bayes_factor, logistic
-from effectforge.operators import finemap, genotypes, ld, multitrait, priors, samplers, simulate, summaries
+from effectforge.operators import controls, finemap, genotypes, ld, multitrait, priors, samplers, simulate, summaries
 from effectforge.streaming import incremental
 
 MARKERS, WINDOW, R2 = 64, 8, 0.001
@@ -223,11 +223,7 @@ def q09(spark: SparkSession, d: str) -> DataFrame:
         SELECT marker_idx, max(round((wy / ww) * (wy / ww), 10)) AS s FROM stats GROUP BY marker_idx)""",
 )
 def q10(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    s = F.col("wy") / F.col("ww")
-    strongest = _stats(spark, d).groupBy("marker_idx").agg(F.max(F.round(s * s, 10)).alias("s"))
-    return strongest.select("marker_idx", F.row_number().over(Window.orderBy(F.col("s").desc(), "marker_idx")).alias("place"))
+    return samplers.sweep_order(_stats(spark, d))
 
 
 @query(
@@ -237,14 +233,7 @@ def q10(spark: SparkSession, d: str) -> DataFrame:
         round(sum(effect * (wy - r)) / max(n) - sum(ww * effect * effect) / max(n), 6) AS vld FROM vals""",
 )
 def q11(spark: SparkSession, d: str) -> DataFrame:
-    b, n = F.col("effect"), F.max("n")
-    vg, vle = F.sum(b * (F.col("wy") - F.col("r"))) / n, F.sum(F.col("ww") * b * b) / n
-    return _values(spark, d).agg(
-        F.round(F.max("yy") - F.sum(b * (F.col("r") + F.col("wy"))), 4).alias("sse"),
-        F.round(vg, 6).alias("vg"),
-        F.round(vle, 6).alias("vle"),
-        F.round(vg - vle, 6).alias("vld"),
-    )
+    return samplers.quadratic_terms(_values(spark, d))
 
 
 @query(
@@ -351,10 +340,8 @@ def q21(spark: SparkSession, d: str) -> DataFrame:
     FROM p1 GROUP BY 1""",
 )
 def q22(spark: SparkSession, d: str) -> DataFrame:
-    p = _pips(spark, d)
-    return p.groupBy((F.col("marker_idx") % 4).alias("group")).agg(
-        F.count("*").alias("size"), F.count(F.when(F.col("pip") >= 0.1, 1)).alias("active"), F.round(F.avg("pip"), 8).alias("mean_pip")
-    )
+    states = _pips(spark, d).withColumn("active", F.col("pip") >= 0.1)
+    return samplers.group_counts(states, _markers(spark).select("marker_idx", (F.col("marker_idx") % 4).alias("group")))
 
 
 @query(
@@ -375,10 +362,15 @@ def q23(spark: SparkSession, d: str) -> DataFrame:
     return sticks.withColumn("pi", F.round("pi", 8))
 
 
-@query("q24_retention_plan", "SELECT k AS iteration FROM range(1, 101) t(k) WHERE k % 3 = 0")
+@query(
+    "q24_retention_plan",
+    """SELECT k::INT AS iteration, k % 3 = 0 AS retained, CASE WHEN k % 3 = 0 THEN k // 3 END::INT AS position, legacy FROM range(1, 101) t(k), (SELECT false AS legacy)
+    UNION ALL SELECT k::INT, (k - 1) % 3 = 0, CASE WHEN (k - 1) % 3 = 0 THEN (k - 1) // 3 + 1 END::INT, true FROM range(1, 101) t(k)""",
+)
 def q24(spark: SparkSession, d: str) -> DataFrame:
-    keep = priors.ChainControls(nit=100, nthin=3).retained()
-    return spark.createDataFrame([(k,) for k in keep], "iteration int")
+    plan = priors.ChainControls(nit=100, nthin=3)
+    both = [controls.retention_plan(spark, plan, legacy).withColumn("legacy", F.lit(legacy)) for legacy in (False, True)]
+    return both[0].unionByName(both[1])
 
 
 def _chains(spark: SparkSession, d: str) -> DataFrame:
@@ -509,8 +501,8 @@ def q33(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fit(spark: SparkSession, d: str, model: samplers.Model, operator: str = "csr") -> samplers.Fit:
-    controls = priors.ChainControls(nit=60, nburn=20, nchains=2, seed=7)
-    return samplers.fit_summary(_stats(spark, d), _edges(spark, d), model, controls, operator, block_size=16)
+    chains = priors.ChainControls(nit=60, nburn=20, nchains=2, seed=7)
+    return samplers.fit_summary(_stats(spark, d), _edges(spark, d), model, chains, operator, block_size=16)
 
 
 MIXTURE = (0.0, 0.01, 0.1, 1.0)
@@ -558,8 +550,8 @@ def q40(spark: SparkSession, d: str) -> DataFrame:
 @query("q41_genotype_fit")
 def q41(spark: SparkSession, d: str) -> DataFrame:
     panel, traits = _panel(spark, d)
-    controls = priors.ChainControls(nit=60, nburn=20, nchains=2, seed=7)
-    return samplers.fit_genotypes(panel, traits, samplers.Model(pi=(1 - PI, PI), adj_e=0.0), controls).posterior()
+    chains = priors.ChainControls(nit=60, nburn=20, nchains=2, seed=7)
+    return samplers.fit_genotypes(panel, traits, samplers.Model(pi=(1 - PI, PI), adj_e=0.0), chains).posterior()
 
 
 @query("q46_scheduled_fit")
@@ -569,8 +561,8 @@ def q46(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q42_joint_fit")
 def q42(spark: SparkSession, d: str) -> DataFrame:
-    controls = priors.ChainControls(nit=20, nburn=10, seed=7)
-    return multitrait.fit_providers(_stats(spark, d), _edges(spark, d), controls, vb=np.eye(2) * VB, vb_df=4.0, vb_scale=np.eye(2) * VB)
+    chains = priors.ChainControls(nit=20, nburn=10, seed=7)
+    return multitrait.fit_providers(_stats(spark, d), _edges(spark, d), chains, vb=np.eye(2) * VB, vb_df=4.0, vb_scale=np.eye(2) * VB)
 
 
 @query("q43_gsim")

@@ -14,25 +14,39 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from effectforge.sources.files import join_parts, remove, shared_path, uri, write_parts
+
 #: The header, and dosages of the 2-bit codes (1 is missing).
 MAGIC = b"\x6c\x1b\x01"
 CODES = np.array([2, -1, 1, 0], np.int8)
 
 
-def _uri(path: str) -> str:
-    return path if "://" in path else "file://" + path.removeprefix("file:")
-
-
 def decode(block: np.ndarray, n: int) -> np.ndarray:
     """Dosages (marker by sample) of packed rows, -1 for missing."""
     codes = (block[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3
     return CODES[codes.reshape(len(block), -1)[:, :n]]
 
 
+def write_bed(markers: DataFrame, path: str) -> None:
+    """A BED file of (marker_idx, dosages by sample), null for missing, in the order of the markers.
+
+    Tasks pack ranges of markers; their bytes are then copied after one another.
+    """
+
+    def pack(b: pa.RecordBatch) -> dict[str, bytes]:
+        flat = np.asarray(b.column(0).flatten().fill_null(-1)).astype(np.int8)
+        return {"bed": encode(flat.reshape(b.num_rows, -1))[len(MAGIC) :]}
+
+    folder = shared_path(markers.sparkSession, "bed")
+    parts = write_parts(markers.orderBy("marker_idx").select("dosages"), folder, pack)
+    join_parts(folder, parts, "bed", uri(path), MAGIC)
+    remove(folder)
+
+
 def encode(dosages: np.ndarray) -> bytes:
     """A whole BED file of dosages (marker by sample), -1 for missing."""
     table = np.array([3, 2, 0, 1], np.uint8)
@@ -51,7 +65,7 @@ class _Range(InputPartition):
 
 class BedReader(DataSourceReader):
     def __init__(self, path: str, n: int, samples: list[int] | None, columns: list[int] | None, block: int) -> None:
-        self.path, self.n, self.samples, self.columns, self.block = _uri(path), n, samples, columns, block
+        self.path, self.n, self.samples, self.columns, self.block = uri(path), n, samples, columns, block
 
     def _markers(self) -> int:
         fs, file = pafs.FileSystem.from_uri(self.path)

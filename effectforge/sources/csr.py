@@ -18,33 +18,36 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from effectforge.operators.ld import row_pointers
-from effectforge.sources.bed import _uri
+from effectforge.sources.files import join_parts, remove, shared_path, uri, write_parts
 
 #: Names of the files of the format.
 SUFFIXES = {"ptr": ".row_ptr.u64.bin", "idx": ".col_idx.u32.0based.bin", "val": ".values.f32.bin", "meta": ".meta.txt"}
 
 
 def write_csr(edges: DataFrame, markers: DataFrame, prefix: str, **meta) -> None:
-    """Export edges in marker order; a single stream, since the format is one file."""
-    fs, root = pafs.FileSystem.from_uri(_uri(prefix))
-    ptr = row_pointers(edges, markers).orderBy("i")
-    nnz, m = 0, 0
-    with fs.open_output_stream(root + SUFFIXES["ptr"]) as out:
-        out.write(np.zeros(1, "<u8").tobytes())
-        for row in ptr.toLocalIterator():
-            nnz, m = row["row_ptr"] + row["nnz"], m + 1
-            out.write(np.uint64(nnz).astype("<u8").tobytes())
-    with fs.open_output_stream(root + SUFFIXES["idx"]) as idx, fs.open_output_stream(root + SUFFIXES["val"]) as val:
-        for row in edges.orderBy("i", "j").select("j", "r").toLocalIterator():
-            idx.write(np.uint32(row["j"]).astype("<u4").tobytes())
-            val.write(np.float32(row["r"]).astype("<f4").tobytes())
+    """Export edges in marker order.
+
+    Sorted ranges of rows are encoded by the tasks, side by side; the format is one file of
+    each kind, so their bytes are then copied after one another.
+    """
+    folder = shared_path(edges.sparkSession, "csr")
+    rows = row_pointers(edges, markers).orderBy("i").select((F.col("row_ptr") + F.col("nnz")).alias("end"))
+    parts = write_parts(rows, folder, lambda b: {"ptr": np.asarray(b.column(0)).astype("<u8").tobytes()})
+    join_parts(folder, parts, "ptr", uri(prefix) + SUFFIXES["ptr"], np.zeros(1, "<u8").tobytes())
+    encode = lambda b: {"idx": np.asarray(b.column(0)).astype("<u4").tobytes(), "val": np.asarray(b.column(1)).astype("<f4").tobytes()}
+    ordered = write_parts(edges.orderBy("i", "j").select("j", "r"), folder, encode)
+    for kind in ("idx", "val"):
+        join_parts(folder, ordered, kind, uri(prefix) + SUFFIXES[kind])
+    remove(folder)
+    m, nnz = sum(p[2] for p in parts), sum(p[2] for p in ordered)
     lines = {"format": "csr", "storage": "upper", "n_variants": m, "nnz": nnz, "triangle": "upper", "diagonal": "implicit_one", "value": "r"} | meta
+    fs, root = pafs.FileSystem.from_uri(uri(prefix))
     with fs.open_output_stream(root + SUFFIXES["meta"]) as out:
         out.write("".join(f"{k}={v}\n" for k, v in lines.items()).encode())
 
 
 def read_meta(prefix: str) -> dict[str, str]:
-    fs, root = pafs.FileSystem.from_uri(_uri(prefix))
+    fs, root = pafs.FileSystem.from_uri(uri(prefix))
     with fs.open_input_stream(root + SUFFIXES["meta"]) as f:
         return dict(line.split("=", 1) for line in f.read().decode().splitlines() if "=" in line)
 
@@ -59,7 +62,7 @@ class CsrReader(DataSourceReader):
     """Partitions are ranges of rows; each reads its own slice of the three files."""
 
     def __init__(self, prefix: str, one_based: bool, block: int) -> None:
-        self.prefix, self.one_based, self.block = _uri(prefix), one_based, block
+        self.prefix, self.one_based, self.block = uri(prefix), one_based, block
 
     def partitions(self) -> list[InputPartition]:
         fs, root = pafs.FileSystem.from_uri(self.prefix)
@@ -100,27 +103,80 @@ class CsrDataSource(DataSource):
         return CsrReader(self.options["path"], self.options.get("one_based", "false").lower() == "true", int(self.options.get("block", "65536")))
 
 
+class BandedReader(DataSourceReader):
+    """Ranges of markers of a banded file: 2 * half_width + 1 float32 each, kept where |r| is above the limit."""
+
+    def __init__(self, path: str, half_width: int, min_abs_r: float, block: int) -> None:
+        self.path, self.half, self.limit, self.block = uri(path), half_width, min_abs_r, block
+
+    def _markers(self) -> int:
+        fs, root = pafs.FileSystem.from_uri(self.path)
+        size, stride = fs.get_file_info(root).size, 4 * (2 * self.half + 1)
+        if size % stride:
+            raise ValueError(f"{self.path} does not hold whole bands of {2 * self.half + 1}")
+        return size // stride
+
+    def partitions(self) -> list[InputPartition]:
+        m = self._markers()
+        return [_Rows(k, min(k + self.block, m)) for k in range(0, m, self.block)] or [_Rows(0, 0)]
+
+    def read(self, partition: _Rows) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(self.path)
+        width, m = 2 * self.half + 1, self._markers()
+        with fs.open_input_file(root) as f:
+            f.seek(4 * width * partition.start)
+            band = np.frombuffer(f.read(4 * width * (partition.end - partition.start)), "<f4").reshape(-1, width)
+        i, k = np.nonzero(np.abs(band) > self.limit)
+        value, i = band[i, k], i + partition.start
+        j = i + k - self.half
+        up = (j > i) & (j < m)
+        yield pa.RecordBatch.from_arrays([pa.array(i[up], pa.int32()), pa.array(j[up], pa.int32()), pa.array(value[up])], names=["i", "j", "r"])
+
+
+class BandedDataSource(DataSource):
+    """Options: path, half_width, min_abs_r, block (markers of a partition)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "ld_banded"
+
+    def schema(self) -> str:
+        return "i int, j int, r float"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return BandedReader(self.options["path"], int(self.options["half_width"]), float(self.options.get("min_abs_r", "0.01")), int(self.options.get("block", "4096")))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(CsrDataSource)
+    spark.dataSource.register(BandedDataSource)
 
 
 def read_banded(spark: SparkSession, path: str, half_width: int, min_abs_r: float = 0.01) -> DataFrame:
-    """Edges of a banded file: 2 * half_width + 1 float32 a marker, kept where |r| is above the limit."""
+    """Edges of a banded file, with |r| above the limit."""
+    register(spark)
+    return spark.read.format("ld_banded").options(half_width=half_width, min_abs_r=min_abs_r).load(path)
+
+
+def write_banded(edges: DataFrame, markers: DataFrame, path: str, half_width: int) -> None:
+    """A banded file of edges within ``half_width``, the diagonal 1, what is not listed 0."""
     width = 2 * half_width + 1
-    rows = spark.read.format("binaryFile").load(path).select("content")
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for raw in b.column(0).to_pylist():
-                band = np.frombuffer(raw, "<f4").reshape(-1, width)
-                i, k = np.nonzero(np.abs(band) > min_abs_r)
-                j = i + k - half_width
-                up = (j > i) & (j < len(band))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(i[up], pa.int32()), pa.array(j[up], pa.int32()), pa.array(band[i[up], k[up]])], names=["i", "j", "r"]
-                )
-
-    return rows.mapInArrow(decode, "i int, j int, r float")
+    both = edges.select("i", "j", "r").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    near = both.filter(F.abs(F.col("j") - F.col("i")) <= half_width).groupBy("i").agg(F.collect_list(F.struct((F.col("j") - F.col("i") + half_width).cast("int").alias("k"), F.col("r").cast("float").alias("r"))).alias("e"))
+    rows = markers.select(F.col("marker_idx").alias("i")).join(near, "i", "left").orderBy("i").select(F.coalesce("e", F.array().cast("array<struct<k:int,r:float>>")).alias("e"))
+
+    def encode(b: pa.RecordBatch) -> dict[str, bytes]:
+        lists = b.column(0)
+        edges_at = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        band = np.zeros((len(lists), width), "<f4")
+        band[:, half_width] = 1
+        flat = lists.flatten()
+        band[np.repeat(np.arange(len(lists)), np.diff(edges_at)), np.asarray(flat.field("k"))] = np.asarray(flat.field("r"))
+        return {"band": band.tobytes()}
+
+    folder = shared_path(edges.sparkSession, "banded")
+    join_parts(folder, write_parts(rows, folder, encode), "band", uri(path))
+    remove(folder)
 
 
 def subset(edges: DataFrame, markers: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from effectforge import api
-from effectforge.functions.expressions import normal_cdf, quantile_type8
-from effectforge.operators import finemap, genotypes, ld, multitrait, priors, samplers, simulate, summaries
-from effectforge.queries import ORACLE_SQL, QUERIES
+from effectforge.functions.expressions import normal_cdf, normal_quantile, quantile_type8
+from effectforge.operators import controls, finemap, genotypes, ld, multitrait, priors, samplers, simulate, summaries
+from effectforge.model_queries import ORACLE_SQL, QUERIES
 from effectforge.sources import bed, csr
 from effectforge.streaming import incremental
 
@@ -31,7 +31,7 @@ def cells(df):
     df = df[sorted(df.columns)]
     rows = []
     for row in df.itertuples(index=False):
-        rows.append(tuple("" if v is None or v != v else f"{v:.6g}" if isinstance(v, int | float | np.number) and not isinstance(v, bool) else str(v) for v in row))
+        rows.append(tuple("" if v is None or v is pd.NA or v != v else f"{v:.6g}" if isinstance(v, int | float | np.number) and not isinstance(v, bool) else str(v) for v in row))
     return sorted(rows)
 
 
@@ -287,7 +287,7 @@ def test_architectures(spark):
     assert sets.shape == (100, 5) and (sim.component > 0).sum() == 9
 
 
-def test_diagnostics():
+def test_diagnostics(spark):
     rng = np.random.default_rng(0)
     good = rng.standard_normal((500, 4))
     status, rhat, *_, = summaries.diagnose(good)
@@ -299,8 +299,9 @@ def test_diagnostics():
     assert {k: summaries.diagnose(v)[0] for k, v in cases.items()} == {k: k for k in cases}
     assert summaries.diagnose(np.tile([0.0, 1.0, 2.0, 3.0], (20, 1)))[0] == "constant_chain_mismatch"
     assert summaries.diagnose(good[:, :3])[0] == "computed_fewer_than_four_chains"
-    low, high = summaries.hpd(np.exp(good.ravel()))
-    assert low < 0.2 and high < np.quantile(np.exp(good), 0.975)
+    draws = spark.createDataFrame([(0, k, float(v)) for k, v in enumerate(np.exp(good.ravel()))], "chain int, iteration int, value double")
+    r = summaries.hpd(draws, ["chain"]).first()
+    assert r["lower"] < 0.2 and r["upper"] < np.quantile(np.exp(good), 0.975)
 
 
 def test_expressions(spark):
@@ -345,3 +346,137 @@ def test_streaming_equals_batch(spark, sf, tmp_path):
         spark.table("sums").toPandas().sort_values(key).reset_index(drop=True),
         incremental.running_allele_sums(panel).toPandas().sort_values(key).reset_index(drop=True),
     )
+
+
+def small_problem(m=24, n=400, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, m))
+    for j in range(1, m):
+        x[:, j] = 0.4 * x[:, j - 1] + np.sqrt(1 - 0.16) * x[:, j]
+    x = (x - x.mean(0)) / x.std(0)
+    b = np.zeros(m)
+    b[[2, 9, 17]] = (0.5, -0.4, 0.3)
+    y = x @ b + rng.standard_normal(n)
+    corr = x.T @ x / n
+    i, j = np.triu_indices(m, 1)
+    return x.T @ y, np.full(m, float(n)), i, j, corr[i, j], float(y @ y), float(n)
+
+
+@pytest.mark.parametrize("kind", ["csr", "low_rank", "hard_truncate", "ridge_fixed", "ridge_lw"])
+def test_operators_agree(kind):
+    """Every operator keeps its residual as a rebuild gives it, and scores as its own X'X says."""
+    wy, ww, i, j, r, _, _ = small_problem()
+    op = samplers.build_operator(kind, wy, ww, i, j, r, 8, {"eta": 0.1, "weight": 0.05, "eigen_prop": 0.999})
+    rng = np.random.default_rng(1)
+    parts = op.segments(rng.permutation(len(wy)))
+    assert sorted(np.concatenate(parts).tolist()) == list(range(len(wy)))
+    b = np.zeros(len(wy))
+    for k in rng.integers(0, len(wy), 30):
+        change = rng.normal()
+        op.move(int(k), change)
+        b[k] += change
+    moved = op.residual().copy()
+    scores = np.concatenate([op.scores(p) for p in parts])
+    assert np.allclose(scores, moved[np.concatenate(parts)])
+    op.set_effects(b)
+    assert np.allclose(op.residual(), moved, rtol=1e-6, atol=1e-5)
+
+
+@pytest.mark.parametrize("more", [{}, {"skip_nulls": 4}, {"swap": True, "swap_r2": 0.1, "swap_prob": 0.5}])
+def test_wide_sweeps_are_the_same(more, monkeypatch):
+    """Looking at many markers at once gives the draws of one at a time, but for those that scheduling adds."""
+    wy, ww, i, j, r, yy, n = small_problem()
+    model = samplers.Model(pi=(0.8, 0.2), **more)
+    out = []
+    for width in (1, 64):
+        monkeypatch.setattr(samplers, "WIDTH", width)
+        monkeypatch.setattr(samplers, "MOST_WIDTH", width)
+        out.append(samplers.sample(samplers.CsrOperator(wy, ww, i, j, r), yy, n, model, priors.ChainControls(nit=400, nburn=50), 5))
+    assert np.allclose(out[0]["pip"], out[1]["pip"], atol=0.15 if more.get("skip_nulls") else 1e-12)
+    assert out[1]["pip"][[2, 9, 17]].min() > 0.9
+
+
+@pytest.mark.parametrize("policy,mode", [("fixed_block", "fixVe"), ("gctb_block", "samVe"), ("gctb_block", "allMixVe"), ("gctb_block", "mixVe")])
+def test_block_policies(policy, mode):
+    wy, ww, i, j, r, yy, n = small_problem()
+    op = samplers.build_operator("low_rank", wy, ww, i, j, r, 8)
+    model = samplers.Model(pi=(0.8, 0.2), adj_e=0.0, block_policy=policy, block_mode=mode)
+    out = samplers.sample(op, yy, n, model, priors.ChainControls(nit=150, nburn=50), 5)
+    assert out["pip"][[2, 9]].min() > 0.8
+    with pytest.raises(ValueError):
+        samplers.sample(samplers.CsrOperator(wy, ww, i, j, r), yy, n, model, priors.ChainControls(nit=1, nburn=0), 5)
+
+
+def test_block_selection():
+    chosen = lambda mode, it, vg, ss, was=False: samplers.block_selected(mode, it, vg, ss, 1.1, was)
+    assert chosen("fixVe", 9, 1, 9) == (False, False) and chosen("samVe", 0, 0, 0)[0]
+    assert chosen("allMixVe", 0, 1, 1.2)[0] and not chosen("allMixVe", 0, 1, 1.0)[0] and not chosen("allMixVe", 0, 0, 1)[0]
+    assert chosen("mixVe", 49, 1, 2) == (False, False) and chosen("mixVe", 50, 1, 2) == (True, True)
+    assert chosen("mixVe", 51, 0, 0, True) == (True, True) and chosen("mixVe", 51, 1, 2, False) == (False, False)
+    with pytest.raises(ValueError):
+        chosen("other", 0, 1, 1)
+
+
+def test_learned_annotations():
+    """An annotation of the causal markers learns a positive effect on inclusion; the base moves by a slice step."""
+    wy, ww, i, j, r, yy, n = small_problem()
+    a = np.zeros((len(wy), 1))
+    a[[2, 9, 17, 5]] = 1
+    extra = {"annotations": a, "rw_sd": 0.5, "learn_vb": True}
+    model = samplers.Model(pi=(0.9, 0.1), pi_strength=10.0, policy="learned_logistic", extra=extra)
+    out = samplers.sample(samplers.CsrOperator(wy, ww, i, j, r), yy, n, model, priors.ChainControls(nit=600, nburn=200), 5)
+    assert out["prior"].coef[0, 0] > 0 and out["pip"][[2, 9]].min() > 0.9 and np.isfinite(out["prior"].base)
+    rng = np.random.default_rng(0)
+    x, draws = 0.0, []
+    for _ in range(4000):
+        x = samplers.slice_draw(rng, lambda v: -0.5 * (v - 2.0) ** 2 / 0.25, x)
+        draws.append(x)
+    assert abs(np.mean(draws) - 2) < 0.1 and abs(np.std(draws) - 0.5) < 0.1
+
+
+def test_normal_quantile(spark):
+    from statistics import NormalDist
+
+    ps = [1e-15, 1e-9, 0.001, 0.02, 0.3, 0.5, 0.8, 0.999999, 1.0]
+    got = spark.createDataFrame([(p,) for p in ps], "p double").select(normal_quantile(F.col("p"))).collect()
+    for p, r in zip(ps, got, strict=True):
+        assert r[0] == pytest.approx(NormalDist().inv_cdf(min(max(p, 1e-12), 1 - 1e-12)), abs=1e-9)
+
+
+def test_controls(spark):
+    good = dict(model="bayesr", gamma=(0.0, 0.1), pi=(0.9, 0.1), nub=4.0, nue=4.0, h2=0.3, nit=10, nthin=1, nchains=1)
+    assert controls.validate_spec(spark, good).filter("not ok").count() == 0
+    text = controls.report(controls.validate_spec(spark, good | {"pi": (0.9, 0.2), "h2": 1.5}))
+    assert text.startswith("7 checks, 2 failed") and "FAIL simplex: probabilities add up to 1" in text
+    rows = spark.createDataFrame([(0, None, None, None, 0.1), (1, 0.2, 0.7, None, 0.2)], "marker_idx int, explicit_maf double, gwas_af double, analysis_maf double, reference_maf double")
+    with pytest.raises(ValueError, match="no allele frequencies"):
+        controls.effect_maf(rows)
+    assert {r["source"] for r in controls.effect_maf(rows, allow_reference=True).collect()} == {"reference_panel"}
+    catalog = spark.createDataFrame([(1, "a", 0, 0)], "chr int, marker_id string, marker_idx int, bed_column int")
+    with pytest.raises(ValueError, match="does not know"):
+        controls.resolve_markers(spark.createDataFrame([("b",)], "marker_id string"), catalog)
+    labels = spark.createDataFrame([(0, "x"), (1, "y")], "marker_idx int, label string")
+    with pytest.raises(ValueError, match="are not the groups"):
+        priors.group_index(labels, ["x", "y", "z"])
+    twins = spark.createDataFrame([(k, n, float(k * f)) for k in range(5) for n, f in (("a", 1), ("b", 2))], "marker_idx int, annotation string, value double")
+    with pytest.raises(ValueError, match="determine each other"):
+        priors.centred_annotations(twins)
+
+
+def test_overview_and_warnings(spark):
+    rows = [("a", "computed", 1.2, 50.0, 40.0, True), ("b", "computed", 1.0, 500.0, 400.0, False), ("c", "not_updated", None, None, None, False)]
+    d = spark.createDataFrame(rows, "quantity string, status string, rhat double, ess_bulk double, ess_tail double, rhat_flag boolean")
+    d = d.withColumn("ess_flag", F.lit(False)).withColumn("mcse_flag", F.lit(False))
+    over = summaries.overview(d)
+    r = over.first()
+    assert (r["overall_status"], r["n_computed"], r["n_unavailable"], r["max_rhat_quantity"]) == ("warning", 2, 0, "a")
+    assert summaries.warnings(over, "fit x")[0].startswith("fit x: warning, 1 of 3") and summaries.warnings(summaries.overview(d.filter("not rhat_flag"))) == []
+    assert summaries.overview(d.limit(0)).first()["overall_status"] == "unavailable"
+
+
+def test_force_correlation():
+    x = np.random.default_rng(2).standard_normal((200, 3))
+    target = np.array([[1, 0.5, 0.1], [0.5, 1, -0.3], [0.1, -0.3, 1]])
+    assert np.allclose(np.corrcoef(simulate.force_correlation(x, target), rowvar=False), target)
+    with pytest.raises(ValueError):
+        simulate.force_correlation(x, np.ones((3, 3)))
