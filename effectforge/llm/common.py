@@ -16,11 +16,13 @@ _own_dirs: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (local tests) a temporary folder is made and
-    set; on a cluster the setting always wins.
+    Where the session names none, a local one (as in tests) gets a temporary
+    folder; a cluster's executors would not share it, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="effectforge-")
         _own_dirs.append(found)
         atexit.register(shutil.rmtree, found, ignore_errors=True)
@@ -49,16 +51,31 @@ def _delete(spark: SparkSession, where: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Shuffle files of a statement go when it ends, where this is on.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor, and gives the
-    planner true sizes for what follows.
+    planner true sizes for what follows.  The shuffle files of the write are of
+    no more use and go at once.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
@@ -74,10 +91,10 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`materialize`."""
-    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        _delete(df.sparkSession, folder)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`materialize`; what reads them must be written first."""
+    for df in tables:
+        _delete(df.sparkSession, df.scratch_path)
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -95,6 +112,15 @@ def bare(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def row_order(df: DataFrame) -> Column:
+    """A hash of the whole row, to order rows that repeat a key alike in every run.
+
+    Maps and variants have no hash and are left out.
+    """
+    kinds = [(f.name, f.dataType.simpleString()) for f in df.schema]
+    return F.xxhash64(F.lit(0), *[F.col(f"`{n}`") for n, kind in kinds if "map<" not in kind and "variant" not in kind])
+
+
 def spark_words(text: Column) -> Column:
     """SQL form of ``[^\\x20\\x09-\\x0D]+`` as an array; null text has no words."""
     return F.filter(

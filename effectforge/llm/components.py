@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from effectforge.llm.common import discard, materialize
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(hi, lo))"), F.sum(F.col("lo").cast("decimal(38,0)"))).first()
-    return tuple(r)
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down and none up, or edges up alone: then its component is done."""
+    ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("lo").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    per = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not per.filter("down > 1 or down = 1 and up = 1").limit(1).count()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -45,14 +49,12 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder.  No edges give no rows.
     """
     now = materialize(edges.select("hi", "lo").distinct(), "cc-edges")
-    mark = _mark(now)
-    while mark[0]:
+    while not _stars(now):
         wide = _star(now, large=True)
         discard(now)
         now = _star(wide, large=False)
         discard(wide)
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
     pairs = now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-    return pairs.unionByName(pairs.select(F.col("root").alias("node"), "root").distinct())
+    found = materialize(pairs.unionByName(pairs.select(F.col("root").alias("node"), "root").distinct()), "cc-roots")
+    discard(now)
+    return found

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from effectforge.llm.common import bare, fresh, materialize
+from effectforge.llm.common import bare, fresh, materialize, row_order
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -160,27 +160,26 @@ def take_mix(docs: DataFrame, **params) -> DataFrame:
     """The documents of the mix with the columns of ``docs`` and ``copies``.
 
     A document that the mix takes no copy of is left out; one without words
-    comes with the certain copies of its source, if any.
+    comes with the certain copies of its source, if any.  Of rows equal in id, source
+    and size, which has how many copies follows a hash of the row.  A column that is
+    named ``copies`` already stays, and the new one has another name; an empty table
+    gives no rows.
     """
-    plan = materialize(
-        round_copies(docs, **params).select(
-            F.col("doc_id").alias("__mix_id"),
-            F.col("source").alias("__mix_source"),
-            F.col("size").alias("__mix_size"),
-            F.col("rep").alias("__mix_rep"),
-            "copies",
-        ),
-        "mix-plan",
+    names = {c: fresh(docs, c) for c in ("mix_id", "mix_source", "mix_size", "mix_rep", "size", "rep")}
+    plan = round_copies(docs, **params).select(
+        F.col("doc_id").alias(names["mix_id"]),
+        F.col("source").alias(names["mix_source"]),
+        F.col("size").alias(names["mix_size"]),
+        F.col("rep").alias(names["mix_rep"]),
+        F.col("copies").alias("copies" if "copies" not in map(str.lower, docs.columns) else fresh(docs, "copies")),
     )
-    twice = plan.filter("__mix_rep > 0").limit(1).count() > 0
-    plan = plan.filter("copies > 0")
-    if "copies" in docs.columns:
-        plan = plan.withColumnRenamed("copies", fresh(docs, "copies"))
-    size, rep = fresh(docs, "size"), fresh(docs, "rep")
-    d = docs.withColumn(size, word_count(F.col("text").cast("string")))
-    same = d["doc_id"].eqNullSafe(plan["__mix_id"]) & d["source"].eqNullSafe(plan["__mix_source"]) & (d[size] == plan["__mix_size"])
+    plan = materialize(plan, "mix-plan")
+    twice = plan.filter(F.col(names["mix_rep"]) > 0).limit(1).count() > 0
+    plan = plan.filter(F.col(plan.columns[-1]) > 0)
+    d = docs.withColumn(names["size"], word_count(F.col("text").cast("string")))
+    same = d["doc_id"].eqNullSafe(plan[names["mix_id"]]) & d["source"].eqNullSafe(plan[names["mix_source"]]) & (d[names["size"]] == plan[names["mix_size"]])
     if twice:
-        key = Window.partitionBy("doc_id", "source", size).orderBy(F.lit(1))
-        d = d.withColumn(rep, F.row_number().over(key).cast("bigint") - 1)
-        same = same & (d[rep] == plan["__mix_rep"])
-    return d.join(plan, same).drop(size, rep, "__mix_id", "__mix_source", "__mix_size", "__mix_rep")
+        key = Window.partitionBy("doc_id", "source", names["size"]).orderBy(row_order(docs))
+        d = d.withColumn(names["rep"], F.row_number().over(key).cast("bigint") - 1)
+        same = same & (d[names["rep"]] == plan[names["mix_rep"]])
+    return d.join(plan, same).drop(*names.values())

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from effectforge.llm.common import bare, fresh, materialize, small_batches
+from effectforge.llm.common import bare, fresh, materialize, row_order, small_batches
 from effectforge.llm.components import components
 
 BLOCKS, BLOCK_BITS, PIVOTS = 4, 16, 12
@@ -122,18 +122,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each row of ``kept`` (id, and hash of the text if it has one)."""
+    """One row of ``docs`` for each row of ``kept`` (id, and hash of the text if it has one): of several the least by a hash."""
     names = {c: fresh(docs, c) for c in ("number", "null", "hash", "n")}
     d = docs.withColumn(names["number"], F.coalesce("doc_id", F.lit(0))).withColumn(names["null"], F.col("doc_id").isNull())
     keys = [names["number"], names["null"]]
-    k = kept.withColumn("__kept_number", F.coalesce("id", F.lit(0))).withColumn("__kept_null", F.col("id").isNull())
-    same = (d[keys[0]] == k["__kept_number"]) & (d[keys[1]] == k["__kept_null"])
+    k = kept.withColumn("kept_number", F.coalesce("id", F.lit(0))).withColumn("kept_null", F.col("id").isNull())
+    same = (d[keys[0]] == k["kept_number"]) & (d[keys[1]] == k["kept_null"])
     if "hash" in kept.columns:
         d = d.withColumn(names["hash"], F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
         keys.append(names["hash"])
         same = same & (d[names["hash"]] == k["hash"])
     d = d.join(k, same, "left_semi")
-    w = Window.partitionBy(*keys).orderBy(F.lit(1))
+    w = Window.partitionBy(*keys).orderBy(row_order(docs))
     return d.withColumn(names["n"], F.row_number().over(w)).filter(F.col(names["n"]) == 1).drop(names["n"], *keys)
 
 

@@ -9,7 +9,7 @@ def test_scratch(spark):
     d = common.materialize(spark.range(5), "x")
     other = common.materialize(spark.range(0), "y")
     assert d.count() == 5 and other.count() == 0 and other.columns == ["id"]
-    folder = d.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    folder = d.scratch_path.removeprefix("file://")
     assert os.path.isdir(folder) and spark.sparkContext.applicationId in folder
     common.discard(d)
     assert not os.path.exists(folder)

@@ -101,3 +101,29 @@ def test_mix_stage(stages):
         taken[r["source"]] += r["copies"] * len(words(r["text"]))
     for s, target in shares(sizes).items():
         assert abs(taken[s] - target) <= largest[s]
+
+
+ODD = [
+    (None, None, None, "x", 1),
+    (None, "a text with a null id and enough words to be kept by the rules of quality here", "s", None, 2),
+    (1, "", "s", "x", 3),
+    (2, "the same row comes twice and has enough words to be kept by the rules", "s", "x", 4),
+    (2, "the same row comes twice and has enough words to be kept by the rules", "s", "x", 4),
+    (2, "another text of the same id that has enough words to be kept by the rules too", None, "y", 5),
+    (3, "word " * 30_000, "s", "x", 6),
+]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_odd_tables(spark, sf, name, stage):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and clashing columns pass every stage; an empty table gives no rows."""
+    columns = "doc_id bigint, text string, source string, copies string, `__mix_id` int"
+    d = spark.createDataFrame(ODD, columns)
+    out = stage(spark, d, sf).collect()
+    ids = sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in out)
+    expected = {"quality": 4, "lines": 7, "simhash": 5, "decontaminate": 7}
+    assert len(out) == expected.get(name, len(out)) and (name == "mix" or out[0].asDict().keys() == set(d.columns))
+    assert name != "simhash" or ids == [(False, 0), (True, 1), (True, 2), (True, 2), (True, 3)]
+    if name == "mix":
+        assert {"doc_id", "text", "source", "copies", "__mix_id"} < out[0].asDict().keys()
+    assert name == "simhash" or stage(spark, d.limit(0), sf).count() == 0
