@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from effectforge.llm.common import bare, materialize
+from effectforge.llm.common import bare, discard, materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules held as one expression; a longer list is joined.
@@ -122,17 +122,20 @@ def _unlabelled(children: DataFrame, z: float) -> DataFrame:
 def path_templates(
     urls: DataFrame,
     *,
-    max_depth: int = 4,
+    max_depth: int = 32,
     min_labels: int = 5,
     z: float = 1.96,
 ) -> DataFrame:
     """``urls`` (host, path, label, ...) with ``template``: the branch of each path.
 
-    label is 1 for block, 0 for allow, null for none.  Segments below
-    ``max_depth`` fall to one wildcard.
+    label is 1 for block, 0 for allow, null for none.  The tree is as deep as the deepest
+    path with a label; what lies deeper, where nothing is known, is one wildcard, and so
+    are segments below ``max_depth``, which only bounds the rounds.
     """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = urls.withColumn("segments", segments).withColumn("template", F.lit(""))
+    rows = materialize(urls.withColumn("segments", segments).withColumn("template", F.lit("")), "url-rows")
+    deepest = rows.filter("label is not null").agg(F.max(F.size("segments"))).first()[0] or 0
+    max_depth = min(max_depth, deepest)
     counts = [
         F.count("*").alias("n"),
         F.count("label").alias("labelled"),
@@ -142,6 +145,7 @@ def path_templates(
         here = rows.filter(F.size("segments") > depth).withColumn("segment", F.col("segments")[depth])
         children = here.groupBy("host", "template", "segment").agg(*counts)
         children = materialize(children, "url-children")
+        before = rows
         enough = F.col("labelled") >= min_labels
         kept = _merge_similar(children.filter(enough), z).unionByName(_unlabelled(children.filter(~enough), z))
         kept = materialize(kept, "url-branches")
@@ -156,6 +160,8 @@ def path_templates(
             )
             .drop("segment", "branch")
         )
+        rows = materialize(rows, "url-rows")
+        discard(before, children, kept)
     deeper = F.size("segments") > max_depth
     return rows.withColumn("template", F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segments")
 
@@ -190,7 +196,7 @@ def judge_templates(
 
 
 def filter_urls(
-    pages: DataFrame, rules: list[tuple[str, str]], *, labels: DataFrame | None = None, max_depth: int = 4, **judging
+    pages: DataFrame, rules: list[tuple[str, str]], *, labels: DataFrame | None = None, max_depth: int = 32, **judging
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for each page.
 
