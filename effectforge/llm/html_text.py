@@ -1,9 +1,11 @@
 """Main text of web pages with site template removal.
 
-A first pass hashes the element subtrees of every page; Spark counts in how many
-different pages of a host, of a section and at which place each hash occurs; a
-second pass deletes the subtrees that significantly recur, drops the elements that
-are never article text, and joins the blocks that are left.
+A first pass hashes the element subtrees of every page, by their text, and outside
+the article also by their shape: tags, class names and place, with text reduced to
+whether there is any.  Spark counts in how many different pages of a host, of a
+section and at which place each hash occurs; a second pass deletes the subtrees
+that significantly recur, drops the elements that are never article text, and
+joins the blocks that are left.
 """
 
 from __future__ import annotations
@@ -50,10 +52,20 @@ NAMES = frozenset(
     "discussion disqus respond related recommended share sharing social pagination pager skip".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S
-)
+#: Elements of the head; any other one ends it.
+HEAD = frozenset("base head link meta noscript script style template title".split())
+#: Containers that a shape is taken of.
+SHAPED = frozenset("aside center details dialog dir div dl fieldset figure footer form header hgroup menu nav ol section table ul".split())
+#: Never text, whatever is asked for.
+MUTE = frozenset("head script style title noscript template iframe object embed svg math canvas audio video map textarea select noembed noframes xmp".split())
+#: Dropped elements that may wrap a whole page.
+WRAPS = frozenset("form fieldset dialog".split())
+
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"=\s*([\"'])|>")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_CLASS = re.compile(r"(?:^|\s)class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"[a-z0-9]+")
 
 
@@ -65,62 +77,140 @@ class Node:
     attrs: str = ""
     children: list = field(default_factory=list)
     digest: int = 0
+    shape: int = 0
     size: int = 0
     frame: bool = False
+    side: bool = False
+
+
+class _Tree:
+    """The open elements, and where among them those of each tag are."""
+
+    def __init__(self) -> None:
+        self.root = Node("#root")
+        self.stack = [self.root]
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def text(self, piece: str) -> None:
+        if self.stack[-1].tag == "head" and piece.strip():
+            self.cut(len(self.stack) - 1)
+        self.stack[-1].children.append(piece)
+
+    def open(self, node: Node) -> None:
+        self.stack[-1].children.append(node)
+        self.where.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        """Close the elements from a place on."""
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.where[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """The innermost open element of the tags; 0 for none."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
+
+    def end(self, tag: str) -> None:
+        """An end tag; that of an inline element does not close a block inside it."""
+        at = self.last((tag,))
+        if at and (tag in BLOCK or not self.blocks or self.blocks[-1] < at):
+            self.cut(at)
+
+    def imply(self, tags, shields) -> None:
+        """Close the innermost of the tags, unless a shield is inside it."""
+        at = self.last(tags)
+        if at and at > self.last(shields):
+            self.cut(at)
+
+    def before(self, tag: str) -> None:
+        """What a start tag ends."""
+        if tag not in HEAD and self.where.get("head"):
+            self.cut(self.where["head"][0])
+        if tag in CLOSES_P:
+            self.imply(("p",), ("button", "table", "article", "section", "div", "blockquote", "li", "dd"))
+        if tag in SIBLINGS:
+            self.imply(*SIBLINGS[tag])
+        elif tag in ("article", "main"):
+            if found := [self.where[t][0] for t in ("nav", "head", "ul", "header", "footer", "aside") if self.where.get(t)]:
+                self.cut(min(found))
+
+
+def _tag_end(page: str, at: int, quoted: bool) -> tuple[int, bool]:
+    """Where a tag's ``>`` is, -1 for nowhere; and whether quotes still hide one.
+
+    The first quote without an end in the page ends that for good: a scan that
+    reaches the end of the page happens once, so parsing takes linear time.
+    """
+    pos = at
+    while quoted:
+        m = _STOP.search(page, pos)
+        if m and m[0] == ">":
+            return m.start(), True
+        close = page.find(m[1], m.end()) if m else -1
+        quoted = close >= 0
+        pos = close + 1
+    return page.find(">", at), False
 
 
 def parse(page: str) -> Node:
-    """A tree of the page; what is not closed is closed where HTML implies it."""
-    root = Node("#root")
-    stack = [root]
-    at, size = 0, len(page)
-    match = _TOKEN.match
+    """A tree of the page; what is not closed is closed where HTML implies it.
+
+    Every step goes on from where the last one ended.  Text that no ``>`` follows
+    holds no tags.
+    """
+    tree = _Tree()
+    at, size, quoted = 0, len(page), True
     while at < size:
-        m = match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                stack[-1].children.append(piece)
+        start = page.find("<", at)
+        if start != at:
+            tree.text(page[at : start if start >= 0 else size])
+            if start < 0:
+                break
+            at = start
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        m = _OPEN.match(page, at)
+        if not m:
+            end = page.find(">", at) if page[at + 1 : at + 2] in ("!", "?", "/") else at
+            if end < 0:
+                tree.text(page[at:].partition("<!--")[0])
+                break
+            if end == at:
+                tree.text("<")
+            at = end + 1
             continue
-        tag = tag.lower()
+        end, quoted = _tag_end(page, m.end(), quoted) if not m[1] else (page.find(">", m.end()), quoted)
+        if end < 0:
+            tree.text(page[at:].partition("<!--")[0])
+            break
+        tag, attrs, at = m[2].lower(), page[m.end() : end], end + 1
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            tree.end(tag)
             continue
-        if tag in CLOSES_P:
-            _close(stack, {"p"}, {"button", "table", "article", "section", "div", "blockquote", "li", "dd"})
-        if tag in SIBLINGS:
-            _close(stack, *SIBLINGS[tag])
-        elif tag in ("article", "main"):
-            for k in range(1, len(stack)):
-                if stack[k].tag in ("article", "main", "section", "div"):
-                    continue
-                if stack[k].tag in ("nav", "head", "ul", "header", "footer", "aside"):
-                    del stack[k:]
-                    break
-        elif tag == "body" and stack[-1].tag == "head":
-            stack.pop()
-        node = Node(tag, m[3])
-        stack[-1].children.append(node)
+        tree.before(tag)
+        node = Node(tag, attrs)
         if tag in RAW:
-            end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-    return root
+            tree.stack[-1].children.append(node)
+            close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
+            end = page.find(">", close.end()) if close else -1
+            at = end + 1 if end >= 0 else size
+        elif tag in VOID or attrs.endswith("/"):
+            tree.stack[-1].children.append(node)
+        else:
+            tree.open(node)
+    return tree.root
 
 
-def _close(stack: list[Node], tags: set[str], shields: set[str]) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in shields:
-            return
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
 def hash_subtrees(root: Node) -> list[tuple[int, int]]:
@@ -128,7 +218,9 @@ def hash_subtrees(root: Node) -> list[tuple[int, int]]:
 
     A digest covers tags and text, with white space folded, not attributes.  A
     place is the tags from the root, each numbered among its siblings of the tag.
-    The page's own frame (html, head, body) is not listed.
+    The page's own frame (html, head, body) is not listed.  Containers at the side
+    of the article (see :func:`mark_frame`) have one more digest, of their place and
+    shape: a run of children of one shape counts as one of them.
     """
     found: set[tuple[int, int]] = set()
     order, todo = [], [(root, 0)]
@@ -139,25 +231,40 @@ def hash_subtrees(root: Node) -> list[tuple[int, int]]:
         for c in node.children:
             if type(c) is Node:
                 seen[c.tag] = number = seen.get(c.tag, 0) + 1
-                todo.append((c, xxhash.xxh64_intdigest(f"{place}/{c.tag}/{number}") - (1 << 63)))
+                todo.append((c, _hash(f"{place}/{c.tag}/{number}")))
+    shapes: dict[int, int] = {}
     for node, place in reversed(order):
-        parts = [node.tag]
+        parts, shape = [node.tag], []
         for c in node.children:
             if type(c) is Node:
                 parts.append(f"\x01{c.digest}")
+                now = shapes.pop(id(c))
             elif text := " ".join(c.split()):
                 parts.append(text)
-        node.digest = xxhash.xxh64_intdigest("\x02".join(parts)) - (1 << 63)
+                now = 0
+            else:
+                continue
+            if not shape or shape[-1] != now:
+                shape.append(now)
+        node.digest = _hash("\x02".join(parts))
+        name = _CLASS.search(node.attrs) if node.attrs else None
+        name = _DIGITS.sub("0", "".join(x or "" for x in name.groups())) if name else ""
+        shapes[id(node)] = _hash(f"{node.tag}\x01{name}\x01{shape}")
         if len(parts) > 1 and node.tag in BLOCK and node.tag not in ("html", "body"):
             found |= {(0, node.digest), (place, node.digest)}
+            if node.side:
+                node.shape = _hash(f"{place}\x03{shapes[id(node)]}")
+                found.add((0, node.shape))
     return sorted(found)
 
 
 def mark_frame(root: Node) -> None:
-    """Mark the elements that no class or id may drop.
+    """Mark the elements that nothing may drop, and the containers at the side of the article.
 
-    They are body, main and article, what holds a main or the longest article, and
-    without either what holds most of the text.
+    The frame is body, main and article, what holds a main or the longest article, and
+    without either what holds most of the text.  The article is the longest one, or
+    the main, or the innermost element that holds most of the text; containers neither
+    in it nor in another article, nor of the frame, are at its side.
     """
     order, todo = [], [(root, None)]
     while todo:
@@ -166,17 +273,32 @@ def mark_frame(root: Node) -> None:
         todo.extend((c, node) for c in node.children if type(c) is Node)
     for node, parent in reversed(order):
         node.size += sum(len("".join(c.split())) for c in node.children if type(c) is str)
-        if parent and node.tag not in DROP:
+        if parent and (node.tag not in DROP or node.tag in WRAPS):
             parent.size += node.size
     longest = max((n for n, _ in order if n.tag == "article"), key=lambda n: n.size, default=None)
-    named = longest is not None or any(n.tag == "main" for n, _ in order)
+    main = next((n for n, _ in order if n.tag == "main"), None)
+    named, content = longest or main, longest or main or root
+    for node, _ in order:
+        if named is None and 2 * node.size > root.size and (node.tag not in DROP or node.tag in WRAPS):
+            node.frame = True
+            content = node
     for node, parent in reversed(order):
-        node.frame |= node.tag in ("html", "body", "main", "article") or not named and 2 * node.size > root.size
+        node.frame |= node.tag in ("html", "body", "main", "article")
         if parent and (node is longest or node.tag == "main" or node.frame and node.tag not in ("article", "main")):
             parent.frame = True
+    todo = [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        inside = inside or node is content or node.tag in ("article", "main")
+        node.side = not inside and not node.frame and node.tag in SHAPED
+        todo.extend((c, inside) for c in node.children if type(c) is Node)
 
 
-def _dropped(node: Node) -> bool:
+def _dropped(node: Node, lists: bool) -> bool:
+    if node.tag in MUTE:
+        return True
+    if node.frame or not lists:
+        return False
     if node.tag in DROP:
         return True
     if not node.attrs:
@@ -187,13 +309,17 @@ def _dropped(node: Node) -> bool:
             return True
         if name == "role" and value.strip() in ROLES:
             return True
-        if name in ("class", "id") and not node.frame and not NAMES.isdisjoint(_NAME.findall(value)):
+        if name in ("class", "id") and not NAMES.isdisjoint(_NAME.findall(value)):
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
 
 
+def _template(node: Node, templates: frozenset[int]) -> bool:
+    return node.digest in templates or node.side and node.shape in templates
+
+
 def _roots(root: Node, tag: str, templates: frozenset[int]) -> list[Node]:
     """Outermost kept elements of one tag, in page order."""
     found, todo = [], [root]
@@ -202,11 +328,11 @@ def _roots(root: Node, tag: str, templates: frozenset[int]) -> list[Node]:
         if node.tag == tag:
             found.append(node)
         else:
-            todo += [c for c in reversed(node.children) if type(c) is Node and not _dropped(c) and c.digest not in templates]
+            todo += [c for c in reversed(node.children) if type(c) is Node and not _dropped(c, True) and not _template(c, templates)]
     return found
 
 
-def _blocks(root: Node, templates: frozenset[int]) -> list[str]:
+def _blocks(root: Node, templates: frozenset[int], lists: bool = True) -> list[str]:
     """Texts of the blocks below an element, in page order."""
     blocks: list[str] = []
     inline: list[str] = []
@@ -227,7 +353,7 @@ def _blocks(root: Node, templates: frozenset[int]) -> list[str]:
         elif item.tag in ("br", "td", "th"):
             inline.append(" ")
             todo.extend(reversed(item.children))
-        elif item is root or not _dropped(item) and item.digest not in templates:
+        elif item is root or not _dropped(item, lists) and not _template(item, templates):
             if item.tag in BLOCK:
                 flush()
                 todo.append(None)
@@ -236,33 +362,42 @@ def _blocks(root: Node, templates: frozenset[int]) -> list[str]:
     return blocks
 
 
-def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
-    """The article's blocks, one line each; without an article or main, the body's."""
+def main_text(page: str, templates: frozenset[int] = frozenset(), lists: bool = True) -> str:
+    """The article's blocks, one line each; without an article or main, the body's.
+
+    A page that the templates would leave without any text repeats another page's
+    article; it is no template, and they do not apply.  Without ``lists`` the whole
+    body counts and only templates go: this shows what they do alone.
+    """
     root = parse(page)
     mark_frame(root)
     if templates:
         hash_subtrees(root)
-    for tag in ("article", "main"):
-        if roots := _roots(root, tag, templates):
-            blocks = [b for r in roots for b in _blocks(r, templates)]
-            if blocks:
+    for known in (templates, frozenset()) if templates else (templates,):
+        for tag in ("article", "main", "#root") if lists else ("#root",):
+            roots = [root] if tag == "#root" else _roots(root, tag, known)
+            if blocks := [b for r in roots for b in _blocks(r, known, lists)]:
                 return "\n".join(blocks)
-    return "\n".join(_blocks(root, templates))
+    return ""
 
 
 def _hash_udf(html: Column) -> Column:
     def hashes(pages: pa.Array) -> pa.Array:
-        found = [hash_subtrees(parse(p or "")) for p in pages.to_pylist()]
+        found = []
+        for p in pages.to_pylist():
+            root = parse(p or "")
+            mark_frame(root)
+            found.append(hash_subtrees(root))
         rows = [[{"place": x, "digest": y} for x, y in f] for f in found]
         return pa.array(rows, pa.list_(pa.struct([("place", pa.int64()), ("digest", pa.int64())])))
 
     return F.arrow_udf(hashes, "array<struct<place:bigint,digest:bigint>>")(html)
 
 
-def _text_udf(html: Column, templates: Column) -> Column:
+def _text_udf(html: Column, templates: Column, lists: bool) -> Column:
     def texts(pages: pa.Array, sets: pa.Array) -> pa.Array:
         both = zip(pages.to_pylist(), sets.to_pylist(), strict=True)
-        return pa.array([main_text(p or "", frozenset(t or ())) for p, t in both], pa.string())
+        return pa.array([main_text(p or "", frozenset(t or ()), lists) for p, t in both], pa.string())
 
     return F.arrow_udf(texts, "string")(html, templates)
 
@@ -290,7 +425,8 @@ def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.5)
     A subtree is one if the lower bound of its share of the pages of the host, or of
     a section (first folder) of it, is ``min_share`` or more; or if that holds for its
     place on the pages of the host and all subtrees that recur there together, as
-    when adverts rotate.  Pages of a host that are equal count once.  A host has
+    when adverts rotate.  Pages of a host that are equal count once, all counts are
+    exact.  A host has
     at most as many such digests as an average page has subtrees, times
     1 / ``min_share`` and its sections; those of a place are at most its pages / ``min_pages``.
     """
@@ -303,9 +439,10 @@ def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.5)
     units = F.when((F.col("place") == 0) & (F.col("section") != ""), F.array(F.lit(""), F.col("section"))).otherwise(F.array(F.lit("")))
     held = (
         found.withColumn("unit", F.explode(units))
+        .select("host", "unit", "place", "digest", "page")
+        .distinct()
         .groupBy("host", "unit", "place", "digest")
-        .agg(F.count("*").alias("rows"), F.approx_count_distinct("page", 0.03).alias("distinct"))
-        .select("host", "unit", "place", "digest", F.least("rows", "distinct").alias("holders"))
+        .agg(F.count("*").alias("holders"))
         .filter(F.col("holders") >= min_pages)
     )
     held = materialize(held.join(counts, ["host", "unit"]), "page-subtrees")
@@ -317,17 +454,19 @@ def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.5)
     return materialize(digests.groupBy("host").agg(F.sort_array(F.collect_set("digest")).alias("templates")), "page-templates")
 
 
-def extract_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.5) -> DataFrame:
+def extract_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.5, lists: bool = True) -> DataFrame:
     """page_id, url, text, n_chars for each page.
 
     A null page has an empty text; a null URL belongs to the host with an empty
-    name; repeated rows each get their row; an empty table gives no rows.
+    name; repeated rows each get their row; an empty table gives no rows; a page of
+    any length and nesting is parsed whole, in time linear in its length; columns
+    beside page_id, url and html are left out.
     """
     p = bare(small_batches(pages), "page_id", "url", "html").select(
         "page_id", "url", F.col("html").cast("string").alias("html"), page_host(F.col("url")).alias("host")
     )
     known = site_templates(p, min_pages, min_share)
-    text = _text_udf(F.col("html"), F.col("templates"))
+    text = _text_udf(F.col("html"), F.col("templates"), lists)
     return p.join(known, "host", "left").select("page_id", "url", text.alias("text")).withColumn(
         "n_chars", F.char_length("text").cast("bigint")
     )

@@ -2,6 +2,8 @@
 
 import gzip
 import hashlib
+import time
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -191,3 +193,173 @@ def test_wrapper_classes():
     assert html_text.main_text(f"<body class='nav'><div class='with-sidebar'>{art}</div>{talk}") == "kept"
     assert html_text.main_text(f"<div class='no-sidebar'><p>{'much text ' * 9}</p>{aside}</div>") != ""
     assert html_text.main_text(f"<div class='has-sidebar'><p>kept text</p><div class='ad'>Ad</div></div><div class='ad'>Ad</div>") == "kept text"
+
+
+def test_frame_is_kept():
+    """Classes, ids, roles and wrappers of the frame drop nothing."""
+    kept = "<p>Kept text</p>"
+    for page in (
+        f"<body class='page has-sidebar'>{kept}",
+        f"<html class='no-header'>{kept}",
+        f"<article class='post share'>{kept}</article>",
+        f"<article id='post-ad-12'>{kept}</article>",
+        f"<main role='search'>{kept}</main>",
+        f"<form id='aspnet'><div class='x'>{kept}</div><label>Name</label><input></form>",
+        f"<div hidden><article>{kept}</article></div>",
+        f"<head><title>T</title>{kept}",
+        "<p class=it's>Kept text</p>",
+    ):
+        assert html_text.main_text(page) == "Kept text"
+    assert html_text.main_text("<a title=\"foo>Kept text</a><p>more</p>") == "Kept text\nmore"
+    assert html_text.main_text("<article><p>one</b></p><p>two</p></article>") == "one\ntwo"
+    assert html_text.main_text("text <b unclosed") == "text <b unclosed" and html_text.main_text("a<!--b") == "a"
+
+
+HOSTILE = {
+    "unpaired quotes": ("<a '>", "x<b '", ""),
+    "quotes after equals": ("<a b=\"", "x<b c='", ""),
+    "alternating quotes": ("", "<b a='x<b a=\"", ""),
+    "no end": ("", "<b ", ""),
+    "declarations": ("", "<!", ""),
+    "end of a script": ("<script>", "</script ", ""),
+    "unknown ends": ("<div>" * 20_000, "</x>", ""),
+    "shielded paragraphs": ("<p><button>" + "<b>" * 20_000, "<hr>", ""),
+    "articles in depth": ("<b>" * 20_000, "<article>", ""),
+    "inline ends": ("<i>" * 20_000 + "<div>", "</i>", ""),
+    "items": ("<ul>", "<li>", ""),
+    "spaces in a tag": ("<a x", " ", "y>"),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_parsing_is_linear(name):
+    """Four times as much takes no more than about four times as long."""
+    before, unit, after = HOSTILE[name]
+    took = []
+    for size in (100_000, 400_000):
+        page = before + unit * (size // len(unit)) + after
+        start = time.process_time()
+        html_text.main_text(page, frozenset([1]))
+        took.append(time.process_time() - start)
+    assert took[1] < 9 * took[0] + 0.3
+
+
+def shape_pages(host, n, chrome, first=0):
+    return [(first + k, f"http://{host}/{k}", f"<body>{chrome(k)[0]}<div id='c'><h1>Title {k}</h1>" + "".join(f"<p>long text of page {k} part {j}</p>" for j in range(5)) + f"</div>{chrome(k)[1]}</body>", 1) for k in range(n)]
+
+
+def test_shapes_at_defaults(spark):
+    """Chrome whose text changes from page to page goes by its shape and place alone, at the shipped defaults."""
+    chrome = lambda k: ("<div class='m'><ul>" + "".join(f"<li><a href='/{j}'>go {k * 10 + j}</a></li>" for j in range(3 + k % 3)) + "</ul></div>", f"<section><p>now {k}</p></section>")
+    rare = lambda k: ("", f"<section><p>once {k}</p></section>" if k == 3 else f"<div class='c{'abcdefghij'[k % 10]}'><p>own {k}</p></div>")
+    rows = shape_pages("a.org", 20, chrome) + shape_pages("b.org", 3, chrome, 100) + shape_pages("c.org", 10, rare, 200)
+    got = {r["page_id"]: r["text"].split("\n") for r in html_text.extract_text(spark.createDataFrame(rows, SCHEMA), lists=False).collect()}
+    assert all(len(got[k]) == 6 and got[k][0] == f"Title {k}" for k in range(20))
+    assert all(f"now {k}" in got[100 + k] and f"go {k * 10}" in got[100 + k] for k in range(3))
+    assert all(len(got[200 + k]) == 7 for k in range(10))
+
+
+def test_templates_against_counts(spark):
+    """The templates of the given pages are those that exact counts by host and section give, at the defaults."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [(r["url"], r["html"]) for r in pages.collect()]
+    per, known = Counter(), set()
+    for url, page in rows:
+        host, _, path = (url or "").partition("://")[2].partition("/")
+        section = path.partition("/")[0] if "/" in path else ""
+        root = html_text.parse(page or "")
+        html_text.mark_frame(root)
+        for unit in {"", section}:
+            known.add((host.lower(), unit, page))
+            for place, digest in html_text.hash_subtrees(root):
+                if place == 0 or unit == "":
+                    known.add((host.lower(), unit, page, place, digest))
+    for k in known:
+        per[k[:2] + k[3:]] += 1
+
+    def significant(part, whole):
+        part, z = min(part, whole), 1.96
+        return (part + z * z / 2 - z * (part * (whole - part) / whole + z * z / 4) ** 0.5) / (whole + z * z) >= 0.5
+
+    expected, places = {}, Counter()
+    for k, n in per.items():
+        if len(k) == 4 and n >= 5 and per[k[:2]] >= 5:
+            if k[2] == 0 and significant(n, per[k[:2]]):
+                expected.setdefault(k[0], set()).add(k[3])
+            elif k[2]:
+                places[k[0], k[2]] += n
+    for k, n in per.items():
+        if len(k) == 4 and n >= 5 and k[2] and per[k[:2]] >= 5 and significant(places[k[0], k[2]], per[k[:2]]):
+            expected.setdefault(k[0], set()).add(k[3])
+    p = pages.select("url", "html", html_text.page_host(F.col("url")).alias("host"))
+    got = {r["host"]: set(r["templates"]) for r in html_text.site_templates(p).collect()}
+    assert got == expected and len(got) > 10
+
+
+def test_templates_alone(spark):
+    """Without tag and name lists templates take most of the chrome of large sites, and no article text."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html", html_text.page_host(F.col("url")).alias("host"))
+    large = pages.groupBy("host").count().filter("count >= 20").select("host")
+    pages = pages.join(large, "host", "left_semi").drop("host").cache()
+    alone = html_text.extract_text(pages, lists=False).select("page_id", F.col("text").alias("alone"))
+    both = html_text.extract_text(pages).select("page_id", "text").join(alone, "page_id").collect()
+    chrome = [len(html_text.main_text(r["html"], lists=False)) for r in pages.collect()]
+    article, left = sum(len(r["text"]) for r in both), sum(len(r["alone"]) for r in both)
+    assert all(set(r["text"].split("\n")) <= set(r["alone"].split("\n")) for r in both)
+    assert left - article < 0.1 * (sum(chrome) - article)
+
+
+def brute_templates(rows, min_labels=5, z=1.96):
+    """Template of each (host, path, label): the tree grown one path segment at a time, in plain Python."""
+    split = [[x for x in path.split("/") if x] for _, path, _ in rows]
+    template = [""] * len(rows)
+    deepest = max((len(s) for s, r in zip(split, rows) if r[2] is not None), default=0)
+    for depth in range(deepest):
+        nodes = {}
+        for k, (host, _, label) in enumerate(rows):
+            if len(split[k]) > depth:
+                n = nodes.setdefault((host, template[k]), {}).setdefault(split[k][depth], [0, 0, 0])
+                n[0] += 1
+                n[1] += label is not None
+                n[2] += label or 0
+        branch = {}
+        for node, children in nodes.items():
+            known = sorted(((c[2] / c[1], s, c) for s, c in children.items() if c[1] >= min_labels))
+            classes = []
+            for rate, s, c in known:
+                if classes:
+                    last_rate, last = classes[-1][-1][0], classes[-1][-1][2]
+                    pooled = (c[2] + last[2]) / (c[1] + last[1])
+                    gap = rate - last_rate
+                if not classes or gap > 0 and gap >= z * (pooled * (1 - pooled) * (1 / c[1] + 1 / last[1])) ** 0.5:
+                    classes.append([])
+                classes[-1].append((rate, s, c))
+            for members in classes:
+                names = sorted(s for _, s, _ in members)
+                name = names[0] if len(names) == 1 else "{" + ",".join(names[:20]) + (f",+{len(names) - 20}" if len(names) > 20 else "") + "}"
+                branch |= {(node, s): name for s in names}
+            few = {s: c for s, c in children.items() if c[1] < min_labels}
+            all_n, all_labelled = sum(c[0] for c in few.values()), sum(c[1] for c in few.values())
+            for s, c in few.items() if all_labelled else ():
+                rate = (all_labelled - c[1]) / max(all_n - c[0], 1)
+                if c[0] * rate - c[1] >= max(z * max(c[0] * rate * (1 - rate), 0) ** 0.5, z * z):
+                    branch[node, s] = s
+        for k, (host, _, _) in enumerate(rows):
+            if len(split[k]) > depth:
+                template[k] += "/" + branch.get(((host, template[k]), split[k][depth]), "*")
+    return [t + "/**" if len(s) > deepest else t for t, s in zip(template, split)]
+
+
+def test_url_tree_against_brute_force(spark):
+    """Templates of the given pages and of deep made-up paths are those of a plain tree."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    made = [(10_000 + k, f"http://deep.com/{('u' + str(k), 'en')[k % 2]}/{('a', 'spam', 'b')[k % 3]}/x/{k % 4}/{k}") for k in range(240)]
+    labels = {i: int("spam" in u) for i, u in made if i % 5 < 3}
+    d = spark.createDataFrame(made, "page_id bigint, url string")
+    for table, given in ((pages, None), (d, spark.createDataFrame(list(labels.items()), "page_id bigint, blocked int"))):
+        got = url_filter.filter_urls(table, RULES if given is None else [], labels=given).toPandas().sort_values("page_id")
+        known = [(None if r is None else int(r[0] == "block")) for r in ([next((v for v in RULES if v[1] == x), None) for x in got["rule"]])] if given is None else [labels.get(i) for i in got["page_id"]]
+        rows = list(zip(got["host"], got["path"], known, strict=True))
+        assert got["template"].tolist() == brute_templates(rows)
+        assert got["template"].str.count("/").max() >= (1 if given is None else 4)
+    assert (got[got["path"].str.contains("/spam/")]["verdict"] == "block").mean() > 0.9
