@@ -12,7 +12,8 @@ are shuffled.  Among units of equal anchors
   its windows may still repeat in part of another context.
 
 What repeats whole within one block of documents is settled before the shuffle,
-so a large group of copies sends a row a block for each anchor.
+so a large group of copies sends a row a block for each anchor.  Contexts are
+equal if two independent hashes of 64 bits are.
 """
 
 from __future__ import annotations
@@ -28,21 +29,23 @@ from pyspark.sql.window import Window
 
 from effectforge.llm.common import bare, materialize, small_batches
 
-_ODD = 0x9E3779B97F4A7C17
+_ODD, _ODD2 = 0x9E3779B97F4A7C17, 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
 #: Tokens handled at once; longer documents go in overlapping pieces.
 BLOCK = 1 << 20
-UNITS = "g bigint, c bigint, key bigint, n smallint, off smallint, done boolean"
+UNITS = "g bigint, c bigint, c2 bigint, key bigint, n smallint, off smallint, done boolean"
+#: Bits of a key: a document's number and a position in it.
+KEY_BITS = 63
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(base: int) -> np.ndarray:
-        out = np.full(n, base & _MASK, np.uint64)
+@lru_cache(maxsize=2)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    def run(x: int) -> np.ndarray:
+        out = np.full(n, x & _MASK, np.uint64)
         out[0] = 1
         return np.multiply.accumulate(out)
 
-    return run(_ODD), run(pow(_ODD, -1, 1 << 64))
+    return run(base), run(pow(base, -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,10 +60,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 class RangeHash:
     """Hashes of token ranges of one sequence from polynomial prefix sums."""
 
-    def __init__(self, tokens: np.ndarray) -> None:
+    def __init__(self, tokens: np.ndarray, base: int = _ODD) -> None:
         n = len(tokens)
         size = 1 << max(10, int(n).bit_length())
-        self.power, self.inverse = _powers(size)
+        self.power, self.inverse = _powers(size, base)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(tokens * self.power[:n], out=self.sums[1:])
 
@@ -73,8 +76,13 @@ class RangeHash:
         return mix((self.sums[k:] - self.sums[:-k]) * self.inverse[:n] + np.uint64(k))
 
 
+def second_hash(tokens: np.ndarray, gram: int) -> RangeHash:
+    """Range hashes, independent of those of the tokens, over runs of ``gram`` of them: a range of k tokens has k - gram + 1."""
+    return RangeHash(mix(RangeHash(mix(tokens + np.uint64(_ODD2)), _ODD2).runs(gram)), _ODD2)
+
+
 def units(tokens: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """First window start, windows, anchor offset, anchor hash and context hash of each unit.
+    """First window start, windows, anchor offset, anchor hash and two context hashes of each unit.
 
     ``ends`` gives for every token the end of its document.
     """
@@ -82,7 +90,7 @@ def units(tokens: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple
     none = np.zeros(0, np.int64)
     starts = np.flatnonzero(ends - np.arange(n) >= window)
     if not len(starts):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, *(none.astype(np.uint64),) * 3
     ranged = RangeHash(tokens)
     grams = ranged.runs(gram)
     least, at, wide, need = grams, np.arange(len(grams), dtype=np.int32), 1, window - gram + 1
@@ -97,10 +105,11 @@ def units(tokens: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple
     first = starts[change]
     count = np.diff(change, append=len(starts))
     anchor = anchor[change]
-    context = ranged(first, first + count + (window - 1))
     offset = anchor - first
-    context = mix(context + offset.astype(np.uint64))
-    return first, count, offset, grams[anchor], context
+    shift = offset.astype(np.uint64)
+    context = mix(ranged(first, first + count + (window - 1)) + shift)
+    context2 = mix(second_hash(tokens, gram)(first, first + count + (window - gram)) + shift)
+    return first, count, offset, grams[anchor], context, context2
 
 
 def pieces(lengths: np.ndarray, window: int, block: int = BLOCK) -> Iterator[list[tuple[int, int, int]]]:
@@ -138,28 +147,32 @@ def unit_rows(
                 tokens = np.concatenate([tokens_of(*p) for p in held])
                 sizes = np.array([hi - lo for _, lo, hi in held])
                 tops = np.cumsum(sizes)
-                first, count, offset, g, c = units(tokens, np.repeat(tops, sizes), window, gram)
+                first, count, offset, g, c, c2 = units(tokens, np.repeat(tops, sizes), window, gram)
                 if not len(first):
                     continue
                 which = np.searchsorted(tops, first, side="right")
                 base = np.array([lo for _, lo, _ in held]) - (tops - sizes)
                 key = (dk[np.array([k for k, _, _ in held])][which] << bits) + first + base[which]
-                order = np.lexsort((key, c, g))
+                order = np.lexsort((key, c2, c, g))
                 again = np.zeros(len(order), bool)
-                again[1:] = (g[order][1:] == g[order][:-1]) & (c[order][1:] == c[order][:-1]) & (key[order][1:] != key[order][:-1])
+                again[1:] = key[order][1:] != key[order][:-1]
+                for x in (g[order], c[order], c2[order]):
+                    again[1:] &= x[1:] == x[:-1]
                 done = np.zeros(len(order), bool)
                 done[order] = again
                 g = np.where(done, mix(key.view(np.uint64)), g)
+                c, c2 = (np.where(done, np.uint64(0), x) for x in (c, c2))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(g.view(np.int64)),
                         pa.array(c.view(np.int64)),
+                        pa.array(c2.view(np.int64)),
                         pa.array(key),
                         pa.array(count.astype(np.int16)),
                         pa.array(offset.astype(np.int16)),
                         pa.array(done),
                     ],
-                    names=["g", "c", "key", "n", "off", "done"],
+                    names=["g", "c", "c2", "key", "n", "off", "done"],
                 )
 
     return run
@@ -168,51 +181,52 @@ def unit_rows(
 def ordered(docs: DataFrame) -> tuple[DataFrame, int]:
     """(doc_id, dk, text) with ``dk`` in the order of the ids, and bits for a position.
 
-    Ids that are unique and leave room for a position in 63 bits are their own
-    order.  Others are ranked by id and text: buckets of the id are counted and
-    numbered one after the other, so rows that repeat an id with another text
-    come one after the other, and equal rows share a number.  A null id comes
-    before all others.
+    Whole-number ids that are unique and leave room for a position in 63 bits are
+    their own order.  Others, of any type, are numbered in the order of id and text,
+    so rows that repeat an id with another text come one after the other, and equal
+    rows share a number.  A null id comes before all others.  Where even the numbers
+    leave no room, it is an error.
     """
     d = bare(small_batches(docs), "doc_id", "text").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     longest, low, high = d.agg(F.max(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).first()
     bits = max(8, int(longest or 0).bit_length() + 1)
     twice = d.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    plain = isinstance(low, int) and not twice and (high - low + 2).bit_length() + bits <= 62
+    plain = isinstance(low, int) and not twice and (high - low + 2).bit_length() + bits <= KEY_BITS - 1
     if low is None and not twice or plain:
         dk = F.coalesce(F.col("doc_id") - F.lit(low or 0) + 1, F.lit(0)).cast("bigint")
         return d.select("doc_id", dk.alias("dk"), "text"), bits
     d = d.withColumn("th", F.xxhash64("text"))
-    ids = materialize(d.select("doc_id", "th").distinct(), "order-ids")
-    bounds = sorted(set(ids.approxQuantile("doc_id", [k / 256 for k in range(1, 256)], 0.001))) if isinstance(low, int) else []
-    bucket = F.aggregate(
-        F.array(*[F.lit(int(b)) for b in bounds]).cast("array<bigint>"),
-        F.when(F.col("doc_id").isNull(), -1).otherwise(0),
-        lambda a, b: a + F.when(F.col("doc_id") >= b, 1).otherwise(0),
-    )
-    ids = ids.withColumn("bucket", bucket)
-    before, total = {}, 0
-    for b, n in sorted(ids.groupBy("bucket").count().collect()):
-        before[b], total = total, total + n
-    offset = F.element_at(F.create_map(*[F.lit(x) for b, n in before.items() for x in (b, n)]), F.col("bucket"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "th"))
-    ranked = materialize(ids.select(F.col("doc_id").alias("id"), F.col("th").alias("t"), (offset + rank).cast("bigint").alias("dk")), "order")
+    ids = d.select(F.col("doc_id").alias("id"), F.col("th").alias("t")).distinct().orderBy(F.col("id").asc_nulls_first(), "t")
+    ids = materialize(ids.withColumn("at", F.monotonically_increasing_id()), "order-ids")
+    # Sorted partitions are numbered from 0; a row for each of them tells how many come before.
+    part = F.shiftright("at", 33)
+    sizes, before, total = ids.groupBy(part.alias("part")).count().collect(), [], 0
+    for k, n in sorted(map(tuple, sizes)):
+        before.append((k, total))
+        total += n
+    if total.bit_length() + bits > KEY_BITS - 1:
+        raise ValueError(f"{total} documents of up to {longest} bytes do not fit keys of {KEY_BITS} bits")
+    offsets = d.sparkSession.createDataFrame(before, "part bigint, before bigint")
+    dk = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    ranked = materialize(ids.join(F.broadcast(offsets), part == F.col("part")).select("id", "t", dk.alias("dk")), "order")
     same = d["doc_id"].eqNullSafe(ranked["id"]) & (d["th"] == ranked["t"])
     return d.join(ranked, same).select("doc_id", "dk", "text"), bits
 
 
 def classify(rows: DataFrame, crowd: int) -> DataFrame:
     """The units that matter: g, key, n, off, done, crowded; see the module."""
-    by_context = Window.partitionBy("g").orderBy("c", "key")
+    by_context = Window.partitionBy("g").orderBy("c", "c2", "key")
     whole = Window.partitionBy("g")
-    seen_before = (F.lag("c").over(by_context) == F.col("c")) & (F.lag("key").over(by_context) != F.col("key"))
+    same = (F.lag("c").over(by_context) == F.col("c")) & (F.lag("c2").over(by_context) == F.col("c2"))
+    seen_before = same & (F.lag("key").over(by_context) != F.col("key"))
+    context = F.struct("c", "c2")
     marked = rows.select(
         "g",
         "key",
         "n",
         "off",
         (F.col("done") | F.coalesce(seen_before, F.lit(False))).alias("done"),
-        (F.min("c").over(whole) != F.max("c").over(whole)).alias("varied"),
+        (F.min(context).over(whole) != F.max(context).over(whole)).alias("varied"),
         (F.count("*").over(whole) > crowd).alias("crowded"),
     )
     return marked.filter(F.col("done") | F.col("varied")).drop("varied")
@@ -229,14 +243,6 @@ def place(bits: int) -> Column:
     return F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def window_runs(removed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of runs of consecutive numbers in a sorted array."""
-    if not len(removed):
-        return removed, removed
-    cut = np.flatnonzero(np.diff(removed, prepend=removed[0] - 2) != 1)
-    return removed[cut], np.diff(cut, append=len(removed))
-
-
 def covered(starts: np.ndarray, counts: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Merged token spans of runs of window starts."""
     spans: list[tuple[int, int]] = []

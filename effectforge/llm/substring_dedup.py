@@ -6,7 +6,7 @@ ten, twenty.  At five words it is enough to look at the anchor of each window
 every length, and settled.  The others are extended to the ten words ending and
 the ten words starting with the anchor: each window of twenty holds one of them
 or both, and is a candidate only if all that it holds repeat.  What is left is
-compared at twenty words, and later copies go.
+compared at twenty words, by two hashes, and later copies go.
 """
 
 from __future__ import annotations
@@ -37,14 +37,15 @@ def _sequences(batch: pa.RecordBatch):
 
 
 def _candidates(bits: int, gram: int, half: int, window: int):
-    """From (dk, text, found) to key, n, off, the two middle hashes and the window hashes."""
+    """From (dk, text, found) to key, n, off, the two middle hashes and two hashes of every window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths, tokens_of = _sequences(batch)
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for k, found in enumerate(batch.column(2).to_pylist()):
-                ranged = repeats.RangeHash(tokens_of(k, 0, lengths[k]))
+                tokens = tokens_of(k, 0, lengths[k])
+                ranged = repeats.RangeHash(tokens)
                 key, n, off = (np.array([f[c] for f in found], np.int64) for c in ("key", "n", "off"))
                 start = key & ((1 << bits) - 1)
                 end = start + off + gram
@@ -53,15 +54,17 @@ def _candidates(bits: int, gram: int, half: int, window: int):
                 holds = start + off + half <= lengths[k]
                 right = ranged(start + off, np.where(holds, start + off + half, end)).view(np.int64)
                 runs = ranged.runs(window).view(np.int64)
+                runs2 = repeats.second_hash(tokens, gram).runs(window - gram + 1).view(np.int64)
                 out[0].extend(key.tolist())
                 out[1].extend(n.tolist())
                 out[2].extend(off.tolist())
                 out[3].extend([x if f else None for x, f in zip(left.tolist(), fits.tolist(), strict=True)])
                 out[4].extend([x if h else None for x, h in zip(right.tolist(), holds.tolist(), strict=True)])
-                out[5].extend([runs[s : s + m] for s, m in zip(start.tolist(), n.tolist(), strict=True)])
+                for o, x in ((out[5], runs), (out[6], runs2)):
+                    o.extend([x[s : s + m] for s, m in zip(start.tolist(), n.tolist(), strict=True)])
                 if len(out[0]) > 20_000:
                     yield _batch(out)
-                    out = ([], [], [], [], [], [])
+                    out = ([], [], [], [], [], [], [])
             if out[0]:
                 yield _batch(out)
 
@@ -69,8 +72,8 @@ def _candidates(bits: int, gram: int, half: int, window: int):
 
 
 def _batch(out: tuple[list, ...]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-    names = ["key", "n", "off", "ending", "starting", "windows"]
+    types = (pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    names = ["key", "n", "off", "ending", "starting", "windows", "windows2"]
     return pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names=names)
 
 
@@ -116,15 +119,16 @@ def repeated_windows(candidates: DataFrame, window: int, half: int, gram: int) -
     wants = F.when(o >= half - gram, 1).otherwise(0) + F.when(o <= window - half, 2).otherwise(0)
     windows = (
         candidates.join(sided, "key")
-        .select("key", "off", "sides", F.posexplode("windows").alias("j", "h"))
+        .select("key", "off", "sides", "windows2", F.posexplode("windows").alias("j", "h"))
         .filter(F.col("sides").bitwiseAND(wants) == wants)
-        .select((F.col("key") + F.col("j")).alias("key"), "h")
+        .select((F.col("key") + F.col("j")).alias("key"), "h", F.col("windows2")[F.col("j")].alias("h2"))
     )
     windows = materialize(windows, "level-windows")
     first = materialize(
-        windows.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("h", "low"), "level-first"
+        windows.groupBy("h", "h2").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("h", "h2", "low"),
+        "level-first",
     )
-    return windows.join(first, "h").filter("key > low").select("key", F.lit(1).cast("smallint").alias("n"))
+    return windows.join(first, ["h", "h2"]).filter("key > low").select("key", F.lit(1).cast("smallint").alias("n"))
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -143,7 +147,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     candidates = materialize(
         d.select("dk", "text").join(open_, "dk").mapInArrow(
             _candidates(bits, gram, half, window),
-            "key bigint, n smallint, off smallint, ending bigint, starting bigint, windows array<bigint>",
+            "key bigint, n smallint, off smallint, ending bigint, starting bigint, windows array<bigint>, windows2 array<bigint>",
         ),
         "repeat-candidates",
     )

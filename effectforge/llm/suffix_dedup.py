@@ -1,12 +1,14 @@
-"""Exact byte-substring dedup by suffix ranks of one window.
+"""Exact byte-substring dedup by longest previous factors.
 
 Windows of 100 bytes that may repeat are found by their anchors (see
-``repeats``).  The contexts of open units meet by anchor; for each bounded batch
-of them suffixes are ranked by their first window, in text order among equals.
-Equal ranks after the first are later copies and go: this grouping replaces the
-longest previous factors, whose lengths are not computed.
-Anchors with very many contexts are settled by aggregation instead: the least
-position of each window's hash.
+``repeats``).  The contexts of open units meet by anchor; each bounded batch of
+them gets a suffix array and the common prefixes of neighbours in it.  The
+previous and the next smaller position of a suffix, in suffix order, are the
+earlier ones that share most with it; the larger common prefix is its longest
+previous factor.  Positions where that is the window or more start a later copy,
+and go; the first stays.
+Anchors with more contexts than one batch takes are settled by aggregation
+instead: the least position of each window, by two hashes.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from effectforge.llm import repeats
 from effectforge.llm.common import materialize
 
 GRAM = 32
-#: Contexts of one anchor that one suffix array takes; more go by aggregation.
+#: Contexts of one anchor that one suffix array takes; more are one key's unbounded group and go by aggregation.
 CROWD = 2048
+#: Fixed value: bytes that the first ranking takes, 9 bits each.
+FIRST = 7
 BATCH = 1 << 20
 _TABLE = repeats.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -42,38 +46,83 @@ def _sequences(batch: pa.RecordBatch):
     return np.diff(offsets), lambda k, lo, hi: _TABLE[data[offsets[k] + lo : offsets[k] + hi]]
 
 
-def suffix_ranks(text: np.ndarray, window: int) -> np.ndarray:
-    """Rank of every suffix by its first ``window`` bytes (zeros follow the end)."""
+def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order, and the common prefix of each with the one before it.
+
+    ``ends`` gives for every byte the end of its context, where its suffix ends, before
+    any other byte.  Equal suffixes are in text order.  The rank of a suffix by its first
+    7, 14, 28, ... bytes is the place where those of its rank begin in the order; only
+    those that still share one are sorted on.  The ranks that are kept of every
+    length give the common prefixes, longest part first.
+    """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(window + 8, np.uint8)]).astype(np.uint64)
-    word = np.zeros(n, np.uint64)
-    for k in range(8):
-        word = (word << np.uint64(8)) | padded[k : k + n]
-    if window < 8:
-        word >>= np.uint64(8 * (8 - window))
-    rank = np.unique(word, return_inverse=True)[1].astype(np.int64)
-    length = min(8, window)
-    while length < window:
-        step = min(length, window - length)
-        later = np.zeros(n, np.int64)
-        later[: n - step] = rank[step:] + 1
-        rank = np.unique(rank * (n + 1) + later, return_inverse=True)[1].astype(np.int64)
-        length += step
-    return rank
-
-
-def later_copies(ranks: np.ndarray) -> np.ndarray:
-    """Which positions have a longest previous factor of the window length or more.
-
-    ``ranks`` lists window ranks in text order.  In suffix order, equal ranks in
-    text order, the previous smaller position of an entry is the one before it
-    in its run of equals, if any, and shares the whole window; the next smaller
-    position and all those of other runs share less.
+    left = ends - np.arange(n)
+    symbols = np.concatenate([text.astype(np.int64) + 1, np.zeros(FIRST, np.int64)])
+    word = np.zeros(n, np.int64)
+    for k in range(FIRST):
+        word = (word << 9) | np.where(left > k, symbols[k : k + n], 0)
+    order = np.argsort(word, kind="stable")
+    rank, levels, length, longest = np.zeros(n, np.int64), [], FIRST, int(left.max(initial=0))
+    places, keys = np.arange(n), word[order]
+    while True:
+        # ``places`` are those of the order that were sorted by ``keys`` just now.
+        at = order[places]
+        new = np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])
+        rank[at] = places[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        levels.append((length, rank.astype(np.int32)))
+        alone = new & np.concatenate([new[1:], np.ones(min(1, len(keys)), bool)])
+        places = places[~alone]
+        if length >= longest or not len(places):
+            break
+        at = order[places]
+        further = left[at] > length
+        keys = rank[at] * (n + 1) + np.where(further, rank[np.where(further, at + length, 0)] + 1, 0)
+        sort = np.argsort(keys, kind="stable")
+        order[places], keys = at[sort], keys[sort]
+        length *= 2
+    one, other = order[1:], order[:-1]
+    shared = np.zeros(len(one), np.int64)
+    room = np.minimum(left[one], left[other])
+    for length, known in reversed(levels):
+        near = np.flatnonzero(shared + length <= room)
+        whole = near[known[one[near] + shared[near]] == known[other[near] + shared[near]]] if len(near) else near
+        shared[whole] += length
+    near = np.flatnonzero(shared < room)
+    for _ in range(FIRST - 1):
+        near = near[text[one[near] + shared[near]] == text[other[near] + shared[near]]]
+        shared[near] += 1
+        near = near[shared[near] < room[near]]
+    return order, np.concatenate([np.zeros(min(1, n), np.int64), shared])
+
+
+def _nearest_smaller(values: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the nearest smaller one before it, -1 for none, and the least of ``shared`` on the way.
+
+    All entries between an entry and its candidate are larger; a candidate that is
+    larger too hands over its own, so ways double.
     """
-    order = np.argsort(ranks, kind="stable")
-    copies = np.zeros(len(ranks), bool)
-    copies[order[1:]] = ranks[order[1:]] == ranks[order[:-1]]
-    return copies
+    at, least = np.arange(len(values)) - 1, shared.copy()
+    going = np.flatnonzero((at >= 0) & (values[at] > values))
+    while len(going):
+        step = at[going]
+        least[going] = np.minimum(least[going], least[step])
+        at[going] = at[step]
+        going = going[(at[going] >= 0) & (values[at[going]] > values[going])]
+    return at, np.where(at >= 0, least, 0)
+
+
+def previous_factors(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Longest previous factor of every position: what it shares with any earlier one, at most.
+
+    The earlier suffixes next to it in suffix order, the previous and the next smaller
+    position, share the most of all earlier ones.
+    """
+    order, shared = suffix_array(text, ends)
+    before = _nearest_smaller(order, shared)[1]
+    after = _nearest_smaller(order[::-1], np.concatenate([shared[1:], np.zeros(min(1, len(text)), np.int64)])[::-1])[1][::-1]
+    out = np.empty(len(text), np.int64)
+    out[order] = np.maximum(before, after)
+    return out
 
 
 def _contexts(window: int, bits: int):
@@ -92,12 +141,13 @@ def _contexts(window: int, bits: int):
             for k in range(len(key)):
                 raw = data[at[k] : at[k] + n[k] + window - 1]
                 if crowded[k]:
-                    hashes = repeats.RangeHash(_TABLE[raw]).runs(window).view(np.int64)
-                    out[0].extend(hashes.tolist())
+                    tokens, starts = _TABLE[raw], np.arange(n[k])
+                    out[0].extend(repeats.RangeHash(tokens).runs(window).view(np.int64).tolist())
                     out[1].extend(range(key[k], key[k] + n[k]))
                     out[2].extend([0] * n[k])
-                    out[3].extend([None] * n[k])
-                    size += 24 * int(n[k])
+                    second = repeats.second_hash(tokens, GRAM)(starts, starts + window - GRAM + 1)
+                    out[3].extend(x.tobytes() for x in second)
+                    size += 32 * int(n[k])
                 else:
                     out[0].append(int(g[k]))
                     out[1].append(int(key[k]))
@@ -118,21 +168,21 @@ def _context_batch(out: tuple[list, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names=["g", "key", "n", "context"])
 
 
-def _previous_factors(window: int):
+def _later_copies(window: int):
     """From rows sorted by g and key to (key, n): runs of windows that are later copies."""
 
     def settle(g: list, key: list, n: list, context: list) -> pa.RecordBatch:
         text = np.frombuffer(b"".join(context), np.uint8)
         sizes = np.array(n, np.int64)
-        begins = np.cumsum(sizes + window - 1) - (sizes + window - 1)
+        lengths = sizes + window - 1
+        tops = np.cumsum(lengths)
         inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        ranks = suffix_ranks(text, window)[np.repeat(begins, sizes) + inside]
-        copies = later_copies(ranks)
+        factors = previous_factors(text, np.repeat(tops, lengths))
+        copies = factors[np.repeat(tops - lengths, sizes) + inside] >= window
         starts, counts = [], []
-        tops = np.cumsum(sizes)
         keys = (np.repeat(np.array(key, np.int64), sizes) + inside)[copies]
         if len(keys):
-            unit = np.searchsorted(tops, np.flatnonzero(copies), side="right")
+            unit = np.searchsorted(np.cumsum(sizes), np.flatnonzero(copies), side="right")
             cut = np.flatnonzero((np.diff(keys, prepend=keys[0] - 2) != 1) | (np.diff(unit, prepend=-1) != 0))
             starts, counts = keys[cut], np.diff(cut, append=len(keys))
         return pa.RecordBatch.from_arrays(
@@ -211,12 +261,11 @@ def suffix_dedup(docs: DataFrame, window: int = 100) -> DataFrame:
         ),
         "repeat-contexts",
     )
-    factors = (
-        contexts.filter("n > 0").repartition("g").sortWithinPartitions("g", "key").mapInArrow(_previous_factors(window), "key bigint, n smallint")
-    )
-    crowded = contexts.filter("n = 0").select("g", "key")
-    least = materialize(crowded.groupBy("g").agg(F.min("key").alias("least"), F.count("*").alias("m")).filter("m > 1"), "repeat-least")
-    again = crowded.join(least, "g").filter("key > least").select("key", F.lit(1).cast("smallint").alias("n"))
+    plain = contexts.filter("n > 0").repartition("g").sortWithinPartitions("g", "key")
+    factors = plain.mapInArrow(_later_copies(window), "key bigint, n smallint")
+    crowded = contexts.filter("n = 0").select("g", F.col("context").alias("g2"), "key")
+    least = crowded.groupBy("g", "g2").agg(F.min("key").alias("least"), F.max("key").alias("last")).filter("least < last").drop("last")
+    again = crowded.join(materialize(least, "repeat-least"), ["g", "g2"]).filter("key > least").select("key", F.lit(1).cast("smallint").alias("n"))
     removed = marked.filter("done").select("key", "n").unionByName(factors).unionByName(again)
     packed = F.shiftleft(repeats.place(bits), 8).bitwiseOR(F.col("n").cast("bigint"))
     spans = removed.groupBy(F.shiftright("key", bits).alias("dk")).agg(F.collect_list(packed).alias("found"))

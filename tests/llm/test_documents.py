@@ -117,16 +117,37 @@ def test_repeated_and_wide_ids(spark):
     assert got == [(False, 0, 0), (True, -(2**62), 0), (True, 7, 50), (True, 7, 50), (True, 2**62, 50), (True, 2**62, 50)]
     ordered, bits = repeats.ordered(d)
     assert ordered.select("dk").distinct().count() == 5 and bits >= 8
-
-
-def test_suffix_ranks_order():
-    text = np.frombuffer(b"banana bandana banana", np.uint8)
-    ranks = suffix_ranks = suffix_dedup.suffix_ranks(text, 6)
-    padded = bytes(text) + b"\0" * 6
-    keys = [padded[k : k + 6] for k in range(len(text))]
-    order = sorted(set(keys))
-    assert [order.index(k) for k in keys] == suffix_ranks.tolist()
-    assert suffix_dedup.later_copies(ranks).sum() == len(keys) - len(order)
+    named = spark.createDataFrame([(f"d{k:03}", same if k % 3 else other) for k in range(90)], "doc_id string, text string").repartition(5)
+    numbers = [r["doc_id"] for r in repeats.ordered(named)[0].orderBy("dk").collect()]
+    assert numbers == sorted(numbers) and len(numbers) == 90
+    kept = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(named).collect()}
+    assert [k for k, v in sorted(kept.items()) if v == 0] == ["d000", "d001"]
+
+
+def test_keys_have_room(spark, monkeypatch):
+    """Documents and positions that do not fit a key together are an error, not an overflow."""
+    monkeypatch.setattr(repeats, "KEY_BITS", 10)
+    d = spark.createDataFrame([(k, "text of some length") for k in range(20)], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="do not fit"):
+        repeats.ordered(d)
+
+
+def test_previous_factors():
+    """Suffix order, common prefixes and longest previous factors of several contexts against brute force."""
+    rng = np.random.default_rng(5)
+    cases = [[b"banana bandana banana"], [b"abc", b"abc", b"ab", b"\0\0", b"\0"], [b"a" * 40], [b""], []]
+    cases += [[bytes(rng.integers(0, 3, int(n)).astype(np.uint8)) for n in rng.integers(1, 60, 8)] + [b"\1\2" * 30] * 2 for _ in range(20)]
+    for contexts in cases:
+        text = np.frombuffer(b"".join(contexts), np.uint8)
+        sizes = np.array([len(c) for c in contexts], np.int64)
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        suffixes = [bytes(text[k:e]) for k, e in enumerate(ends)]
+        share = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        order, shared = suffix_dedup.suffix_array(text, ends)
+        assert order.tolist() == sorted(range(len(text)), key=lambda k: (suffixes[k], k))
+        assert shared.tolist()[1:] == [share(suffixes[a], suffixes[b]) for a, b in zip(order, order[1:])]
+        factors = suffix_dedup.previous_factors(text, ends)
+        assert factors.tolist() == [max((share(suffixes[j], suffixes[k]) for j in range(k)), default=0) for k in range(len(text))]
 
 
 def test_quality_statistics(spark, docs, empty):
