@@ -33,6 +33,8 @@ _FOLD = bytes(
 )
 #: Words of documents that are looked up at once, and blocks that one task holds.
 CHUNK, HELD_BLOCKS = 1 << 19, 4
+#: Candidate places that are looked at together.
+CANDIDATES = 1 << 20
 RESULT = "struct<n_words:bigint,spans:array<bigint>,items:array<string>>"
 
 
@@ -50,6 +52,8 @@ class WindowIndex:
 
     An item of fewer words than a window is one window, one without words is none.
     Windows are places in one list of words; they are compared by the words themselves.
+    Windows of equal words are one, with all items that have it, so that a text that repeats
+    itself has no more of them than it has different ones.
     """
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int, shingle: int) -> None:
@@ -72,6 +76,7 @@ class WindowIndex:
         self.start = np.repeat(self.tops - counts - (np.cumsum(per) - per), per) + np.arange(per.sum())
         self.size = np.repeat(size, per).astype(np.int16)
         ranged = RangeHash(word_tokens(words))
+        self._merge(ranged, np.repeat(np.arange(len(owners)), per), words)
         #: The hash of the shingle at each word, for every size of shingle that its windows have.
         width = np.minimum(self.size, shingle).astype(np.int64)
         self.sizes = np.unique(width).tolist()
@@ -85,11 +90,31 @@ class WindowIndex:
             held += [self._keys_at[k][self.start[w[self.size[w] >= k + j]] + j] for j in range(window - k + 1)]
         self.keys = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
 
+    def _merge(self, ranged: RangeHash, item: np.ndarray, words: list[bytes]) -> None:
+        """Keep one window of each text; ``items_of`` gives the numbers of the items that have it."""
+        digest = ranged(self.start, self.start + self.size) if len(self.start) else np.zeros(0, np.uint64)
+        order = np.argsort(digest, kind="stable")
+        first, size, digest = self.start[order], self.size[order], digest[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (digest[1:] != digest[:-1]) | (size[1:] != size[:-1])
+        leads = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        for k in np.flatnonzero(~new).tolist():
+            a, b, n = int(first[leads[k]]), int(first[k]), int(size[k])
+            if words[a : a + n] != words[b : b + n]:
+                new[k] = True  # two texts of one hash: this one stays apart
+        group = np.cumsum(new) - 1
+        kept = order[new]
+        wide = int(item.max(initial=0)) + 1
+        pairs = np.unique(group * wide + item[order])
+        self.items_of = (pairs % wide).astype(np.int32)
+        self.items_at = np.searchsorted(pairs // wide, np.arange(len(kept) + 1)).astype(np.int32)
+        self.start, self.size, self.digest = self.start[kept], self.size[kept], digest[new]
+
     def __len__(self) -> int:
         return len(self.start)
 
     def _lookup(self, raws: list[bytes]):
-        """For chunks of documents: the first one's number, words and end of each, token hashes, and places of known shingles with their keys' numbers."""
+        """For chunks of documents: the first one's number, words of each, all words, their hashes, ends, and places of known shingles with their keys' numbers."""
         first, held, size = 0, [], 0
         for k, raw in enumerate(raws):
             held.append(fold_words(raw))
@@ -106,13 +131,13 @@ class WindowIndex:
                     hit = hit[hit + n <= tops[np.searchsorted(tops, hit, side="right")]]
                     at.append(hit)
                     key.append(near[hit])
-                yield first, held, words, tops, np.concatenate([*at, np.zeros(0, np.int64)]), np.concatenate([*key, np.zeros(0, np.int64)])
+                yield first, held, words, ranged, tops, np.concatenate([*at, np.zeros(0, np.int64)]), np.concatenate([*key, np.zeros(0, np.int64)])
                 first, held, size = k + 1, [], 0
 
     def held(self, raws: list[bytes]) -> list[np.ndarray]:
         """Numbers of the block's shingles that each document holds."""
         out: list[np.ndarray] = []
-        for _, held, _, tops, at, key in self._lookup(raws):
+        for _, held, _, _, tops, at, key in self._lookup(raws):
             of = np.searchsorted(tops, at, side="right")
             known = np.unique(np.stack([of, key], 1), axis=0)
             cut = np.searchsorted(known[:, 0], np.arange(1, len(held)))
@@ -137,26 +162,37 @@ class WindowIndex:
         self.keys = self.keys[kept]
         self.first = np.append(begin, len(order))
         self.start, self.size, self.at = self.start[order].astype(np.int32), self.size[order], best_at[order]
+        self.digest, self.place = self.digest[order], order.astype(np.int32)
         self.windows, self._keys_at = {}, {}
 
     def match(self, raws: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
         """Number of words, word spans of all verified occurrences, and the items, of each document."""
         out: list[tuple[int, list[tuple[int, int]], set[str]]] = []
-        for first, held, words, tops, at, key in self._lookup(raws):
+        for first, held, words, ranged, tops, at, key in self._lookup(raws):
             out += [(len(ws), [], set()) for ws in held]
+            base = tops - np.array([len(ws) for ws in held], np.int64)
             many = self.first[key + 1] - self.first[key]
-            window = np.repeat(self.first[key] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            of = np.repeat(np.searchsorted(tops, at, side="right"), many)
-            begin = np.repeat(at, many) - self.at[window]
-            end = begin + self.size[window]
-            base = tops[of] - np.array([len(ws) for ws in held], np.int64)[of]
-            fits = np.flatnonzero((begin >= base) & (end <= tops[of]))
-            for k, w, s, e, b in zip(of[fits].tolist(), window[fits].tolist(), begin[fits].tolist(), end[fits].tolist(), base[fits].tolist(), strict=True):
-                there, n = int(self.start[w]), int(self.size[w])
-                if b" ".join(words[s:e]) == self.buffer[self.begins[there] : self.ends[there + n - 1]]:
-                    _, spans, items = out[first + k]
-                    spans.append((s - b, e - b))
-                    items.update(self.owners[int(np.searchsorted(self.tops, there, side="right"))])
+            found: set[tuple[int, int]] = set()
+            # A shingle that many windows hold costs time, not memory.
+            parts = np.searchsorted(np.cumsum(many) - many, np.arange(0, many.sum(), CANDIDATES))
+            for lo, hi in zip(parts.tolist(), [*parts[1:].tolist(), len(many)], strict=False):
+                some = many[lo:hi]
+                window = np.repeat(self.first[key[lo:hi]] - (np.cumsum(some) - some), some) + np.arange(some.sum())
+                of = np.repeat(np.searchsorted(tops, at[lo:hi], side="right"), some)
+                begin = np.repeat(at[lo:hi], some) - self.at[window]
+                end = begin + self.size[window]
+                fits = np.flatnonzero((begin >= base[of]) & (end <= tops[of]))
+                fits = fits[ranged(begin[fits], end[fits]) == self.digest[window[fits]]]
+                for k, w, s, e in zip(of[fits].tolist(), window[fits].tolist(), begin[fits].tolist(), end[fits].tolist(), strict=True):
+                    there = int(self.start[w])
+                    if b" ".join(words[s:e]) == self.buffer[self.begins[there] : self.ends[there + e - s - 1]]:
+                        b = int(base[k])
+                        out[first + k][1].append((s - b, e - b))
+                        found.add((k, w))
+            for k, w in found:
+                place = self.place[w]
+                for item in self.items_of[self.items_at[place] : self.items_at[place + 1]].tolist():
+                    out[first + k][2].update(self.owners[item])
         return out
 
 
@@ -220,7 +256,8 @@ def find_windows(
 
     Null and empty texts have no words and no hits; an empty benchmark hits
     nothing; items with a null id hit words but are not listed; rows with equal
-    item ids count as one item.
+    item ids count as one item.  Texts of any length, repetitive ones too, take time and
+    memory in proportion to it.
     """
     texts = bare(small_batches(docs), "text").select(F.col("text").cast("string").alias("text"))
     carried, text, blocks = docs.withColumn(into, F.lit(None).cast(RESULT)), F.col("text").cast("string"), 0

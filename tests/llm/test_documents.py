@@ -227,6 +227,43 @@ def test_decontamination(spark, docs, empty):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, v in expected.items() if not v[4]}
 
 
+def test_decontamination_of_repetitive_text(spark):
+    """Equal windows are one: a text of one word costs no more than its length, and hits are those of brute force."""
+    rng = np.random.default_rng(6)
+    items = [("one", "word " * 3000), ("two", "word " * 30 + "tail"), ("three", "a b " * 40), ("four", "b a b"), ("five", "word " * 4)]
+    texts = ["word " * 5000, "word " * 9, "word " * 3 + "x", "a b " * 25, "b a " * 4, "tail " + "word " * 11 + "tail"]
+    texts += [" ".join(rng.choice(["word", "a", "b", "tail"], 400, p=[0.7, 0.1, 0.1, 0.1])) for _ in range(8)]
+    owners = {}
+    for i, t in items:
+        w = t.split()
+        for k in range(max(1, len(w) - 9)):
+            owners.setdefault(tuple(w[k : k + 10]), set()).add(i)
+    expected = {}
+    for i, t in enumerate(texts):
+        w, hit, found = t.split(), set(), set()
+        for n in {len(x) for x in owners}:
+            for k in range(len(w) - n + 1):
+                if of := owners.get(tuple(w[k : k + n])):
+                    hit |= set(range(k, k + n))
+                    found |= of
+        expected[i] = (len(w), len(hit), ",".join(sorted(found)))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = decontaminate.contamination(d, spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], ",".join(r["item_ids"])) for r in got} == expected
+    raw = b"word " * 100_000
+    index = decontaminate.WindowIndex([("a", raw), ("b", raw[:500])], 10, 5)
+    index.choose(np.ones(len(index.keys), np.int64))
+    (n, spans, found), *_ = index.match([raw])
+    assert len(index) == 1 and (n, len(spans), found) == (100_000, 99_991, {"a", "b"})
+
+
+def test_windows_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(decontaminate.RangeHash, "__call__", lambda self, start, end: np.zeros(len(start), np.uint64))
+    index = decontaminate.WindowIndex([("a", b"x y z"), ("b", b"x y q"), ("c", b"x y z")], 10, 5)
+    index.choose(np.ones(len(index.keys), np.int64))
+    assert [m[2] for m in index.match([b"x y z", b"x y q", b"x y"])] == [{"a", "c"}, {"b"}, set()]
+
+
 def brute_fingerprint(text, shingle=3):
     w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     runs = [w[k : k + shingle] for k in range(max(1, len(w) - shingle + 1))] if w else []
