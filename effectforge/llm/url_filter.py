@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from effectforge.llm.common import bare, discard, materialize
+from effectforge.llm.common import bare, materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules held as one expression; a longer list is joined.
@@ -119,64 +119,71 @@ def _unlabelled(children: DataFrame, z: float) -> DataFrame:
     return children.join(pools, ["host", "template"]).filter(short >= least).select("host", "template", "segment", F.col("segment").alias("branch"))
 
 
-def path_templates(
-    urls: DataFrame,
-    *,
-    max_depth: int = 32,
-    min_labels: int = 5,
-    z: float = 1.96,
-) -> DataFrame:
-    """``urls`` (host, path, label, ...) with ``template``: the branch of each path.
+def path_templates(paths: DataFrame, *, min_labels: int = 5, z: float = 1.96) -> DataFrame:
+    """``paths`` (host, path, n, labelled, bad) with ``template``: the branch of each path.
 
-    label is 1 for block, 0 for allow, null for none.  The tree is as deep as the deepest
-    path with a label; what lies deeper, where nothing is known, is one wildcard, and so
-    are segments below ``max_depth``, which only bounds the rounds.
+    n pages have the path, labelled of them a label, bad of them a blocking one.  The tree
+    is as deep as the deepest path with a label, and branches without any label are not
+    followed: each of their segments is a wildcard, and what lies deeper one for all.
+    Segments that all paths of a branch share are taken in one step.  Asterisks, braces,
+    commas and backslashes of a path are escaped by a backslash in templates.
     """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = materialize(urls.withColumn("segments", segments).withColumn("template", F.lit("")), "url-rows")
-    deepest = rows.filter("label is not null").agg(F.max(F.size("segments"))).first()[0] or 0
-    max_depth = min(max_depth, deepest)
-    counts = [
-        F.count("*").alias("n"),
-        F.count("label").alias("labelled"),
-        F.coalesce(F.sum("label"), F.lit(0)).alias("bad"),
-    ]
-    for depth in range(max_depth):
-        here = rows.filter(F.size("segments") > depth).withColumn("segment", F.col("segments")[depth])
-        children = here.groupBy("host", "template", "segment").agg(*counts)
-        children = materialize(children, "url-children")
-        before = rows
+    rest = F.transform(segments, lambda s: F.regexp_replace(s, r"([\\*{},])", r"\\$1"))
+    known = ["host", "path", "n", "labelled", "bad"]
+    rows = materialize(paths.select(*known, rest.alias("rest"), F.lit("").alias("template"), F.lit(0).alias("depth")), "url-rows")
+    deepest = rows.filter("labelled > 0").agg(F.max(F.size("rest"))).first()[0] or 0
+    ended = F.size("rest") == 0
+    done = [rows.filter(ended).select(*known, "template")]
+    rows = rows.filter(~ended)
+    while not rows.isEmpty():
+        groups = rows.groupBy("host", "template").agg(
+            F.sum("labelled").alias("labels"), F.min("rest").alias("low"), F.max("rest").alias("high"), F.min(F.size("rest")).alias("least")
+        )
+        shared = F.filter(F.sequence(F.lit(1), F.col("least")), lambda k: F.slice("low", F.lit(1), k) == F.slice("high", F.lit(1), k))
+        shared = F.slice("low", F.lit(1), F.size(shared))
+        groups = groups.select("host", "template", "labels", shared.alias("run"))
+        names = F.when(F.col("labels") >= min_labels, F.col("run")).otherwise(F.array_repeat(F.lit("*"), F.size("run")))
+        wild = F.least(F.size("rest"), F.lit(deepest) - F.col("depth"))
+        closed = F.concat("template", F.repeat(F.lit("/*"), wild), F.when(F.size("rest") > wild, "/**").otherwise(""))
+        through = F.concat("template", F.array_join(F.transform(names, lambda s: F.concat(F.lit("/"), s)), ""))
+        open_ = F.col("labels") > 0
+        stepped = rows.join(groups, ["host", "template"]).select(
+            *known,
+            F.when(open_, through).otherwise(closed).alias("template"),
+            F.when(open_, F.slice("rest", F.size("run") + 1, F.size("rest"))).otherwise(F.array().cast("array<string>")).alias("rest"),
+            (F.col("depth") + F.size("run")).alias("depth"),
+        )
+        stepped = materialize(stepped, "url-runs")
+        done.append(stepped.filter(ended).select(*known, "template"))
+        rows = stepped.filter(~ended).withColumn("segment", F.col("rest")[0])
+        counts = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
+        children = rows.groupBy("host", "template", "segment").agg(*counts)
         enough = F.col("labelled") >= min_labels
         kept = _merge_similar(children.filter(enough), z).unionByName(_unlabelled(children.filter(~enough), z))
-        kept = materialize(kept, "url-branches")
-        rows = (
-            rows.withColumn("segment", F.when(F.size("segments") > depth, F.col("segments")[depth]))
-            .join(kept, ["host", "template", "segment"], "left")
-            .withColumn(
-                "template",
-                F.when(F.col("segment").isNull(), F.col("template"))
-                .when(F.col("branch").isNotNull(), F.concat("template", F.lit("/"), "branch"))
-                .otherwise(F.concat("template", F.lit("/*"))),
-            )
-            .drop("segment", "branch")
+        branch = F.concat("template", F.lit("/"), F.coalesce("branch", F.lit("*")))
+        rows = rows.join(kept, ["host", "template", "segment"], "left").select(
+            *known, branch.alias("template"), F.slice("rest", F.lit(2), F.size("rest")).alias("rest"), (F.col("depth") + 1).alias("depth")
         )
         rows = materialize(rows, "url-rows")
-        discard(before, children, kept)
-    deeper = F.size("segments") > max_depth
-    return rows.withColumn("template", F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segments")
+        done.append(rows.filter(ended).select(*known, "template"))
+        rows = rows.filter(~ended)
+    found = done[0]
+    for part in done[1:]:
+        found = found.unionByName(part)
+    return found
 
 
 def judge_templates(
     rows: DataFrame, *, min_labels: int = 5, smoothing: float = 5.0, reject_at: float = 0.7, z: float = 1.2816
 ) -> DataFrame:
-    """host, template, labels, smoothed purity and the verdict on each template.
+    """host, template, labels, smoothed purity and the verdict on each template of ``rows`` (see :func:`path_templates`).
 
     A template is rejected where the lower bound of its smoothed purity (Wilson's,
     one-sided 90 % by default) is at least ``reject_at``, however many pages have no
     label.  One with fewer labels than ``min_labels`` is allowed.
     """
-    label = [F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"), F.count("*").alias("n")]
-    templates = rows.groupBy("host", "template").agg(*label)
+    templates = rows.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("labelled", "bad", "n")])
     hosts = templates.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
     top = hosts.agg(F.sum("host_labelled").alias("a"), F.sum("host_bad").alias("b")).first()
     prior = (top["b"] / top["a"]) if top["a"] else 0.0
@@ -196,7 +203,7 @@ def judge_templates(
 
 
 def filter_urls(
-    pages: DataFrame, rules: list[tuple[str, str]], *, labels: DataFrame | None = None, max_depth: int = 32, **judging
+    pages: DataFrame, rules: list[tuple[str, str]], *, labels: DataFrame | None = None, **judging
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for each page.
 
@@ -214,9 +221,11 @@ def filter_urls(
     else:
         known = bare(labels, "page_id", "blocked").groupBy("page_id").agg(F.max("blocked").cast("int").alias("label"))
         u = u.join(known, "page_id", "left")
-    rows = materialize(path_templates(u, max_depth=max_depth), "url-templates")
-    judged = materialize(judge_templates(rows, **judging), "url-verdicts")
-    return rows.join(judged, ["host", "template"]).select(
+    counts = [F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")]
+    rows = materialize(path_templates(u.groupBy("host", "path").agg(*counts)), "url-templates")
+    judged = rows.select("host", "path", "template").join(judge_templates(rows, **judging), ["host", "template"])
+    judged = materialize(judged.select("host", "path", "template", "purity", "template_verdict"), "url-verdicts")
+    return u.join(judged, ["host", "path"]).select(
         "page_id",
         "host",
         "path",
