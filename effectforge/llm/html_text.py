@@ -52,6 +52,10 @@ NAMES = frozenset(
     "discussion disqus respond related recommended share sharing social pagination pager skip".split()
 )
 
+#: Whole class names or ids that are chrome inside the article too.
+CERTAIN = frozenset("ad ads advert adverts advertisement sponsored comments commentlist disqus_thread".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 #: Elements of the head; any other one ends it.
 HEAD = frozenset("base head link meta noscript script style template title".split())
 #: Containers that a shape is taken of.
@@ -81,6 +85,8 @@ class Node:
     size: int = 0
     frame: bool = False
     side: bool = False
+    inside: bool = False
+    titled: bool = False
 
 
 class _Tree:
@@ -264,7 +270,8 @@ def mark_frame(root: Node) -> None:
     The frame is body, main and article, what holds a main or the longest article, and
     without either what holds most of the text.  The article is the longest one, or
     the main, or the innermost element that holds most of the text; containers neither
-    in it nor in another article, nor of the frame, are at its side.
+    in it nor in another article, nor of the frame, are at its side.  What an article
+    holds, or main on a page without one, is marked as inside, and what holds a heading as titled.
     """
     order, todo = [], [(root, None)]
     while todo:
@@ -284,22 +291,32 @@ def mark_frame(root: Node) -> None:
             content = node
     for node, parent in reversed(order):
         node.frame |= node.tag in ("html", "body", "main", "article")
+        node.titled |= node.tag in HEADINGS
+        if parent:
+            parent.titled |= node.titled
         if parent and (node is longest or node.tag == "main" or node.frame and node.tag not in ("article", "main")):
             parent.frame = True
-    todo = [(root, False)]
+    todo = [(root, False, False)]
     while todo:
-        node, inside = todo.pop()
+        node, inside, held = todo.pop()
         inside = inside or node is content or node.tag in ("article", "main")
         node.side = not inside and not node.frame and node.tag in SHAPED
-        todo.extend((c, inside) for c in node.children if type(c) is Node)
+        node.inside = held
+        held = held or node is longest or node.tag == "article" or longest is None and node.tag == "main"
+        todo.extend((c, inside, held) for c in node.children if type(c) is Node)
 
 
 def _dropped(node: Node, lists: bool) -> bool:
+    """Whether an element goes by its tag or attributes.
+
+    Inside the article its own header stays if it has a heading, and names count only
+    where they are whole and certain: ``related-work`` or ``share-price`` is a subject there.
+    """
     if node.tag in MUTE:
         return True
     if node.frame or not lists:
         return False
-    if node.tag in DROP:
+    if node.tag in DROP and not (node.inside and node.tag == "header" and node.titled):
         return True
     if not node.attrs:
         return False
@@ -309,7 +326,7 @@ def _dropped(node: Node, lists: bool) -> bool:
             return True
         if name == "role" and value.strip() in ROLES:
             return True
-        if name in ("class", "id") and not NAMES.isdisjoint(_NAME.findall(value)):
+        if name in ("class", "id") and not (CERTAIN.isdisjoint(value.split()) if node.inside else NAMES.isdisjoint(_NAME.findall(value))):
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
@@ -459,8 +476,9 @@ def extract_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.5, l
 
     A null page has an empty text; a null URL belongs to the host with an empty
     name; repeated rows each get their row; an empty table gives no rows; a page of
-    any length and nesting is parsed whole, in time linear in its length; columns
-    beside page_id, url and html are left out.
+    any length and nesting is parsed whole, in time linear in its length; names of
+    classes and ids are a matter outside the article, and inside it only whole names of
+    adverts and comments; columns beside page_id, url and html are left out.
     """
     p = bare(small_batches(pages), "page_id", "url", "html").select(
         "page_id", "url", F.col("html").cast("string").alias("html"), page_host(F.col("url")).alias("host")
