@@ -89,13 +89,19 @@ def record_bytes(row: dict) -> bytes:
     return text.encode() + block + b"\r\n\r\n"
 
 
+#: Largest length that an ``sl`` field can state.
+LONGEST = 0xFFFFFFFF
+
+
 def gzip_member(data: bytes, level: int) -> bytes:
-    """A gzip member that states its own length and its content's in an ``sl`` field."""
+    """A gzip member that states its own length and its content's in an ``sl`` field, where both fit its 32 bits."""
     deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = deflate.compress(data) + deflate.flush()
     total = 10 + 2 + 12 + len(body) + 8
-    extra = b"sl" + struct.pack("<HII", 8, total & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
-    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra
+    head = b"\x1f\x8b\x08\0\0\0\0\0\0\xff"
+    if max(total, len(data)) <= LONGEST:
+        extra = b"sl" + struct.pack("<HII", 8, total, len(data))
+        head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -117,10 +123,8 @@ class WarcWriter(DataSourceArrowWriter):
         fs.create_dir(root, recursive=True)
         name, out, records = f"{self.job}-{uuid.uuid4().hex}.warc" + ".gz" * self.compress, None, 0
         for batch in iterator:
-            names = batch.schema.names
-            columns = {n: batch.column(n) for n in names}
-            for k in range(batch.num_rows):
-                data = record_bytes({n: columns[n][k].as_py() for n in names})
+            for row in batch.to_pylist():
+                data = record_bytes(row)
                 out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(gzip_member(data, self.level) if self.compress else data)
                 records += 1
@@ -355,8 +359,9 @@ def page_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """A record for each page, equal payloads of ``min_bytes`` or more as revisits.
 
     The page with the largest id among those of one payload is the response.
-    A null page id sorts below all others and gives a record without a page in
-    its id; rows that repeat the largest id are responses each; where all ids
+    Ids are of any type that a string can be cast to, and stand in the records' ids
+    URL-encoded.  A null page id sorts below all others and gives a record without a
+    page in its id; rows that repeat the largest id are responses each; where all ids
     are null all are responses.
     """
     p = bare(pages, "page_id", "url", "html").select(
@@ -374,9 +379,9 @@ def page_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
         "warc-shared",
     )
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    urn = lambda c: F.concat(F.lit("<urn:x-page:"), F.col(c).cast("string"), F.lit(">"))
+    urn = lambda c: F.concat(F.lit("<urn:x-page:"), F.url_encode(F.col(c).cast("string")), F.lit(">"))
     return p.join(shared, "payload_digest", "left").select(
-        F.coalesce(urn("page_id"), F.lit("<urn:x-page:>")).alias("record_id"),
+        F.coalesce(urn("page_id"), F.lit("<urn:x-page>")).alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         "target_uri",
         F.when(revisit, urn("first_id")).alias("refers_to"),
@@ -390,30 +395,31 @@ def round_trip(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """Write every page to WARC archives in the shared folder and read them back.
 
     Sizes and digests of responses are taken from the payloads as read; those
-    of revisits are the full payload's, from the record's header.  An empty
-    table writes no archive and gives no rows.
+    of revisits are the full payload's, from the record's header.  Page ids come back
+    in their own type.  An empty table writes no archive and gives no rows.
     """
     spark = pages.sparkSession
     register(spark)
     path = scratch(spark, "warc")
     page_records(pages, min_bytes).write.format("warc").mode("append").save(path)
-    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:x-page:(.*)>$', 1) as bigint)")
+    kind = bare(pages, "page_id").schema["page_id"].dataType
+    page = lambda c: F.url_decode(F.when(F.col(c).startswith("<urn:x-page:"), F.regexp_extract(c, "^<urn:x-page:(.*)>$", 1))).cast(kind)
     full = spark.read.format("warc").option("path", path).load().filter("record_type = 'response'")
     heads = spark.read.format("warc").option("path", path).option("payload", "false").load().filter("record_type = 'revisit'")
     responses = full.select(
-        number("record_id").alias("page_id"),
+        page("record_id").alias("page_id"),
         F.octet_length("payload").cast("bigint").alias("payload_bytes"),
         F.sha1("payload").alias("payload_digest"),
         "record_type",
-        F.lit(None).cast("bigint").alias("refers_to"),
+        F.lit(None).cast(kind).alias("refers_to"),
         "target_uri",
     )
     revisits = heads.select(
-        number("record_id").alias("page_id"),
+        page("record_id").alias("page_id"),
         F.col("payload_length").alias("payload_bytes"),
         "payload_digest",
         "record_type",
-        number("refers_to").alias("refers_to"),
+        page("refers_to").alias("refers_to"),
         "target_uri",
     )
     return responses.unionByName(revisits)

@@ -5,6 +5,7 @@ import hashlib
 import time
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,28 @@ def test_round_trip(spark, pages):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(12,2)", "date"])
+def test_round_trip_of_other_ids(spark, kind):
+    """Ids come back in their own type, whatever is in them."""
+    ids = {"string": ["p5", "a b>%é", "", "p\r\n6", None], "decimal(12,2)": ["1.50", "-2", "0", "7.25", None], "date": ["2020-01-01", "2021-02-03", "1999-12-31", "2000-01-01", None]}[kind]
+    d = spark.createDataFrame([(i, BIG if k != 1 else "x") for k, i in enumerate(ids)], "page_id string, html string").withColumn("page_id", F.col("page_id").cast(kind))
+    got = warc.round_trip(d.withColumn("url", F.lit("http://x/")))
+    assert dict(got.dtypes)["page_id"] == dict(got.dtypes)["refers_to"] == kind
+    rows = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in got.collect()}
+    values = [r["page_id"] for r in d.collect()]
+    last = max(v for k, v in enumerate(values) if v is not None and k != 1)
+    assert rows == {v: ("response", None) if k == 1 or v == last else ("revisit", last) for k, v in enumerate(values)}
+
+
+def test_members_beyond_a_length_field(monkeypatch):
+    """A member that is too long for its length field has none."""
+    data = b"payload " * 50
+    assert warc.gzip_member(data, 6)[3] == 4
+    monkeypatch.setattr(warc, "LONGEST", 20)
+    long = warc.gzip_member(data, 6)
+    assert long[3] == 0 and gzip.decompress(long) == data
+
+
 @pytest.mark.parametrize("compression", ["gzip", "none"])
 def test_source_pushes_predicates(spark, pages, tmp_path, compression):
     warc.register(spark)
@@ -215,6 +238,26 @@ def test_frame_is_kept():
     assert html_text.main_text("text <b unclosed") == "text <b unclosed" and html_text.main_text("a<!--b") == "a"
 
 
+def test_article_keeps_its_text():
+    """Names are chrome outside the article only; planted chrome goes, no planted text does."""
+    rng = np.random.default_rng(8)
+    names = sorted(html_text.NAMES - html_text.CERTAIN)
+    for _ in range(60):
+        want, body = ["Title here"], "<header class='header'><h1>Title here</h1></header>"
+        for k in range(int(rng.integers(2, 9))):
+            name = "-".join(rng.choice(names, int(rng.integers(1, 3))))
+            tag = str(rng.choice(["p", "div", "section", "blockquote"]))
+            want.append(f"text {k} of {name}")
+            body += f"<{tag} {rng.choice(['class', 'id'])}='{name}'>text {k} of <b>{name}</b></{tag}>"
+        body += "<table class='nav'><tr><td>a</td><td>b</td></tr></table>"
+        want.append("a b")
+        inner = "<div class='ad'>chrome</div><section class='comments'><p>chrome</p></section><form>chrome</form><nav>chrome</nav><p hidden>chrome</p>"
+        chrome = [f"<div class='{rng.choice(names)}'><p>chrome</p></div>" for _ in range(3)]
+        for art in ("article", "main"):
+            page = f"<html><body><header>chrome</header>{chrome[0]}<div class='wrap'>{chrome[1]}<{art}>{body}{inner}</{art}>{chrome[2]}</div><footer>chrome</footer></body></html>"
+            assert html_text.main_text(page).split("\n") == want
+
+
 HOSTILE = {
     "unpaired quotes": ("<a '>", "x<b '", ""),
     "quotes after equals": ("<a b=\"", "x<b c='", ""),
@@ -350,6 +393,25 @@ def brute_templates(rows, min_labels=5, z=1.96):
     return [t + "/**" if len(s) > deepest else t for t, s in zip(template, split)]
 
 
+@pytest.mark.parametrize("depth", [3, 40])
+def test_url_tree_of_any_depth(spark, depth):
+    """Labels by the last folder decide at every depth, where no table of labels covers a page."""
+    folder = "/".join(f"s{k}" for k in range(depth - 1))
+    rows = [(k, f"http://deep.org/{folder}/{('spam', 'news')[k % 2]}/{k}") for k in range(60)]
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(40)], "page_id bigint, blocked int")
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string"), [], labels=labels).collect()
+    assert all(r["verdict"] == ("block" if r["page_id"] % 2 == 0 else "allow") for r in got)
+    assert {r["template"] for r in got} == {f"/{folder}/{x}/*" for x in ("spam", "news")}
+
+
+def test_url_templates_escape_literals(spark):
+    rows = [(k, f"http://h.org/{('*', '{a,b}', 'a', 'b')[k % 4]}/{k}") for k in range(80)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(80)], "page_id bigint, blocked int")
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string"), [], labels=labels).collect()
+    assert {r["template"] for r in got} == {r"/\*/*", r"/{\{a\,b\},a,b}/*"} or {r["template"] for r in got} == {r"/\*/*", r"/{a,b,\{a\,b\}}/*"}
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == {k for k in range(80) if k % 4 == 0}
+
+
 def test_url_tree_against_brute_force(spark):
     """Templates of the given pages and of deep made-up paths are those of a plain tree."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
