@@ -227,6 +227,7 @@ def fit_forest(
     if not picked:
         return IsolationForest()
     chosen = spark.createDataFrame([(r[0], int(r[1])) for r in picked], f"doc_id {dict(labels.dtypes)['doc_id']}, quality int")
+    chosen = chosen.withColumn("doc_id", F.col("doc_id").try_cast(docs.schema["doc_id"].dataType)).filter("doc_id is not null")
     rows = (
         bare(docs, "doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")

@@ -123,11 +123,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """One row of ``docs`` for each row of ``kept`` (id, and hash of the text if it has one): of several the least by a hash."""
-    names = {c: fresh(docs, c) for c in ("number", "null", "hash", "n")}
-    d = docs.withColumn(names["number"], F.coalesce("doc_id", F.lit(0))).withColumn(names["null"], F.col("doc_id").isNull())
-    keys = [names["number"], names["null"]]
-    k = kept.withColumn("kept_number", F.coalesce("id", F.lit(0))).withColumn("kept_null", F.col("id").isNull())
-    same = (d[keys[0]] == k["kept_number"]) & (d[keys[1]] == k["kept_null"])
+    names = {c: fresh(docs, c) for c in ("id", "hash", "n")}
+    d = docs.withColumn(names["id"], F.col("doc_id"))
+    keys = [names["id"]]
+    k = kept.withColumnRenamed("id", "kept_id")
+    same = d[names["id"]].eqNullSafe(k["kept_id"])
     if "hash" in kept.columns:
         d = d.withColumn(names["hash"], F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
         keys.append(names["hash"])

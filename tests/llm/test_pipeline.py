@@ -1,6 +1,7 @@
 """Each stage of the pipeline against brute force, on what the stage before it kept."""
 
 import pytest
+from pyspark.sql import functions as F
 from test_documents import shares, words
 from test_similar import brute
 
@@ -127,3 +128,16 @@ def test_odd_tables(spark, sf, name, stage):
     if name == "mix":
         assert {"doc_id", "text", "source", "copies", "__mix_id"} < out[0].asDict().keys()
     assert name == "simhash" or stage(spark, d.limit(0), sf).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(20,2)"])
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_ids_of_any_type(spark, sf, name, stage, kind):
+    """Ids need not be whole numbers: every stage gives what it gives for numbers (quality knows no labels of other ids)."""
+    d = spark.createDataFrame(ODD, "doc_id bigint, text string, source string, copies string, `__mix_id` int")
+    named = F.col("doc_id").cast(kind) if kind != "string" else F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    texts = [sorted(str(r["text"]) for r in stage(spark, t, sf).collect()) for t in (d, d.withColumn("doc_id", named))]
+    if name == "mix" or (name, kind) == ("quality", "string"):
+        assert texts[1] and set(texts[1]) <= {str(r[1]) for r in ODD}
+    else:
+        assert texts[0] == texts[1]
