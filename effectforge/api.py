@@ -114,7 +114,12 @@ def fit_block_eigen(stats: DataFrame, edges: DataFrame, method: str = "bayesc",
     return samplers.fit_summary(stats, edges, model, controls or priors.ChainControls(), block_filter or "low_rank", block_size)
 
 
-fit_joint_bed, fit_joint_csr = multitrait.fit_joint_genotypes, multitrait.fit_providers
+fit_joint_bed, fit_joint_providers = multitrait.fit_joint_genotypes, multitrait.fit_providers
+
+
+def fit_joint_csr(stats: DataFrame, edges: DataFrame, controls: priors.ChainControls, **more) -> DataFrame:
+    """Joint fit of traits that have all markers and the same LD; :func:`fit_joint_providers` takes markers and LD by provider."""
+    return multitrait.fit_providers(*multitrait.same_ld(stats, edges), controls, **more)
 
 
 def annotation_pi(alpha: dict[str, list[float]]) -> dict[str, list[float]]:
@@ -271,8 +276,8 @@ def joint_block_eigen(edges: DataFrame, stats: DataFrame, block_size: int = 256,
 
 
 def fit_joint_block_eigen(stats: DataFrame, edges: DataFrame, controls: priors.ChainControls, *, block_size: int = 256, eigen_prop: float = 0.995, **more) -> DataFrame:
-    """Joint fit of providers on LD blocks of reduced rank."""
-    return multitrait.fit_providers(stats, joint_block_eigen(edges, stats, block_size, eigen_prop), controls, **more)
+    """Joint fit of traits on LD blocks of reduced rank."""
+    return fit_joint_csr(stats, joint_block_eigen(edges, stats, block_size, eigen_prop), controls, **more)
 
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "NormalDist", "DataFrame", "SparkSession", "F", "np", "pd")]

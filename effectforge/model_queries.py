@@ -161,19 +161,24 @@ JOINT = ((0.02, 0.01), (0.01, 0.03))
 _DET = JOINT[0][0] * JOINT[1][1] - JOINT[0][1] ** 2
 
 
-@query(
-    "q56_joint_conditional",
-    f"""WITH {_SCORES}, u AS (
-        SELECT a.marker_idx AS marker_idx, a.s / a.noise AS u1, c.s / c.noise AS u2, a.ww / a.noise AS i1, c.ww / c.noise AS i2
-        FROM sc a JOIN sc c USING (marker_idx) WHERE a.trait = 'T1' AND c.trait = 'T2'
-    ), lw AS (
+#: Probabilities of the four activity patterns from scores u1, u2 and informations i1, i2 of table u.
+_PATTERNS = f""", lw AS (
         SELECT marker_idx, [ln(0.25e0),
             ln(0.25e0) + 0.5e0 * u1 * u1 / (1 / {JOINT[0][0]}e0 + i1) - 0.5e0 * ln(1 / {JOINT[0][0]}e0 + i1) - 0.5e0 * ln({JOINT[0][0]}e0),
             ln(0.25e0) + 0.5e0 * u2 * u2 / (1 / {JOINT[1][1]}e0 + i2) - 0.5e0 * ln(1 / {JOINT[1][1]}e0 + i2) - 0.5e0 * ln({JOINT[1][1]}e0),
             ln(0.25e0) + 0.5e0 * (u1 * u1 * p2 - 2 * u1 * u2 * p12 + u2 * u2 * p1) / (p1 * p2 - p12 * p12) - 0.5e0 * ln(p1 * p2 - p12 * p12) - 0.5e0 * ln({_DET}::DOUBLE)] AS lw
         FROM (SELECT *, {JOINT[1][1]}e0 / {_DET}::DOUBLE + i1 AS p1, {JOINT[0][0]}e0 / {_DET}::DOUBLE + i2 AS p2, -{JOINT[0][1]}e0 / {_DET}::DOUBLE AS p12 FROM u)
     ), e AS (SELECT marker_idx, list_transform(lw, lambda z: exp(z - list_max(lw))) AS e FROM lw)
-    SELECT marker_idx, (generate_subscripts(e, 1) - 1)::INT AS pattern, round(unnest(e) / list_sum(e), 7) AS prob FROM e""",
+    SELECT marker_idx, (generate_subscripts(e, 1) - 1)::INT AS pattern, round(unnest(e) / list_sum(e), 7) AS prob FROM e"""
+
+
+@query(
+    "q56_joint_conditional",
+    f"""WITH {_SCORES}, u AS (
+        SELECT a.marker_idx AS marker_idx, a.s / a.noise AS u1, c.s / c.noise AS u2, a.ww / a.noise AS i1, c.ww / c.noise AS i2
+        FROM sc a JOIN sc c USING (marker_idx) WHERE a.trait = 'T1' AND c.trait = 'T2'
+    )"""
+    + _PATTERNS,
 )
 def q56(spark: SparkSession, d: str) -> DataFrame:
     """Probabilities of the activity patterns of two traits at each marker, by the joint kernel's weights."""
@@ -785,3 +790,45 @@ def q104(spark: SparkSession, d: str) -> DataFrame:
 def q105(spark: SparkSession, d: str) -> DataFrame:
     s = _stats(spark, d).select("trait", "marker_idx", (F.col("wy") / F.col("ww")).alias("effect"))
     return summaries.consistency(s.join(_scan(spark, d).select("trait", "marker_idx", "pip"), ["trait", "marker_idx"]), MARKERS)
+
+
+#: Three providers: trait 1 without every fifth marker, trait 2 without every third and LD of its own, and trait 1 again on even markers, half the samples and a narrow band.
+_PROVIDERS = (
+    _EDGES
+    + f""", pv AS (
+        SELECT 'A' AS p, trait, marker_idx, wy, ww, {SHARE}e0 * yy / n AS phi FROM stats WHERE trait = 'T1' AND marker_idx % 5 <> 0
+        UNION ALL SELECT 'B', trait, marker_idx, wy, ww, {SHARE}e0 * yy / n FROM stats WHERE trait = 'T2' AND marker_idx % 3 <> 0
+        UNION ALL SELECT 'C', trait, marker_idx, wy / 2, ww / 2, {SHARE}e0 * yy / n FROM stats WHERE trait = 'T1' AND marker_idx % 2 = 0
+    ), pe AS (
+        SELECT 'A' AS p, i, j, r FROM sym UNION ALL SELECT 'B', i, j, r / 2 FROM sym UNION ALL SELECT 'C', i, j, r FROM sym WHERE abs(i - j) <= 6
+    ), pb AS (
+        SELECT p, trait, marker_idx, wy, ww, phi, x / 100 * CASE trait WHEN 'T2' THEN 0.5e0 ELSE 1 END AS b FROM pv JOIN vec USING (marker_idx)
+    ), px AS (
+        SELECT pe.p, i AS marker_idx, sum((r * sqrt(a.ww * c.ww))::FLOAT::DOUBLE * c.b) AS xb
+        FROM pe JOIN pb a ON a.p = pe.p AND a.marker_idx = i JOIN pb c ON c.p = pe.p AND c.marker_idx = pe.j GROUP BY 1, 2
+    ), ps AS (
+        SELECT trait, marker_idx, sum((wy - coalesce(xb, 0)) / phi) AS u, sum(ww / phi) AS info FROM pb LEFT JOIN px USING (p, marker_idx) GROUP BY 1, 2
+    ), u AS (
+        SELECT m.j AS marker_idx, coalesce(a.u, 0) AS u1, coalesce(c.u, 0) AS u2, coalesce(a.info, 0) AS i1, coalesce(c.info, 0) AS i2
+        FROM m LEFT JOIN ps a ON a.marker_idx = m.j AND a.trait = 'T1' LEFT JOIN ps c ON c.marker_idx = m.j AND c.trait = 'T2'
+    )"""
+)
+
+
+@query("q106_provider_conditionals", f"WITH {_PROVIDERS}" + _PATTERNS)
+def q106(spark: SparkSession, d: str) -> DataFrame:
+    """Activity patterns of two traits at each marker by three providers with markers and LD of their own."""
+    s, e = _stats(spark, d), _edges(spark, d)
+    rows = [("A", "T1", F.col("marker_idx") % 5 != 0, 1.0, 1.0, 64), ("B", "T2", F.col("marker_idx") % 3 != 0, 1.0, 0.5, 64), ("C", "T1", F.col("marker_idx") % 2 == 0, 0.5, 1.0, 6)]
+    local, edges, scales = [], [], []
+    for name, trait, has, size, weak, band in rows:
+        mine = s.filter(F.col("trait") == trait)
+        local.append(mine.filter(has).select(F.lit(name).alias("provider_id"), F.col("marker_idx").alias("global_idx"), (F.col("wy") * size).alias("score"), (F.col("ww") * size).alias("ww")))
+        edges.append(e.filter(F.col("j") - F.col("i") <= band).select(F.lit(name).alias("provider_id"), "i", "j", (F.col("r") * weak).alias("r")))
+        scales.append(mine.select(F.lit(name).alias("provider_id"), "trait", (SHARE * F.col("yy") / F.col("n")).alias("residual_scale")).distinct())
+    local, edges, scales = (x[0].unionByName(x[1]).unionByName(x[2]) for x in (local, edges, scales))
+    half = F.when(F.col("trait") == "T2", 0.5).otherwise(1.0)
+    effects = s.join(_vector(spark), "marker_idx").select("trait", F.col("marker_idx").alias("global_idx"), (F.col("x") / 100 * half).alias("effect"))
+    markers = _markers(spark).select(F.col("marker_idx").alias("global_idx"))
+    out = multitrait.provider_patterns(local, edges, scales, effects, markers, np.array(JOINT), np.full(4, 0.25))
+    return out.withColumn("prob", F.round("prob", 7))

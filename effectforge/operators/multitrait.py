@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from effectforge.operators.priors import ChainControls, task_seed
-from effectforge.operators.samplers import CsrOperator, standardise
+from effectforge.operators.samplers import CsrOperator, dosage_array, standardise
 
 OUTPUT = "chain int, kind string, iteration int, marker_idx int, trait string, quantity string, value double"
 MAX_TRAITS = 12
@@ -138,32 +138,134 @@ def _rows(chain: int, traits: list[str], out: dict) -> pd.DataFrame:
     return d.astype({"chain": "int32", "iteration": "int32", "marker_idx": "int32"})
 
 
-def fit_providers(stats: DataFrame, edges: DataFrame, controls: ChainControls, *, vb: np.ndarray, vb_df: float, vb_scale: np.ndarray, gamma: tuple[float, ...] = (1.0,)) -> DataFrame:
-    """Joint fit of independent providers, one a trait: stats (trait, marker_idx, wy, ww, yy, n), shared LD.
+class ProviderSet:
+    """The joint likelihood of providers that each know some of the markers, by LD of their own.
 
-    A provider's likelihood is divided by its residual scale, yy / n.
+    A provider has one trait, a residual scale by which its scores are divided, and an
+    operator over its own markers; ``at`` maps a global marker to its place there, -1 where
+    the provider does not have it.  Scores and information of a trait add up over its
+    providers; a trait without one at a marker has none there, and its effect follows the prior.
     """
-    names = [r[0] for r in stats.select("trait").distinct().orderBy("trait").collect()]
-    spark = stats.sparkSession
-    tasks = spark.createDataFrame([(c, task_seed(controls, "joint", "", c)) for c in range(controls.nchains)], "chain int, seed bigint")
-    left = stats.crossJoin(F.broadcast(tasks))
-    right = edges.select("i", "j", "r").crossJoin(F.broadcast(tasks.select(F.col("chain").alias("of_chain"))))
 
-    def task(key: tuple, s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        ops, phi = [], []
-        for t in names:
-            part = s[s["trait"] == t].sort_values("marker_idx")
-            ops.append(CsrOperator(part["wy"].to_numpy(float), part["ww"].to_numpy(float), e["i"].to_numpy(int), e["j"].to_numpy(int), e["r"].to_numpy(float)))
-            phi.append(float(part["yy"].iloc[0]) / float(part["n"].iloc[0]))
-        out = sample_joint(
-            lambda k, b: np.array([o.score(k, b[t]) / phi[t] for t, o in enumerate(ops)]),
-            lambda k, d: [o.move(k, d[t]) for t, o in enumerate(ops)],
-            lambda k: np.diag([o.ww[k] / phi[t] for t, o in enumerate(ops)]),
-            len(ops[0].wy), len(names), controls, int(s["seed"].iloc[0]), vb=vb, vb_df=vb_df, vb_scale=vb_scale, gamma=gamma,
+    def __init__(self, m: int, traits: int) -> None:
+        self.m, self.traits = m, traits
+        self.members: list[tuple[int, float, np.ndarray, CsrOperator]] = []
+
+    def add(self, trait: int, scale: float, ids: np.ndarray, wy: np.ndarray, ww: np.ndarray, i: np.ndarray, j: np.ndarray, r: np.ndarray) -> None:
+        """A provider of the global markers ``ids``; edges (i, j, r) are in global numbers, and those of markers it does not have fall out."""
+        at = np.full(self.m, -1)
+        at[ids] = np.arange(len(ids))
+        i, j = at[i], at[j]
+        both = (i >= 0) & (j >= 0)
+        self.members.append((trait, scale, at, CsrOperator(wy, ww, i[both], j[both], r[both])))
+
+    def scores(self, k: int, b: np.ndarray) -> np.ndarray:
+        """X'e of one marker by trait over the residual scales, its own effects added back."""
+        u = np.zeros(self.traits)
+        for trait, scale, at, op in self.members:
+            if at[k] >= 0:
+                u[trait] += op.score(at[k], b[trait]) / scale
+        return u
+
+    def information(self, k: int) -> np.ndarray:
+        info = np.zeros(self.traits)
+        for trait, scale, at, op in self.members:
+            if at[k] >= 0:
+                info[trait] += op.ww[at[k]] / scale
+        return np.diag(info)
+
+    def move(self, k: int, change: np.ndarray) -> None:
+        for trait, _, at, op in self.members:
+            if at[k] >= 0:
+                op.move(at[k], change[trait])
+
+    def set_effects(self, b: np.ndarray) -> None:
+        for trait, _, at, op in self.members:
+            own = np.zeros(len(op.wy))
+            own[at[at >= 0]] = b[at >= 0, trait]
+            op.set_effects(own)
+
+
+def _provider_set(local: pd.DataFrame, edges: pd.DataFrame, m: int, names: list[str]) -> ProviderSet:
+    """Providers in the order of their names, from rows of provider_id, trait, residual_scale, global_idx, score, ww and of provider_id, i, j, r."""
+    found = ProviderSet(m, len(names))
+    linked = dict(tuple(edges.groupby("of_provider")))
+    none = edges.iloc[:0]
+    for name, part in local.sort_values(["provider_id", "global_idx"]).groupby("provider_id"):
+        e = linked.get(name, none)
+        found.add(
+            names.index(part["trait"].iloc[0]), float(part["residual_scale"].iloc[0]), part["global_idx"].to_numpy(int), part["score"].to_numpy(float), part["ww"].to_numpy(float),
+            e["i"].to_numpy(int), e["j"].to_numpy(int), e["r"].to_numpy(float),
         )
+    return found
+
+
+def _by_chain(local: DataFrame, edges: DataFrame, providers: DataFrame, tasks: DataFrame):
+    """Providers' statistics and edges with every chain, cogrouped by it."""
+    scales = providers.select("provider_id", "trait", F.col("residual_scale").cast("double").alias("residual_scale"))
+    left = local.select("provider_id", "global_idx", "score", "ww").join(scales, "provider_id").crossJoin(F.broadcast(tasks))
+    right = edges.select(F.col("provider_id").alias("of_provider"), "i", "j", "r").crossJoin(F.broadcast(tasks.select(F.col("chain").alias("of_chain"))))
+    return left.groupBy("chain").cogroup(right.groupBy("of_chain"))
+
+
+def fit_providers(local: DataFrame, edges: DataFrame, providers: DataFrame, markers: DataFrame, controls: ChainControls, *, vb: np.ndarray, vb_df: float, vb_scale: np.ndarray, gamma: tuple[float, ...] = (1.0,)) -> DataFrame:
+    """Joint fit of independent providers, each with its own markers and LD.
+
+    ``local`` has provider_id, global_idx, score (X'y) and ww of each provider's markers,
+    ``edges`` provider_id, i, j, r in global numbers, ``providers`` provider_id, trait and
+    residual_scale, ``markers`` every global_idx, dense from 0.  Several providers may serve
+    a trait.  A task holds all providers of a chain.
+    """
+    names = [r[0] for r in providers.select("trait").distinct().orderBy("trait").collect()]
+    m = markers.count()
+    tasks = local.sparkSession.createDataFrame([(c, task_seed(controls, "joint", "", c)) for c in range(controls.nchains)], "chain int, seed bigint")
+
+    def task(key: tuple, s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        found = _provider_set(s, e, m, names)
+        out = sample_joint(found.scores, found.move, found.information, m, len(names), controls, int(s["seed"].iloc[0]), vb=vb, vb_df=vb_df, vb_scale=vb_scale, gamma=gamma)
         return _rows(int(key[0]), names, out)
 
-    return left.groupBy("chain").cogroup(right.groupBy("of_chain")).applyInPandas(task, OUTPUT)
+    return _by_chain(local, edges, providers, tasks).applyInPandas(task, OUTPUT)
+
+
+def provider_patterns(local: DataFrame, edges: DataFrame, providers: DataFrame, effects: DataFrame, markers: DataFrame, v: np.ndarray, pi: np.ndarray) -> DataFrame:
+    """marker_idx, pattern, prob of the activity patterns at each global marker, given all other effects (trait, global_idx, effect).
+
+    These are the conditional probabilities of :func:`fit_providers` at fixed effects.
+    """
+    names = [r[0] for r in providers.select("trait").distinct().orderBy("trait").collect()]
+    m, active = markers.count(), patterns(len(names))
+    fixed = effects.select("trait", "global_idx", "effect").join(F.broadcast(providers.select("trait").distinct()), "trait").select(
+        F.lit(None).cast("string").alias("provider_id"), "global_idx", F.col("effect").alias("score"), F.lit(0.0).alias("ww"), "trait", F.lit(0.0).alias("residual_scale"), F.lit(0).alias("chain"), F.lit(0).cast("bigint").alias("seed")
+    )
+    tasks = local.sparkSession.createDataFrame([(0, 0)], "chain int, seed bigint")
+    scales = providers.select("provider_id", "trait", F.col("residual_scale").cast("double").alias("residual_scale"))
+    left = local.select("provider_id", "global_idx", F.col("score").cast("double").alias("score"), F.col("ww").cast("double").alias("ww")).join(scales, "provider_id").crossJoin(F.broadcast(tasks))
+    right = edges.select(F.col("provider_id").alias("of_provider"), "i", "j", "r").withColumn("of_chain", F.lit(0))
+
+    def task(key: tuple, s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        given = s["provider_id"].isna()
+        found, b = _provider_set(s[~given], e, m, names), np.zeros((m, len(names)))
+        b[s["global_idx"][given].to_numpy(int), [names.index(t) for t in s["trait"][given]]] = s["score"][given]
+        found.set_effects(b)
+        logw = np.array([pattern_log_weights(found.scores(k, b[k]), found.information(k), v, np.log(pi), active) for k in range(m)])
+        w = np.exp(logw - logw.max(1, keepdims=True))
+        w /= w.sum(1, keepdims=True)
+        return pd.DataFrame({"marker_idx": np.repeat(np.arange(m), len(active)), "pattern": np.tile(np.arange(len(active)), m), "prob": w.ravel()})
+
+    both = left.unionByName(fixed)
+    return both.groupBy("chain").cogroup(right.groupBy("of_chain")).applyInPandas(task, "marker_idx int, pattern int, prob double")
+
+
+def same_ld(stats: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """local, edges, providers and markers for :func:`fit_providers` where each trait is one provider of all markers and LD is the same for all.
+
+    A provider's residual scale is yy / n.
+    """
+    providers = stats.groupBy("trait").agg((F.first("yy") / F.first("n")).alias("residual_scale")).select(F.col("trait").alias("provider_id"), "trait", "residual_scale")
+    local = stats.select(F.col("trait").alias("provider_id"), F.col("marker_idx").alias("global_idx"), F.col("wy").alias("score"), "ww")
+    each = edges.select("i", "j", "r").crossJoin(F.broadcast(providers.select("provider_id")))
+    return local, each, providers, stats.select(F.col("marker_idx").alias("global_idx")).distinct()
 
 
 def fit_joint_genotypes(panel: DataFrame, traits: DataFrame, controls: ChainControls, *, ve: np.ndarray, vb: np.ndarray, vb_df: float, vb_scale: np.ndarray, ve_df: float | None = None, gamma: tuple[float, ...] = (1.0,)) -> DataFrame:
@@ -175,7 +277,7 @@ def fit_joint_genotypes(panel: DataFrame, traits: DataFrame, controls: ChainCont
 
     def task(key: tuple, s: pd.DataFrame) -> pd.DataFrame:
         s = s.sort_values("sample_idx")
-        z = standardise(np.array([[np.nan if x is None else x for x in row] for row in s["dosages"]], float))
+        z = standardise(dosage_array(s["dosages"]))
         e = s[names].to_numpy(float).copy()
         xx = np.square(z).sum(0)
         box = {"ve": ve, "inv": np.linalg.inv(ve)}

@@ -13,10 +13,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from effectforge.operators.genotypes import dosage_matrix
 from effectforge.operators.priors import ChainControls, calibrate_prior, pi_prior, task_seed
 
 TRACES = ("vb", "vg", "ve", "pi", "vle", "vld")
@@ -853,6 +855,12 @@ def conditional_table(model: Model, vb: float, ve_share: float):
 CONDITIONALS = "marker_idx int, component int, prob double, mean double"
 
 
+def dosage_array(rows: pd.Series) -> np.ndarray:
+    """Dosages of a column of arrays as one matrix, nan for missing ones."""
+    g, seen = dosage_matrix(pa.array(rows, pa.list_(pa.float64())))
+    return np.where(seen > 0, g, np.nan)
+
+
 def standardise(g: np.ndarray) -> np.ndarray:
     """(g - 2p) / sqrt(2p(1-p)), 0 for missing (nan) and monomorphic markers."""
     p = np.nan_to_num(np.nanmean(g, axis=0) / 2)
@@ -867,7 +875,7 @@ def fit_genotypes(panel: DataFrame, traits: DataFrame, model: Model, controls: C
 
     def task(key: tuple, s: pd.DataFrame) -> pd.DataFrame:
         s = s.sort_values("sample_idx")
-        g = np.array([[np.nan if x is None else x for x in row] for row in s["dosages"]], float)
+        g = dosage_array(s["dosages"])
         y = s["y"].to_numpy(float)
         op = GenotypeOperator(standardise(g), y)
         return fit_rows(key, sample(op, float(y @ y), float(len(y)), model, controls, int(s["seed"].iloc[0]), log_h))
@@ -882,7 +890,7 @@ def genotype_conditionals(panel: DataFrame, traits: DataFrame, effects: np.ndarr
     def task(key: tuple, s: pd.DataFrame) -> pd.DataFrame:
         s = s.sort_values("sample_idx")
         y = s["y"].to_numpy(float)
-        g = np.array([[np.nan if x is None else x for x in row] for row in s["dosages"]], float)
+        g = dosage_array(s["dosages"])
         out = table(GenotypeOperator(standardise(g), y), effects, float(y @ y), float(len(y)))
         out.insert(0, "trait", str(key[0]))
         return out

@@ -562,7 +562,7 @@ def q46(spark: SparkSession, d: str) -> DataFrame:
 @query("q42_joint_fit")
 def q42(spark: SparkSession, d: str) -> DataFrame:
     chains = priors.ChainControls(nit=20, nburn=10, seed=7)
-    return multitrait.fit_providers(_stats(spark, d), _edges(spark, d), chains, vb=np.eye(2) * VB, vb_df=4.0, vb_scale=np.eye(2) * VB)
+    return multitrait.fit_providers(*multitrait.same_ld(_stats(spark, d), _edges(spark, d)), chains, vb=np.eye(2) * VB, vb_df=4.0, vb_scale=np.eye(2) * VB)
 
 
 @query("q43_gsim")
