@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectforge.functions.expressions import CENTRAL, NEAR
-from effectforge.operators import controls, finemap, genotypes, ld, multitrait, priors, samplers, settests, simulate, summaries
+from effectforge.operators import blocks, controls, finemap, genotypes, ld, multitrait, priors, samplers, settests, simulate, summaries
 from effectforge.queries import _EDGES, _PANEL, _PIPS, _VALUES, MARKERS, MIXTURE, ORACLE_SQL, PI, QUERIES, R2, VB, WINDOW, _chains, _edges, _markers, _panel, _pips, _scan, _sets, _stats, _values, _vector, query
 from effectforge.sources import bed, csr
 from effectforge.sources.files import shared_path
@@ -832,3 +832,14 @@ def q106(spark: SparkSession, d: str) -> DataFrame:
     markers = _markers(spark).select(F.col("marker_idx").alias("global_idx"))
     out = multitrait.provider_patterns(local, edges, scales, effects, markers, np.array(JOINT), np.full(4, 0.25))
     return out.withColumn("prob", F.round("prob", 7))
+
+
+#: As _SCORES, in double precision throughout.
+_EXACT = _SCORES.replace("::FLOAT::DOUBLE", "")
+
+
+@query("q107_block_sweep_conditional", f"WITH {_EXACT}" + _weights("sc", "[0.85e0, 0.05e0, 0.05e0, 0.05e0]", gamma=MIXTURE, digits=6))
+def q107(spark: SparkSession, d: str) -> DataFrame:
+    """Component probabilities from the residuals that blocks of ten markers leave when they tell each other their effects."""
+    model = samplers.Model(gamma=MIXTURE, pi=(0.85, 0.05, 0.05, 0.05))
+    return _rounded(blocks.block_conditionals(_stats(spark, d), _edges(spark, d), _effects(spark), model, VB, SHARE, MARKERS, 10), 6)

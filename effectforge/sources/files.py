@@ -80,3 +80,19 @@ def remove(folder: str) -> None:
     fs, root = pafs.FileSystem.from_uri(folder)
     if fs.get_file_info(root).type == pafs.FileType.Directory:
         fs.delete_dir(root)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that what follows survives lost executors and has true sizes."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by :func:`materialize` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
