@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectforge.functions.expressions import CENTRAL, NEAR
-from effectforge.operators import blocks, controls, finemap, genotypes, ld, multitrait, priors, samplers, settests, simulate, summaries
+from effectforge.operators import blocks, controls, finemap, genotypes, ld, multitrait, pairwise, priors, samplers, selection, settests, simulate, summaries
 from effectforge.queries import _EDGES, _PANEL, _PIPS, _VALUES, MARKERS, MIXTURE, ORACLE_SQL, PI, QUERIES, R2, VB, WINDOW, _chains, _edges, _markers, _panel, _pips, _scan, _sets, _stats, _values, _vector, query
 from effectforge.sources import bed, csr
 from effectforge.sources.files import shared_path
@@ -843,3 +843,97 @@ def q107(spark: SparkSession, d: str) -> DataFrame:
     """Component probabilities from the residuals that blocks of ten markers leave when they tell each other their effects."""
     model = samplers.Model(gamma=MIXTURE, pi=(0.85, 0.05, 0.05, 0.05))
     return _rounded(blocks.block_conditionals(_stats(spark, d), _edges(spark, d), _effects(spark), model, VB, SHARE, MARKERS, 10), 6)
+
+
+_MIX_PI = (0.85, 0.05, 0.05, 0.05)
+
+
+@query(
+    "q108_pair_conditionals",
+    f"""WITH {_EXACT}, mix AS (SELECT unnest([0, 1, 2, 3]) AS c, unnest({list(_MIX_PI)}::DOUBLE[]) AS pi, unnest({[VB * x for x in MIXTURE]}::DOUBLE[]) AS v), h AS (
+        SELECT a.trait AS trait, i, j, a.noise AS noise, a.ww / a.noise AS da, b.ww / b.noise AS db, r * sqrt(a.ww * b.ww) / a.noise AS x,
+            (a.s + r * sqrt(a.ww * b.ww) * b.b) / a.noise AS ha, (b.s + r * sqrt(a.ww * b.ww) * a.b) / a.noise AS hb
+        FROM edges JOIN sc a ON a.marker_idx = i JOIN sc b ON b.marker_idx = edges.j AND b.trait = a.trait
+    ), w AS (
+        SELECT trait, i, j, p.c AS component_i, q.c AS component_j, ln(p.pi) + ln(q.pi) + CASE WHEN p.c > 0 AND q.c > 0 THEN
+                0.5 * ((db + 1 / q.v) * ha * ha - 2 * x * ha * hb + (da + 1 / p.v) * hb * hb) / ((da + 1 / p.v) * (db + 1 / q.v) - x * x)
+                - 0.5 * ln(p.v * q.v * ((da + 1 / p.v) * (db + 1 / q.v) - x * x))
+            WHEN p.c > 0 THEN 0.5 * ha * ha / (da + 1 / p.v) - 0.5 * ln(p.v * (da + 1 / p.v))
+            WHEN q.c > 0 THEN 0.5 * hb * hb / (db + 1 / q.v) - 0.5 * ln(q.v * (db + 1 / q.v)) ELSE 0 END AS lw
+        FROM h CROSS JOIN mix p CROSS JOIN mix q
+    ), e AS (SELECT *, exp(lw - max(lw) OVER (PARTITION BY trait, i, j)) AS e FROM w)
+    SELECT trait, i::INT AS i, j::INT AS j, component_i::INT AS component_i, component_j::INT AS component_j, round(e / sum(e) OVER (PARTITION BY trait, i, j), 7) AS prob FROM e""",
+)
+def q108(spark: SparkSession, d: str) -> DataFrame:
+    """Joint component probabilities of the two markers of every LD edge, at fixed effects of the others."""
+    out = pairwise.pair_conditionals(_stats(spark, d), _edges(spark, d), _effects(spark), vb=VB, ve_share=SHARE, gamma=MIXTURE, pi=_MIX_PI)
+    return out.withColumn("prob", F.round("prob", 7))
+
+
+def _selection_markers(spark: SparkSession, d: str) -> DataFrame:
+    """Components by marker number, three annotations, and latents from trait 1's marginal z scores."""
+    k = F.col("marker_idx")
+    a = F.array(F.lit(1.0), (k % 2).cast("double"), (k % 5).cast("double") / 4, (k < 20).cast("double"))
+    z = F.col("wy") / F.sqrt(F.col("ww") * F.col("yy") / F.col("n"))
+    s = _stats(spark, d).filter("trait = 'T1'")
+    return s.select("marker_idx", F.pmod(k * 7, F.lit(4)).alias("component"), a.alias("a"), F.array(*[F.round(z * (0.5 + 0.25 * x), 6) for x in range(3)]).alias("z"))
+
+
+@query(
+    "q109_annotation_selection",
+    f"""WITH {_PANEL}, mk AS (
+        SELECT marker_idx, (marker_idx * 7) % 4 AS component, [(marker_idx % 2)::DOUBLE, (marker_idx % 5) / 4.0e0, (marker_idx < 20)::INT::DOUBLE] AS a, wy / sqrt(ww * yy / n) AS z
+        FROM stats WHERE trait = 'T1'
+    ), st AS (
+        SELECT k, a, round(z * (0.5e0 + 0.25e0 * k), 6) - (0.1e0 - 0.2e0 * k) AS z FROM mk, range(3) t(k) WHERE component >= k
+    ), mo AS (
+        SELECT k, sum(a[1] * a[1]) AS s11, sum(a[1] * a[2]) AS s12, sum(a[1] * a[3]) AS s13, sum(a[2] * a[2]) AS s22, sum(a[2] * a[3]) AS s23, sum(a[3] * a[3]) AS s33,
+            sum(a[1] * z) AS t1, sum(a[2] * z) AS t2, sum(a[3] * z) AS t3, 0.5e0 + 0.5e0 * k AS tau FROM st GROUP BY k
+    ), sub AS (
+        SELECT n, n % 2 AS u1, n // 2 % 2 AS u2, n // 4 AS u3 FROM range(8) t(n)
+    ), mm AS (
+        SELECT n, u1, u2, u3, k, tau, 1 + tau * s11 * u1 AS a, tau * s12 * u1 * u2 AS b, tau * s13 * u1 * u3 AS c, 1 + tau * s22 * u2 AS d, tau * s23 * u2 * u3 AS e,
+            1 + tau * s33 * u3 AS f, t1 * u1 AS x, t2 * u2 AS y, t3 * u3 AS z
+        FROM mo CROSS JOIN sub
+    ), dt AS (
+        SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM mm
+    ), lw AS (
+        SELECT n, u1, u2, u3, (u1 + u2 + u3) * ln(0.3e0) + (3 - u1 - u2 - u3) * ln(0.7e0) + sum(-0.5e0 * ln(det) + 0.5e0 * tau * (
+            x * x * (d * f - e * e) + y * y * (a * f - c * c) + z * z * (a * d - b * b) + 2 * x * y * (c * e - b * f) + 2 * x * z * (b * e - c * d) + 2 * y * z * (b * c - a * e)) / det) AS lw
+        FROM dt GROUP BY n, u1, u2, u3
+    ), pr AS (SELECT *, exp(lw - max(lw) OVER ()) AS p FROM lw)
+    SELECT annotation::INT AS annotation, round(sum(p * CASE annotation WHEN 1 THEN u1 WHEN 2 THEN u2 ELSE u3 END) / sum(p), 7) AS prob FROM pr, range(1, 4) t(annotation) GROUP BY 1""",
+)
+def q109(spark: SparkSession, d: str) -> DataFrame:
+    """Inclusion probabilities of three annotations over all their subsets, coefficients integrated out."""
+    out = selection.inclusion_table(_selection_markers(spark, d), 3, intercept=[0.1, -0.1, -0.3], tau2=[0.5, 1.0, 1.5], pi_a=0.3)
+    return out.withColumn("prob", F.round("prob", 7))
+
+
+_STICK_ALPHA = np.array([[-1.0, -0.5, 0.1], [0.5, 0.2, -0.3]])
+
+
+@query(
+    "q110_mcem_newton_step",
+    f"""WITH {_PIPS}, eta AS (SELECT o, unnest([0, 1, 2]) AS k, unnest([-1.0e0 + 0.5e0 * o, -0.5e0 + 0.2e0 * o, -0.3e0 * o + 0.1e0]) AS x FROM (SELECT unnest([0, 1]) AS o)), phi AS (
+        SELECT o, k, x, 0.5e0 + sign(x) * sum(exp((2 * t + 1) * ln(abs(x)) - (t + 1) * ln(2) - lgamma(t + 1.5) + 0.5 * ln(pi()))) * exp(-x * x / 2) / sqrt(2 * pi()) AS p
+        FROM eta, range(0, 121) r(t) GROUP BY o, k, x
+    ), la AS (SELECT o, k, x, exp(-x * x / 2) / sqrt(2 * pi()) / p AS one, exp(-x * x / 2) / sqrt(2 * pi()) / (1 - p) AS zero FROM phi), mass AS (
+        SELECT marker_idx % 2 AS o, k, sum(CASE k WHEN 0 THEN pip WHEN 1 THEN pip / 2 ELSE pip / 6 END) AS up,
+            sum(CASE k WHEN 0 THEN 1 - pip WHEN 1 THEN pip / 2 ELSE pip / 3 END) AS off FROM p1, range(3) t(k) GROUP BY 1, 2
+    ), te AS (
+        SELECT o, k, up * one - off * zero AS g, up * one * (one + x) + off * zero * (zero - x) AS w FROM mass JOIN la USING (o, k)
+    ), su AS (
+        SELECT k, sum(g) - ([-1.0e0, -0.5e0, 0.1e0])[k + 1] AS g0, sum(g * o) - ([0.5e0, 0.2e0, -0.3e0])[k + 1] / 2 AS g1, sum(w) + 1 AS h00, sum(w * o) AS h01, sum(w * o) + 0.5e0 AS h11 FROM te GROUP BY k
+    )
+    SELECT k::INT AS stick, a::INT AS annotation, round(CASE a WHEN 0 THEN ([-1.0e0, -0.5e0, 0.1e0])[k + 1] + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01)
+        ELSE ([0.5e0, 0.2e0, -0.3e0])[k + 1] + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) END, 6) AS alpha FROM su, range(2) t(a)""",
+)
+def q110(spark: SparkSession, d: str) -> DataFrame:
+    """The first Newton step of the M-step on expected components from the scan's inclusion probabilities."""
+    p = F.col("pip")
+    probs = F.array(1 - p, p / 2, p / 3, p / 6)
+    markers = _pips(spark, d).select("marker_idx", F.array(F.lit(1.0), (F.col("marker_idx") % 2).cast("double")).alias("a"), probs.alias("probs"))
+    alpha, _ = selection.m_step(markers, _STICK_ALPHA, sigma2=2.0, steps=1)
+    rows = [(k, a, round(float(alpha[a, k]), 6)) for k in range(3) for a in range(2)]
+    return spark.createDataFrame(rows, "stick int, annotation int, alpha double")

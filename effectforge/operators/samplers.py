@@ -339,6 +339,9 @@ class Model:
     swap_prob: float = 0.05
     swap_r2: float = 0.8
     swap_friends: int = 50
+    #: How often two correlated markers are drawn together after a sweep, and at which r squared.
+    pair_prob: float = 0.0
+    pair_r2: float = 0.5
     vb: float | None = None
     ve: float | None = None
     rebuild_every: int = 100
@@ -376,6 +379,32 @@ def _truncated(rng: np.random.Generator, mu: np.ndarray, positive: np.ndarray) -
     return mu - sign * z
 
 
+def selection_sweep(rng: np.random.Generator, xx: np.ndarray, xz: np.ndarray, alpha: np.ndarray, delta: np.ndarray, state: dict, beta: tuple[float, float] = (1.0, 1.0), slab: tuple[float, float] = (3.0, 1.6), intercept: tuple[np.ndarray, float] | None = None, fixed: bool = False) -> None:
+    """Draw intercepts, which annotations are in (all sticks together, coefficients integrated out), and their coefficients, from Gram matrices.
+
+    ``xx`` (sticks, J + 1, J + 1) and ``xz`` (sticks, J + 1) are sums over the markers that reach each
+    stick, the intercept first; ``alpha`` (J + 1, sticks), ``delta`` (J) and ``state`` (pi_a, tau2) change in place.
+    """
+    sticks = len(xx)
+    mean0, precision0 = intercept or (np.zeros(sticks), 1.0)
+    for k in range(sticks):
+        info = xx[k, 0, 0] + precision0
+        t = xz[k, 0] - xx[k, 0, 1:] @ alpha[1:, k] + precision0 * mean0[k]
+        alpha[0, k] = t / info + rng.standard_normal() / np.sqrt(info)
+    tau2 = state["tau2"]
+    for j in range(1, len(alpha)):
+        s = xx[:, j, j]
+        t = xz[:, j] - np.array([xx[k, j] @ alpha[:, k] for k in range(sticks)]) + s * alpha[j]
+        variance = tau2 / (1 + tau2 * s)
+        log_odds = np.log(state["pi_a"]) - np.log1p(-state["pi_a"]) + float((-0.5 * np.log1p(tau2 * s) + 0.5 * variance * t * t).sum())
+        delta[j - 1] = rng.random() < 1 / (1 + np.exp(-min(log_odds, 700.0))) if log_odds > -700 else False
+        alpha[j] = variance * t + np.sqrt(variance) * rng.standard_normal(sticks) if delta[j - 1] else 0.0
+    if not fixed:
+        state["pi_a"] = float(np.clip(rng.beta(beta[0] + delta.sum(), beta[1] + (~delta).sum()), 1e-12, 1 - 1e-12))
+        squares = np.square(alpha[1:][delta]).sum(0)
+        state["tau2"] = (slab[1] + 0.5 * squares) / rng.gamma(slab[0] + 0.5 * delta.sum(), 1.0, sticks)
+
+
 class Prior:
     """Component probabilities of each marker and multipliers of its variance."""
 
@@ -409,6 +438,8 @@ class Prior:
                 if "coefficients" not in self.extra:
                     self.coef[0] = self.extra.get("alpha0", np.zeros(self.k - 1))
                 self.sigma = np.ones(self.k - 1)
+                self.delta = np.ones(self.a.shape[1] - 1, bool)
+                self.selection = {"pi_a": 0.5, "tau2": np.ones(self.k - 1)}
                 self._sticks()
 
     def _logistic(self) -> None:
@@ -508,6 +539,16 @@ class Prior:
                 counts = np.bincount(comp, minlength=self.k)
                 self.pi = np.maximum(rng.dirichlet(np.array(model.pi) * model.pi_strength + counts), 1e-300)
                 self.rows = np.broadcast_to(self.pi, (self.m, self.k))
+        elif kind == "probit_stick" and self.extra.get("select"):
+            xx, xz = [], []
+            for k in range(self.k - 1):
+                at = np.flatnonzero(comp >= k)
+                x = self.a[at]
+                xx.append(x.T @ x)
+                xz.append(x.T @ _truncated(rng, x @ self.coef[:, k], comp[at] > k) if len(at) else np.zeros(x.shape[1]))
+            mean0 = np.asarray(self.extra.get("alpha0", np.zeros(self.k - 1)), float)
+            selection_sweep(rng, np.array(xx), np.array(xz), self.coef, self.delta, self.selection, intercept=(mean0, 1.0))
+            self._sticks()
         elif kind == "probit_stick":
             for k in range(self.k - 1):
                 at = np.flatnonzero(comp >= k)
@@ -573,6 +614,52 @@ def _swap(op: CsrOperator, model: Model, rng: np.random.Generator, b: np.ndarray
         b[k], b[j] = value, 0.0
 
 
+def pair_states(h: np.ndarray, diagonal: np.ndarray, cross: float, v: np.ndarray, log_prior: np.ndarray, noise: float) -> np.ndarray:
+    """Log weights of all component pairs of two markers, both effects integrated out.
+
+    ``h`` are their scores without either effect, ``diagonal`` and ``cross`` their X'X, ``v`` (2, components - 1)
+    prior variances and ``log_prior`` (2, components).
+    """
+    h, info, link = h / noise, diagonal / noise, cross / noise
+    p = info[:, None] + 1 / v
+    out = log_prior[0][:, None] + log_prior[1][None, :]
+    out[1:, 0] += 0.5 * h[0] ** 2 / p[0] - 0.5 * np.log(v[0] * p[0])
+    out[0, 1:] += 0.5 * h[1] ** 2 / p[1] - 0.5 * np.log(v[1] * p[1])
+    a, c = p[0][:, None], p[1][None, :]
+    det = a * c - link * link
+    out[1:, 1:] += 0.5 * (c * h[0] ** 2 - 2 * link * h[0] * h[1] + a * h[1] ** 2) / det - 0.5 * np.log(v[0][:, None] * v[1][None, :] * det)
+    return out
+
+
+def _pair(op: CsrOperator, model: Model, rng: np.random.Generator, b: np.ndarray, comp: np.ndarray, log_prior: np.ndarray, v: np.ndarray, noise: np.ndarray) -> None:
+    """Draw the components and effects of a marker and one of its friends together."""
+    k = int(rng.integers(len(b)))
+    near = op.friends(k, model.pair_r2, model.swap_friends)
+    if not len(near) or noise[k] != noise[near[0]]:
+        return
+    j = int(near[rng.integers(len(near))])
+    # The pair is chosen without regard to the state, so drawing it from its conditional keeps the posterior.
+    op.move(k, -b[k])
+    op.move(j, -b[j])
+    ids = np.array([k, j])
+    h = np.array([op.score(k, 0.0), op.score(j, 0.0)])
+    op.move(k, 1.0)
+    cross = h[1] - op.score(j, 0.0)
+    op.move(k, -1.0)
+    lw = pair_states(h, op.ww[ids], cross, v[ids], log_prior[ids], noise[k])
+    w = np.exp(lw - lw.max()).ravel()
+    a, c = divmod(min(int(np.searchsorted(np.cumsum(w), rng.random() * w.sum(), side="right")), len(w) - 1), lw.shape[1])
+    b[ids], comp[ids] = 0.0, (a, c)
+    on = [n for n, x in enumerate((a, c)) if x]
+    if on:
+        at = ids[on]
+        p = np.array([[op.ww[k], cross], [cross, op.ww[j]]])[np.ix_(on, on)] / noise[k] + np.diag([1 / v[i, comp[i] - 1] for i in at])
+        root = np.linalg.cholesky(p)
+        b[at] = np.linalg.solve(p, h[on] / noise[k]) + np.linalg.solve(root.T, rng.standard_normal(len(on)))
+    for i in ids:
+        op.move(int(i), b[i])
+
+
 #: Markers that are looked at together: so many after one that moved, and four times as many after each look without any, up to the second.
 WIDTH, MOST_WIDTH = 32, 4096
 
@@ -690,6 +777,8 @@ def sample(op: CsrOperator, yy: float, n: float, model: Model, controls: ChainCo
                 at, width = at + gone, max(WIDTH, min(2 * gone, MOST_WIDTH))
         if model.swap and rng.random() < model.swap_prob:
             _swap(op, model, rng, b, comp, log_prior, yy, vei, vb * q)
+        if model.pair_prob and rng.random() < model.pair_prob:
+            _pair(op, model, rng, b, comp, log_prior, v, noise)
         if model.rebuild_every and it % model.rebuild_every == 0:
             drift = max(drift, op.rebuild(b))
         active = comp > 0
