@@ -937,3 +937,69 @@ def q110(spark: SparkSession, d: str) -> DataFrame:
     alpha, _ = selection.m_step(markers, _STICK_ALPHA, sigma2=2.0, steps=1)
     rows = [(k, a, round(float(alpha[a, k]), 6)) for k in range(3) for a in range(2)]
     return spark.createDataFrame(rows, "stick int, annotation int, alpha double")
+
+
+@query(
+    "q111_architecture_test",
+    f"""WITH {_PIPS}, a AS (SELECT trait, ln((wy / ww) * (wy / ww) * pip + 1e-12) AS y,
+            ln(greatest(2 * least(round(p, 8), 1 - round(p, 8)) * (1 - least(round(p, 8), 1 - round(p, 8))), 1e-8)) AS x
+        FROM stats JOIN pips USING (trait, marker_idx) JOIN m ON m.j = marker_idx),
+    f AS (SELECT trait, count(*) AS n, count(*) - 2 AS df, regr_slope(y, x) AS slope, sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (count(*) - 2) / regr_sxx(y, x)) AS se FROM a GROUP BY trait),
+    th AS (SELECT *, slope / se AS t, atan(abs(slope / se) / sqrt(df)) AS theta FROM f),
+    -- For whole degrees of freedom the distribution is a finite sum of powers of the cosine.
+    co AS (SELECT trait, k, exp(sum(ln(CASE WHEN df % 2 = 0 THEN (2 * i - 1) / (2.0e0 * i) ELSE 2.0e0 * i / (2 * i + 1) END)) FILTER (i > 0)) AS c
+        FROM th, range(0, 200) r(k), range(0, 200) q(i) WHERE k <= (df - 2 - df % 2) // 2 AND i <= k GROUP BY trait, k),
+    s AS (SELECT trait, sum(coalesce(c, 1) * power(cos(theta), 2 * k + df % 2)) * sin(theta) AS s FROM th JOIN co USING (trait) GROUP BY trait, theta)
+    SELECT trait, n, round(slope, 6) AS slope, round(se, 6) AS se, round(1 - CASE WHEN df % 2 = 0 THEN s ELSE 2 / pi() * (theta + s) END, 8) AS p_value FROM th JOIN s USING (trait)""",
+)
+def q111(spark: SparkSession, d: str) -> DataFrame:
+    """The slope of log signal on log heterozygosity against zero."""
+    af = genotypes.allele_freq(_panel(spark, d)[0]).select("marker_idx", F.least(F.col("af"), 1 - F.col("af")).alias("maf"))
+    s = _stats(spark, d).select("trait", "marker_idx", (F.col("wy") / F.col("ww")).alias("effect"))
+    p = _scan(spark, d).select("trait", "marker_idx", F.round("pip", 8).alias("pip"))
+    out = summaries.architecture_test(s.join(p, ["trait", "marker_idx"]).join(af, "marker_idx"))
+    return out.select("trait", "n", F.round("slope", 6).alias("slope"), F.round("se", 6).alias("se"), F.round("p_value", 8).alias("p_value"))
+
+
+@query(
+    "q112_extended_convergence",
+    f"""WITH t AS (SELECT event_type, event_id % 4 AS chain, event_id // 4 AS it, round(value, 4) AS value FROM events WHERE value IS NOT NULL),
+    l AS (SELECT event_type, chain, count(*) AS len, min(it) AS first FROM t GROUP BY 1, 2), h AS (
+        SELECT event_type, chain, CASE WHEN it - first < len // 2 THEN 0 WHEN it - first >= len - len // 2 THEN 1 END AS half, value
+        FROM t JOIN l USING (event_type, chain)
+    ), p AS (SELECT event_type, chain, half, avg(value) AS m, var_samp(value) AS w, count(*) AS n FROM h WHERE half IS NOT NULL GROUP BY 1, 2, 3),
+    a AS (SELECT event_type, count(DISTINCT chain) AS chains, sum(n)::BIGINT AS draws, min(n) AS n, var_samp(m) AS bm, avg(w) AS w, sum(n * m) / sum(n) AS mean,
+        avg(m) FILTER (half = 1) - avg(m) FILTER (half = 0) AS change FROM p GROUP BY 1), r AS (SELECT *, sqrt((bm * n / w + n - 1) / n) AS rhat FROM a)
+    SELECT event_type, chains, draws AS n, round(mean, 6) AS mean, round(sqrt(w), 6) AS sd, round(rhat, 6) AS rhat, round(change / sqrt(w), 6) AS drift,
+        CASE WHEN rhat > 1.01 THEN 'not_converged' ELSE 'converged' END AS status FROM r""",
+)
+def q112(spark: SparkSession, d: str) -> DataFrame:
+    """Convergence from compact states, first of blocks of 64 iterations, then merged."""
+    t = _chains(spark, d)
+    keys = ["event_type"]
+    whole = summaries.trace_states(t, keys).select(*keys, "chain", "half", F.col("from").alias("lo"), F.col("to").alias("hi"))
+    of = F.col("iteration").between(F.col("lo"), F.col("hi"))
+    parts = t.join(whole, [*keys, "chain"]).filter(of).withColumn("part", F.floor(F.col("iteration") / 64))
+    states = parts.groupBy(*keys, "chain", "half", "part").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("value")).alias("m2"),
+        F.min_by("value", "iteration").alias("first"), F.max_by("value", "iteration").alias("last"), F.min("iteration").alias("from"), F.max("iteration").alias("to"),
+    )
+    return summaries.extended_convergence(summaries.merge_states(states, keys), keys)
+
+
+@query(
+    "q113_component_stability",
+    f"""WITH {_PIPS}, c AS (SELECT trait, marker_idx, chain, k AS component, CASE k WHEN 0 THEN 1 - q ELSE q * k / 3 END AS prob
+        FROM (SELECT trait, marker_idx, chain, round(pip * (1 - 0.1e0 * chain), 8) AS q FROM pips, range(3) r(chain)), range(3) t(k)),
+    o AS (SELECT trait, chain, marker_idx, sum(prob) FILTER (component > 0) AS pip FROM c GROUP BY 1, 2, 3),
+    s AS (SELECT trait, marker_idx, max(pip) - min(pip) AS r FROM o GROUP BY 1, 2),
+    f AS (SELECT trait, marker_idx, avg(abs(a.prob - b.prob)) AS far FROM c a JOIN c b USING (trait, marker_idx, component) WHERE a.chain < b.chain GROUP BY 1, 2)
+    SELECT trait, count(*) AS m, round(avg(far), 8) AS mean_distance, round(max(far), 8) AS max_distance, round(avg(r), 8) AS mean_pip_range, round(max(r), 8) AS max_pip_range
+    FROM s JOIN f USING (trait, marker_idx) GROUP BY trait""",
+)
+def q113(spark: SparkSession, d: str) -> DataFrame:
+    """How far three chains agree, their probabilities being shares of the scan's."""
+    p = _scan(spark, d).select("trait", "marker_idx", F.round("pip", 8).alias("pip"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("chain"))
+    p = p.withColumn("q", F.round(F.col("pip") * (1 - 0.1 * F.col("chain")), 8)).withColumn("component", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    prob = F.when(F.col("component") == 0, 1 - F.col("q")).otherwise(F.col("q") * F.col("component") / 3)
+    return summaries.component_stability(p.select("trait", "chain", "marker_idx", "component", prob.alias("prob")))[0]

@@ -349,6 +349,8 @@ class Model:
     skip_most: int = 64
     full_every: int = 10
     log_cpo: bool = False
+    #: Markers whose effect and inclusion are traced; component shares and annotation coefficients are traced with them.
+    trace_markers: tuple[int, ...] = ()
     #: Residual variances of low-rank blocks: one for all, the phenotype's for each block, or drawn by block.
     block_policy: str = "global"
     block_mode: str = "allMixVe"
@@ -811,6 +813,13 @@ def sample(op: CsrOperator, yy: float, n: float, model: Model, controls: ChainCo
         pi = float(1 - prior.rows[:, 0].mean())
         for t, x in zip(TRACES, (vb, vg, ve, pi, vle, vg - vle), strict=True):
             traces[t].append(x)
+        if model.trace_markers:
+            shares = np.bincount(comp, minlength=len(gamma)) / m
+            more = {f"component:{k}": x for k, x in enumerate(shares)} | {f"probability:{k}": x for k, x in enumerate(np.broadcast_to(prior.rows, (m, len(gamma))).mean(0))}
+            more |= {f"{name}:{k}": x for k in model.trace_markers for name, x in (("effect", b[k]), ("inclusion", float(comp[k] > 0)))}
+            more |= {f"annotation:{i}:{k}": x for (i, k), x in np.ndenumerate(getattr(prior, "coef", np.zeros((0, 0))))}
+            for t, x in more.items():
+                traces.setdefault(t, []).append(float(x))
         if it > controls.nburn and it - controls.nburn in keep:
             sums += b
             pips += active

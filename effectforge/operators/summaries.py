@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from effectforge.functions.expressions import normal_quantile, quantile_type8
+from effectforge.functions.expressions import normal_quantile, quantile_type8, student_p_value
 
 _NORMAL = NormalDist()
 
@@ -270,6 +270,93 @@ def architecture(markers: DataFrame, *, weight_by_pip: bool = True, epsilon: flo
     )
 
 
+def architecture_test(markers: DataFrame, *, weight_by_pip: bool = True, epsilon: float = 1e-12, min_pip: float | None = None) -> DataFrame:
+    """trait, n, slope, se, t, p_value: :func:`architecture`'s slope against zero by Student's t.
+
+    Null where there are fewer than five markers, or they share one heterozygosity.
+    """
+    d = markers.filter(F.col("pip") >= min_pip) if min_pip is not None else markers
+    y = F.log(F.col("effect") * F.col("effect") * (F.col("pip") if weight_by_pip else F.lit(1.0)) + epsilon)
+    x = F.log(F.greatest(2 * F.col("maf") * (1 - F.col("maf")), F.lit(1e-8)))
+    a = d.groupBy("trait").agg(
+        F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy")
+    )
+    usable = (F.col("n") >= 5) & (F.col("sxx") > 0)
+    df = F.col("n") - 2.0
+    se = F.sqrt((F.col("syy") - F.col("slope") * F.col("sxy")) / df / F.col("sxx"))
+    a = a.select("trait", "n", *[F.when(usable, c).alias(k) for k, c in (("slope", F.col("slope")), ("se", se))]).withColumn("t", F.col("slope") / F.col("se"))
+    return a.withColumn("p_value", student_p_value(F.col("t"), F.col("n") - 2.0))
+
+
+def component_stability(components: DataFrame, top: int = 20) -> tuple[DataFrame, DataFrame]:
+    """How far chains agree on components (trait, chain, marker_idx, component, prob): a row for each trait, and its ``top`` least stable markers.
+
+    A marker's range is that of its non-null probability over the chains; the mean absolute
+    difference of two chains' probabilities over components and pairs of chains is its distance.
+    """
+    on = components.groupBy("trait", "chain", "marker_idx").agg(F.sum(F.when(F.col("component") > 0, F.col("prob")).otherwise(0.0)).alias("pip"))
+    spread = on.groupBy("trait", "marker_idx").agg((F.max("pip") - F.min("pip")).alias("pip_range"), F.stddev_samp("pip").alias("pip_sd"), F.avg("pip").alias("pip_mean"))
+    # The sum of |x - y| over pairs of sorted values is a weighted sum of them: no pairs are made.
+    p = F.array_sort(F.collect_list("prob"))
+    n = F.size("p")
+    pairs = F.aggregate(F.transform("p", lambda x, k: x * (2 * k - n + 1)), F.lit(0.0), lambda s, x: s + x)
+    apart = components.groupBy("trait", "marker_idx", "component").agg(p.alias("p")).withColumn("far", F.when(n > 1, 2 * pairs / (n * (n - 1))).otherwise(0.0))
+    apart = apart.groupBy("trait", "marker_idx").agg(F.avg("far").alias("distance"))
+    marker = spread.join(apart, ["trait", "marker_idx"])
+    one = marker.groupBy("trait").agg(
+        F.count("*").alias("m"), F.round(F.avg("distance"), 8).alias("mean_distance"), F.round(F.max("distance"), 8).alias("max_distance"),
+        F.round(F.avg("pip_range"), 8).alias("mean_pip_range"), F.round(F.max("pip_range"), 8).alias("max_pip_range"),
+    )
+    w = Window.partitionBy("trait").orderBy(F.desc(F.round("pip_range", 8)), "marker_idx")
+    worst = marker.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    return one, worst.select("trait", "rank", "marker_idx", *[F.round(c, 8).alias(c) for c in ("pip_mean", "pip_range", "pip_sd", "distance")])
+
+
+def trace_states(traces: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, chain, half, n, mean, m2, first, last: what convergence needs of a trace, in one aggregate.
+
+    Halves are those of each chain, without the middle draw of an odd one.  States of parts
+    of a trace merge (see :func:`merge_states`), so a chain is never held whole.
+    """
+    length = traces.groupBy(*keys, "chain").agg(F.count("*").alias("len"), F.min("iteration").alias("from"))
+    d = traces.join(length, [*keys, "chain"]).withColumn("k", F.col("iteration") - F.col("from"))
+    h = F.floor(F.col("len") / 2)
+    half = F.when(F.col("k") < h, 0).when(F.col("k") >= F.col("len") - h, 1)
+    return d.withColumn("half", half).filter("half is not null").groupBy(*keys, "chain", "half").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("value")).alias("m2"),
+        F.min_by("value", "iteration").alias("first"), F.max_by("value", "iteration").alias("last"), F.min("iteration").alias("from"), F.max("iteration").alias("to"),
+    )
+
+
+def merge_states(states: DataFrame, keys: list[str]) -> DataFrame:
+    """States of parts that follow each other as one: counts add up, means weigh, and squares gain what the means differ."""
+    n = F.sum("n")
+    mean = F.sum(F.col("n") * F.col("mean")) / n
+    a = states.groupBy(*keys, "chain", "half").agg(
+        n.alias("n"), mean.alias("mean"), F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).alias("raw"),
+        F.min_by("first", "from").alias("first"), F.max_by("last", "to").alias("last"), F.min("from").alias("from"), F.max("to").alias("to"),
+    )
+    return a.withColumn("m2", F.greatest(F.col("raw") - F.col("n") * F.col("mean") * F.col("mean"), F.lit(0.0))).drop("raw")
+
+
+def extended_convergence(states: DataFrame, keys: list[str], rhat_limit: float = 1.01) -> DataFrame:
+    """``keys``, chains, n, mean, sd, rhat, drift, status from the states of all halves.
+
+    R-hat compares the halves of all chains; drift is the mean change from a chain's first
+    half to its second over the pooled standard deviation.
+    """
+    w = F.col("m2") / (F.col("n") - 1)
+    a = states.groupBy(*keys).agg(
+        F.count_distinct("chain").alias("chains"), F.sum("n").alias("draws"), F.min("n").alias("n"), F.var_samp("mean").alias("b"), F.avg(w).alias("w"),
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
+        (F.avg(F.when(F.col("half") == 1, F.col("mean"))) - F.avg(F.when(F.col("half") == 0, F.col("mean")))).alias("change"),
+    )
+    rhat = F.when(F.col("w") > 0, F.sqrt((F.col("b") * F.col("n") / F.col("w") + F.col("n") - 1) / F.col("n")))
+    drift = F.when(F.col("w") > 0, F.col("change") / F.sqrt("w"))
+    status = F.when(F.col("n") < 2, "too_short").when(F.col("w") == 0, "constant").when(rhat > rhat_limit, "not_converged").otherwise("converged")
+    return a.select(*keys, "chains", F.col("draws").alias("n"), F.round("mean", 6).alias("mean"), F.round(F.sqrt("w"), 6).alias("sd"), F.round(rhat, 6).alias("rhat"), F.round(drift, 6).alias("drift"), status.alias("status"))
+
+
 def consistency(posterior: DataFrame, markers: int) -> DataFrame:
     """check, ok, message of the structure of a fit's posterior table."""
     a = posterior.groupBy("trait").agg(
