@@ -730,16 +730,27 @@ def q97(spark: SparkSession, d: str) -> DataFrame:
     return long.groupBy("marker_idx").agg(count(g == 0).alias("n0"), count(g == 1).alias("n1"), count(g == 2).alias("n2"), count(g.isNull()).alias("missing"), F.sum(g * F.col("w")).alias("placed"))
 
 
-@query("q98_marker_major_stats", f"WITH {_PANEL} SELECT trait, marker_idx, wy, ww, yy, n FROM stats")
-def q98(spark: SparkSession, d: str) -> DataFrame:
-    """Sufficient statistics straight from marker-major rows."""
+def _marker_major(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The panel's marker-major rows and its traits by sample number."""
     panel, traits = _panel(spark, d)
     order = F.row_number().over(samplers.Window.orderBy("sample_idx")) - 1
     numbers = panel.select("sample_idx", order.cast("bigint").alias("at"))
     by_marker = panel.join(F.broadcast(numbers), "sample_idx").select("at", F.posexplode("dosages").alias("marker_idx", "g"))
     rows = by_marker.groupBy("marker_idx").agg(F.array_sort(F.collect_list(F.struct("at", "g"))).alias("e")).select("marker_idx", F.col("e.g").alias("dosages"))
     at = traits.join(F.broadcast(numbers), "sample_idx").select(F.col("at").alias("sample_idx"), "trait", "y")
-    return genotypes.marker_major_stats(rows, at)
+    return rows, at
+
+
+@query("q98_marker_major_stats", f"WITH {_PANEL} SELECT trait, marker_idx, wy, ww, yy, n FROM stats")
+def q98(spark: SparkSession, d: str) -> DataFrame:
+    """Sufficient statistics straight from marker-major rows."""
+    return genotypes.marker_major_stats(*_marker_major(spark, d))
+
+
+@query("q114_streamed_gwas", ORACLE_SQL["q03_marginal_gwas"])
+def q114(spark: SparkSession, d: str) -> DataFrame:
+    """Marginal regressions straight from marker-major rows, by stripes of samples."""
+    return genotypes.marker_major_gwas(*_marker_major(spark, d))
 
 
 @query("q99_csr_round_trip", f"WITH {_EDGES} SELECT i, j, r::FLOAT AS r FROM edges")

@@ -158,48 +158,102 @@ def genetic_score(panel: DataFrame, effects: DataFrame) -> DataFrame:
     return panel.crossJoin(F.broadcast(b)).select("sample_idx", F.aggregate(terms, F.lit(0.0), lambda a, x: a + x).alias("score"))
 
 
-#: Numbers that the trait values of a marker-major scan may have: they go to every task.
-MAX_TRAIT_VALUES = 50_000_000
+#: Samples whose dosages and trait values a task takes together, and dosages that are unpacked at once.
+STRIPE, UNPACKED = 8192, 1 << 24
+PACKED = "stripe int, markers array<int>, dosages binary"
+MAJOR = "trait string, marker_idx int, n bigint, sum_g bigint, sum_gg bigint, gy double, oy double, sy double, size bigint"
+
+
+def _striped(batches: Iterator[pa.RecordBatch], stripe: int) -> Iterator[pa.RecordBatch]:
+    """Marker-major rows to rows of ``PACKED``: some markers by one stripe of the samples, a byte a dosage, 3 for missing."""
+    for b in batches:
+        lo = 0
+        while lo < b.num_rows:
+            wide = len(b.column(1)[lo]) or 1
+            rows = min(max(1, UNPACKED // wide), b.num_rows - lo)
+            g, seen = dosage_matrix(b.column(1).slice(lo, rows))
+            packed = np.where(seen > 0, g, 3).astype(np.uint8)
+            numbers = range(-(-g.shape[1] // stripe))
+            ids = pa.array(b.column(0).slice(lo, rows).to_pylist(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(numbers, pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(numbers) + 1) * len(ids), pa.int32()), pa.concat_arrays([ids] * len(numbers)) if len(numbers) else ids.slice(0, 0)),
+                    pa.array([packed[:, k * stripe : (k + 1) * stripe].tobytes() for k in numbers], pa.binary()),
+                ],
+                names=["stripe", "markers", "dosages"],
+            )
+            lo += rows
+
+
+def _stripe_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``PACKED`` with their trait values to sums of each marker and (trait, marker) over the stripe."""
+    for b in batches:
+        for ids, raw, values in zip(*(b.column(c).to_pylist() for c in ("markers", "dosages", "values")), strict=True):
+            packed = np.frombuffer(raw, np.uint8).reshape(len(ids), -1)
+            seen = (packed < 3).astype(np.int64)
+            g, none = packed * seen, [None] * len(ids)
+            blank = [none] * 4
+            rows = [([None] * len(ids), ids, seen.sum(1), g.sum(1), (g * g).sum(1), *blank)]
+            for v in values or ():
+                at, y = np.asarray(v["at"], int), np.asarray(v["y"], float)
+                at, y = at[at < g.shape[1]], y[at < g.shape[1]]
+                rows.append(([v["trait"]] * len(ids), ids, none, none, none, g[:, at] @ y, seen[:, at] @ y, np.full(len(ids), y.sum()), np.full(len(ids), len(at))))
+            for row in rows:
+                kinds = [pa.string(), pa.int32(), *[pa.int64()] * 3, *[pa.float64()] * 3, pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=[f.split()[0] for f in MAJOR.split(", ")])
+
+
+def marker_major_sums(markers: DataFrame, traits: DataFrame, stripe: int = STRIPE) -> DataFrame:
+    """trait, marker_idx, n, sum_g, sum_gg, gy, oy, sy, size of (marker_idx, dosages by sample index) and (sample_idx, trait, y).
+
+    Samples go in stripes: a task joins the dosages of some markers for one stripe with the trait
+    values of that stripe, so it holds neither all samples nor all traits.  Trait values are sent to
+    as many parts of a stripe as keep all tasks busy, and Spark broadcasts them where they are few.
+    """
+    y = traits.filter("y is not null").select("sample_idx", "trait", F.col("y").cast("double").alias("y"))
+    one = F.array_sort(F.collect_list(F.struct("at", "y")))
+    y = y.select(F.floor(F.col("sample_idx") / stripe).cast("int").alias("stripe"), F.pmod("sample_idx", F.lit(stripe)).cast("int").alias("at"), "trait", "y")
+    y = y.groupBy("stripe", "trait").agg(one.alias("v")).select("stripe", F.struct("trait", F.col("v.at").alias("at"), F.col("v.y").alias("y")).alias("t"))
+    y = y.groupBy("stripe").agg(F.collect_list("t").alias("values"))
+    last = traits.agg(F.max("sample_idx")).first()[0] or 0
+    salts = -(-int(markers.sparkSession.conf.get("spark.sql.shuffle.partitions")) // (int(last) // stripe + 1))
+    packed = markers.select(F.col("marker_idx").cast("int").alias("marker_idx"), "dosages").mapInArrow(lambda b: _striped(b, stripe), PACKED)
+    packed = packed.withColumn("salt", F.pmod(F.xxhash64(F.col("markers")[0]), F.lit(salts)))
+    y = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    sums = packed.join(y, ["stripe", "salt"], "left").select("markers", "dosages", "values").mapInArrow(_stripe_sums, MAJOR)
+    sums = sums.groupBy("trait", "marker_idx").agg(*[F.sum(c).alias(c) for c in ("n", "sum_g", "sum_gg", "gy", "oy", "sy", "size")])
+    each = sums.filter("trait is null").select("marker_idx", "n", "sum_g", "sum_gg")
+    return sums.filter("trait is not null").drop("n", "sum_g", "sum_gg").join(each, "marker_idx")
+
+
+def _trait_totals(traits: DataFrame) -> DataFrame:
+    y = traits.filter("y is not null")
+    return y.groupBy("trait").agg(F.sum(F.col("y") * F.col("y")).alias("yy"), F.sum("y").alias("sum_y"), F.count("*").alias("n_y"))
 
 
 def marker_major_stats(markers: DataFrame, traits: DataFrame, scale: bool = True) -> DataFrame:
-    """trait, marker_idx, wy, ww, yy, n as :func:`summary_stats`, from (marker_idx, dosages by sample index) without a transpose.
-
-    Traits of all samples go to every task as one matrix, whose size is checked first.
-    """
-    y = traits.filter("y is not null").select("sample_idx", "trait", F.col("y").cast("double").alias("y"))
-    if (count := y.count()) > MAX_TRAIT_VALUES:
-        raise ValueError(f"{count} trait values are more than {MAX_TRAIT_VALUES}: use sample-major rows")
-    wide = y.toPandas().pivot(index="sample_idx", columns="trait", values="y")
-    names, rows, values = list(wide.columns), wide.index.to_numpy(np.int64), wide.to_numpy(float)
-    known = (~np.isnan(values)).astype(float)
-    values = np.nan_to_num(values)
+    """trait, marker_idx, wy, ww, yy, n as :func:`summary_stats`, from (marker_idx, dosages by sample index) without a transpose."""
+    d = marker_major_sums(markers, traits)
+    p = F.when(F.col("n") > 0, F.col("sum_g") / (2.0 * F.col("n"))).otherwise(0.0)
+    s = F.sqrt(2 * p * (1 - p))
+    if scale:
+        wy = F.when(s > 0, (F.col("gy") - 2 * p * F.col("oy")) / s).otherwise(0.0)
+        ww = F.when(s > 0, (F.col("sum_gg") - 4 * p * F.col("sum_g") + 4 * F.col("n") * p * p) / (s * s)).otherwise(0.0)
+    else:
+        wy = F.col("gy") + 2 * p * (F.col("sy") - F.col("oy"))
+        ww = F.col("sum_gg") + 4 * p * p * (F.col("size") - F.col("n"))
+    d = d.select("trait", "marker_idx", F.round(wy, 8).alias("wy"), F.round(ww, 8).alias("ww"))
+    return d.join(F.broadcast(_trait_totals(traits)), "trait").select("trait", "marker_idx", "wy", "ww", "yy", F.col("n_y").alias("n"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            g, seen = dosage_matrix(b.column(1))
-            if not len(g):
-                continue
-            fits = rows < g.shape[1]
-            at, part, here = rows[fits], values[fits], known[fits]
-            n, sg, sgg = seen.sum(1), g.sum(1), (g * g).sum(1)
-            p = np.where(n > 0, sg / (2.0 * np.maximum(n, 1)), 0.0)
-            s = np.sqrt(2 * p * (1 - p))
-            gy, oy, sy = g[:, at] @ part, seen[:, at] @ part, part.sum(0)
-            size = here.sum(0)
-            if scale:
-                safe = np.where(s > 0, s, 1.0)
-                wy = np.where(s[:, None] > 0, (gy - 2 * p[:, None] * oy) / safe[:, None], 0.0)
-                ww = np.where(s > 0, (sgg - 4 * p * sg + 4 * n * p * p) / (safe * safe), 0.0)[:, None] * np.ones(len(names))
-            else:
-                wy = gy + 2 * p[:, None] * (sy - oy)
-                ww = sgg[:, None] + 4 * (p * p)[:, None] * (size - n[:, None])
-            for k, name in enumerate(names):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(g)), pa.array(np.asarray(b.column(0)).astype(np.int32)), pa.array(wy[:, k].copy()), pa.array(ww[:, k].copy())],
-                    names=["trait", "marker_idx", "wy", "ww"],
-                )
 
-    d = markers.select("marker_idx", "dosages").mapInArrow(run, "trait string, marker_idx int, wy double, ww double")
-    totals = traits.filter("y is not null").groupBy("trait").agg(F.sum(F.col("y") * F.col("y")).alias("yy"), F.count("*").alias("n"))
-    return d.join(F.broadcast(totals), "trait").select("trait", "marker_idx", F.round("wy", 8).alias("wy"), F.round("ww", 8).alias("ww"), "yy", "n")
+def marker_major_gwas(markers: DataFrame, traits: DataFrame) -> DataFrame:
+    """trait, marker_idx, beta, se, z as :func:`marginal_gwas`, from marker-major rows by stripes of samples."""
+    d = marker_major_sums(markers, traits).join(F.broadcast(_trait_totals(traits)), "trait")
+    n = F.col("n_y").cast("double")
+    sxx = F.col("sum_gg") - F.col("sum_g") * F.col("sum_g") / n
+    sxy = F.col("gy") - F.col("sum_g") * F.col("sum_y") / n
+    syy = F.col("yy") - F.col("sum_y") * F.col("sum_y") / n
+    beta = sxy / sxx
+    se = F.sqrt((syy - beta * sxy) / (n - 2) / sxx)
+    return d.filter(sxx > 0).select("trait", "marker_idx", F.round(beta, 8).alias("beta"), F.round(se, 8).alias("se"), F.round(beta / se, 8).alias("z"))
