@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectforge.functions.expressions import CENTRAL, NEAR
-from effectforge.operators import blocks, controls, finemap, genotypes, ld, multitrait, pairwise, priors, samplers, selection, settests, simulate, summaries
+from effectforge.operators import blocks, controls, finemap, genotypes, ld, multitrait, pairwise, particles, priors, samplers, selection, settests, simulate, summaries
 from effectforge.queries import _EDGES, _PANEL, _PIPS, _VALUES, MARKERS, MIXTURE, ORACLE_SQL, PI, QUERIES, R2, VB, WINDOW, _chains, _edges, _markers, _panel, _pips, _scan, _sets, _stats, _values, _vector, query
 from effectforge.sources import bed, csr
 from effectforge.sources.files import shared_path
@@ -1014,3 +1014,26 @@ def q113(spark: SparkSession, d: str) -> DataFrame:
     p = p.withColumn("q", F.round(F.col("pip") * (1 - 0.1 * F.col("chain")), 8)).withColumn("component", F.explode(F.sequence(F.lit(0), F.lit(2))))
     prob = F.when(F.col("component") == 0, 1 - F.col("q")).otherwise(F.col("q") * F.col("component") / 3)
     return summaries.component_stability(p.select("trait", "chain", "marker_idx", "component", prob.alias("prob")))[0]
+
+
+@query(
+    "q115_particle_evidence",
+    f"""WITH {_EDGES}, k AS (
+        SELECT a.trait AS trait, a.marker_idx // 2 AS block, {SHARE}e0 * a.yy / a.n AS noise, a.wy / ({SHARE}e0 * a.yy / a.n) AS ha, c.wy / ({SHARE}e0 * a.yy / a.n) AS hc,
+            a.ww / ({SHARE}e0 * a.yy / a.n) + 1 / {VB}e0 AS pa, c.ww / ({SHARE}e0 * a.yy / a.n) + 1 / {VB}e0 AS pc, coalesce(r, 0) * sqrt(a.ww * c.ww) / ({SHARE}e0 * a.yy / a.n) AS x
+        FROM stats a JOIN stats c ON c.trait = a.trait AND c.marker_idx = a.marker_idx + 1 LEFT JOIN edges ON i = a.marker_idx AND edges.j = c.marker_idx WHERE a.marker_idx % 2 = 0
+    )
+    SELECT trait, block::INT AS block, round(ln({1 - PI}e0 * {1 - PI}e0 + {1 - PI}e0 * {PI}e0 * (exp(0.5 * ha * ha / pa) / sqrt({VB}e0 * pa) + exp(0.5 * hc * hc / pc) / sqrt({VB}e0 * pc))
+        + {PI}e0 * {PI}e0 * exp(0.5 * (pc * ha * ha - 2 * x * ha * hc + pa * hc * hc) / (pa * pc - x * x)) / sqrt({VB}e0 * {VB}e0 * (pa * pc - x * x))), 6) AS exact, true AS close FROM k""",
+)
+def q115(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence of every pair of neighbours by enumeration, and whether that of the particles is within a hundredth."""
+
+    def table(block: particles.Block, start: int, key: tuple) -> pd.DataFrame:
+        v, prior = np.array([VB]), np.tile(np.log([1 - PI, PI]), (len(block.wy), 1))
+        exact = particles.exact_evidence(block, v, prior)
+        found = particles.run_particles(block, v, prior, np.random.default_rng(start), 4096).log_evidence
+        return pd.DataFrame([{"exact": exact, "close": abs(found - exact) < 0.01}])
+
+    out = particles.over_blocks(_stats(spark, d), _edges(spark, d), 2, SHARE, table, "exact double, close boolean")
+    return out.withColumn("exact", F.round("exact", 6))

@@ -426,6 +426,10 @@ class Prior:
             if "group_pi" in self.extra:
                 p = np.asarray(self.extra["group_pi"], float)[self.group]
                 self.rows = np.column_stack([1 - p, p])
+        elif kind == "custom":
+            # A user's prior: start(m) and update(rng, components, effects, vb) give component probabilities and variance multipliers.
+            self.hook = self.extra["prior"]
+            self.rows, self.scale = self._checked(self.hook.start(m))
         elif kind in ("learned_logistic", "probit_stick", "log_variance"):
             self.a = np.asarray(self.extra["annotations"], float)
             self.coef = np.zeros((self.a.shape[1], self.k - 1 if kind == "probit_stick" else 1))
@@ -444,6 +448,12 @@ class Prior:
                 self.selection = {"pi_a": 0.5, "tau2": np.ones(self.k - 1)}
                 self._sticks()
 
+    def _checked(self, given: tuple) -> tuple[np.ndarray, np.ndarray]:
+        rows, scale = (np.asarray(x, float) for x in given)
+        if rows.shape != (self.m, self.k) or scale.shape != (self.m,) or not (rows > 0).all() or not np.allclose(rows.sum(1), 1) or not (scale > 0).all():
+            raise ValueError("a prior gives positive probabilities of every component that add up to 1, and a positive multiplier, for each marker")
+        return rows, scale
+
     def _logistic(self) -> None:
         p = np.clip(1 / (1 + np.exp(-(self.base + self.a @ self.coef[:, 0]))), 1e-8, 0.5)
         self.rows = np.column_stack([1 - p, p])
@@ -471,6 +481,8 @@ class Prior:
             self.pi = rng.dirichlet(np.array(model.pi) * model.pi_strength + counts)
             self.pi = np.maximum(self.pi, 1e-300)
             self.rows = np.broadcast_to(self.pi, (self.m, self.k))
+        elif kind == "custom":
+            self.rows, self.scale = self._checked(self.hook.update(rng, comp, b, vb))
         elif kind == "group":
             a, c = pi_prior(1 - model.pi[0], self.extra.get("group_strength", 100.0))
             active = np.bincount(self.group, comp > 0, self.groups)
