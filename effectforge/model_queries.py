@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectforge.functions.expressions import CENTRAL, NEAR
-from effectforge.operators import blocks, controls, finemap, genotypes, ld, multitrait, pairwise, particles, priors, samplers, selection, settests, simulate, summaries
+from effectforge.operators import blocks, controls, finemap, genotypes, ld, multitrait, pairwise, particles, priors, samplers, selection, settests, simulate, summaries, tempering
 from effectforge.queries import _EDGES, _PANEL, _PIPS, _VALUES, MARKERS, MIXTURE, ORACLE_SQL, PI, QUERIES, R2, VB, WINDOW, _chains, _edges, _markers, _panel, _pips, _scan, _sets, _stats, _values, _vector, query
 from effectforge.sources import bed, csr
 from effectforge.sources.files import shared_path
@@ -1037,3 +1037,27 @@ def q115(spark: SparkSession, d: str) -> DataFrame:
 
     out = particles.over_blocks(_stats(spark, d), _edges(spark, d), 2, SHARE, table, "exact double, close boolean")
     return out.withColumn("exact", F.round("exact", 6))
+
+
+@query(
+    "q116_coupling_exchange",
+    f"""WITH {_PIPS}, co AS (SELECT replica, marker_idx, (floor(pip * 10000)::BIGINT + replica) % 4 AS component FROM p1, range(3) r(replica)),
+    sl AS (SELECT replica, slot, slot * 0.5e0 AS c FROM range(3) r(replica), range(3) q(slot) WHERE abs(replica - slot) <= 1),
+    eta AS (SELECT replica, slot, o, k, (1 - c) * (-0.5e0 + 0.3e0 * k) + c * ((-1.0e0 + 0.1e0 * replica) + 0.4e0 * k + o * (0.5e0 - 0.3e0 * k + 0.2e0 * replica)) AS x FROM sl, range(2) q(o), range(3) t(k)),
+    phi AS (
+        SELECT replica, slot, o, k, 0.5e0 + sign(x) * sum(exp((2 * t + 1) * ln(abs(x)) - (t + 1) * ln(2) - lgamma(t + 1.5) + 0.5 * ln(pi()))) * exp(-x * x / 2) / sqrt(2 * pi()) AS p
+        FROM eta, range(0, 121) r(t) GROUP BY replica, slot, o, k, x
+    ), st AS (SELECT replica, slot, o, max(p) FILTER (k = 0) AS a, max(p) FILTER (k = 1) AS b, max(p) FILTER (k = 2) AS c FROM phi GROUP BY 1, 2, 3),
+    l AS (SELECT replica, slot, sum(ln(([1 - a, a * (1 - b), a * b * (1 - c), a * b * c])[component + 1])) AS x FROM co JOIN st USING (replica) WHERE st.o = co.marker_idx % 2 GROUP BY 1, 2)
+    SELECT low.replica::INT AS lower, round(up.x + down.x - low.x - high.x, 6) AS log_ratio FROM l low JOIN l high ON high.replica = low.replica + 1 AND high.slot = high.replica
+        JOIN l up ON up.replica = low.replica AND up.slot = low.replica + 1 JOIN l down ON down.replica = low.replica + 1 AND down.slot = low.replica WHERE low.slot = low.replica""",
+)
+def q116(spark: SparkSession, d: str) -> DataFrame:
+    """Log ratios of exchanging the states of neighbouring replicas, components following the scan's inclusion probabilities."""
+    p = _pips(spark, d).withColumn("replica", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    comps = p.select("replica", "marker_idx", ((F.floor(F.col("pip") * 10000) + F.col("replica")) % 4).cast("int").alias("component"))
+    notes = _markers(spark).select("marker_idx", F.array(F.lit(1.0), (F.col("marker_idx") % 2).cast("double")).alias("a"))
+    k = np.arange(3)
+    alpha = [np.array([-1.0 + 0.1 * r + 0.4 * k, 0.5 - 0.3 * k + 0.2 * r]) for r in range(3)]
+    out = tempering.exchange_terms(comps, notes, alpha, baseline=tuple(-0.5 + 0.3 * k))
+    return out.withColumn("log_ratio", F.round("log_ratio", 6))

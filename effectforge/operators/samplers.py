@@ -444,6 +444,7 @@ class Prior:
                 if "coefficients" not in self.extra:
                     self.coef[0] = self.extra.get("alpha0", np.zeros(self.k - 1))
                 self.sigma = np.ones(self.k - 1)
+                self.coupling, self.baseline = float(self.extra.get("coupling", 1.0)), np.asarray(self.extra.get("alpha0", np.zeros(self.k - 1)), float)
                 self.delta = np.ones(self.a.shape[1] - 1, bool)
                 self.selection = {"pi_a": 0.5, "tau2": np.ones(self.k - 1)}
                 self._sticks()
@@ -465,7 +466,8 @@ class Prior:
         self.scale = np.exp(np.clip(eta, -20, 20))
 
     def _sticks(self) -> None:
-        going = _phi(self.a @ self.coef)
+        # With a coupling below one the annotations count for so much, and the baseline for the rest.
+        going = _phi(self.coupling * (self.a @ self.coef) + (1 - self.coupling) * self.baseline)
         left = np.ones(self.m)
         rows = []
         for k in range(self.k - 1):
@@ -563,11 +565,11 @@ class Prior:
             mean0 = np.asarray(self.extra.get("alpha0", np.zeros(self.k - 1)), float)
             selection_sweep(rng, np.array(xx), np.array(xz), self.coef, self.delta, self.selection, intercept=(mean0, 1.0))
             self._sticks()
-        elif kind == "probit_stick":
+        elif kind == "probit_stick" and not self.extra.get("fixed"):
             for k in range(self.k - 1):
                 at = np.flatnonzero(comp >= k)
-                x = self.a[at]
-                z = _truncated(rng, x @ self.coef[:, k], comp[at] > k) if len(at) else np.zeros(0)
+                x, offset = self.coupling * self.a[at], (1 - self.coupling) * self.baseline[k]
+                z = _truncated(rng, x @ self.coef[:, k] + offset, comp[at] > k) - offset if len(at) else np.zeros(0)
                 rest = z - x @ self.coef[:, k]
                 for c in range(x.shape[1]):
                     xc = x[:, c]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from effectforge.functions.expressions import incomplete_beta, log_gamma, student_p_value
-from effectforge.operators import genotypes, particles, priors, samplers, selection, summaries
+from effectforge.operators import genotypes, particles, priors, samplers, selection, summaries, tempering
 from effectforge.sources.provider import provider_panel
 
 
@@ -294,3 +294,65 @@ def test_user_priors():
     bad.start = lambda m: (np.ones((m, 2)), np.ones(m))
     with pytest.raises(ValueError, match="add up to 1"):
         samplers.sample(op, 1.0, 10.0, samplers.Model(pi=(0.75, 0.25), policy="custom", extra={"prior": bad}), controls, 4)
+
+
+# Replica exchange
+
+
+@pytest.mark.parametrize("kind", ["csr", "genotypes"])
+def test_tempered_chain_keeps_the_posterior(kind):
+    """The replica at coupling 1 has the inclusion probabilities of an enumeration with its own prior; exchanges happen both ways."""
+    z, y = correlated(m=6, rho=0.8)
+    op, xtx = csr_of(z, y)
+    op = op if kind == "csr" else samplers.GenotypeOperator(z, y)
+    a = np.column_stack([np.ones(6), np.arange(6) % 2])
+    extra = {"annotations": a, "coefficients": [[-0.8], [1.2]], "alpha0": np.array([-0.3]), "fixed": True}
+    model = samplers.Model(pi=(0.7, 0.3), vb=0.05, ve=1.0, adj_e=0.0, update_vb=False, update_ve=False, policy="probit_stick", extra=extra)
+    nit = 5000 if kind == "csr" else 2500
+    out = tempering.sample_tempered(op, float(y @ y), len(y), model, priors.ChainControls(nit=nit, nburn=200), 3, swap_every=1)
+    p = samplers._phi(a @ np.array([-0.8, 1.2]))
+    logs = np.zeros(64)
+    for state in range(64):
+        on = [k for k in range(6) if state >> k & 1]
+        logs[state] = sum(np.log(p[k]) if k in on else np.log1p(-p[k]) for k in range(6))
+        if on:
+            q = xtx[np.ix_(on, on)] + np.eye(len(on)) / 0.05
+            u = (z.T @ y)[on]
+            logs[state] += 0.5 * u @ np.linalg.solve(q, u) - 0.5 * np.linalg.slogdet(q)[1] - 0.5 * len(on) * np.log(0.05)
+    w = np.exp(logs - logs.max())
+    want = [w[[s for s in range(64) if s >> k & 1]].sum() / w.sum() for k in range(6)]
+    assert np.abs(out["pip"] - want).max() < (0.04 if kind == "csr" else 0.06)
+    rate = np.mean([s[-1] for s in out["swaps"]])
+    assert 0.2 < rate < 1 and {s[1] for s in out["swaps"]} == {0, 1}
+    assert [r["prior"].coupling for r in out["replicas"]] == [0.0, 0.5, 1.0]
+
+
+def test_exchange_terms(spark):
+    rng = np.random.default_rng(2)
+    a = np.column_stack([np.ones(40), rng.standard_normal(40)])
+    alpha = [rng.normal(0, 0.7, (2, 2)) for _ in range(3)]
+    comps = rng.integers(0, 3, (3, 40))
+    parts = []
+    for slot in range(3):
+        rows = {}
+        for c in range(3):
+            p = samplers.Prior(samplers.Model(gamma=(0.0, 0.1, 1.0), pi=(0.8, 0.1, 0.1), policy="probit_stick", extra={"annotations": a, "coefficients": alpha[slot], "alpha0": np.array([-0.5, 0.1]), "coupling": tempering.COUPLINGS[c]}), 40)
+            rows[c] = tempering.log_target(p, comps[slot])
+        parts.append(rows)
+    want = {k: parts[k][k + 1] + parts[k + 1][k] - parts[k][k] - parts[k + 1][k + 1] for k in range(2)}
+    c = spark.createDataFrame([(r, k, int(x)) for r in range(3) for k, x in enumerate(comps[r])], "replica int, marker_idx int, component int")
+    ann = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(a)], "marker_idx int, a array<double>")
+    got = {r["lower"]: r["log_ratio"] for r in tempering.exchange_terms(c, ann, alpha, baseline=(-0.5, 0.1)).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
+def test_tempered_fit_of_the_panel(spark):
+    rng = np.random.default_rng(4)
+    g = rng.integers(0, 3, (120, 8))
+    y = 1.2 * g[:, 3] + rng.standard_normal(120)
+    panel = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(g)], "sample_idx bigint, dosages array<int>")
+    traits = spark.createDataFrame([(k, "T", float(v - y.mean())) for k, v in enumerate(y)], "sample_idx bigint, trait string, y double")
+    model = samplers.Model(pi=(0.8, 0.2), policy="probit_stick", extra={"annotations": np.column_stack([np.ones(8), np.arange(8) == 3])})
+    rows = tempering.fit_tempered(panel, traits, model, priors.ChainControls(nit=40, nburn=20, nchains=2)).toPandas()
+    pip = rows[rows["quantity"] == "pip"].groupby("marker_idx")["value"].mean()
+    assert pip.idxmax() == 3 and pip[3] > 0.9 and (rows["kind"] == "swap").sum() == 2 * 12 * 3
