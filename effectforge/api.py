@@ -166,15 +166,9 @@ def extract_loci(fit: Fit, sets: DataFrame, markers: DataFrame, trait: str) -> D
     return _finemap.locus_table(sets.distinct(), pips).join(where, "locus")
 
 
-def finemap(stats: DataFrame, edges: DataFrame, sets: DataFrame, *, vb: float, ve: float, pi: float, effects: DataFrame | None = None, nruns: int = 8, seed: int = 1, nit: int = 2000, nburn: int = 200, scale: str = "cross_product") -> DataFrame:
-    """Refit every locus ``nruns`` times with fixed variances and pi; PIPs and effects over runs.
-
-    With global ``effects`` (marker_idx, effect) scores are residualised for the
-    markers outside the locus: in cross-product units, or, with ``scale``
-    "correlation", by R b alone.
-    """
+def local_statistics(stats: DataFrame, edges: DataFrame, loci: DataFrame, effects: DataFrame | None = None, scale: str = "cross_product") -> DataFrame:
+    """locus, marker_idx, wy, ww, yy, n of the loci's markers; with global effects wy less what those of the markers outside the locus explain."""
     one = stats.select("marker_idx", "wy", "ww", "yy", "n")
-    loci = sets.distinct()
     if effects is not None:
         b = effects.select(F.col("marker_idx").alias("j"), F.col("effect").alias("b"))
         pairs = ld.cross_products(edges, one) if scale == "cross_product" else ld.symmetric(edges).withColumnRenamed("r", "xtx")
@@ -182,9 +176,19 @@ def finemap(stats: DataFrame, edges: DataFrame, sets: DataFrame, *, vb: float, v
         outer = loci.join(pairs.withColumnRenamed("i", "marker_idx"), "marker_idx").join(inside, ["locus", "j"], "left").filter("inside is null").join(b, "j")
         moved = outer.groupBy("locus", "marker_idx").agg(F.sum(F.col("xtx") * F.col("b")).alias("moved"))
         local = loci.join(one, "marker_idx").join(moved, ["locus", "marker_idx"], "left")
-        local = local.withColumn("wy", F.col("wy") - F.coalesce("moved", F.lit(0.0))).drop("moved")
-    else:
-        local = loci.join(one, "marker_idx")
+        return local.withColumn("wy", F.col("wy") - F.coalesce("moved", F.lit(0.0))).drop("moved")
+    return loci.join(one, "marker_idx")
+
+
+def finemap(stats: DataFrame, edges: DataFrame, sets: DataFrame, *, vb: float, ve: float, pi: float, effects: DataFrame | None = None, nruns: int = 8, seed: int = 1, nit: int = 2000, nburn: int = 200, scale: str = "cross_product") -> DataFrame:
+    """Refit every locus ``nruns`` times with fixed variances and pi; PIPs and effects over runs.
+
+    With global ``effects`` (marker_idx, effect) scores are residualised for the
+    markers outside the locus: in cross-product units, or, with ``scale``
+    "correlation", by R b alone.
+    """
+    loci = sets.distinct()
+    local = local_statistics(stats, edges, loci, effects, scale)
     region = ld.region(edges, loci.select(F.col("locus").alias("region"), "marker_idx")).filter("i < j")
     runs = F.explode(F.sequence(F.lit(0), F.lit(nruns - 1)))
     left, right = local.withColumn("run", runs), region.withColumn("of_run", runs)

@@ -651,19 +651,23 @@ def q91(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "q92_reduction_policy",
-    """WITH o AS (SELECT unnest(['csr', 'block_eigen', 'packed_bed']) AS o), p AS (SELECT family, a.o AS operator_a, b.o AS operator_b, filtered, residual FROM o a, o b,
-        (SELECT unnest(['scalar', 'joint']) AS family), (SELECT unnest([true, false]) AS filtered), (SELECT unnest(['diagonal', 'full']) AS residual))
+    """WITH p AS (SELECT a.n_nationkey AS one, b.n_nationkey AS other, (['scalar', 'joint'])[a.n_regionkey % 2 + 1] AS family, (['csr', 'block_eigen', 'packed_bed'])[a.n_nationkey % 3 + 1] AS operator_a,
+        (['csr', 'block_eigen', 'packed_bed'])[b.n_nationkey % 3 + 1] AS operator_b, a.n_nationkey % 2 = 0 AS filtered, (['diagonal', 'full'])[b.n_nationkey % 2 + 1] AS residual FROM nation a JOIN nation b USING (n_regionkey))
     SELECT *, CASE WHEN list_sort([operator_a, operator_b]) = ['block_eigen', 'csr'] THEN CASE WHEN filtered THEN 'approximate_filtered_operator' ELSE 'floating_point_equivalent' END
         WHEN list_sort([operator_a, operator_b]) = ['csr', 'packed_bed'] THEN CASE WHEN family = 'joint' AND residual = 'full' THEN 'not_comparable_residual_covariance'
             ELSE 'comparable_when_likelihood_contracts_match' END ELSE 'not_comparable_operator_contract' END AS policy FROM p""",
 )
 def q92(spark: SparkSession, d: str) -> DataFrame:
-    kinds = ["csr", "block_eigen", "packed_bed"]
-    sides = {"family": ["scalar", "joint"], "operator_a": kinds, "operator_b": kinds, "filtered": [True, False], "residual": ["diagonal", "full"]}
-    p = spark.range(0, 1, 1, 1)
-    for name, values in sides.items():
-        p = p.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-    p = p.drop("id")
+    """Policies of pairs of fits, one for two nations of a region."""
+    pick = lambda c, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (c % len(values)).cast("int") + 1)
+    n = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_regionkey")
+    a, b = n.withColumnRenamed("n_nationkey", "one"), n.withColumnRenamed("n_nationkey", "other")
+    one, other = F.col("one"), F.col("other")
+    kinds = ("csr", "block_eigen", "packed_bed")
+    p = a.join(b, "n_regionkey").select(
+        "one", "other", pick(F.col("n_regionkey"), "scalar", "joint").alias("family"), pick(one, *kinds).alias("operator_a"), pick(other, *kinds).alias("operator_b"),
+        (one % 2 == 0).alias("filtered"), pick(other, "diagonal", "full").alias("residual"),
+    )
     return controls.reduction_policy(p)
 
 
@@ -1061,3 +1065,46 @@ def q116(spark: SparkSession, d: str) -> DataFrame:
     alpha = [np.array([-1.0 + 0.1 * r + 0.4 * k, 0.5 - 0.3 * k + 0.2 * r]) for r in range(3)]
     out = tempering.exchange_terms(comps, notes, alpha, baseline=tuple(-0.5 + 0.3 * k))
     return out.withColumn("log_ratio", F.round("log_ratio", 6))
+
+
+@query(
+    "q117_aligned_annotations",
+    """WITH f AS (SELECT p_partkey AS k, p_size::DOUBLE AS size, (p_partkey % 3 = 0)::INT::DOUBLE AS third FROM part WHERE p_partkey % 2 = 0),
+    s AS (SELECT avg(size) AS m, stddev_samp(size) AS sd, avg(third) AS t FROM f)
+    SELECT k::INT AS marker_idx, 1.0e0 AS intercept, round((size - m) / sd, 8) AS size, round(third - t, 8) AS third FROM f, s""",
+)
+def q117(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations of all parts, matched by name to those that are fitted, every second one."""
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("size"), (F.col("p_partkey") % 3 == 0).cast("double").alias("third"))
+    names = F.concat(F.lit("m"), F.col("k")).alias("marker_id")
+    long = part.select(names, F.explode(F.create_map(F.lit("a_size"), F.col("size"), F.lit("b_third"), F.col("third"))).alias("annotation", "value"))
+    fitted = part.filter("k % 2 = 0").select(F.col("k").cast("int").alias("marker_idx"), names)
+    a = priors.align_annotations(long, fitted, center_binary=True)
+    return a.select("marker_idx", F.col("a")[0].alias("intercept"), F.round(F.col("a")[1], 8).alias("size"), F.round(F.col("a")[2], 8).alias("third"))
+
+
+@query(
+    "q118_local_statistics",
+    f"""WITH {_EXACT}, lo AS (SELECT j AS marker_idx, 'L' || j // 16 AS locus FROM m WHERE j % 16 < 10), mv AS (
+        SELECT lo.locus AS locus, lo.marker_idx AS marker_idx, sum(round(r * sqrt(a.ww * b.ww), 6) * b.b) AS moved
+        FROM lo JOIN sym ON sym.i = lo.marker_idx JOIN sc a ON a.marker_idx = sym.i AND a.trait = 'T1' JOIN sc b ON b.marker_idx = sym.j AND b.trait = 'T1'
+        LEFT JOIN lo own ON own.locus = lo.locus AND own.marker_idx = sym.j WHERE own.locus IS NULL GROUP BY 1, 2
+    )
+    SELECT locus, marker_idx, round(wy - coalesce(moved, 0), 6) AS wy, ww, yy, n FROM lo JOIN sc USING (marker_idx) LEFT JOIN mv USING (locus, marker_idx) WHERE trait = 'T1'""",
+)
+def q118(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of loci of ten markers less what the fixed effects outside explain, as a refit of a locus takes them."""
+    from effectforge.api import local_statistics
+
+    k = F.col("marker_idx")
+    loci = _markers(spark).filter(k % 16 < 10).select(F.concat(F.lit("L"), F.floor(k / 16)).alias("locus"), "marker_idx")
+    out = local_statistics(_stats(spark, d).filter("trait = 'T1'"), _edges(spark, d), loci, _effects(spark))
+    return out.select("locus", "marker_idx", F.round("wy", 6).alias("wy"), "ww", "yy", "n")
+
+
+@query("q119_fit_consistency")
+def q119(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of a scale mixture's own rows."""
+    model = samplers.Model(gamma=MIXTURE, pi=_MIX_PI)
+    fit = samplers.fit_summary(_stats(spark, d), _edges(spark, d), model, priors.ChainControls(nit=20, nburn=10, nchains=2, seed=3))
+    return summaries.fit_consistency(fit, MARKERS)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -168,6 +170,29 @@ def validate_components(components: DataFrame, tolerance: float = 1e-8) -> DataF
     )
 
 
+def validate_covariances(entries: DataFrame, tolerance: float = 1e-8) -> DataFrame:
+    """name, size, ok, message of covariance matrices (name, i, j, value): complete, finite, symmetric and positive definite.
+
+    Matrices are of traits, a few rows each; one matrix is one group.
+    """
+
+    def task(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        size = int(max(part["i"].max(), part["j"].max())) + 1
+        v = np.full((size, size), np.nan)
+        v[part["i"].to_numpy(int), part["j"].to_numpy(int)] = part["value"].to_numpy(float)
+        if len(part) != size * size or part.duplicated(["i", "j"]).any():
+            why = "entries are missing or repeated"
+        elif not np.isfinite(v).all():
+            why = "entries are not finite"
+        elif np.abs(v - v.T).max() > tolerance * max(1.0, np.abs(v).max()):
+            why = "not symmetric"
+        else:
+            why = "" if np.linalg.eigvalsh((v + v.T) / 2).min() > tolerance * np.abs(v).max() else "not positive definite"
+        return pd.DataFrame({"name": [key[0]], "size": [size], "ok": [not why], "message": [why]})
+
+    return entries.groupBy("name").applyInPandas(task, "name string, size int, ok boolean, message string")
+
+
 def report(checks: DataFrame) -> str:
     """A table of checks (check, ok, message) as text, failures first."""
     rows = checks.orderBy("ok", "check").collect()

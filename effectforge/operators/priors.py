@@ -157,6 +157,51 @@ def annotation_matrix(annotations: DataFrame, standardize: bool = True) -> DataF
     return annotations.join(F.broadcast(s), "annotation").select("marker_idx", "annotation", z.alias("value"))
 
 
+def align_annotations(annotations: DataFrame, markers: DataFrame, *, add_intercept: bool = True, standardize: bool = True, center_binary: bool = False) -> DataFrame:
+    """marker_idx, a: the annotations (marker_id, annotation, value) of the fitted markers (marker_idx, marker_id), by name and in one order.
+
+    Annotations go by name, the intercept first; continuous ones are z-scores over the fitted
+    markers, binary ones stay or are centred.  Rows of other markers are left out.  An empty, null or
+    repeated name on either side, a marker without one of the annotations, and one without
+    variation among the fitted markers are errors.
+    """
+    empty = F.col("marker_id").isNull() | (F.col("marker_id") == "")
+    for d, keys, what in ((markers, ["marker_id"], "fitted markers"), (annotations, ["marker_id", "annotation"], "annotations")):
+        bad = d.groupBy(*keys).agg(F.count("*").alias("n")).filter(empty | (F.col("n") > 1)).take(5)
+        if bad:
+            raise ValueError(f"names of {what} are given once each: {[r['marker_id'] for r in bad]}")
+    d = annotations.join(markers.select("marker_idx", "marker_id"), "marker_id").select("marker_idx", "annotation", F.col("value").cast("double").alias("value"))
+    names = sorted(r[0] for r in annotations.select("annotation").distinct().collect())
+    held = d.filter("value is not null").groupBy("marker_idx").agg(F.count("*").alias("n"))
+    short = markers.join(held, "marker_idx", "left").filter(F.coalesce("n", F.lit(0)) < len(names)).select("marker_id").take(5)
+    if short:
+        raise ValueError(f"markers without an annotation: {[r[0] for r in short]}")
+    s = d.groupBy("annotation").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.max(F.when(F.col("value").isin(0.0, 1.0), 0).otherwise(1)).alias("continuous"))
+    flat = [r[0] for r in s.filter("coalesce(sd, 0) = 0").select("annotation").take(5)]
+    if flat:
+        raise ValueError(f"annotations without variation among the fitted markers: {flat}")
+    z = F.when((F.col("continuous") == 1) & F.lit(standardize), (F.col("value") - F.col("mean")) / F.col("sd"))
+    z = z.when((F.col("continuous") == 0) & F.lit(center_binary), F.col("value") - F.col("mean")).otherwise(F.col("value"))
+    rows = d.join(F.broadcast(s), "annotation").groupBy("marker_idx").agg(F.array_sort(F.collect_list(F.struct("annotation", z.alias("z")))).alias("e"))
+    one = F.array(F.lit(1.0)) if add_intercept else F.array().cast("array<double>")
+    return rows.select("marker_idx", F.concat(one, F.col("e.z")).alias("a"))
+
+
+def intercepts(gamma: list[float], pi: list[float], form: str = "calibrated", variance: float = 1.0) -> tuple[list[float], list[float]]:
+    """Mean and precision of the stick intercepts' prior, in one of its forms.
+
+    calibrated is centred where the sticks give ``pi``; standard at zero; flat has no precision.
+    """
+    if len(pi) != len(gamma) or abs(sum(pi) - 1) > 1e-8 or variance <= 0:
+        raise ValueError("a probability for each component, and a positive variance")
+    sticks = len(gamma) - 1
+    if form == "calibrated":
+        return alpha_init(gamma, 1 - pi[0], list(pi[1:])), [1 / variance] * sticks
+    if form in ("standard", "flat"):
+        return [0.0] * sticks, [1 / variance if form == "standard" else 0.0] * sticks
+    raise ValueError("form is calibrated, standard or flat")
+
+
 def centred_annotations(annotations: DataFrame) -> DataFrame:
     """(marker_idx, annotation, value) for log-variance models: all centred, continuous ones scaled too.
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from effectforge.operators.genotypes import allele_freq
+
 from effectforge.functions.expressions import logistic
 
 #: Mixtures of the named architectures (probabilities, variances).
@@ -132,6 +134,13 @@ def gsim(spark: SparkSession, *, n: int = 1000, m: int = 1000, nt: int = 1, arch
     return Simulation(p, phenotypes(p, maf, b, h2, re, seed), b, component, maf)
 
 
+def simulate_on(panel_: DataFrame, *, architecture: str = "bayesc", nt: int = 1, h2: float = 0.5, rg: float = 0.0, re: float = 0.0, n_causal: int | None = None, seed: int = 1, **effects) -> tuple[DataFrame, np.ndarray]:
+    """Phenotypes (sample_idx, trait, y, g, e) of given genotypes without missing dosages, and the effects drawn for their markers."""
+    af = allele_freq(panel_).orderBy("marker_idx").toPandas()["af"].to_numpy(float)
+    b, _ = draw_effects(np.random.default_rng(seed), np.minimum(af, 1 - af), architecture, nt, rg, n_causal, **effects)
+    return phenotypes(panel_.select("sample_idx", "dosages"), af, b, h2, re, seed), b
+
+
 def mtsim(spark: SparkSession, *, n: int = 1000, m: int = 1000, nt: int = 2, n_shared: int = 10, n_specific: int = 10, h2: float = 0.5, rg: float = 0.5, re: float = 0.0, seed: int = 1, weights: np.ndarray | None = None, maf_min: float = 0.05, maf_max: float = 0.5) -> Simulation:
     """Shared causal markers with correlated effects, and specific ones for each trait."""
     rng = np.random.default_rng(seed)

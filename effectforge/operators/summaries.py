@@ -312,6 +312,40 @@ def component_stability(components: DataFrame, top: int = 20) -> tuple[DataFrame
     return one, worst.select("trait", "rank", "marker_idx", *[F.round(c, 8).alias(c) for c in ("pip_mean", "pip_range", "pip_sd", "distance")])
 
 
+def fit_consistency(fit, markers: int) -> DataFrame:
+    """check, ok, message of a fit's own rows: posterior, components, traces and their relations.
+
+    Every check is one aggregate over the rows, whatever the fit's size.
+    """
+    c, nan = fit.controls, lambda x: x.isNull() | F.isnan(x)
+    marker = fit.rows.filter("kind = 'marker'")
+    wide = marker.groupBy("trait", "chain", "marker_idx").pivot("quantity", ["effect", "pip", "component_0", "state"]).agg(F.first("value"))
+    total = marker.filter("quantity like 'component_%'").groupBy("trait", "chain", "marker_idx").agg(F.sum("value").alias("total"))
+    per = wide.join(total, ["trait", "chain", "marker_idx"], "left").groupBy("trait", "chain").agg(
+        F.count("*").alias("n"), F.min(~nan(F.col("effect"))).alias("finite"), F.min(F.col("pip").between(0, 1)).alias("range"),
+        F.min(F.coalesce(F.abs(F.col("total") - 1) < 1e-8, F.lit(True))).alias("simplex"),
+        F.min(F.coalesce(F.abs(1 - F.col("component_0") - F.col("pip")) < 1e-8, F.lit(True))).alias("pip_of_components"),
+        F.min((F.col("pip") > 0) | (F.col("effect") == 0)).alias("null_effects"),
+    )
+    traces = fit.traces().groupBy("trait", "chain", "iteration").pivot("quantity", ["vb", "ve", "vg", "vle", "vld", "pi"]).agg(F.first("value"))
+    traced = traces.groupBy("trait", "chain").agg(
+        F.count("*").alias("iterations"), F.min((F.col("vb") > 0) & (F.col("ve") > 0)).alias("positive"), F.min(F.col("pi").between(0, 1)).alias("pi_range"),
+        F.min(F.abs(F.col("vle") + F.col("vld") - F.col("vg")) <= 1e-8 * (1 + F.abs(F.col("vg")))).alias("parts"),
+    )
+    both = per.join(traced, ["trait", "chain"], "full").groupBy("trait").agg(
+        F.min(F.col("n") == markers).alias("markers"), (F.count("*") == c.nchains).alias("chains"), F.min(F.col("iterations") == c.nburn + c.nit).alias("iterations"),
+        *[F.min(F.coalesce(x, F.lit(False))).alias(x) for x in ("finite", "range", "simplex", "pip_of_components", "null_effects", "positive", "pi_range", "parts")],
+    )
+    names = {
+        "markers": "a row for every marker", "chains": "every chain", "iterations": "a trace value for every iteration", "finite": "finite effects", "range": "PIPs between 0 and 1",
+        "simplex": "component probabilities that add up to 1", "pip_of_components": "PIPs that are the non-null probability", "null_effects": "no effect without inclusion",
+        "positive": "positive variances", "pi_range": "inclusion shares between 0 and 1", "parts": "genetic variance that is the sum of its parts",
+    }
+    all_ = both.agg(*[F.coalesce(F.min(F.coalesce(k, F.lit(False))), F.lit(False)).alias(k) for k in names])
+    e = F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("ok"), F.when(F.col(k), "").otherwise(f"a fit has {v}").alias("message")) for k, v in names.items()])).alias("e")
+    return all_.select(e).select("e.*")
+
+
 def trace_states(traces: DataFrame, keys: list[str]) -> DataFrame:
     """``keys``, chain, half, n, mean, m2, first, last: what convergence needs of a trace, in one aggregate.
 

@@ -364,11 +364,13 @@ def q23(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "q24_retention_plan",
-    """SELECT k::INT AS iteration, k % 3 = 0 AS retained, CASE WHEN k % 3 = 0 THEN k // 3 END::INT AS position, legacy FROM range(1, 101) t(k), (SELECT false AS legacy)
-    UNION ALL SELECT k::INT, (k - 1) % 3 = 0, CASE WHEN (k - 1) % 3 = 0 THEN (k - 1) // 3 + 1 END::INT, true FROM range(1, 101) t(k)""",
+    """WITH t AS (SELECT unnest(range(1, max(event_id) // 4 + 2)) AS k FROM events WHERE value IS NOT NULL)
+    SELECT k::INT AS iteration, k % 3 = 0 AS retained, CASE WHEN k % 3 = 0 THEN k // 3 END::INT AS position, legacy FROM t, (SELECT false AS legacy)
+    UNION ALL SELECT k::INT, (k - 1) % 3 = 0, CASE WHEN (k - 1) % 3 = 0 THEN (k - 1) // 3 + 1 END::INT, true FROM t""",
 )
 def q24(spark: SparkSession, d: str) -> DataFrame:
-    plan = priors.ChainControls(nit=100, nthin=3)
+    """Which iterations of the events' chains are kept."""
+    plan = priors.ChainControls(nit=_chains(spark, d).agg(F.max("iteration")).first()[0] + 1, nthin=3)
     both = [controls.retention_plan(spark, plan, legacy).withColumn("legacy", F.lit(legacy)) for legacy in (False, True)]
     return both[0].unionByName(both[1])
 
@@ -567,7 +569,8 @@ def q42(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q43_gsim")
 def q43(spark: SparkSession, d: str) -> DataFrame:
-    return simulate.gsim(spark, n=500, m=64, nt=2, architecture="bayesr", rg=0.3, seed=5).phenotypes
+    """Phenotypes of the panel's own genotypes."""
+    return simulate.simulate_on(_panel(spark, d)[0], nt=2, architecture="bayesr", rg=0.3, seed=5)[0]
 
 
 @query(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from effectforge.functions.expressions import incomplete_beta, log_gamma, student_p_value
-from effectforge.operators import genotypes, particles, priors, samplers, selection, summaries, tempering
+from effectforge.operators import controls, genotypes, particles, priors, samplers, selection, simulate, summaries, tempering
 from effectforge.sources.provider import provider_panel
 
 
@@ -356,3 +356,83 @@ def test_tempered_fit_of_the_panel(spark):
     rows = tempering.fit_tempered(panel, traits, model, priors.ChainControls(nit=40, nburn=20, nchains=2)).toPandas()
     pip = rows[rows["quantity"] == "pip"].groupby("marker_idx")["value"].mean()
     assert pip.idxmax() == 3 and pip[3] > 0.9 and (rows["kind"] == "swap").sum() == 2 * 12 * 3
+
+
+# Inputs and checks
+
+
+def test_aligned_annotations(spark):
+    rows = [(f"m{k}", name, float(v)) for k in range(6) for name, v in (("size", k * k), ("even", k % 2))]
+    notes = spark.createDataFrame(rows + [("other", "size", 3.0), ("other", "even", 1.0)], "marker_id string, annotation string, value double")
+    fitted = spark.createDataFrame([(0, "m4"), (1, "m1"), (2, "m5")], "marker_idx int, marker_id string")
+    got = {r["marker_idx"]: r["a"] for r in priors.align_annotations(notes, fitted).collect()}
+    size = np.array([16.0, 1.0, 25.0])
+    want = np.column_stack([np.ones(3), [0, 1, 1], (size - size.mean()) / size.std(ddof=1)])
+    assert np.allclose([got[k] for k in range(3)], want)
+    plain = priors.align_annotations(notes, fitted, add_intercept=False, standardize=False, center_binary=True).orderBy("marker_idx").first()["a"]
+    assert plain == pytest.approx([-2 / 3, 16.0])
+    bad = [
+        (notes.filter("marker_id <> 'm5' or annotation = 'size'"), fitted, "without an annotation"),
+        (notes.unionByName(notes.limit(1)), fitted, "once each"),
+        (notes, fitted.unionByName(spark.createDataFrame([(3, "m1")], fitted.schema)), "once each"),
+        (notes, spark.createDataFrame([(0, "")], fitted.schema), "once each"),
+        (notes, spark.createDataFrame([(0, "m1"), (1, "m3")], fitted.schema), "without variation"),
+    ]
+    for a, m, why in bad:
+        with pytest.raises(ValueError, match=why):
+            priors.align_annotations(a, m)
+
+
+def test_intercept_priors():
+    gamma, pi = [0.0, 0.1, 1.0], [0.7, 0.2, 0.1]
+    mean, precision = priors.intercepts(gamma, pi, variance=2.0)
+    assert np.allclose(selection.stick_rows(np.ones((1, 1)), np.array([mean])), [pi], atol=1e-9) and precision == [0.5, 0.5]
+    assert priors.intercepts(gamma, pi, "standard") == ([0.0, 0.0], [1.0, 1.0]) and priors.intercepts(gamma, pi, "flat")[1] == [0.0, 0.0]
+    for wrong in ({"form": "other"}, {"variance": 0.0}):
+        with pytest.raises(ValueError):
+            priors.intercepts(gamma, pi, **wrong)
+
+
+def test_covariances(spark):
+    named = {"good": [[2, 1], [1, 2]], "flat": [[1, 1], [1, 1]], "skew": [[1, 0.5], [0.2, 1]], "nan": [[1, 0], [0, np.nan]], "short": [[1, 0]]}
+    rows = [(n, i, j, float(x)) for n, v in named.items() for i, r in enumerate(v) for j, x in enumerate(r)]
+    d = spark.createDataFrame(rows, "name string, i int, j int, value double")
+    got = {r["name"]: r["message"] for r in controls.validate_covariances(d).collect()}
+    assert got == {"good": "", "flat": "not positive definite", "skew": "not symmetric", "nan": "entries are not finite", "short": "entries are missing or repeated"}
+
+
+def test_consistency_of_a_fit(spark):
+    z, y = correlated()
+    rows = [("T", k, float(z[:, k] @ y), float(z[:, k] @ z[:, k]), float(y @ y), len(y)) for k in range(8)]
+    stats = spark.createDataFrame(rows, "trait string, marker_idx int, wy double, ww double, yy double, n int")
+    fit = samplers.fit_summary(stats, spark.createDataFrame([(0, 1, 0.7)], "i int, j int, r double"), samplers.Model(pi=(0.8, 0.2)), priors.ChainControls(nit=10, nburn=5, nchains=2))
+    fit.rows = fit.rows.cache()
+    assert {r["ok"] for r in summaries.fit_consistency(fit, 8).collect()} == {True}
+    whole = fit.rows
+
+    def failed(rows, markers=8):
+        fit.rows = rows
+        return {r["check"] for r in summaries.fit_consistency(fit, markers).collect() if not r["ok"]}
+
+    v, q = F.col("value"), F.col("quantity")
+    one = (F.col("marker_idx") == 3) & (F.col("chain") == 1)
+    assert failed(whole, 9) == {"markers"}
+    assert failed(whole.filter("chain = 0")) == {"chains"}
+    assert failed(whole.filter("iteration <> 4")) == {"iterations"}
+    assert failed(whole.withColumn("value", F.when((q == "effect") & one, float("nan")).otherwise(v))) >= {"finite"}
+    assert failed(whole.withColumn("value", F.when((q == "pip") & one, 1.5).otherwise(v))) == {"range", "pip_of_components"}
+    assert failed(whole.withColumn("value", F.when((q == "component_1") & one, 0.5 + v).otherwise(v))) == {"simplex"}
+    assert failed(whole.withColumn("value", F.when((q == "ve") & (F.col("iteration") == 2), -1.0).otherwise(v))) == {"positive"}
+    assert failed(whole.withColumn("value", F.when((q == "vg") & (F.col("iteration") == 2), 9.0).otherwise(v))) == {"parts"}
+
+
+def test_simulation_on_given_genotypes(spark):
+    rng = np.random.default_rng(3)
+    g = rng.integers(0, 3, (300, 12))
+    panel = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(g)], "sample_idx bigint, dosages array<int>")
+    rows, b = simulate.simulate_on(panel, n_causal=3, h2=0.5, seed=4)
+    d = rows.toPandas()
+    assert (b != 0).any(1).sum() == 3 and d["g"].std() == pytest.approx(1) and (d["y"] - d["g"] - d["e"]).abs().max() < 1e-12
+    design = np.column_stack([np.ones(300), g])
+    fit = design @ np.linalg.lstsq(design, d.sort_values("sample_idx")["g"].to_numpy(), rcond=None)[0]
+    assert np.allclose(fit, d.sort_values("sample_idx")["g"])
