@@ -1036,7 +1036,7 @@ def q115(spark: SparkSession, d: str) -> DataFrame:
     def table(block: particles.Block, start: int, key: tuple) -> pd.DataFrame:
         v, prior = np.array([VB]), np.tile(np.log([1 - PI, PI]), (len(block.wy), 1))
         exact = particles.exact_evidence(block, v, prior)
-        found = particles.run_particles(block, v, prior, np.random.default_rng(start), 4096).log_evidence
+        found = particles.run_particles(block, v, prior, np.random.default_rng(start), 1 << 16).log_evidence
         return pd.DataFrame([{"exact": exact, "close": abs(found - exact) < 0.01}])
 
     out = particles.over_blocks(_stats(spark, d), _edges(spark, d), 2, SHARE, table, "exact double, close boolean")
