@@ -199,6 +199,48 @@ def test_forest_isolates_outliers():
     assert (scores[:500] > forest.threshold).mean() <= 0.01
 
 
+def test_forest_verdicts_by_plain_python(spark, sf):
+    """Every verdict of the query is that of a walk down every tree, statement by statement, and the threshold that of the labelled rows."""
+    documents, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    forest = quality.fit_forest(documents, labels)
+    assert len(forest.trees) >= 50
+
+    def mean_path(n):
+        return 0.0 if n <= 1 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+
+    def ratios(text):
+        w, t = words(text), text or ""
+        n, chars = len(w) + quality.PRIOR_WORDS, sum(map(len, w)) + 5 * quality.PRIOR_WORDS
+        upper, marks = (sum(t.encode().count(bytes([c])) for c in table) for table in (quality._UPPER, quality._MARKS))
+        return [chars / n, sum(t.count(c) for c in "#*$%&|<>") / n, upper / chars, marks / n]
+
+    def score(text):
+        x, total = ratios(text), 0.0
+        for feature, split, left, right, path in forest.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] if x[feature[at]] < split[at] else right[at]
+            total += path[at]
+        return 2 ** (-total / len(forest.trees) / mean_path(forest.sample))
+
+    def failed(text):
+        w = words(text)
+        places = {}
+        for k in range(len(w) - 4):
+            places.setdefault(tuple(w[k : k + 5]), []).append(k)
+        repeated = {k + j for ks in places.values() if len(ks) > 1 for k in ks for j in range(5)}
+        return len(w) < 10 or 100 * len(repeated) > 20 * len(w)
+
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    scores = {i: score(t) for i, t in texts.items()}
+    good = sorted(scores[r["doc_id"]] for r in labels.collect() if r["quality"] and r["doc_id"] in texts and not failed(texts[r["doc_id"]]))
+    assert forest.threshold in (float("inf"), *[pytest.approx(x, abs=1e-12) for x in good])
+    for r in quality.quality_rules(documents, labels).collect():
+        i = r["doc_id"]
+        assert r["anomaly_score"] == pytest.approx(scores[i], abs=1e-12) and r["base_failed"] == failed(texts[i])
+        assert r["kept"] == (not r["base_failed"] and (scores[i] <= forest.threshold or scores[i] == pytest.approx(forest.threshold, abs=1e-12)))
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, " ".join(passage(1, 60)[5:25])), (10, "W1 two!"), (2, "one-two"), (3, None), (4, ""), (None, "x" * 500), (2, " ".join(passage(2, 40)))]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
