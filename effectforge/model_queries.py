@@ -1108,3 +1108,41 @@ def q119(spark: SparkSession, d: str) -> DataFrame:
     model = samplers.Model(gamma=MIXTURE, pi=_MIX_PI)
     fit = samplers.fit_summary(_stats(spark, d), _edges(spark, d), model, priors.ChainControls(nit=20, nburn=10, nchains=2, seed=3))
     return summaries.fit_consistency(fit, MARKERS)
+
+
+RESIDUAL = ((6.0, 0.5), (0.5, 0.8))
+_RDET = RESIDUAL[0][0] * RESIDUAL[1][1] - RESIDUAL[0][1] ** 2
+_INVERSE = (RESIDUAL[1][1] / _RDET, -RESIDUAL[0][1] / _RDET, RESIDUAL[0][0] / _RDET)
+
+
+@query(
+    "q120_joint_genotype_conditional",
+    f"""WITH {_EDGES}, z AS (SELECT s, j, (g - 2 * p) / sqrt(2 * p * (1 - p)) AS z FROM g JOIN m USING (j)),
+    f AS (SELECT z.s AS s, sum(z * x / 100) AS f FROM z JOIN vec ON vec.marker_idx = z.j GROUP BY z.s),
+    own AS (SELECT j, sum(z * z) AS ww FROM z GROUP BY j),
+    sx AS (SELECT trait, z.j AS marker_idx, sum(z * (y - f * CASE trait WHEN 'T2' THEN 0.5e0 ELSE 1 END)) AS e FROM z JOIN t USING (s) JOIN f USING (s) GROUP BY 1, 2),
+    sc AS (SELECT trait, marker_idx, ww, e + ww * x / 100 * CASE trait WHEN 'T2' THEN 0.5e0 ELSE 1 END AS s FROM sx JOIN own ON own.j = marker_idx JOIN vec USING (marker_idx)),
+    u AS (SELECT a.marker_idx AS marker_idx, {_INVERSE[0]}::DOUBLE * a.s + {_INVERSE[1]}::DOUBLE * c.s AS u1, {_INVERSE[1]}::DOUBLE * a.s + {_INVERSE[2]}::DOUBLE * c.s AS u2,
+        {_INVERSE[0]}::DOUBLE * a.ww AS i1, {_INVERSE[2]}::DOUBLE * a.ww AS i2, {_INVERSE[1]}::DOUBLE * a.ww AS i12 FROM sc a JOIN sc c USING (marker_idx) WHERE a.trait = 'T1' AND c.trait = 'T2')"""
+    + _PATTERNS.replace(f"-{JOINT[0][1]}e0 / {_DET}::DOUBLE AS p12", f"-{JOINT[0][1]}e0 / {_DET}::DOUBLE + i12 AS p12").replace("list_sum(e), 7)", "list_sum(e), 6)"),
+)
+def q120(spark: SparkSession, d: str) -> DataFrame:
+    """Activity patterns of two traits with correlated residuals at each marker, from the samples themselves."""
+    panel, traits = _panel(spark, d)
+    b = (np.arange(MARKERS) % 7 - 3)[:, None] / 100.0 * np.array([1.0, 0.5])
+    out = multitrait.genotype_patterns(panel, traits, b, np.array(RESIDUAL), np.array(JOINT), np.full(4, 0.25))
+    return out.withColumn("prob", F.round("prob", 6))
+
+
+@query(
+    "q121_annotation_signal",
+    f"""WITH {_PIPS}, se AS (SELECT marker_idx, a AS annotation FROM (SELECT j AS marker_idx FROM m), range(2, 5) t(a) WHERE marker_idx % a = 0)
+    SELECT annotation::INT AS annotation, count(*) AS size, round(avg((pip > 0.01)::INT::DOUBLE), 8) AS causal_rate, round(avg(pip), 8) AS mean_pip, round(avg(abs(wy / ww)), 8) AS mean_abs_effect
+    FROM se JOIN pips USING (marker_idx) JOIN stats USING (trait, marker_idx) WHERE trait = 'T1' GROUP BY 1""",
+)
+def q121(spark: SparkSession, d: str) -> DataFrame:
+    """What annotations that overlap say of the scan's inclusion probabilities and effects."""
+    truth = _pips(spark, d).join(_stats(spark, d).filter("trait = 'T1'").select("marker_idx", (F.col("wy") / F.col("ww")).alias("effect")), "marker_idx").withColumn("causal", F.col("pip") > 0.01)
+    sets = _markers(spark).select("marker_idx", F.explode(F.array(*[F.lit(a) for a in (2, 3, 4)])).alias("annotation")).filter("marker_idx % annotation = 0")
+    out = simulate.annotation_signal(truth, sets)
+    return out.select("annotation", "size", *[F.round(c, 8).alias(c) for c in ("causal_rate", "mean_pip", "mean_abs_effect")])

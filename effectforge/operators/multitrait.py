@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from effectforge.operators.genotypes import allele_freq, dosage_matrix
 from effectforge.operators.priors import ChainControls, task_seed
 from effectforge.operators.samplers import CsrOperator, dosage_array, standardise
 
@@ -299,6 +303,45 @@ def fit_joint_genotypes(panel: DataFrame, traits: DataFrame, controls: ChainCont
     return d.groupBy("chain").applyInPandas(task, OUTPUT)
 
 
+def genotype_patterns(panel: DataFrame, traits: DataFrame, effects: np.ndarray, ve: np.ndarray, v: np.ndarray, pi: np.ndarray) -> DataFrame:
+    """marker_idx, pattern, prob of the activity patterns at each marker, at fixed effects (markers, traits) and residual covariance.
+
+    These are the conditional probabilities of :func:`fit_joint_genotypes`.  Every batch of samples
+    gives its sums of genotypes times residuals, so no task holds the samples of all.
+    """
+    names = [r[0] for r in traits.select("trait").distinct().orderBy("trait").collect()]
+    af = {r["marker_idx"]: r["af"] for r in allele_freq(panel).collect()}
+    p = np.array([af[k] for k in range(len(af))])
+    sd = np.sqrt(2 * p * (1 - p))
+    wide = traits.groupBy("sample_idx").pivot("trait", names).agg(F.first("y")).dropna()
+    inverse, active = np.linalg.inv(ve), patterns(len(names))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(p), len(names) + 1))
+        for b in batches:
+            g, seen = dosage_matrix(b.column("dosages"))
+            if len(g):
+                z = np.where((seen > 0) & (sd > 0), (g - 2 * p) / np.where(sd > 0, sd, 1), 0.0)
+                y = np.column_stack([np.asarray(b.column(n), float) for n in names])
+                total[:, :-1] += z.T @ (y - z @ effects)
+                total[:, -1] += np.square(z).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(p)), pa.int32()), *[pa.array(x.copy()) for x in total.T]], names=["marker_idx", *[f"s{k}" for k in range(len(names))], "xx"])
+
+    columns = [f"s{k}" for k in range(len(names))]
+    d = panel.join(wide, "sample_idx").select("dosages", *[F.col(f"`{n}`").cast("double").alias(n) for n in names])
+    d = d.mapInArrow(sums, "marker_idx int, " + ", ".join(f"{c} double" for c in [*columns, "xx"])).groupBy("marker_idx").agg(*[F.sum(c).alias(c) for c in [*columns, "xx"]])
+
+    def table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for r in rows.itertuples(index=False):
+                u = inverse @ (np.array([getattr(r, c) for c in columns]) + r.xx * effects[r.marker_idx])
+                logw = pattern_log_weights(u, r.xx * inverse, v, np.log(pi), active)
+                w = np.exp(logw - logw.max())
+                yield pd.DataFrame({"marker_idx": r.marker_idx, "pattern": np.arange(len(w)), "prob": w / w.sum()})
+
+    return d.mapInPandas(table, "marker_idx int, pattern int, prob double")
+
+
 def provider_scores(provider_map: DataFrame, providers: DataFrame, markers: DataFrame) -> DataFrame:
     """trait, global_idx, score over its providers' residual scales; unmapped markers are 0."""
     scored = provider_map.join(providers, "provider_id").groupBy("trait", "global_idx").agg(
