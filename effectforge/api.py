@@ -58,10 +58,8 @@ def read_bed(spark: SparkSession, path: str, n: int, **options) -> DataFrame:
 
 
 def bed_panel(markers: DataFrame) -> DataFrame:
-    """Sample-major rows of marker-major ones, through the long form."""
-    long = markers.select("marker_idx", F.posexplode("dosages").alias("sample_idx", "dosage"))
-    m = markers.agg(F.max("marker_idx")).first()[0]
-    return genotypes.sample_major(long, int(m) + 1)
+    """Sample-major rows of marker-major ones."""
+    return genotypes.transposed(markers)
 
 
 def read_sparse_ld(spark: SparkSession, prefix: str, one_based: bool = False) -> DataFrame:
@@ -221,8 +219,9 @@ def finemap_fit(fit: Fit, stats: DataFrame, edges: DataFrame, sets: DataFrame, *
 def extract_posterior(fit: Fit, quantity: str, *, markers: list[int] | None = None, traits: list[str] | None = None, chains: list[int] | None = None) -> DataFrame:
     """A stored quantity of a fit, selected on its axes; an unknown one is an error."""
     known = set(samplers.TRACES) | {"effect", "pip", "state", "final_effect"} | {f"component_{k}" for k in range(len(GAMMA))}
-    if quantity not in known:
-        raise ValueError(f"quantity is one of {sorted(known)}")
+    # Selected markers, components and annotations have traces by number, where the model asks for them.
+    if quantity not in known and quantity.split(":")[0] not in ("effect", "inclusion", "component", "probability", "annotation"):
+        raise ValueError(f"quantity is one of {sorted(known)}, or a trace such as effect:7")
     d = fit.rows.filter(F.col("quantity") == quantity)
     for column, chosen in (("marker_idx", markers), ("trait", traits), ("chain", chains)):
         if chosen is not None:
@@ -231,10 +230,12 @@ def extract_posterior(fit: Fit, quantity: str, *, markers: list[int] | None = No
 
 
 def extract_diagnostics(fit: Fit) -> dict[str, object]:
-    """Convergence table, its overview and warnings, execution controls and provenance."""
+    """Convergence table, its overview and warnings, convergence from compact states of all traces, execution controls and provenance."""
     table = summaries.convergence(fit.traces(), ["trait", "quantity"], fit.controls.nburn)
     over = summaries.overview(table.withColumn("name", F.concat_ws(":", "trait", "quantity")), "name")
-    return {"convergence": table, "overview": over, "execution": fit.controls, "provenance": fit.provenance}
+    kept = fit.traces().filter(F.col("iteration") > fit.controls.nburn)
+    extended = summaries.extended_convergence(summaries.trace_states(kept, ["trait", "quantity"]), ["trait", "quantity"])
+    return {"convergence": table, "overview": over, "extended": extended, "execution": fit.controls, "provenance": fit.provenance}
 
 
 def summarise_posterior(fit: Fit, prob: float = 0.95, nburn: int | None = None, derived: bool = True) -> DataFrame:

@@ -137,11 +137,11 @@ def credible_sets(pips: DataFrame, regions: DataFrame, ld: DataFrame, **params)
 
     def task(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("marker_idx").reset_index(drop=True)
-        at = {m: k for k, m in enumerate(left["marker_idx"])}
-        r = np.eye(len(left))
-        for i, j, x in zip(right["i"], right["j"], right["r"], strict=True):
-            if i in at and j in at:
-                r[at[i], at[j]] = r[at[j], at[i]] = x
+        ids, r = left["marker_idx"].to_numpy(), np.eye(len(left))
+        i, j, x = (right[c].to_numpy() for c in ("i", "j", "r"))
+        known = np.isin(i, ids) & np.isin(j, ids)
+        a, b = np.searchsorted(ids, i[known]), np.searchsorted(ids, j[known])
+        r[a, b] = r[b, a] = x[known]
         out = [
             (key[0], n + 1, int(left["marker_idx"][k]), p, round(x, 10), rank)
             for n, members in enumerate(region_sets(left["pip"].to_numpy(), r, **params))

@@ -186,6 +186,37 @@ def _striped(batches: Iterator[pa.RecordBatch], stripe: int) -> Iterator[pa.Reco
             lo += rows
 
 
+def transposed(markers: DataFrame) -> DataFrame:
+    """Sample-major rows (sample_idx, dosages) of (marker_idx, dosages by sample index); a marker without a row is missing.
+
+    Stripes of samples are shuffled, a byte a dosage; a task fills the rows of one stripe at a
+    time, of as many samples as 64 MB hold.
+    """
+    m = int((markers.agg(F.max("marker_idx")).first()[0] or 0) + 1)
+    stripe = min(1024, max(1, (1 << 26) // m))
+
+    def rows(number: int, table: np.ndarray) -> pa.RecordBatch:
+        flat = pa.array(table.ravel().astype(np.int32), mask=table.ravel() == 3)
+        ids = pa.array(number * stripe + np.arange(len(table)), pa.int64())
+        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * m, pa.int32()), flat)], names=["sample_idx", "dosages"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, table = -1, None
+        for b in batches:
+            for k, ids, raw in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                part = np.frombuffer(raw, np.uint8).reshape(len(ids), -1)
+                if k != number:
+                    if table is not None:
+                        yield rows(number, table)
+                    number, table = k, np.full((part.shape[1], m), 3, np.uint8)
+                table[:, ids] = part.T
+        if table is not None:
+            yield rows(number, table)
+
+    packed = markers.select(F.col("marker_idx").cast("int").alias("marker_idx"), "dosages").mapInArrow(lambda b: _striped(b, stripe), PACKED)
+    return packed.repartition("stripe").sortWithinPartitions("stripe").mapInArrow(fill, "sample_idx bigint, dosages array<int>")
+
+
 def _stripe_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of ``PACKED`` with their trait values to sums of each marker and (trait, marker) over the stripe."""
     for b in batches:
