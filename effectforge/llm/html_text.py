@@ -229,22 +229,24 @@ def hash_subtrees(root: Node) -> list[tuple[int, int]]:
     shape: a run of children of one shape counts as one of them.
     """
     found: set[tuple[int, int]] = set()
-    order, todo = [], [(root, 0)]
+    order, todo = [], [(root, 0, False)]
     while todo:
-        node, place = todo.pop()
-        order.append((node, place))
+        node, place, shaped = todo.pop()
+        # Shapes are those of containers at the side and of what is in them; no other one is looked at.
+        shaped = shaped or node.side
+        order.append((node, place, shaped))
         seen: dict[str, int] = {}
         for c in node.children:
             if type(c) is Node:
                 seen[c.tag] = number = seen.get(c.tag, 0) + 1
-                todo.append((c, _hash(f"{place}/{c.tag}/{number}")))
+                todo.append((c, _hash(f"{place}/{c.tag}/{number}"), shaped))
     shapes: dict[int, int] = {}
-    for node, place in reversed(order):
+    for node, place, shaped in reversed(order):
         parts, shape = [node.tag], []
         for c in node.children:
             if type(c) is Node:
                 parts.append(f"\x01{c.digest}")
-                now = shapes.pop(id(c))
+                now = shapes.pop(id(c)) if shaped else 0
             elif text := " ".join(c.split()):
                 parts.append(text)
                 now = 0
@@ -253,9 +255,10 @@ def hash_subtrees(root: Node) -> list[tuple[int, int]]:
             if not shape or shape[-1] != now:
                 shape.append(now)
         node.digest = _hash("\x02".join(parts))
-        name = _CLASS.search(node.attrs) if node.attrs else None
-        name = _DIGITS.sub("0", "".join(x or "" for x in name.groups())) if name else ""
-        shapes[id(node)] = _hash(f"{node.tag}\x01{name}\x01{shape}")
+        if shaped:
+            name = _CLASS.search(node.attrs) if node.attrs else None
+            name = _DIGITS.sub("0", "".join(x or "" for x in name.groups())) if name else ""
+            shapes[id(node)] = _hash(f"{node.tag}\x01{name}\x01{shape}")
         if len(parts) > 1 and node.tag in BLOCK and node.tag not in ("html", "body"):
             found |= {(0, node.digest), (place, node.digest)}
             if node.side:
@@ -277,7 +280,7 @@ def mark_frame(root: Node) -> None:
     while todo:
         node, parent = todo.pop()
         order.append((node, parent))
-        todo.extend((c, node) for c in node.children if type(c) is Node)
+        todo += [(c, node) for c in node.children if type(c) is Node]
     for node, parent in reversed(order):
         node.size += sum(len("".join(c.split())) for c in node.children if type(c) is str)
         if parent and (node.tag not in DROP or node.tag in WRAPS):
@@ -303,7 +306,7 @@ def mark_frame(root: Node) -> None:
         node.side = not inside and not node.frame and node.tag in SHAPED
         node.inside = held
         held = held or node is longest or node.tag == "article" or longest is None and node.tag == "main"
-        todo.extend((c, inside, held) for c in node.children if type(c) is Node)
+        todo += [(c, inside, held) for c in node.children if type(c) is Node]
 
 
 def _dropped(node: Node, lists: bool) -> bool:
