@@ -53,7 +53,7 @@ NAMES = frozenset(
 )
 
 #: Whole class names or ids that are chrome inside the article too.
-CERTAIN = frozenset("ad ads advert adverts advertisement sponsored comments commentlist disqus_thread".split())
+CERTAIN = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored share sharing social comments commentlist disqus_thread newsletter pagination breadcrumbs".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Elements of the head; any other one ends it.
@@ -481,7 +481,7 @@ def extract_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.5, l
     name; repeated rows each get their row; an empty table gives no rows; a page of
     any length and nesting is parsed whole, in time linear in its length; names of
     classes and ids are a matter outside the article, and inside it only whole names of
-    adverts and comments; columns beside page_id, url and html are left out.
+    adverts, comments, sharing and paging; columns beside page_id, url and html are left out.
     """
     p = bare(small_batches(pages), "page_id", "url", "html").select(
         "page_id", "url", F.col("html").cast("string").alias("html"), page_host(F.col("url")).alias("host")
