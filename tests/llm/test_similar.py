@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from effectforge.llm import similar
+from effectforge.llm import similar, simhash
 
 
 def shingles(text, k=5):
@@ -98,3 +98,34 @@ def test_crowd(spark):
     got = classes_of(spark, rows)
     assert [k for k in range(250) if got[2 * k] != got[2 * k + 1]] == []
     assert same_classes(got, rows) and len(set(got.values())) == 250
+
+
+def test_simhash_links_come_first(spark, monkeypatch):
+    """SimHash alone links the texts within two bits that are similar too, and no others; what it leaves apart is found by shingles."""
+    rng, texts = np.random.default_rng(10), []
+    for _ in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 4000, 400)]
+        texts += [edited(base, e, rng) for e in (0, 1, 1, 25)]
+    # One fingerprint, as one phrase decides each bit, but other shingles.
+    phrase = "one phrase that comes again and again " * 400
+    texts += [phrase + " ".join(f"t{k}_{x}" for x in range(40)) for k in range(3)]
+    rows = list(enumerate(texts))
+    prints = [simhash.fingerprint(t.encode()) & (2**64 - 1) for _, t in rows]
+    bits = lambda i, j: (prints[i] ^ prints[j]).bit_count()
+    alike = lambda i, j: len(shingles(rows[i][1]) & shingles(rows[j][1])) >= 0.8 * len(shingles(rows[i][1]) | shingles(rows[j][1]))
+    groups = [range(k, k + 4) for k in range(0, 160, 4)] + [range(160, 163)]
+    met = [(i, j) for g in groups for i in g for j in g if i < j and bits(i, j) <= 2]
+    linked = [p for p in met if alike(*p)]
+    assert len(linked) >= 40 and {(160, 161), (161, 162)} <= set(met) - set(linked)
+    whole = classes_of(spark, rows)
+    assert same_classes(whole, rows)
+
+    held = similar.held_shingles
+    monkeypatch.setattr(similar, "held_shingles", lambda texts: similar.materialize(held(texts).limit(0), "no-shingles"))
+    got = classes_of(spark, rows)
+    assert [p for p in linked if got[p[0]] != got[p[1]]] == []
+    together = lambda of: {(i, j) for i in of for j in of if i < j and of[i] == of[j]}
+    assert together(got) <= together(whole)
+    assert len({got[k] for k in (160, 161, 162)}) == 3
+    assert len(set(got.values())) > len(set(whole.values()))
+
