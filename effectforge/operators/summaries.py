@@ -149,23 +149,63 @@ def convergence(traces: DataFrame, keys: list[str], nburn: int = 0) -> DataFrame
     return d.groupBy(*keys).applyInPandas(task, schema)
 
 
+#: Slices of a group's range of values; they are ranked side by side.
+SLICES = 1024
+
+
+def _below(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, x, n, ...), one for each x of a group, with ``below``, the sum of n at lower x, and ``total``, that of the group.
+
+    Every group's range is cut into slices of equal width, which are summed first, so no
+    task holds a whole group unless nearly all its values fall into one slice.
+    """
+    spread = cells.groupBy(*keys).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.sum("n").alias("total"))
+    wide = F.col("high") - F.col("low")
+    place = F.when((wide > 0) & (wide < float("inf")), F.floor((F.col("x") - F.col("low")) / wide * SLICES)).otherwise(0)
+    cells = cells.join(spread, keys).withColumn("slice", place).drop("low", "high")
+    sums = cells.groupBy(*keys, "slice").agg(F.sum("n").alias("in_slice"))
+    before = F.sum("in_slice").over(Window.partitionBy(*keys).orderBy("slice")) - F.col("in_slice")
+    within = F.sum("n").over(Window.partitionBy(*keys, "slice").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    d = cells.join(sums.withColumn("before", before).drop("in_slice"), [*keys, "slice"])
+    return d.withColumn("below", F.col("before") + within).drop("before", "slice")
+
+
+def _medians(traces: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys and the median of the values."""
+    d = _below(traces.groupBy(*keys, F.col("value").alias("x")).agg(F.count("*").alias("n")), keys)
+    at = lambda k: F.max(F.when(F.col("below") <= k, F.col("x")))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    return d.groupBy(*keys).agg((at(low) * 0.5 + at(high) * 0.5).alias("median"))
+
+
 def rank_rhat(traces: DataFrame, keys: list[str]) -> DataFrame:
     """Keys and R-hat of the draws' normal scores, raw (``rank``), folded at the median, and the larger.
 
     The halves of all chains are ranked together, ties by their mean rank; the
-    middle draw of a chain of odd length is in neither half.
+    middle draw of a chain of odd length is in neither half.  Equal draws are
+    counted, and counts are ranked by slices of the range of the draws.
     """
     length = traces.groupBy(*keys, "chain").agg(F.count("*").alias("len"), F.min("iteration").alias("first"))
-    median = traces.groupBy(*keys).agg(F.percentile("value", F.lit(0.5)).alias("median"))
-    d = traces.join(length, [*keys, "chain"]).join(median, keys).withColumn("k", F.col("iteration") - F.col("first"))
+    d = traces.join(length, [*keys, "chain"]).withColumn("k", F.col("iteration") - F.col("first"))
     h = F.floor(F.col("len") / 2)
     d = d.withColumn("half", F.when(F.col("k") < h, 0).when(F.col("k") >= F.col("len") - h, 1)).filter("half is not null")
+    d = d.groupBy(*keys, "value", "chain", "half").agg(F.count("*").alias("n")).join(_medians(traces, keys), keys)
     kinds = F.explode(F.array(F.struct(F.lit("rank").alias("kind"), F.col("value").alias("x")), F.struct(F.lit("folded").alias("kind"), F.abs(F.col("value") - F.col("median")).alias("x"))))
-    d = d.select(*keys, "chain", "half", kinds.alias("s")).select(*keys, "chain", "half", "s.*")
-    whole, tied = Window.partitionBy(*keys, "kind"), Window.partitionBy(*keys, "kind", "x")
-    mean_rank = F.rank().over(whole.orderBy("x")) + (F.count("*").over(tied) - 1) / 2
-    d = d.withColumn("z", normal_quantile((mean_rank - 0.375) / (F.count("*").over(whole) + 0.25)))
-    parts = d.groupBy(*keys, "kind", "chain", "half").agg(F.avg("z").alias("m"), F.var_samp("z").alias("w"), F.count("*").alias("n"))
+    d = d.select(*keys, "chain", "half", "n", kinds.alias("s")).select(*keys, "chain", "half", "n", "s.*")
+    d = d.groupBy(*keys, "kind", "x", "chain", "half").agg(F.sum("n").alias("n"))
+    held = d.groupBy(*keys, "kind", "x").agg(F.sum("n").alias("n"), F.collect_list(F.struct("chain", "half", "n")).alias("parts"))
+    ranked = _below(held, [*keys, "kind"])
+    mean_rank = F.col("below") + (F.col("n") + 1) / 2
+    z = normal_quantile((mean_rank - 0.375) / (F.col("total") + 0.25))
+    d = ranked.select(*keys, "kind", z.alias("z"), F.explode("parts").alias("p")).select(*keys, "kind", "z", "p.*")
+    parts = d.groupBy(*keys, "kind", "chain", "half").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("z")).alias("s"), F.sum(F.col("n") * F.col("z") * F.col("z")).alias("q"), F.min("z").alias("least"), F.max("z").alias("most")
+    )
+    still = F.col("least") == F.col("most")
+    mean = F.when(still, F.col("least")).otherwise(F.col("s") / F.col("n"))
+    # Equal draws have no variance; rounding must not give them one.
+    spread = F.when(F.col("n") > 1, F.when(still, 0.0).otherwise((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)))
+    parts = parts.select(*keys, "kind", mean.alias("m"), spread.alias("w"), "n")
     a = parts.groupBy(*keys, "kind").agg(F.var_samp("m").alias("bm"), F.avg("w").alias("w"), F.min("n").alias("n"))
     value = F.sqrt((F.col("bm") * F.col("n") / F.col("w") + F.col("n") - 1) / F.col("n"))
     two = a.groupBy(*keys).pivot("kind", ["rank", "folded"]).agg(F.first(value))

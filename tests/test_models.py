@@ -436,3 +436,19 @@ def test_simulation_on_given_genotypes(spark):
     design = np.column_stack([np.ones(300), g])
     fit = design @ np.linalg.lstsq(design, d.sort_values("sample_idx")["g"].to_numpy(), rcond=None)[0]
     assert np.allclose(fit, d.sort_values("sample_idx")["g"])
+
+
+def test_rank_rhat_ranks_by_slices(spark):
+    """Every window of the ranks is over a slice of a group's values, or over its slices; ties, a lone value and an outlier included."""
+    rows = [("a", k % 2, k // 2, float(v)) for k, v in enumerate([1, 1, 2, 5, 5, 5, 7, 1e6])] + [("b", k % 2, k // 2, (k * 7 % 5) / 4) for k in range(40)]
+    d = spark.createDataFrame(rows, "quantity string, chain int, iteration bigint, value double")
+    out = summaries.rank_rhat(d, ["quantity"])
+    windows = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in line]
+    assert windows and all("slice" in line for line in windows)
+    x = {q: [r[3] for r in rows if r[0] == q] for q in ("a", "b")}
+    cells = d.groupBy("quantity", d["value"].alias("x")).count().withColumnRenamed("count", "n")
+    for r in summaries._below(cells, ["quantity"]).collect():
+        mine = x[r["quantity"]]
+        assert (r["below"], r["total"], r["n"]) == (sum(v < r["x"] for v in mine), len(mine), mine.count(r["x"]))
+    assert {r["quantity"]: r["median"] for r in summaries._medians(d, ["quantity"]).collect()} == {"a": 5.0, "b": 0.5}
+    assert {r["quantity"] for r in out.collect()} == {"a", "b"}
